@@ -155,3 +155,45 @@ class Words:
 
 def list_array(offsets: np.ndarray, values: pa.Array) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), values)
+
+
+def packed(values: np.ndarray, bounds: np.ndarray) -> pa.Array:
+    """A binary column: row k holds the bytes of values[bounds[k]:bounds[k + 1]]."""
+    values = np.ascontiguousarray(values)
+    offsets = (np.asarray(bounds, dtype=np.int64) * values.itemsize).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(bounds) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(values.view(np.uint8))])
+
+
+def unpacked(column: pa.ChunkedArray, kind: str) -> np.ndarray:
+    """The values of all rows of a packed column, one after the other."""
+    return np.frombuffer(b"".join(x.as_py() for x in column), dtype=kind)
+
+
+def group_bounds(sorted_keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys of a sorted array and the n + 1 bounds of their runs."""
+    if not len(sorted_keys):
+        return sorted_keys, np.zeros(1, np.int64)
+    cut = np.flatnonzero(np.concatenate([[True], sorted_keys[1:] != sorted_keys[:-1]]))
+    return sorted_keys[cut], np.concatenate([cut, [len(sorted_keys)]])
+
+
+def group_count(rows: int, each: int) -> int:
+    """A prime number of groups of about `each` rows, so that evenly spaced ids spread evenly."""
+    n = max(61, rows // each) | 1
+    while any(n % d == 0 for d in range(3, int(n**0.5) + 1, 2)):
+        n += 2
+    return n
+
+
+#: Stands for a null doc_id inside an operator.
+NO_ID = -(1 << 63)
+
+
+def keyed(docs: DataFrame, groups: int) -> DataFrame:
+    """id_text with the group `of` of each document."""
+    rows = id_text(docs).withColumn("doc_id", F.coalesce("doc_id", F.lit(NO_ID)))
+    return rows.withColumn("of", F.pmod("doc_id", F.lit(groups)).cast("int"))
+
+
+def with_null_ids(df: DataFrame) -> DataFrame:
+    return df.withColumn("doc_id", F.when(F.col("doc_id") != NO_ID, F.col("doc_id")))
