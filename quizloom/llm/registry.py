@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from quizloom.llm.near_dedup import op6_near_dedup
 from quizloom.llm.packing import op1_packing
 from quizloom.llm.substring_dedup import op2_substring_dedup
 from quizloom.llm.token_files import op8_token_files
@@ -13,6 +14,7 @@ from quizloom.llm.token_files import op8_token_files
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_substring_dedup": op2_substring_dedup,
+    "op6_near_dedup": op6_near_dedup,
     "op8_token_files": op8_token_files,
 }
 ORACLE_SQL: dict[str, str] = {}
