@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from quizloom.llm.language_id import op10_language_id
 from quizloom.llm.near_dedup import op6_near_dedup
 from quizloom.llm.packing import op1_packing
 from quizloom.llm.substring_dedup import op2_substring_dedup
@@ -16,5 +17,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_substring_dedup": op2_substring_dedup,
     "op6_near_dedup": op6_near_dedup,
     "op8_token_files": op8_token_files,
+    "op10_language_id": op10_language_id,
 }
 ORACLE_SQL: dict[str, str] = {}
