@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from quizloom.llm.language_id import op10_language_id
 from quizloom.llm.near_dedup import op6_near_dedup
 from quizloom.llm.packing import op1_packing
+from quizloom.llm.pii import op7_pii
 from quizloom.llm.secrets import op9_secret_scan
 from quizloom.llm.substring_dedup import op2_substring_dedup
 from quizloom.llm.token_files import op8_token_files
@@ -18,6 +19,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_substring_dedup": op2_substring_dedup,
     "op6_near_dedup": op6_near_dedup,
     "op8_token_files": op8_token_files,
+    "op7_pii": op7_pii,
     "op9_secret_scan": op9_secret_scan,
     "op10_language_id": op10_language_id,
 }
