@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from quizloom.llm.decontaminate import op4_decontamination
 from quizloom.llm.language_id import op10_language_id
+from quizloom.llm.media import op3_media
 from quizloom.llm.near_dedup import op6_near_dedup
 from quizloom.llm.packing import op1_packing
 from quizloom.llm.pii import op7_pii
@@ -18,6 +19,7 @@ from quizloom.llm.token_files import op8_token_files
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_substring_dedup": op2_substring_dedup,
+    "op3_media": op3_media,
     "op4_decontamination": op4_decontamination,
     "op6_near_dedup": op6_near_dedup,
     "op8_token_files": op8_token_files,
