@@ -12,6 +12,7 @@ from quizloom.llm.media import op3_media
 from quizloom.llm.near_dedup import op6_near_dedup
 from quizloom.llm.packing import op1_packing
 from quizloom.llm.pii import op7_pii
+from quizloom.llm.scoring import op5_lm_scoring
 from quizloom.llm.secrets import op9_secret_scan
 from quizloom.llm.substring_dedup import op2_substring_dedup
 from quizloom.llm.token_files import op8_token_files
@@ -21,6 +22,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_substring_dedup": op2_substring_dedup,
     "op3_media": op3_media,
     "op4_decontamination": op4_decontamination,
+    "op5_lm_scoring": op5_lm_scoring,
     "op6_near_dedup": op6_near_dedup,
     "op8_token_files": op8_token_files,
     "op7_pii": op7_pii,
