@@ -91,7 +91,8 @@ _BYTE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _POWERS: dict[str, np.ndarray] = {}
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of an odd number and of its inverse, modulo 2 ** 64; n of each at least."""
     if "up" not in _POWERS or len(_POWERS["up"]) < n:
         size = max(n, BLOCK_BYTES + 1)
         inverse = pow(int(_P), -1, 1 << 64)
@@ -132,7 +133,7 @@ class Words:
     @property
     def hash(self) -> np.ndarray:
         if self._hash is None:
-            up, down = _powers(len(self.data) + 1)
+            up, down = powers(len(self.data) + 1)
             s = np.zeros(len(self.data) + 1, dtype=np.uint64)
             np.cumsum(_BYTE[self.data] * up[: len(self.data)], out=s[1:])
             self._hash = mix((s[self.end] - s[self.start]) * down[self.start])
