@@ -148,7 +148,11 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = F.array(*[F.lit(k) for k in KINDS])
     told = F.transform("base", lambda s: F.concat_ws(":", F.get(names, s["kind"]), s["start"].cast("string"), s["end"].cast("string")))
     terms = F.transform("terms", lambda s: F.concat_ws(":", F.lit(TERM), s["start"].cast("string"), s["end"].cast("string")))
-    counts = [F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{name}") for k, name in enumerate(KINDS)]
+
+    def count(kind: int) -> Column:
+        return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{KINDS[kind]}")
+
+    counts = [count(k) for k in range(len(KINDS))]
     base = F.array_join(told, ",")
     every = F.array_join(F.concat(told, F.coalesce(terms, F.array().cast("array<string>"))), ",")
     return found.select("doc_id", *counts, F.sha2(base, 256).alias("base_sha256"), every.alias("spans"), F.coalesce(F.size("terms"), F.lit(0)).cast("long").alias("n_terms"))
