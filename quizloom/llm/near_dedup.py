@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quizloom.llm.common import Words, blocks, documents, id_text, mix, packed, stored
+from quizloom.llm.common import Words, blocks, documents, id_text, list_array, mix, packed, stored
 
 SHINGLE = 5
 PERCENT = 75
@@ -29,7 +29,7 @@ STEP = 16
 MISS = 1e-7
 STAR_ROUNDS = 2
 #: Members of a bucket that are compared in one block.
-BLOCK = 256
+BLOCK = 512
 #: Pairs with one document that are verified in one task's group.
 FAN = 500
 _U64 = np.uint64
@@ -168,24 +168,16 @@ def _sets(docs: DataFrame) -> DataFrame:
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in blocks(batches):
             values, at = _shingles(Words(block.column("text"), lower=True))
-            yield pa.RecordBatch.from_arrays([block.column("doc_id"), packed(values, at)], names=["doc_id", "shingles"])
+            yield pa.RecordBatch.from_arrays([block.column("doc_id"), list_array(at, pa.array(values.view(np.int64)))], names=["doc_id", "shingles"])
 
-    return docs.mapInArrow(read, "doc_id long, shingles binary")
+    return docs.mapInArrow(read, "doc_id long, shingles array<long>")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
     """The pairs whose full sets are similar enough."""
-
-    def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for x, y in zip(batch.column("a_shingles").to_pylist(), batch.column("b_shingles").to_pylist(), strict=True):
-                a, b = np.frombuffer(x, _U64), np.frombuffer(y, _U64)
-                shared = len(np.intersect1d(a, b, assume_unique=True)) if min(len(a), len(b)) * 100 >= percent * max(len(a), len(b)) else 0
-                keep.append(100 * shared >= percent * (len(a) + len(b) - shared))
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    return _spread(pairs, sets, "shingles").select("a", "b", "a_shingles", "b_shingles").mapInArrow(exact, "a long, b long")
+    shared = F.size(F.array_intersect("a_shingles", "b_shingles"))
+    enough = 100 * shared >= percent * (F.size("a_shingles") + F.size("b_shingles") - shared)
+    return _spread(pairs, sets, "shingles").filter(enough).select("a", "b")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -223,17 +215,22 @@ def _star_pairs(rows: DataFrame, seed: int) -> DataFrame:
     return found.select(F.col("h.hub").alias("a"), F.col("doc_id").alias("b")).distinct()
 
 
-def _block_pairs(rows: DataFrame, signed: DataFrame) -> DataFrame:
-    """Likely pairs of different components in a bucket. Its members are dealt into blocks of about BLOCK, and every two
-    blocks meet in one group; a pair that shares several bands is compared in the first of them."""
+def _block_links(rows: DataFrame, signed: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """Links that join different components in a bucket. Its members are dealt into blocks of about BLOCK, and every two
+    blocks meet in one group. There the most alike pairs are verified first, on the full sets, and a link makes two
+    components one, so a group returns fewer links than it has members. A pair that shares several bands is compared in the
+    first of them."""
     blocks_of = rows.withColumn("n", F.ceil(F.col("size") / BLOCK).cast("int")).withColumn("mine", F.pmod(F.xxhash64("doc_id"), F.col("n")).cast("int"))
     met = blocks_of.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
     met = met.select("bucket", F.least("mine", "other").alias("x"), F.greatest("mine", "other").alias("y"), "mine", "doc_id", "root")
-    met = met.join(signed.select("doc_id", "signature"), "doc_id")
+    met = met.join(signed.select("doc_id", "signature"), "doc_id").join(sets, "doc_id")
 
     def compare(table: pa.Table) -> pa.Table:
-        doc, root, mine = (table.column(c).to_numpy() for c in ("doc_id", "root", "mine"))
+        doc, root, mine = (table.column(c).to_numpy().copy() for c in ("doc_id", "root", "mine"))
         signature = np.frombuffer(b"".join(table.column("signature").to_pylist()), np.uint32).reshape(-1, HASHES)
+        held = table.column("shingles").combine_chunks()
+        at = held.offsets.to_numpy()
+        values = held.values.to_numpy()
         bands = _band_hashes(signature).view(np.int64)
         x, y, bucket = (table.column(c)[0].as_py() for c in ("x", "y", "bucket"))
         left, right = [], []
@@ -246,10 +243,20 @@ def _block_pairs(rows: DataFrame, signed: DataFrame) -> DataFrame:
             first = bands[i][(bands[j] == bands[i]).argmax(axis=1)]
             j = j[first == bucket]
             j = j[_pruned(np.broadcast_to(signature[i], (len(j), HASHES)), signature[j])]
-            left.append(np.full(len(j), doc[i]))
-            right.append(doc[j])
-        a, b = (np.concatenate(v) if v else np.zeros(0, np.int64) for v in (left, right))
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+            alike = (signature[j] == signature[i]).sum(axis=1)
+            own = values[at[i] : at[i + 1]]
+            for k in j[np.argsort(-alike, kind="stable")]:
+                if root[k] == root[i]:
+                    continue
+                other = values[at[k] : at[k + 1]]
+                if min(len(own), len(other)) * 100 < percent * max(len(own), len(other)):
+                    continue
+                shared = len(np.intersect1d(own, other, assume_unique=True))
+                if 100 * shared >= percent * (len(own) + len(other) - shared):
+                    left.append(doc[i])
+                    right.append(doc[k])
+                    root[root == root[k]] = root[i]
+        return pa.table({"a": pa.array(left, pa.int64()), "b": pa.array(right, pa.int64())})
 
     return met.groupBy("bucket", "x", "y").applyInArrow(compare, "a long, b long").distinct()
 
@@ -275,8 +282,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         found = stored(_verified(likely, sets), "links")
         edges = found if edges is None else edges.unionByName(found)
         roots = components(edges)
-    likely = stored(_block_pairs(_mixed(_labelled(buckets, roots)), signed), "pairs")
-    edges = edges.unionByName(stored(_verified(likely, sets), "links"))
+    edges = edges.unionByName(stored(_block_links(_mixed(_labelled(buckets, roots)), signed, sets), "links"))
     copies = every.select("doc_id", "same").filter("same is not null").join(heads.withColumnRenamed("doc_id", "head"), "same")
     roots = components(edges.unionByName(copies.filter("doc_id != head").select(F.col("doc_id").alias("a"), F.col("head").alias("b"))))
     out = every.groupBy("doc_id").agg(F.max("n_shingles").alias("n_shingles")).join(roots, "doc_id", "left")
