@@ -15,11 +15,16 @@ from quizloom.llm import decontaminate, language_id, near_dedup, packing, secret
 from quizloom.llm.common import shared_dir
 
 
+#: A text of fewer characters may be ambiguous and stays all the same.
+SHORT = 200
+
+
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is told; `und` and ambiguous ones go. The model learns from those not held out."""
+    """Documents whose language is told; `und` goes, and so do ambiguous texts unless they are too short to tell. The model
+    learns from those not held out."""
     model = language_id.fit(docs.filter(~language_id.held_out()))
     told = language_id.predict(docs, model)
-    return told.filter((F.col("lang_pred") != language_id.UNKNOWN) & ~F.col("ambiguous")).select(*docs.columns)
+    return told.filter((F.col("lang_pred") != language_id.UNKNOWN) & (~F.col("ambiguous") | (F.length("text") < SHORT))).select(*docs.columns)
 
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
