@@ -1,8 +1,8 @@
 """Operator 4: benchmark decontamination with a q-gram filter.
 
 Benchmark items are cut into overlapping segments. If a text holds a segment with at most e edits, at least
-length - q + 1 - q * e of the segment's q-grams occur in it inside a diagonal band 2 * e + 1 wide. Shared q-grams are
-counted in bands that overlap by half, regions that meet the bound are kept, and a banded alignment verifies each.
+length - q + 1 - q * e of the segment's q-grams occur in it inside a diagonal band e + 1 wide. Shared q-grams are
+counted in bands twice as wide that overlap by half, regions that meet the bound are kept, and a banded alignment verifies each.
 """
 
 from __future__ import annotations
@@ -15,9 +15,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quizloom.llm.common import blocks, documents, id_text, mix, raw_bytes
+from quizloom.llm.common import blocks, documents, id_text, raw_bytes
 
-Q = 6
+Q = 7
+#: Shared q-grams that a region needs at least. The most frequent q-grams of a segment are left out as far as the bound,
+#: lowered by as many, stays at this or above; the filter then still loses no region within the budget.
+LEAST = 8
 SEGMENT = 96
 STRIDE = 48
 #: Edits allowed for each character of a segment.
@@ -48,12 +51,11 @@ def normalised(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _grams(b: np.ndarray, q: int) -> np.ndarray:
+    """The q bytes (8 at most) from each place on, as one number."""
     if len(b) < q:
         return np.zeros(0, _U64)
-    g = np.zeros(len(b) - q + 1, _U64)
-    for j in range(q):
-        g = g * _U64(256) + b[j : len(b) - q + 1 + j]
-    return g
+    padded = np.concatenate([b, np.zeros(8, np.uint8)])
+    return np.ndarray(len(b) - q + 1, "<u8", padded.data, strides=(1,)) & _U64((1 << (8 * q)) - 1)
 
 
 @dataclass
@@ -64,7 +66,9 @@ class Table:
     start: np.ndarray  # of the segment, in its item
     texts: list[bytes]
     budget: np.ndarray
-    least: np.ndarray
+    bound: np.ndarray  # shared q-grams that an occurrence within the budget has at least
+    least: np.ndarray  # those of them among the q-grams below
+    every: list[np.ndarray]  # all q-grams of each segment
     grams: np.ndarray  # distinct q-grams, ascending
     first: np.ndarray  # bounds in the two arrays below
     segment: np.ndarray
@@ -92,16 +96,23 @@ def make_table(items: list[tuple[int, str]], q: int = Q, segment: int = SEGMENT,
             texts.append(b[s : s + segment])
     size = np.array([len(t) for t in texts], dtype=np.int64)
     budget = (size * rate).astype(np.int64)
-    least = np.maximum(1, size - q + 1 - q * budget)
+    bound = size - q + 1 - q * budget
     grams = [_grams(np.frombuffer(t, np.uint8), q) for t in texts]
     every = np.concatenate([np.zeros(0, _U64), *grams])
-    own = np.repeat(np.arange(len(texts)), [len(g) for g in grams])
-    place = np.concatenate([np.zeros(0, np.int64), *[np.arange(len(g)) for g in grams]])
+    known, times = np.unique(every, return_counts=True)
+    kept = []
+    for g, most in zip(grams, np.maximum(0, bound - LEAST), strict=True):
+        often = times[np.searchsorted(known, g)]
+        kept.append(np.sort(np.argsort(-often, kind="stable")[most:]))
+    least = np.maximum(1, bound - np.maximum(0, bound - LEAST))
+    every = np.concatenate([np.zeros(0, _U64), *[g[k] for g, k in zip(grams, kept, strict=True)]])
+    own = np.repeat(np.arange(len(texts)), [len(k) for k in kept])
+    place = np.concatenate([np.zeros(0, np.int64), *kept])
     order = np.argsort(every, kind="stable")
     keys, first = np.unique(every[order], return_index=True)
-    known = np.zeros(1 << 18, bool)
-    known[_hash18(keys)] = True
-    return Table(np.array(owner, np.int64), np.array(begins, np.int64), texts, budget, least, keys, np.append(first, len(every)), own[order], place[order], known)
+    occurs = np.zeros(1 << 18, bool)
+    occurs[_hash18(keys)] = True
+    return Table(np.array(owner, np.int64), np.array(begins, np.int64), texts, budget, np.maximum(1, bound), least, grams, keys, np.append(first, len(every)), own[order], place[order], occurs)
 
 
 def banded_edits(pattern: bytes, text: bytes, budget: int) -> tuple[int, int, int]:
@@ -146,6 +157,8 @@ def _matches(block: pa.RecordBatch, table: Table, q: int = Q) -> list[tuple[int,
     row = np.searchsorted(at, hit, side="right") - 1
     inside = hit + q <= at[row + 1]
     hit, k, row = hit[inside], k[inside], row[inside]
+    if not len(hit):
+        return []
     times = table.first[k + 1] - table.first[k]
     entry = np.repeat(table.first[k] - (np.cumsum(times) - times), times) + np.arange(int(times.sum()))
     hit, row, seg, place = np.repeat(hit, times), np.repeat(row, times), table.segment[entry], table.place[entry]
@@ -153,25 +166,27 @@ def _matches(block: pa.RecordBatch, table: Table, q: int = Q) -> list[tuple[int,
     diagonal = hit - at[row] - place + SEGMENT
     width = table.budget[seg] + 1
     out = []
-    found: set[tuple[int, int, int]] = set()
+    found: set[tuple[int, int, int]] = set()  # row, segment, lowest diagonal
+    n_seg, n_band = len(table.texts), int(diagonal.max()) + 3
     for half in (0, 1):
         band = (diagonal + half * width) // (2 * width)
-        code = np.lexsort((place, band, seg, row))
-        r, s, d, p = row[code], seg[code], band[code], place[code]
-        new = np.ones(len(code), bool)
-        new[1:] = (r[1:] != r[:-1]) | (s[1:] != s[:-1]) | (d[1:] != d[:-1])
-        fresh = new.copy()
-        fresh[1:] |= p[1:] != p[:-1]  # a q-gram of the segment counts once in a band
-        starts = np.flatnonzero(new)
-        count = np.add.reduceat(fresh.astype(np.int64), starts)
-        for i in np.flatnonzero(count >= table.least[s[starts]]):
-            one = starts[i]
-            lo = int(d[one] * 2 * width[code[one]] - half * width[code[one]]) - SEGMENT
-            found.add((int(r[one]), int(s[one]), lo))
+        code = np.sort(((row * n_seg + seg) * n_band + band) * SEGMENT + place)
+        code = code[np.concatenate([[True], code[1:] != code[:-1]])] // SEGMENT  # a q-gram of the segment counts once in a band
+        starts = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]]))
+        count = np.diff(np.append(starts, len(code)))
+        code = code[starts]
+        s = code // n_band % n_seg
+        for i in np.flatnonzero(count >= table.least[s]):
+            w = int(table.budget[s[i]]) + 1
+            lo = int(code[i] % n_band) * 2 * w - half * w - SEGMENT
+            found.add((int(code[i] // n_band // n_seg), int(s[i]), lo))
     for r, s, lo in sorted(found):
         size, budget = len(table.texts[s]), int(table.budget[s])
         begin, end = max(0, lo - budget), min(int(at[r + 1] - at[r]), lo + size + 3 * budget + 2)
-        edits, x, y = banded_edits(table.texts[s], b[at[r] + begin : at[r] + end].tobytes(), budget)
+        region = b[at[r] + begin : at[r] + end]
+        if np.isin(table.every[s], _grams(region, q)).sum() < table.bound[s]:
+            continue  # with the frequent q-grams as well it misses the bound
+        edits, x, y = banded_edits(table.texts[s], region.tobytes(), budget)
         if edits <= budget and y > x:
             first, last = source[at[r] + begin + x], source[at[r] + begin + y - 1]
             out.append((r, int(table.item[s]), int(table.start[s]), int(first), int(last) + 1, edits))
