@@ -23,8 +23,6 @@ WIDTH = 24
 UNIT = WIDTH * 24
 PAD = 255
 DIGEST = "sha256:"
-#: A digest that very many documents refer to is joined in so many parts.
-PARTS = 32
 
 ITEM = "array<struct<pos:int,kind:string,text:string,media:string,caption:string>>"
 _ITEM = pa.list_(pa.struct([("pos", pa.int32()), ("kind", pa.string()), ("text", pa.string()), ("media", pa.string()), ("caption", pa.string())]))
@@ -120,11 +118,11 @@ def interleaved(pages: DataFrame, key: str = "page_id", html: str = "html") -> D
 
 def resolved(sequences: DataFrame, payloads: DataFrame, key: str = "page_id") -> DataFrame:
     """key, pos, media, caption, and the columns of `payloads` (one row for each digest) of every media reference; null
-    where no payload has the digest. A frequent digest is dealt into PARTS."""
+    where no payload has the digest. References to one digest may be many: adaptive execution splits such a partition, as
+    long as `payloads` is a stored table and not the output of an aggregation by digest."""
     one = sequences.select(F.col(key), F.explode("items").alias("i")).filter("i.kind = 'media'").select(key, "i.pos", "i.media", "i.caption")
-    refs = one.withColumn("_digest", F.regexp_replace("media", "^" + DIGEST, "")).withColumn("_part", F.pmod(F.xxhash64(key, "pos"), F.lit(PARTS)).cast("int"))
-    copies = payloads.withColumnRenamed("digest", "_digest").withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
-    return refs.join(copies, ["_digest", "_part"], "left").drop("_digest", "_part")
+    refs = one.withColumn("_digest", F.regexp_replace("media", "^" + DIGEST, ""))
+    return refs.join(payloads.withColumnRenamed("digest", "_digest"), "_digest", "left").drop("_digest")
 
 
 def image(payload: bytes) -> bytes:
@@ -201,6 +199,6 @@ def payload_features(media: DataFrame) -> DataFrame:
 def op3_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     held = stored(as_media(documents(spark, sf_dir)), "media")
     pages = interleaved(held.select(F.struct("doc_id", "n_bytes").alias("document"), "html"), "document")
-    found = resolved(pages, payload_features(held), "document")
+    found = resolved(pages, stored(payload_features(held), "features"), "document")
     names = ["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "pos", "caption"]
     return found.select("document.doc_id", "document.n_bytes", *names)
