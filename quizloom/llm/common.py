@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 1 << 20
 
 _WORD = np.ones(256, dtype=bool)
 _WORD[[32, *range(9, 14)]] = False
