@@ -95,6 +95,37 @@ def test_scores(docs, rows, empty):
     assert scoring.score_documents(empty).collect() == []
 
 
+def test_context_counts_are_exact():
+    """What a group gets back for each context and node is what all groups' training texts add up to, none shared."""
+    import numpy as np
+
+    code = scoring.prefix_code(np.arange(256))
+    texts = [prose(k, 40) for k in range(30)] + ["", "aaaa aaaa", "ab"]
+    path = [[(int(code.node[i]), int(code.bit[i])) for i in range(code.first[c], code.first[c] + code.size[c])] for c in range(256)]
+
+    def steps(text):
+        data = b"    " + text.encode() + b"\xff"
+        for i in range(4, len(data)):
+            word = data[4:i].replace(b"\n", b" ").rpartition(b" ")[2]
+            for k, context in enumerate((data[i - 2 : i], data[i - 4 : i], word)):
+                yield from ((i - 4, k, step, context, node, bit) for step, (node, bit) in enumerate(path[data[i]]))
+
+    held = [n % 5 == 1 for n in range(len(texts))]
+    want = Counter((k, context, node, bit) for n, t in enumerate(texts) if not held[n] for _, k, _, context, node, bit in steps(t))
+    tables = [pa.table({"doc_id": list(range(g, len(texts), 3)), "of": pa.array([g] * len(texts[g::3]), pa.int32()), "text": texts[g::3], "held_out": held[g::3]}) for g in range(3)]
+    asked = pa.concat_tables([scoring._ask(t, 7) for t in tables])
+    replies = pa.concat_tables([scoring._answer(asked.filter(pa.compute.equal(asked["key"], k)), code) for k in set(asked["key"].to_pylist())])
+    for g, table in enumerate(tables):
+        own = scoring.Asked(table, 7)
+        mixer = own.mixer(scoring._in_order(replies.filter(pa.compute.equal(replies["of"], g))), code, None)
+        (_, at, _, pairs), = own.pairs_of
+        for row, text in enumerate(texts[g::3]):
+            for i, k, step, context, node, _ in steps(text):
+                slot = mixer.begin[pairs[k][at[row] + i]] + step
+                n0, n1 = want[k, context, node, 0], want[k, context, node, 1]
+                assert math.isclose(mixer.stretch[slot], math.log((n1 + 0.4) / (n0 + 0.4)), rel_tol=1e-4, abs_tol=1e-5)
+
+
 def test_scores_are_probabilities_of_one_code():
     """Over all bytes that may follow, probabilities add up to one."""
     import numpy as np
