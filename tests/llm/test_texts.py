@@ -139,6 +139,33 @@ def test_scores_are_probabilities_of_one_code():
     assert math.isclose(float(mixer.score(pa.array(["x", "abc", "y" * 900]))[0][1]), one("abc"), rel_tol=1e-5)
 
 
+def test_weights_follow_each_byte():
+    """A short text's weights move after every byte, as in a loop over its bits; other texts beside it change nothing."""
+    import numpy as np
+
+    code = scoring.prefix_code(np.arange(256))
+    rng = np.random.default_rng(2)
+    mixer = scoring.Mixer(code, rng.normal(size=scoring.SLOTS).astype(np.float32), rng.integers(0, 8, scoring.SLOTS).astype(np.uint8), np.full((scoring.GATES, scoring.CONTEXTS), 0.3))
+    texts = ["the rain in spain " * 6, "", "x", prose(5, 30)]
+    got = mixer.score(pa.array(texts))[0]
+    for text, score in zip(texts, got, strict=True):
+        b, at = scoring._with_end(pa.array([text]))
+        of, inputs, gate, sign = mixer.read(b, scoring._pairs(b, at))
+        weights, total = mixer.weights.copy(), 0.0
+        for byte in range(len(b)):
+            bits = np.flatnonzero(of == byte)
+            step = np.zeros_like(weights)
+            for i in bits:
+                x = np.array([v[i] for v in inputs], float) * sign[i]
+                p = 1 / (1 + math.exp(-float(weights[gate[i]] @ x)))
+                total += math.log10(p)
+                step[gate[i]] += scoring.RATE * (1 - p) * x
+            weights += step
+        assert math.isclose(score, total, rel_tol=1e-4)
+        fixed = mixer.mixed(b, at, scoring._pairs(b, at), rate=0.0)[0]
+        assert len(text) < 20 or not math.isclose(score, fixed, rel_tol=1e-3)
+
+
 TEXTS = [
     (1, "Write to ann.b+c@ex-ample.co.uk, or x@y.z_w@q.r; not a@b. Call +49 (0)30 1234-5678 now, +1 2."),
     (2, "hosts 10.0.0.1 and 999.1.1.1 and 1.2.3.4.5.6.7.8, é 😀 card 4111 1111 1111 1111, bad 4111 1111 1111 1112; 1 2 3"),
