@@ -306,6 +306,15 @@ def normalize_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", F.sha2(text.normalized(F.col("text")), 256).alias("clean"))
 
 
+@query()
+def normalize_all_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """normalize_text for every document: those with entities or accents to compose as well, which SQL cannot express, and
+    null texts."""
+    rows = table(spark, sf_dir, "documents").select("doc_id", "text", F.coalesce(text.needs_python(F.col("text")), F.lit(False)).alias("python"))
+    parts = [rows.filter(F.col("python") == python).select("doc_id", F.sha2(text.normalized(F.col("text"), python), 256).alias("clean")) for python in (False, True)]
+    return parts[0].unionAll(parts[1])
+
+
 @query("SELECT p_partkey AS doc_id, p_name AS clean FROM part")
 def clean_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Marks, words and notes of feedback around each name, in turn; markup and white space as well."""

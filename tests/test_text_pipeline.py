@@ -1,5 +1,10 @@
 """Golden texts: what is read from quiz material, and what is refused."""
 
+import hashlib
+import html
+import re
+import unicodedata
+
 import pytest
 
 from quizloom.plans import export
@@ -120,3 +125,23 @@ def test_finalize_keeps_unknown_keys(spark):
     deck = '{"status":"draft","x":1,"meta":{"review":{},"y":2},"cards":[{"review":{},"z":3}]}'
     out = export.finalize_decks(spark.createDataFrame([(1, deck), (2, None), (3, "[1]")], "doc_id long, deck string")).orderBy("doc_id").collect()
     assert [r["deck"] for r in out] == ['{"x":1,"meta":{"y":2},"cards":[{"z":3}]}', None, "[1]"]
+
+
+def test_all_documents_are_normalized(spark, tmp_path):
+    """Entities, accents and nulls among them, against the rules written out again."""
+    from quizloom.queries import QUERIES
+
+    texts = ["a &amp; b", "x &lt;i&gt; <b>y</b>", "e\u0301te\u0301  noir", "plain\ttext", "", None, " &nbsp; ", "\u1100\u1161 &eacute;"]
+    spark.createDataFrame([*enumerate(texts), (3, texts[3]), (None, "A&B")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+
+    def brute(sf_dir):
+        for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect():
+            text = r["text"]
+            if text is not None:
+                text = unicodedata.normalize("NFC", html.unescape(re.sub("<[^>]*>", "", text)))
+                text = hashlib.sha256(re.sub(r"\s+", " ", text).strip(" ").encode()).hexdigest()
+            yield str((r["doc_id"], text))
+
+    for sf_dir in (str(tmp_path), "/root/testdata/sf0.001"):
+        got = QUERIES["normalize_all_texts"](spark, sf_dir).collect()
+        assert sorted(str((r["doc_id"], r["clean"])) for r in got) == sorted(brute(sf_dir))
