@@ -198,3 +198,40 @@ def keyed(docs: DataFrame, groups: int) -> DataFrame:
 
 def with_null_ids(df: DataFrame) -> DataFrame:
     return df.withColumn("doc_id", F.when(F.col("doc_id") != NO_ID, F.col("doc_id")))
+
+
+#: A key with over a HOT-th of all rows (and over LEAST_HOT) does not go through the shuffle.
+HOT = 1000
+LEAST_HOT = 1000
+
+
+def hot_join(left: DataFrame, right: DataFrame, key: list[str]) -> DataFrame:
+    """left joined with right, a stored table of one row for each key, whose `_n` says how many rows of left have the key.
+    Rows of frequent keys stay where they are and meet a broadcast: there are fewer than HOT such keys."""
+    n, most = right.agg(F.sum("_n"), F.max("_n")).first()
+    limit, right_rows = max(LEAST_HOT, (n or 0) / HOT), right.drop("_n")
+    if (most or 0) <= limit:
+        return left.join(right_rows, key)
+    hot = F.broadcast(right.filter(F.col("_n") > limit).drop("_n"))
+    others = left.join(hot.select(*key), key, "left_anti").join(right.filter(F.col("_n") <= limit).drop("_n"), key)
+    return left.join(hot, key).unionByName(others)
+
+
+def runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
+    """The rows of each key in turn, from batches that are sorted by the keys."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        columns = [batch.column(k).to_numpy() for k in keys]
+        cuts = np.flatnonzero(np.any([c[1:] != c[:-1] for c in columns], axis=0)) + 1
+        for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), batch.num_rows], strict=True):
+            key = tuple(c[a] for c in columns)
+            if held and key != last:
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(batch.slice(a, b - a))
+            last = key
+    if held:
+        yield pa.Table.from_batches(held)

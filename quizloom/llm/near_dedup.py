@@ -3,8 +3,9 @@
 Documents with one shingle set are one class from the start. Classes that share a band of their signatures are
 candidates. A pair is compared in batches of hashes; after each batch it is dropped if the posterior probability of a
 similarity at the threshold or above is under MISS. What is left is verified on the full sets. Buckets are never spread
-into pairs: a few rounds link every member of a bucket to one of its members; only members that are in different
-components after that are compared with each other, block by block.
+into pairs: a few rounds link every member of a bucket to one of its members. After that only members outside the largest
+component of a bucket are compared with the others, by their signatures and block by block; sets are fetched for the pairs
+that survive. No key is joined on without a way for those that many rows have (hot_join).
 """
 
 from __future__ import annotations
@@ -15,10 +16,10 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quizloom.llm.common import Words, blocks, documents, id_text, list_array, mix, packed, stored
+from quizloom.llm.common import Words, blocks, documents, hot_join, id_text, list_array, mix, packed, runs, stored
 
 SHINGLE = 5
 PERCENT = 75
@@ -28,8 +29,8 @@ STEP = 16
 #: Probability of a miss that the pruning of one pair may add.
 MISS = 1e-7
 STAR_ROUNDS = 2
-#: Members of a bucket that are compared in one block.
-BLOCK = 512
+#: Members of a bucket on either side of one block.
+BLOCK = 1024
 #: Pairs with one document that are verified in one task's group.
 FAN = 500
 _U64 = np.uint64
@@ -71,43 +72,51 @@ def _signatures(sets: np.ndarray, at: np.ndarray) -> np.ndarray:
     return out
 
 
-def _band_hashes(signature: np.ndarray) -> np.ndarray:
-    bands = signature.astype(_U64).reshape(-1, BANDS, ROWS)
-    h = np.arange(BANDS, dtype=_U64)[None, :] * _U64(0x9E3779B97F4A7C15) + _U64(1)
-    for k in range(ROWS):
-        h = mix((h * _U64(0xD6E8FEB86659FD93)) ^ bands[:, :, k])
-    return h
-
-
 def _read(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, `same` (a digest of the set) and signature; the last two are null for an empty set."""
+    """row (a number of its own), doc_id, text_hash, n_shingles, `same` (a digest of the set) and signature; the last two are null for
+    an empty set."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in blocks(batches):
             sets, at = _shingles(Words(block.column("text"), lower=True))
-            size = np.diff(at)
-            view, ends = memoryview(np.ascontiguousarray(sets).view(np.uint8)), (8 * at).tolist()
-            same = [hashlib.blake2b(view[a:b], digest_size=16).digest() if b > a else None for a, b in zip(ends[:-1], ends[1:], strict=True)]
-            some = np.flatnonzero(size)
+            some = np.flatnonzero(np.diff(at))
             found = _signatures(sets, np.concatenate([at[some], at[-1:]])) if len(some) else np.zeros((0, HASHES), np.uint32)
-            rows = np.where(size > 0, np.cumsum(size > 0) - 1, -1)
+            rows = np.where(np.diff(at) > 0, np.cumsum(np.diff(at) > 0) - 1, -1)
             signature = packed(found.ravel(), np.arange(len(found) + 1) * HASHES).take(pa.array(rows, pa.int64(), mask=rows < 0))
-            yield pa.RecordBatch.from_arrays([block.column("doc_id"), pa.array(size), pa.array(same, pa.binary()), signature], names=["doc_id", "n_shingles", "same", "signature"])
+            columns = [*(block.column(c) for c in ("row", "doc_id", "text_hash")), pa.array(np.diff(at)), pa.array(_digests(sets, at), pa.binary()), signature]
+            yield pa.RecordBatch.from_arrays(columns, names=["row", "doc_id", "text_hash", "n_shingles", "same", "signature"])
+
+    rows = id_text(docs).withColumns({"row": F.monotonically_increasing_id(), "text_hash": F.xxhash64("text")})
+    return rows.mapInArrow(read, "row long, doc_id long, text_hash long, n_shingles long, same binary, signature binary")
 
-    return docs.mapInArrow(read, "doc_id long, n_shingles long, same binary, signature binary")
+
+def _digests(sets: np.ndarray, at: np.ndarray) -> list[bytes | None]:
+    view, ends = memoryview(np.ascontiguousarray(sets).view(np.uint8)), (8 * at).tolist()
+    return [hashlib.blake2b(view[a:b], digest_size=16).digest() if b > a else None for a, b in zip(ends[:-1], ends[1:], strict=True)]
 
 
 def _banded(signed: DataFrame) -> DataFrame:
-    """doc_id and the hash of each of its bands."""
+    """node, and the number and the hash of each of its bands."""
+    width = 4 * ROWS
+    bands = F.array(*[F.xxhash64(F.substring("signature", 1 + k * width, width)) for k in range(BANDS)])
+    return signed.select("node", F.posexplode(bands).alias("band", "bucket"))
+
+
+def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """node and the hashes of its shingles, ascending, for the classes wanted: node, same and low (the doc_id of a text that
+    has the set, which may be null)."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                h = _band_hashes(np.frombuffer(b"".join(batch.column("signature").to_pylist()), np.uint32))
-                doc = np.repeat(batch.column("doc_id").to_numpy(), BANDS)
-                yield pa.RecordBatch.from_arrays([pa.array(doc), pa.array(h.ravel().view(np.int64))], names=["doc_id", "bucket"])
+        for block in blocks(batches):
+            values, at = _shingles(Words(block.column("text"), lower=True))
+            yield pa.RecordBatch.from_arrays([pa.array(_digests(values, at), pa.binary()), list_array(at, pa.array(values.view(np.int64)))], names=["same", "shingles"])
 
-    return signed.select("doc_id", "signature").mapInArrow(read, "doc_id long, bucket long")
+    rows = id_text(docs)
+    texts = rows.join(wanted.filter("low is not null").select(F.col("low").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    if not wanted.filter("low is null").isEmpty():
+        texts = texts.unionByName(rows.filter("doc_id is null"))
+    once = texts.mapInArrow(read, "same binary, shingles array<long>").groupBy("same").agg(F.first("shingles").alias("shingles"))
+    return once.join(wanted.select("node", "same"), "same").select("node", "shingles")
 
 
 @cache
@@ -143,15 +152,15 @@ def _pruned(left: np.ndarray, right: np.ndarray) -> np.ndarray:
 def _spread(pairs: DataFrame, values: DataFrame, column: str) -> DataFrame:
     """pairs (a, b) with `column` of both as a_ and b_; a document with many pairs is copied for each FAN of them."""
     fans = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("_n"))
-    copies = fans.join(values.withColumnRenamed("doc_id", "a"), "a").withColumn("_part", F.explode(F.sequence(F.lit(0), (F.col("_n") / FAN).cast("int"))))
+    copies = fans.join(values.withColumnRenamed("node", "a"), "a").withColumn("_part", F.explode(F.sequence(F.lit(0), (F.col("_n") / FAN).cast("int"))))
     many = copies.select("a", "_part", (F.col("_n") / FAN).cast("int").alias("_last"), F.col(column).alias("a_" + column))
     dealt = pairs.join(fans.select("a", (F.col("_n") / FAN).cast("int").alias("_last")), "a").withColumn("_part", F.pmod(F.xxhash64("b"), F.col("_last") + 1).cast("int"))
     found = dealt.drop("_last").join(many.drop("_last"), ["a", "_part"]).drop("_part")
-    return found.join(values.select(F.col("doc_id").alias("b"), F.col(column).alias("b_" + column)), "b")
+    return found.join(values.select(F.col("node").alias("b"), F.col(column).alias("b_" + column)), "b")
 
 
 def _likely(pairs: DataFrame, signed: DataFrame) -> DataFrame:
-    """The pairs (a, b) that Bayesian pruning keeps."""
+    """The pairs (a, b) that Bayesian pruning keeps; a may have many."""
 
     def prune(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -159,18 +168,10 @@ def _likely(pairs: DataFrame, signed: DataFrame) -> DataFrame:
                 left, right = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint32).reshape(-1, HASHES) for c in ("a_signature", "b_signature"))
                 yield batch.select(["a", "b"]).filter(pa.array(_pruned(left, right)))
 
-    return _spread(pairs, signed.select("doc_id", "signature"), "signature").select("a", "b", "a_signature", "b_signature").mapInArrow(prune, "a long, b long")
-
-
-def _sets(docs: DataFrame) -> DataFrame:
-    """doc_id and the hashes of its shingles, ascending."""
-
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in blocks(batches):
-            values, at = _shingles(Words(block.column("text"), lower=True))
-            yield pa.RecordBatch.from_arrays([block.column("doc_id"), list_array(at, pa.array(values.view(np.int64)))], names=["doc_id", "shingles"])
-
-    return docs.mapInArrow(read, "doc_id long, shingles array<long>")
+    counts = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("_n"))
+    hubs = stored(counts.join(signed.select(F.col("node").alias("a"), F.col("signature").alias("a_signature")), "a"), "hubs")
+    both = hot_join(pairs.join(signed.select(F.col("node").alias("b"), F.col("signature").alias("b_signature")), "b"), hubs, ["a"])
+    return both.select("a", "b", "a_signature", "b_signature").mapInArrow(prune, "a long, b long")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -181,113 +182,139 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> Data
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """doc_id and root (the smallest id it reaches) of every end of edges (a, b), by alternating large and small stars."""
+    """node and root (the smallest node it reaches) of every end of edges (a, b) but the roots themselves, by alternating
+    large and small stars."""
     e = stored(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a != b").distinct(), "edges")
     while True:
         ends = e.select("a", F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(e.select(F.col("b").alias("a"), F.lit(0).alias("up"), F.lit(1).alias("down")))
         unsettled = ends.groupBy("a").agg(F.sum("up").alias("up"), F.max("down").alias("down")).filter("up > 1 or (up = 1 and down = 1)")
-        if unsettled.isEmpty():  # a forest of stars around the smallest ids
-            return e.select(F.col("a").alias("doc_id"), F.col("b").alias("root"))
+        if unsettled.isEmpty():  # a forest of stars around the smallest nodes
+            return e.select(F.col("a").alias("node"), F.col("b").alias("root"))
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("low"))
-        large = both.join(low, "a").filter("b > a").select(F.col("b").alias("a"), F.col("low").alias("b")).filter("a != b").distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("low"))
-        others = large.join(least, "a").filter("b != low").select(F.col("b").alias("a"), F.col("low").alias("b"))
+        low = stored(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("low"), F.count(F.lit(1)).alias("_n")), "stars")
+        large = hot_join(both, low, ["a"]).filter("b > a").select(F.col("b").alias("a"), F.col("low").alias("b")).filter("a != b")
+        large = stored(large.distinct(), "edges")
+        least = stored(large.groupBy("a").agg(F.min("b").alias("low"), F.count(F.lit(1)).alias("_n")), "stars")
+        others = hot_join(large, least, ["a"]).filter("b != low").select(F.col("b").alias("a"), F.col("low").alias("b"))
         e = stored(others.unionByName(least.select("a", F.col("low").alias("b"))).filter("a != b").distinct(), "edges")
 
 
-def _labelled(buckets: DataFrame, roots: DataFrame | None) -> DataFrame:
-    if roots is None:
-        return buckets.withColumn("root", F.col("doc_id"))
-    return buckets.join(roots, "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id"))
-
-
-def _mixed(rows: DataFrame) -> DataFrame:
-    """Members of the buckets that hold more than one component, with their size."""
-    sizes = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.min("root").alias("_low"), F.max("root").alias("_high")).filter("_low < _high")
-    return rows.join(sizes.select("bucket", "size"), "bucket")
-
-
-def _star_pairs(rows: DataFrame, seed: int) -> DataFrame:
-    """One member of each bucket with all its members of other components; `seed` decides which."""
-    hub = rows.groupBy("bucket").agg(F.min_by(F.struct(F.col("doc_id").alias("hub"), F.col("root").alias("hub_root")), F.xxhash64("doc_id", F.lit(seed)) if seed else F.col("doc_id")).alias("h"))
-    found = rows.join(hub, "bucket").filter("root != h.hub_root")
-    return found.select(F.col("h.hub").alias("a"), F.col("doc_id").alias("b")).distinct()
-
-
-def _block_links(rows: DataFrame, signed: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """Links that join different components in a bucket. Its members are dealt into blocks of about BLOCK, and every two
-    blocks meet in one group. There the most alike pairs are verified first, on the full sets, and a link makes two
-    components one, so a group returns fewer links than it has members. A pair that shares several bands is compared in the
-    first of them."""
-    blocks_of = rows.withColumn("n", F.ceil(F.col("size") / BLOCK).cast("int")).withColumn("mine", F.pmod(F.xxhash64("doc_id"), F.col("n")).cast("int"))
-    met = blocks_of.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
-    met = met.select("bucket", F.least("mine", "other").alias("x"), F.greatest("mine", "other").alias("y"), "mine", "doc_id", "root")
-    met = met.join(signed.select("doc_id", "signature"), "doc_id").join(sets, "doc_id")
-
-    def compare(table: pa.Table) -> pa.Table:
-        doc, root, mine = (table.column(c).to_numpy().copy() for c in ("doc_id", "root", "mine"))
-        signature = np.frombuffer(b"".join(table.column("signature").to_pylist()), np.uint32).reshape(-1, HASHES)
-        held = table.column("shingles").combine_chunks()
-        at = held.offsets.to_numpy()
-        values = held.values.to_numpy()
-        bands = _band_hashes(signature).view(np.int64)
-        x, y, bucket = (table.column(c)[0].as_py() for c in ("x", "y", "bucket"))
-        left, right = [], []
-        for i in np.flatnonzero(mine == x):
-            j = np.flatnonzero((mine == y) & (root != root[i]))
-            if x == y:
-                j = j[j > i]
+BUCKET = ["band", "bucket"]
+
+
+def _labelled(buckets: DataFrame, roots: DataFrame) -> DataFrame:
+    return buckets.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+
+
+def _star_pairs(buckets: DataFrame, roots: DataFrame, seed: int) -> DataFrame:
+    """One member (a) of each bucket that holds several components, with all its members of other components (b); `seed`
+    decides which."""
+    rows = stored(_labelled(buckets, roots), "labelled")
+    hub = F.min_by(F.struct(F.col("node").alias("a"), F.col("root").alias("a_root")), F.xxhash64("node", F.lit(seed)))
+    found = rows.groupBy(BUCKET).agg(hub.alias("h"), F.count(F.lit(1)).alias("_n"), F.min("root").alias("_low"), F.max("root").alias("_high"))
+    hubs = stored(found.filter("_low < _high").select(*BUCKET, "h.*", "_n"), "hubs")
+    return hot_join(rows, hubs, BUCKET).filter("root != a_root").select("a", F.col("node").alias("b")).distinct()
+
+
+def _block_pairs(buckets: DataFrame, roots: DataFrame, signed: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """Pairs (a, b) of different components in one bucket that Bayesian pruning keeps. Members outside the largest component
+    of the bucket (the left side) meet all members (the right side) in blocks of about BLOCK each; a pair that shares several
+    bands is compared in the first of them."""
+    rows = stored(_labelled(buckets, roots), "labelled")
+    sizes = rows.groupBy(*BUCKET, "root").agg(F.count(F.lit(1)).alias("n"))
+    sizes = sizes.groupBy(BUCKET).agg(F.sum("n").alias("_n"), F.max("n").alias("most"), F.max_by("root", F.struct("n", "root")).alias("main")).filter("most < _n")
+    split = sizes.select(*BUCKET, "_n", "main", F.ceil((F.col("_n") - F.col("most")) / BLOCK).cast("int").alias("n_left"), F.ceil(F.col("_n") / BLOCK).cast("int").alias("n_right"))
+    mixed = hot_join(rows, stored(split, "mixed"), BUCKET).withColumn("minor", F.col("root") != F.col("main"))
+    mixed = mixed.join(signed.select("node", "n_shingles", "signature"), "node")
+    part = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
+    sides = F.array(
+        F.when(F.col("minor"), F.struct(F.lit(True).alias("left"), F.sequence(F.lit(0), F.col("n_right") - 1).alias("others"))),
+        F.struct(F.lit(False).alias("left"), F.sequence(F.lit(0), F.col("n_left") - 1).alias("others")),
+    )
+    met = mixed.withColumn("side", F.explode(F.array_compact(sides))).withColumn("other", F.explode("side.others"))
+    x, y = F.when(F.col("side.left"), part("n_left")).otherwise(F.col("other")), F.when(F.col("side.left"), F.col("other")).otherwise(part("n_right"))
+    met = met.select(*BUCKET, x.alias("x"), y.alias("y"), F.col("side.left").alias("left"), "minor", "node", "root", "n_shingles", "signature")
+    keys = [*BUCKET, "x", "y"]
+
+    def compare(rows: pa.Table) -> pa.RecordBatch:
+        node, root, size, band = (rows.column(c).to_numpy() for c in ("node", "root", "n_shingles", "band"))
+        left, minor = (rows.column(c).to_numpy(zero_copy_only=False) for c in ("left", "minor"))
+        signature = np.frombuffer(b"".join(rows.column("signature").to_pylist()), np.uint32).reshape(-1, HASHES)
+        right = np.flatnonzero(~left)
+        a, b = [], []
+        for i in np.flatnonzero(left):
+            j = right[(root[right] != root[i]) & (~minor[right] | (node[right] > node[i]))]
+            j = j[100 * np.minimum(size[j], size[i]) >= percent * np.maximum(size[j], size[i])]
             if not len(j):
                 continue
-            first = bands[i][(bands[j] == bands[i]).argmax(axis=1)]
-            j = j[first == bucket]
+            agree = (signature[j] == signature[i]).reshape(len(j), BANDS, ROWS).all(axis=2)
+            j = j[agree.argmax(axis=1) == band[0]]
             j = j[_pruned(np.broadcast_to(signature[i], (len(j), HASHES)), signature[j])]
-            alike = (signature[j] == signature[i]).sum(axis=1)
-            own = values[at[i] : at[i + 1]]
-            for k in j[np.argsort(-alike, kind="stable")]:
-                if root[k] == root[i]:
-                    continue
-                other = values[at[k] : at[k + 1]]
-                if min(len(own), len(other)) * 100 < percent * max(len(own), len(other)):
-                    continue
-                shared = len(np.intersect1d(own, other, assume_unique=True))
-                if 100 * shared >= percent * (len(own) + len(other) - shared):
-                    left.append(doc[i])
-                    right.append(doc[k])
-                    root[root == root[k]] = root[i]
-        return pa.table({"a": pa.array(left, pa.int64()), "b": pa.array(right, pa.int64())})
-
-    return met.groupBy("bucket", "x", "y").applyInArrow(compare, "a long, b long").distinct()
+            a.append(np.full(len(j), node[i]))
+            b.append(node[j])
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.int64), *v])) for v in (a, b)], names=["a", "b"])
+
+    def by_group(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from map(compare, runs(batches, keys))
+
+    return met.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(by_group, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id (smallest doc_id that links reach, itself included) and kept (is it that one).
+    """For each row of docs doc_id, n_shingles, component_id (smallest doc_id that links reach, itself included), kept (has
+    it that doc_id), text_hash (xxhash64 of the text) and first (one row of each component: with the smallest doc_id).
 
-    Null texts, and texts without words, have no shingles and link with nothing. Rows with equal doc_id are one document
-    with the union of their links. Null doc_ids are left out. Ties don't arise; other columns are not read.
+    Null texts, and texts without words, have no shingles, link with nothing and are first. Rows with equal doc_id are
+    documents of their own. A null doc_id comes after all others: component_id is null only where all of a component are.
+    Other columns are not read.
     """
-    rows = id_text(docs).filter("doc_id is not null")
-    every = stored(_read(rows), "shingled")
-    heads = every.filter("same is not null").groupBy("same").agg(F.min("doc_id").alias("doc_id"))
-    signed = stored(every.join(heads, ["same", "doc_id"]).select("doc_id", "same", "signature").dropDuplicates(["doc_id", "same"]), "signatures")
-    buckets = _banded(signed).distinct()
-    shared = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("bucket")
-    buckets = stored(buckets.join(shared, "bucket", "left_semi"), "buckets")
-    sets = stored(_sets(rows.join(buckets.select("doc_id").distinct(), "doc_id", "left_semi")), "sets")
-
-    edges, roots = None, None
+    every = stored(_read(docs), "shingled")
+    told = every.filter("same is not null").groupBy("same").agg(F.min("row").alias("node"), F.min("doc_id").alias("low"), F.coalesce(F.min_by("row", "doc_id"), F.min("row")).alias("rep"), F.count(F.lit(1)).alias("_n"))
+    heads = stored(told, "classes")
+    signed = stored(every.join(heads.select(F.col("node").alias("row")), "row", "left_semi").select(F.col("row").alias("node"), "n_shingles", "signature"), "signatures")
+    banded = _banded(signed)
+    shared = stored(banded.groupBy(BUCKET).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1"), "shared")
+    buckets = stored(hot_join(banded, shared, BUCKET), "buckets")
+    sets = stored(_sets(docs, heads.join(buckets.select("node").distinct(), "node", "left_semi")), "sets")
+
+    edges = docs.sparkSession.createDataFrame([], "a long, b long")
+    roots = docs.sparkSession.createDataFrame([], "node long, root long")
     for seed in range(STAR_ROUNDS):
-        likely = stored(_likely(_star_pairs(_mixed(_labelled(buckets, roots)), seed), signed), "pairs")
-        found = stored(_verified(likely, sets), "links")
-        edges = found if edges is None else edges.unionByName(found)
+        likely = stored(_likely(stored(_star_pairs(buckets, roots, seed), "pairs"), signed), "likely")
+        edges = edges.unionByName(stored(_verified(likely, sets), "links"))
         roots = components(edges)
-    edges = edges.unionByName(stored(_block_links(_mixed(_labelled(buckets, roots)), signed, sets), "links"))
-    copies = every.select("doc_id", "same").filter("same is not null").join(heads.withColumnRenamed("doc_id", "head"), "same")
-    roots = components(edges.unionByName(copies.filter("doc_id != head").select(F.col("doc_id").alias("a"), F.col("head").alias("b"))))
-    out = every.groupBy("doc_id").agg(F.max("n_shingles").alias("n_shingles")).join(roots, "doc_id", "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("root", "doc_id").alias("component_id"), (F.coalesce("root", "doc_id") == F.col("doc_id")).alias("kept"))
+    edges = edges.unionByName(stored(_verified(stored(_block_pairs(buckets, roots, signed), "likely"), sets), "links"))
+    roots = components(edges)
+
+    members = roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
+    groups = members.join(heads.select("node", "low", "rep"), "node").groupBy("root")
+    lowest = stored(groups.agg(F.min("low").alias("c_low"), F.coalesce(F.min_by("rep", "low"), F.min("rep")).alias("c_rep"), F.count(F.lit(1)).alias("_n")), "components")
+    linked = hot_join(members, lowest, ["root"]).select("node", "c_low", "c_rep")
+    named = heads.join(linked, "node", "left").select("same", "_n", F.when(F.col("c_rep").isNull(), F.col("low")).otherwise(F.col("c_low")).alias("component_id"), F.coalesce("c_rep", "rep").alias("rep"))
+    rows = every.select("row", "doc_id", "text_hash", "n_shingles", "same")
+    alone = rows.filter("same is null").withColumns({"component_id": F.col("doc_id"), "rep": F.col("row")})
+    out = hot_join(rows.filter("same is not null"), stored(named, "classes"), ["same"]).unionByName(alone)
+    return out.select("doc_id", "n_shingles", "component_id", F.col("component_id").eqNullSafe(F.col("doc_id")).alias("kept"), "text_hash", (F.col("row") == F.col("rep")).alias("first"))
+
+
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """One document, that with the smallest doc_id, of each group of near duplicates; all columns of docs. Rows that are equal
+    in doc_id and text are one document. A null text is as good as an empty one."""
+    found = stored(near_duplicates(docs).select(F.col("doc_id").alias("_doc"), F.col("text_hash").alias("_text"), "first"), "near")
+    keys = found.groupBy("_doc", "_text").agg(F.max("first").alias("stays"), F.count(F.lit(1)).alias("times"))
+    mine = F.xxhash64(F.coalesce("text", F.lit("")))
+
+    def at(keys: DataFrame) -> Column:
+        return docs["doc_id"].eqNullSafe(keys["_doc"]) & (mine == keys["_text"])
+
+    others = stored(keys.filter("not stays or times > 1"), "others")
+    single = docs.join(others, at(others), "left_anti")
+    repeated = others.filter("stays")
+    if repeated.isEmpty():
+        return single
+    again = docs.join(repeated, at(repeated), "left_semi").withColumn("_text", mine).dropDuplicates(["doc_id", "_text"]).drop("_text")
+    return single.unionByName(again)
 
 
 def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(documents(spark, sf_dir))
+    return near_duplicates(documents(spark, sf_dir)).select("doc_id", "n_shingles", "component_id", "kept")

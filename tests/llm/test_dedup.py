@@ -8,7 +8,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 
-from quizloom.llm import near_dedup, substring_dedup
+from quizloom.llm import common, near_dedup, substring_dedup
 from quizloom.llm.common import Words
 
 SPLIT = re.compile(r"[^\x20\x09-\x0D]+")
@@ -57,27 +57,32 @@ def test_repeats_of_few_words(spark):
 
 
 def brute_near(rows, percent=75):
-    sets = {}
-    for i, t in rows:
-        if i is not None:
-            w = SPLIT.findall((t or "").translate(LOWER))
-            sets[i] = {tuple(w[k : k + 5]) for k in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set()
-    root = {i: i for i in sets}
+    """(doc_id, n_shingles, component_id, kept) of every row, sorted as text."""
+    sets = []
+    for _, t in rows:
+        w = SPLIT.findall((t or "").translate(LOWER))
+        sets.append({tuple(w[k : k + 5]) for k in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set())
+    root = list(range(len(rows)))
 
     def find(i):
         while root[i] != i:
             i = root[i]
         return i
 
-    for a, b in combinations(sorted(sets), 2):
+    for a, b in combinations(range(len(rows)), 2):
         if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b]):
-            x, y = sorted((find(a), find(b)))
-            root[y] = x
-    return {i: (len(sets[i]), find(i), find(i) == i) for i in sets}
+            root[find(a)] = find(b)
+    out = []
+    for k, (i, _) in enumerate(rows):
+        ids = [rows[j][0] for j in range(len(rows)) if find(j) == find(k) and rows[j][0] is not None]
+        low = min(ids) if ids else None
+        out.append((i, len(sets[k]), low, low == i))
+    return sorted(map(repr, out))
 
 
 def check_near(df, rows):
-    assert {r["doc_id"]: tuple(r)[1:] for r in near_dedup.near_duplicates(df).collect()} == brute_near(rows)
+    got = near_dedup.near_duplicates(df).collect()
+    assert sorted(repr((r["doc_id"], r["n_shingles"], r["component_id"], r["kept"])) for r in got) == brute_near(rows)
 
 
 def test_near_duplicates(docs, rows, empty):
@@ -98,6 +103,31 @@ def test_near_duplicates_in_one_large_group(spark):
     check_near(spark.createDataFrame(rows, "doc_id long, text string"), rows)
 
 
+def test_a_bucket_of_unlike_members(spark, monkeypatch):
+    """Texts that share half of their words, in several blocks, with repeated and null ids; few are near copies."""
+    monkeypatch.setattr(near_dedup, "BLOCK", 64)
+    monkeypatch.setattr(common, "LEAST_HOT", 20)
+    rng = random.Random(11)
+    base = [f"w{rng.randint(0, 10**6)}" for _ in range(60)]
+    rows = []
+    for i in range(300):
+        words = [*base, *(f"z{rng.randint(0, 10**6)}" for _ in range(30))]
+        rows.append((i % 250, " ".join(words)))
+        if i % 10 == 0:
+            rows.append((None if i % 20 else i + 1000, " ".join([*words[:-2], "other", "end"])))
+            rows.append((i % 250, " ".join(words)))
+    check_near(spark.createDataFrame(rows, "doc_id long, text string"), rows)
+
+
+def test_one_of_each(spark):
+    a, b, c = (" ".join(f"{k}{j}" for j in range(40)) for k in "abc")
+    rows = [(5, a, "x"), (3, a + " more", "y"), (3, b, "z"), (3, b, "z"), (None, c, "n"), (9, c, "m"), (7, None, "e"), (7, None, "e"), (8, "", "f")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, first string")
+    got = sorted(repr((r["doc_id"], r["text"])) for r in near_dedup.one_of_each(docs).collect())
+    assert got == sorted(map(repr, [(3, a + " more"), (3, b), (9, c), (7, None), (8, "")]))
+    assert near_dedup.one_of_each(docs.limit(0)).collect() == []
+
+
 def test_pruning_keeps_what_is_similar():
     rng = np.random.default_rng(1)
     left = rng.integers(0, 2**32, (4000, near_dedup.HASHES), dtype=np.uint32)
@@ -120,5 +150,5 @@ def test_components(spark):
     for a, b in edges:
         x, y = sorted((find(a), find(b)))
         root[y] = x
-    got = {r["doc_id"]: r["root"] for r in near_dedup.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    got = {r["node"]: r["root"] for r in near_dedup.components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert all(got.get(i, i) == find(i) for i in root)
