@@ -29,8 +29,7 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, the one with the smallest doc_id, of each group of near duplicates."""
-    others = near_dedup.near_duplicates(docs).filter(~F.col("kept")).select(F.col("doc_id").alias("_other"))
-    return docs.join(others, docs["doc_id"] == others["_other"], "left_anti").select(*docs.columns)
+    return near_dedup.one_of_each(docs).select(*docs.columns)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
