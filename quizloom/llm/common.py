@@ -178,12 +178,9 @@ def group_bounds(sorted_keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return sorted_keys[cut], np.concatenate([cut, [len(sorted_keys)]])
 
 
-def group_count(rows: int, each: int) -> int:
-    """A prime number of groups of about `each` rows, so that evenly spaced ids spread evenly."""
-    n = max(61, rows // each) | 1
-    while any(n % d == 0 for d in range(3, int(n**0.5) + 1, 2)):
-        n += 2
-    return n
+def group_count(size: int, each: int, least: int = 61) -> int:
+    """How many groups hold about `each` of `size` (bytes)."""
+    return max(least, -(-size // each))
 
 
 #: Stands for a null doc_id inside an operator.
@@ -191,9 +188,10 @@ NO_ID = -(1 << 63)
 
 
 def keyed(docs: DataFrame, groups: int) -> DataFrame:
-    """id_text with the group `of` of each document."""
+    """id_text with `place`, a hash of doc_id and text, and the group `of` that it falls into."""
     rows = id_text(docs).withColumn("doc_id", F.coalesce("doc_id", F.lit(NO_ID)))
-    return rows.withColumn("of", F.pmod("doc_id", F.lit(groups)).cast("int"))
+    rows = rows.withColumn("place", F.xxhash64("doc_id", "text"))
+    return rows.withColumn("of", F.pmod("place", F.lit(groups)).cast("int"))
 
 
 def with_null_ids(df: DataFrame) -> DataFrame:

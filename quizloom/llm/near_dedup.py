@@ -4,8 +4,7 @@ Documents with one shingle set are one class from the start. Classes that share
 candidates. A pair is compared in batches of hashes; after each batch it is dropped if the posterior probability of a
 similarity at the threshold or above is under MISS. What is left is verified on the full sets. Buckets are never spread
 into pairs: a few rounds link every member of a bucket to one of its members. After that only members outside the largest
-component of a bucket are compared with the others, by their signatures and block by block; sets are fetched for the pairs
-that survive. No key is joined on without a way for those that many rows have (hot_join).
+component of a bucket are compared with the others, in blocks of bounded bytes that return a forest of links. No key is joined on without a way for those that many rows have (hot_join).
 """
 
 from __future__ import annotations
@@ -29,8 +28,9 @@ STEP = 16
 #: Probability of a miss that the pruning of one pair may add.
 MISS = 1e-7
 STAR_ROUNDS = 2
-#: Members of a bucket on either side of one block.
-BLOCK = 1024
+#: Bytes of signatures and sets on either side of one block.
+BLOCK_BYTES = 4 << 20
+MEMBER_BYTES = 4 * HASHES + 100
 #: Pairs with one document that are verified in one task's group.
 FAN = 500
 _U64 = np.uint64
@@ -96,10 +96,10 @@ def _digests(sets: np.ndarray, at: np.ndarray) -> list[bytes | None]:
 
 
 def _banded(signed: DataFrame) -> DataFrame:
-    """node, and the number and the hash of each of its bands."""
+    """node, n_shingles, and the number and the hash of each of its bands."""
     width = 4 * ROWS
     bands = F.array(*[F.xxhash64(F.substring("signature", 1 + k * width, width)) for k in range(BANDS)])
-    return signed.select("node", F.posexplode(bands).alias("band", "bucket"))
+    return signed.select("node", "n_shingles", F.posexplode(bands).alias("band", "bucket"))
 
 
 def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -112,7 +112,7 @@ def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(_digests(values, at), pa.binary()), list_array(at, pa.array(values.view(np.int64)))], names=["same", "shingles"])
 
     rows = id_text(docs)
-    texts = rows.join(wanted.filter("low is not null").select(F.col("low").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    texts = rows.join(wanted.filter("low is not null").select(F.col("low").alias("doc_id")).distinct().hint("merge"), "doc_id", "left_semi")
     if not wanted.filter("low is null").isEmpty():
         texts = texts.unionByName(rows.filter("doc_id is null"))
     once = texts.mapInArrow(read, "same binary, shingles array<long>").groupBy("same").agg(F.first("shingles").alias("shingles"))
@@ -216,16 +216,18 @@ def _star_pairs(buckets: DataFrame, roots: DataFrame, seed: int) -> DataFrame:
     return hot_join(rows, hubs, BUCKET).filter("root != a_root").select("a", F.col("node").alias("b")).distinct()
 
 
-def _block_pairs(buckets: DataFrame, roots: DataFrame, signed: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """Pairs (a, b) of different components in one bucket that Bayesian pruning keeps. Members outside the largest component
-    of the bucket (the left side) meet all members (the right side) in blocks of about BLOCK each; a pair that shares several
-    bands is compared in the first of them."""
-    rows = stored(_labelled(buckets, roots), "labelled")
-    sizes = rows.groupBy(*BUCKET, "root").agg(F.count(F.lit(1)).alias("n"))
-    sizes = sizes.groupBy(BUCKET).agg(F.sum("n").alias("_n"), F.max("n").alias("most"), F.max_by("root", F.struct("n", "root")).alias("main")).filter("most < _n")
-    split = sizes.select(*BUCKET, "_n", "main", F.ceil((F.col("_n") - F.col("most")) / BLOCK).cast("int").alias("n_left"), F.ceil(F.col("_n") / BLOCK).cast("int").alias("n_right"))
+def _block_links(buckets: DataFrame, roots: DataFrame, signed: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """Links (a, b) that join different components in one bucket. Members outside the largest component of the bucket (the
+    left side) meet all members (the right side) in blocks of about BLOCK_BYTES each. There the most alike pairs are verified
+    first, on the full sets, and a link makes two components one, so a block returns fewer links than it has members. A pair
+    that shares several bands is compared in the first of them."""
+    rows = stored(_labelled(buckets, roots).withColumn("size", F.col("n_shingles") * 8 + MEMBER_BYTES), "labelled")
+    sizes = rows.groupBy(*BUCKET, "root").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("size"))
+    sizes = sizes.groupBy(BUCKET).agg(F.sum("n").alias("_n"), F.sum("size").alias("size"), F.max(F.struct("n", "root", "size")).alias("main")).filter("main.n < _n")
+    count = lambda size: F.ceil(size / BLOCK_BYTES).cast("int")
+    split = sizes.select(*BUCKET, "_n", F.col("main.root").alias("main"), count(F.col("size") - F.col("main.size")).alias("n_left"), count(F.col("size")).alias("n_right"))
     mixed = hot_join(rows, stored(split, "mixed"), BUCKET).withColumn("minor", F.col("root") != F.col("main"))
-    mixed = mixed.join(signed.select("node", "n_shingles", "signature"), "node")
+    mixed = mixed.join(signed.select("node", "signature"), "node").join(sets, "node")
     part = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
     sides = F.array(
         F.when(F.col("minor"), F.struct(F.lit(True).alias("left"), F.sequence(F.lit(0), F.col("n_right") - 1).alias("others"))),
@@ -233,13 +235,15 @@ def _block_pairs(buckets: DataFrame, roots: DataFrame, signed: DataFrame, percen
     )
     met = mixed.withColumn("side", F.explode(F.array_compact(sides))).withColumn("other", F.explode("side.others"))
     x, y = F.when(F.col("side.left"), part("n_left")).otherwise(F.col("other")), F.when(F.col("side.left"), F.col("other")).otherwise(part("n_right"))
-    met = met.select(*BUCKET, x.alias("x"), y.alias("y"), F.col("side.left").alias("left"), "minor", "node", "root", "n_shingles", "signature")
+    met = met.select(*BUCKET, x.alias("x"), y.alias("y"), F.col("side.left").alias("left"), "minor", "node", "root", "n_shingles", "signature", "shingles")
     keys = [*BUCKET, "x", "y"]
 
     def compare(rows: pa.Table) -> pa.RecordBatch:
-        node, root, size, band = (rows.column(c).to_numpy() for c in ("node", "root", "n_shingles", "band"))
+        node, root, size, band = (rows.column(c).to_numpy().copy() for c in ("node", "root", "n_shingles", "band"))
         left, minor = (rows.column(c).to_numpy(zero_copy_only=False) for c in ("left", "minor"))
         signature = np.frombuffer(b"".join(rows.column("signature").to_pylist()), np.uint32).reshape(-1, HASHES)
+        held = rows.column("shingles").combine_chunks()
+        at, values = held.offsets.to_numpy(), held.values.to_numpy()
         right = np.flatnonzero(~left)
         a, b = [], []
         for i in np.flatnonzero(left):
@@ -250,14 +254,24 @@ def _block_pairs(buckets: DataFrame, roots: DataFrame, signed: DataFrame, percen
             agree = (signature[j] == signature[i]).reshape(len(j), BANDS, ROWS).all(axis=2)
             j = j[agree.argmax(axis=1) == band[0]]
             j = j[_pruned(np.broadcast_to(signature[i], (len(j), HASHES)), signature[j])]
-            a.append(np.full(len(j), node[i]))
-            b.append(node[j])
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.int64), *v])) for v in (a, b)], names=["a", "b"])
+            j = j[np.argsort(-(signature[j] == signature[i]).sum(axis=1), kind="stable")]
+            own, many = values[at[i] : at[i + 1]], 4
+            while len(j):  # more at once as they get less alike
+                now, j = j[:many], j[many:]
+                many *= 4
+                shared = np.array([len(np.intersect1d(own, values[at[k] : at[k + 1]], assume_unique=True)) for k in now])
+                for k in now[100 * shared >= percent * (size[now] + size[i] - shared)]:
+                    if root[k] != root[i]:
+                        a.append(node[i])
+                        b.append(node[k])
+                        root[root == root[k]] = root[i]
+                j = j[root[j] != root[i]]
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
     def by_group(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from map(compare, runs(batches, keys))
 
-    return met.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(by_group, "a long, b long")
+    return met.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(by_group, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -283,7 +297,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         likely = stored(_likely(stored(_star_pairs(buckets, roots, seed), "pairs"), signed), "likely")
         edges = edges.unionByName(stored(_verified(likely, sets), "links"))
         roots = components(edges)
-    edges = edges.unionByName(stored(_verified(stored(_block_pairs(buckets, roots, signed), "likely"), sets), "links"))
+    edges = edges.unionByName(stored(_block_links(buckets, roots, signed, sets), "links"))
     roots = components(edges)
 
     members = roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
@@ -308,7 +322,7 @@ def one_of_each(docs: DataFrame) -> DataFrame:
         return docs["doc_id"].eqNullSafe(keys["_doc"]) & (mine == keys["_text"])
 
     others = stored(keys.filter("not stays or times > 1"), "others")
-    single = docs.join(others, at(others), "left_anti")
+    single = docs.join(others.hint("merge"), at(others), "left_anti")
     repeated = others.filter("stays")
     if repeated.isEmpty():
         return single

@@ -2,7 +2,9 @@
 
 Byte-level BPE with the usual pre-tokenizer never joins a character with the white space after it, so a text may be cut
 before each space or line end that follows another character: the ids of the pieces, one after the other, are the ids of
-the text. Most pieces of a corpus are repeated, so each is encoded once while the cache holds it.
+the text. Most pieces of a corpus are repeated, so each is encoded once while the cache holds it. The ids are those of the
+tokenizer as its file has it, without special tokens added; a mark such as the end of a text, written out in a text, is its
+own token there.
 """
 
 from __future__ import annotations
@@ -17,7 +19,8 @@ import pyarrow as pa
 
 END = b"\0\0\0\0"
 TOKENIZER = "byte_bpe_50k.json"
-CACHE_PIECES = 1_200_000
+#: Some 80 MB in each Python worker, which keeps them from task to task.
+CACHE_PIECES = 400_000
 LONGEST = 64
 #: A word, perhaps after a line end, and the marks after it: parts that the pre-tokenizer always keeps apart.
 _SIMPLE = re.compile(r"(\n?)([^\W\d_]+)([^\w\s]*)")
@@ -48,7 +51,8 @@ class PieceEncoder(dict):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        #: Texts with one of these marks are encoded as a whole: the tokenizer takes them out before it cuts words.
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.word = self.tokenizer.model.tokenize
         self.letters = _byte_letters()
         self.newline = self.ids(["\n"])[0]
@@ -88,6 +92,9 @@ class PieceEncoder(dict):
             self.clear()
         get, out = self.__getitem__, []
         for text in texts.to_pylist():
+            if text and any(mark in text for mark in self.added):
+                out.append(self.ids([text])[0])
+                continue
             first, *pieces = (text or "").replace("\n", " \n").split(" ")
             if first and first[-1].isspace():
                 out.append(self._merged(text))

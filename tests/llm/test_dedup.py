@@ -28,32 +28,53 @@ def test_words_are_those_of_the_pattern(rows):
         assert len(set(hashes.values())) == len(hashes) and [hashes[x] for x in flat] == w.hash.tolist()
 
 
-def brute_repeats(rows, window=20):
-    seen, out = set(), {}
-    for i, t in sorted({(i, t) for i, t in rows}, key=lambda r: (r[0] is not None, r[0] or 0)):
+def brute_repeats(spark, rows, window=20, old=()):
+    """(doc_id, n_words, n_removed, digest, text) of every row, sorted as text. old: rows that come before those with larger ids."""
+    every = [(i, t, False) for i, t in rows] + [(i, t, True) for i, t in old]
+    frame = spark.createDataFrame([(k, i, t or "") for k, (i, t, _) in enumerate(every)], "k int, i long, t string")
+    place = dict(frame.selectExpr("k", f"xxhash64(coalesce(i, {common.NO_ID}), t)").collect())
+    seen, out = set(), []
+    for k in sorted(place, key=lambda k: (every[k][0] is not None, every[k][0] or 0, place[k])):
+        i, t, is_old = every[k]
         words = SPLIT.findall(t or "")
         gone = [False] * len(words)
-        for k in range(len(words) - window + 1):
-            own = tuple(words[k : k + window])
+        for n in range(len(words) - window + 1):
+            own = tuple(words[n : n + window])
             if own in seen:
-                gone[k : k + window] = [True] * window
+                gone[n : n + window] = [True] * window
             seen.add(own)
         kept = " ".join(w for w, g in zip(words, gone, strict=True) if not g)
-        out[i] = (len(words), sum(gone), hashlib.sha256(kept.encode()).hexdigest(), kept)
-    return out
+        if not is_old:
+            out.append(repr((i, len(words), sum(gone), hashlib.sha256(kept.encode()).hexdigest(), kept)))
+    return sorted(out)
 
 
-def test_repeats(docs, rows, empty):
-    got = {r["doc_id"]: tuple(r)[1:] for r in substring_dedup.remove_repeats(docs, with_text=True).collect()}
-    assert got == brute_repeats(rows)
+def test_repeats(spark, docs, rows, empty):
+    got = sorted(repr(tuple(r)) for r in substring_dedup.remove_repeats(docs, with_text=True).collect())
+    assert got == brute_repeats(spark, rows)
     assert substring_dedup.remove_repeats(empty).collect() == []
 
 
 def test_repeats_of_few_words(spark):
+    """Ids repeat, are null, and have texts of different lengths."""
     rng = random.Random(5)
-    rows = [(i, " ".join(rng.choice("ab") for _ in range(rng.randint(0, 60)))) for i in range(60)]
-    got = {r["doc_id"]: tuple(r)[1:4] for r in substring_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert got == {i: v[:3] for i, v in brute_repeats(rows).items()}
+    rows = [(rng.choice([None, *range(30)]), " ".join(rng.choice("ab") for _ in range(rng.randint(0, 60)))) for i in range(80)]
+    rows += rows[:5]
+    got = substring_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), with_text=True).collect()
+    assert sorted(repr(tuple(r)) for r in got) == brute_repeats(spark, rows)
+
+
+def test_an_index_is_taken_up_again(spark, tmp_path):
+    rng = random.Random(6)
+    texts = [[f"w{rng.randint(0, 10**6)}" for _ in range(80)] for _ in range(30)]
+    old = [(i, " ".join(t)) for i, t in enumerate(texts[:20])]
+    new = [(100 + i, " ".join(texts[i][10:70] + texts[20 + i])) for i in range(8)] + [(200, " ".join(texts[21])), (-1, " ".join(texts[2]))]
+    frame = lambda rows: spark.createDataFrame(rows, "doc_id long, text string")
+    substring_dedup.remove_repeats(frame(old), index=substring_dedup.FingerprintIndex(spark, 7, path=str(tmp_path))).count()
+    index = substring_dedup.FingerprintIndex.opened(spark, str(tmp_path))
+    assert len(index.runs) < 4
+    got = substring_dedup.remove_repeats(frame(new), with_text=True, index=index, history=frame(old)).collect()
+    assert sorted(repr(tuple(r)) for r in got) == brute_repeats(spark, new, old=old)
 
 
 def brute_near(rows, percent=75):
@@ -105,7 +126,7 @@ def test_near_duplicates_in_one_large_group(spark):
 
 def test_a_bucket_of_unlike_members(spark, monkeypatch):
     """Texts that share half of their words, in several blocks, with repeated and null ids; few are near copies."""
-    monkeypatch.setattr(near_dedup, "BLOCK", 64)
+    monkeypatch.setattr(near_dedup, "BLOCK_BYTES", 1 << 16)
     monkeypatch.setattr(common, "LEAST_HOT", 20)
     rng = random.Random(11)
     base = [f"w{rng.randint(0, 10**6)}" for _ in range(60)]

@@ -14,7 +14,6 @@ from quizloom.llm.tokens import TOKENIZER, encoder
 
 def plain(text):
     t = Tokenizer.from_file(str(public_tokenizers.path(TOKENIZER)))
-    t.encode_special_tokens = True
     return np.array([*t.encode(text or "", add_special_tokens=False).ids, 0], "<u4")
 
 
@@ -24,10 +23,13 @@ def test_pieces_are_encoded_as_the_whole(rows):
     texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 30))) for _ in range(3000)] + [t for _, t in rows]
     got = encoder(TOKENIZER).encode(pa.array(texts, pa.string()))
     tok = Tokenizer.from_file(str(public_tokenizers.path(TOKENIZER)))
-    tok.encode_special_tokens = True
     assert [np.array(x.ids, "<u4").tobytes() for x in tok.encode_batch([t or "" for t in texts], add_special_tokens=False)] == got
 
 
+def test_marks_of_the_vocabulary_are_tokens():
+    assert np.frombuffer(encoder(TOKENIZER).encode(pa.array(["hello <|endoftext|> world"]))[0], "<u4").tolist() == plain("hello <|endoftext|> world")[:-1].tolist() == [31373, 220, 50256, 995]
+
+
 def test_fill_is_the_best_sum():
     rng = random.Random(2)
     for _ in range(60):
