@@ -6,6 +6,7 @@ Patterns are for java.util.regex. White space is spelled out, since its `\\s` le
 from __future__ import annotations
 
 SPACE = r"[\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+SPACE_CHARACTERS = "".join(map(chr, [*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 
 # Markup and feedback.
 TAG = r"<[^>]*>"
@@ -19,11 +20,15 @@ OPTION = rf"(?d)^\(?({LETTER})[)\].:]{SPACE}+(.+)$"
 BULLET = rf"(?d)^[-–—•*·]{SPACE}+(.+)$"
 NUMBERED = rf"(?diu)^(?:(?:frage|question|q|въпрос|aufgabe){SPACE}*)?([0-9]{{1,3}}){SPACE}*[)\].:]{SPACE}*(.*)$"
 INLINE_ANSWER = rf"(?diu)(?:answer|antwort|l[oö]sung|correct|solution|отговор|верен{SPACE}+отговор){SPACE}*[:\-–]?{SPACE}*({LETTER}(?:{SPACE}*[,;/&+]{SPACE}*{LETTER})*){SPACE}*$"
+#: A line that states its answer has one of these, in lower case; the long s is another form of s.
+INLINE_WORDS = ("answer", "antwort", "losung", "lösung", "correct", "solution", "отговор", "ſ")
 KEY_HEADING = rf"(?diuU)^(?:answers?|l[oö]sungen|antworten|solutions?|answer{SPACE}+key|отговори|ключ)\b{SPACE}*:?{SPACE}*(.*)$"
 KEY_PAIR = rf"([0-9]{{1,3}}){SPACE}*[-–)\].:]{SPACE}*({LETTER}(?:{SPACE}*[,;/&+]?{SPACE}*{LETTER})*)"
 KEY_NUMBER = rf"^([0-9]{{1,3}}){SPACE}*[)\].:\-–]?{SPACE}*$"
 KEY_ROW = rf"^([0-9]{{1,3}}){SPACE}*[)\].:\-–]{SPACE}*({LETTER}(?:{SPACE}*[,;/&+]{SPACE}*{LETTER})*){SPACE}*$"
 CORRECT_MARK = rf"(?iu)(?:^|{SPACE})(?:[✓✔✅☑]|\({SPACE}*(?:correct|richtig|верен|верно){SPACE}*\))(?:{SPACE}|$)"
+#: Without one of these no part of a line is a mark.
+MARK_CHARACTERS = "✓✔✅☑("
 
 # What decides the kind of a question.
 SELECT_ALL = (

@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 from quizloom.functions import patterns as P
 from quizloom.functions.text import let, strip
 
-#: Alphabets that are told apart. A letter of any other is of none.
-SCRIPTS = (("LATIN", r"\p{IsLatin}"), ("CYRILLIC", r"\p{IsCyrillic}"), ("GREEK", r"\p{IsGreek}"))
+#: Alphabets that are told apart, in the order in which ties are settled. A letter of any other is of none.
+_NAMES = """Latin Cyrillic Greek Armenian Hebrew Arabic Syriac Thaana Devanagari Bengali Gurmukhi Gujarati Oriya Tamil Telugu Kannada
+Malayalam Sinhala Thai Lao Tibetan Myanmar Georgian Hangul Ethiopic Cherokee Khmer Mongolian Hiragana Katakana Bopomofo Han"""
+SCRIPTS = tuple((name.upper(), rf"\p{{Is{name}}}") for name in _NAMES.split())
 
 
 def words(text: Column) -> Column:
@@ -75,9 +77,10 @@ def reasons(text: Column) -> Column:
         def some(found: Column, say: str, most: int | None, between: str) -> Column:
             return let(found, lambda w: F.when(F.size(w) > 0, F.concat(F.lit(say), F.array_join(w if most is None else F.slice(w, 1, most), between))))
 
+        foreign = t.rlike(r"[^\x00-\x7f]")  # all else is in one alphabet
         found = F.array(
-            some(mixed_script_words(t), "written in two alphabets at once: ", 3, ", "),
-            some(stray_script_words(t), "a few words in another alphabet than the rest: ", 3, ", "),
+            F.when(foreign, some(mixed_script_words(t), "written in two alphabets at once: ", 3, ", ")),
+            F.when(foreign, some(stray_script_words(t), "a few words in another alphabet than the rest: ", 3, ", ")),
             some(furniture(t), "page furniture left in the text: ", None, " "),
             F.when((F.length(t) >= P.SHORT) & (letter_ratio(t) < P.LEAST_LETTERS), F.lit("too few letters to be prose")),
         )

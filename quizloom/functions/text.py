@@ -20,8 +20,7 @@ from pyspark.sql.types import ArrayType, StringType
 from quizloom.functions import patterns as P
 
 
-_SPACE = "\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-_RUN = re.compile(f"[{_SPACE}]+")
+_RUN = re.compile(f"[{re.escape(P.SPACE_CHARACTERS)}]+")
 _TAGS = re.compile(P.TAG)
 _FEEDBACK = [re.compile(p.replace("(?iu)", ""), re.IGNORECASE) for p in (P.LEADING_MARK, P.LEADING_WORD, P.TRAILING_NOTE)]
 
@@ -34,7 +33,13 @@ def _collapsed(text: str) -> str:
     return _RUN.sub(" ", unicodedata.normalize("NFC", text)).strip(" ")
 
 
-def _cleaned(text: str) -> str:
+def normalized_text(text: str) -> str:
+    """As normalized(), for a string that is in Python already."""
+    return _collapsed(_plain(text))
+
+
+def cleaned_text(text: str) -> str:
+    """As cleaned(), for a string that is in Python already."""
     out = _plain(text).strip()
     for pattern in _FEEDBACK:
         shorter = pattern.sub("", out, count=1)
@@ -44,13 +49,13 @@ def _cleaned(text: str) -> str:
 
 @pandas_udf(StringType())
 def normalized_python(s: pd.Series) -> pd.Series:
-    return s.map(lambda t: t if t is None else _collapsed(_plain(t)))
+    return s.map(lambda t: t if t is None else normalized_text(t))
 
 
 @pandas_udf(ArrayType(StringType()))
 def cleaned_python(s: pd.Series) -> pd.Series:
     """Cleans every string of an array."""
-    return s.map(lambda a: a if a is None else [None if t is None else _cleaned(t) for t in a])
+    return s.map(lambda a: a if a is None else [None if t is None else cleaned_text(t) for t in a])
 
 
 def needs_python(text: Column) -> Column:
@@ -64,7 +69,7 @@ def let(value: Column, use: Callable[[Column], Column]) -> Column:
 
 
 def strip(text: Column) -> Column:
-    return F.regexp_replace(text, rf"^{P.SPACE}+|{P.SPACE}+$", "")
+    return F.btrim(text, F.lit(P.SPACE_CHARACTERS))
 
 
 def collapse(text: Column) -> Column:
@@ -87,7 +92,8 @@ def strip_feedback(text: Column) -> Column:
     def without(out: Column, pattern: str) -> Column:
         return let(out, lambda t: let(F.regexp_replace(t, pattern, ""), lambda shorter: F.when(F.length(strip(shorter)) > 0, shorter).otherwise(t)))
 
-    return without(without(without(strip(text), P.LEADING_MARK), P.LEADING_WORD), P.TRAILING_NOTE)
+    may = text.rlike(rf"{P.LEADING_MARK}|^{P.SPACE}*[✓✔✗✘●○→cirwCIRW]|\){P.SPACE}*$")  # few texts begin or end so
+    return F.when(may, without(without(without(strip(text), P.LEADING_MARK), P.LEADING_WORD), P.TRAILING_NOTE)).otherwise(strip(text))
 
 
 def cleaned(text: Column) -> Column:

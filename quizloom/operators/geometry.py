@@ -8,8 +8,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quizloom.functions import quality
+from quizloom.functions.text import collapse, strip
+
 # Thresholds of the drawn-page reading.
 LEAST_CONFIDENCE = 30.0
+LEAST_LINE = 40.0
+WIDGET_CHARACTERS = 2
+WIDGET_CONFIDENCE = 92.0
+ROW_STEP = 4
 LEAST_TINT = 6.0
 LEAST_BAND = 12
 CLUSTER = 1.25
@@ -18,18 +25,22 @@ WORD_RUN = r"(?U)[^\W\d_]{3,}"
 
 def text_lines(words: DataFrame, min_confidence: float = LEAST_CONFIDENCE) -> DataFrame:
     """Lines of recognised words (level 5 of a word table), ordered by top and left: doc_id, line_no, text, left, top,
-    right, bottom, size (median height), confidence (mean)."""
+    right, bottom, size (median height), confidence (mean), widget (does it open with a mark that was not read as a word) and
+    rest (the text after its first word)."""
     kept = words.filter((F.col("level") == 5) & (F.trim("text") != "") & (F.col("conf") >= min_confidence))
     rows = kept.groupBy("doc_id", "page_num", "block_num", "par_num", "line_num").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("left", "word_num", "text"))), lambda w: w["text"]), " ").alias("text"),
+        F.array_sort(F.collect_list(F.struct("left", "word_num", "text", "conf"))).alias("words"),
         F.min("left").alias("left"), F.min("top").alias("top"), F.max(F.col("left") + F.col("width")).alias("right"), F.max(F.col("top") + F.col("height")).alias("bottom"),
         F.expr("percentile(height, 0.5)").alias("size"), F.avg("conf").alias("confidence"),
     )
     order = Window.partitionBy("doc_id").orderBy("top", "left", "page_num", "block_num", "par_num", "line_num")
-    return rows.withColumn("line_no", F.row_number().over(order)).select("doc_id", "line_no", "text", "left", "top", "right", "bottom", "size", "confidence")
+    first, joined = F.col("words")[0], lambda words: F.array_join(F.transform(words, lambda w: w["text"]), " ")
+    widget = (F.length(first["text"]) <= WIDGET_CHARACTERS) & (first["conf"] < WIDGET_CONFIDENCE)
+    rows = rows.withColumns({"line_no": F.row_number().over(order), "widget": widget, "text": joined(F.col("words")), "rest": joined(F.slice("words", 2, F.size("words")))})
+    return rows.select("doc_id", "line_no", "text", "left", "top", "right", "bottom", "size", "confidence", "widget", "rest")
 
 
-def is_content(confidence: Column, text: Column, least: float = 60.0) -> Column:
+def is_content(confidence: Column, text: Column, least: float = LEAST_LINE) -> Column:
     """Readable, and with a run of letters: chrome is either unreadable or wordless."""
     return (confidence >= least) & text.rlike(WORD_RUN)
 
@@ -72,6 +83,22 @@ def role_sizes(lines: DataFrame) -> DataFrame:
     return ranked.groupBy("doc_id").agg(F.max("cluster").alias("question_size"), F.min("cluster").alias("choice_size"))
 
 
+def column_edges(lines: DataFrame) -> DataFrame:
+    """doc_id, left and right of the column that most lines stand in: the medians of their edges, in whole pixels."""
+    edge = lambda c: F.expr(f"percentile({c}, 0.5)").cast("int").alias(c)
+    return lines.groupBy("doc_id").agg(edge("left"), edge("right"))
+
+
+def row_means(pixels: DataFrame, edges: DataFrame, step: int = ROW_STEP) -> DataFrame:
+    """Mean colour of every `step`th row inside the column: doc_id, y, red, green, blue, height. pixels: doc_id, x, y, red,
+    green, blue; the column is moved into the page, and is a pixel wide at least."""
+    size = pixels.groupBy("doc_id").agg((F.max("x") + 1).alias("width"), (F.max("y") + 1).alias("height"))
+    inside = edges.join(size, "doc_id").withColumn("left", F.greatest(F.lit(0), F.least("left", F.col("width") - 1)))
+    inside = inside.withColumn("right", F.least(F.greatest(F.col("left") + 1, "right"), "width"))
+    rows = pixels.filter(F.col("y") % step == 0).join(inside, "doc_id").filter("x >= left and x < right")
+    return rows.groupBy("doc_id", "y").agg(*[F.avg(c).alias(c) for c in ("red", "green", "blue")], F.max("height").alias("height"))
+
+
 def row_tint(red: Column, green: Column, blue: Column) -> tuple[Column, Column]:
     """How far the mean colour of a row leans to one channel, and which (the first of equals)."""
     total = red + green + blue
@@ -125,17 +152,65 @@ def settled(options: DataFrame, keys: list[str]) -> DataFrame:
 
 def drawn_roles(lines: DataFrame, roles: DataFrame) -> DataFrame:
     """lines with block_no and role: a line of question size (half-way up or larger) is a stem and closes a block that has
-    options; much smaller lines are skipped; the first other line of a block, and any that opens with a mark, is an
-    option, the rest continue it."""
-    rows = lines.join(roles, "doc_id").filter(F.col("size") >= 0.85 * F.col("choice_size"))
+    options; much smaller lines are skipped; the first other line of a block, and any that opens with a widget, is an
+    option, the rest continue it. A page with one size has no such order and gives nothing."""
+    rows = lines.join(roles.filter("question_size > choice_size"), "doc_id").filter(F.col("size") >= 0.85 * F.col("choice_size"))
     order = Window.partitionBy("doc_id").orderBy("top", "left", "line_no")
-    stem = F.col("size") >= (F.col("question_size") + F.col("choice_size")) / 2
-    rows = rows.withColumn("stem", stem)
-    opens = F.col("stem") & ~F.coalesce(F.lag("stem").over(order), F.lit(False))
-    rows = rows.withColumn("block_no", F.sum(opens.cast("int")).over(order))
-    widget = F.col("text").rlike(r"^[^\s]{1,2}\s")
-    first = ~F.col("stem") & F.coalesce(F.lag("stem").over(order), F.lit(True))
-    return rows.withColumn("role", F.when(F.col("stem"), "stem").when(first | widget, "option").otherwise("wrap"))
+    rows = rows.withColumn("stem", F.col("size") >= (F.col("question_size") + F.col("choice_size")) / 2)
+    before = F.lag("stem").over(order)
+    rows = rows.withColumn("opens", before.isNull() | (F.col("stem") & ~before)).withColumn("first", before.isNull() | before)
+    rows = rows.withColumn("block_no", F.sum(F.col("opens").cast("int")).over(order))
+    role = F.when(F.col("stem"), "stem").when(F.col("first") | F.col("widget"), "option").otherwise("wrap")
+    return rows.withColumn("role", role).drop("stem", "opens", "first")
+
+
+def reread(lines: DataFrame, readings: DataFrame) -> DataFrame:
+    """lines with `better`: another reading of the same row (doc_id, top, reading) that reads better, without its widget."""
+    one = readings.groupBy("doc_id", "top").agg(F.max("reading").alias("reading"))
+    rows = lines.join(one, ["doc_id", "top"], "left")
+    better = F.when(quality.reads_better(F.col("reading"), F.col("text")), quality.drop_leading_widget(strip(F.col("reading"))))
+    return rows.withColumn("better", better).drop("reading")
+
+
+def drawn_blocks(words: DataFrame, rows: DataFrame | None = None, readings: DataFrame | None = None) -> DataFrame:
+    """Question blocks of pages told by type size, widgets and tinted rows; columns as segments.blocks() gives them.
+
+    words: a word table; rows: mean colours as row_means() gives them; readings: marked rows read again. Lines that are not
+    content, and pages without two sizes, give nothing. Marks that more than half of the options of a block have mean nothing.
+    """
+    lines = text_lines(words, 0.0)
+    lines = lines.filter(is_content(F.col("confidence"), F.col("text")))
+    placed = drawn_roles(lines, role_sizes(lines))
+    if rows is None:
+        placed = placed.withColumn("marked", F.lit(False))
+    else:
+        choices = placed.filter("role != 'stem'").select("doc_id", "top", "bottom")
+        placed = marked_lines(placed, marking_bands(emphasis_bands(rows), choices))
+    placed = placed.withColumn("better", F.lit(None).cast("string")) if readings is None else reread(placed, readings.join(placed.filter("marked and role != 'stem'").select("doc_id", "top"), ["doc_id", "top"], "left_semi"))
+    option = F.col("role") == "option"
+    text = F.when(option & F.col("better").isNotNull(), F.col("better")).when(option & F.col("widget") & (F.col("rest") != ""), F.col("rest")).otherwise(F.col("text"))
+    text = F.when(F.col("role") == "wrap", text).otherwise(strip(F.ltrim(text, F.lit("|:. "))))
+    block = Window.partitionBy("doc_id", "block_no").orderBy("top", "left", "line_no")
+    numbered = placed.withColumn("text", text).withColumn("option_no", F.sum(option.cast("int")).over(block))
+    stems = numbered.filter("role = 'stem'").groupBy("doc_id", "block_no").agg(F.array_sort(F.collect_list(F.struct("top", "left", "line_no", "text"))).alias("stems"))
+    parts = numbered.filter("role != 'stem'").groupBy("doc_id", "block_no", "option_no").agg(
+        F.array_sort(F.collect_list(F.struct("top", "left", "line_no", "text"))).alias("parts"), F.max(F.when(option, F.col("marked"))).alias("marked")
+    )
+    joined = lambda c: F.array_join(F.transform(c, lambda p: p["text"]), " ")
+    parts = settled(parts.withColumn("text", strip(joined("parts"))), ["doc_id", "block_no"])
+    none = F.lit(None).cast("string").alias("marker")
+    options = parts.groupBy("doc_id", "block_no").agg(F.array_sort(F.collect_list(F.struct((F.col("option_no") - 1).cast("int").alias("pos"), "text", none, "marked"))).alias("options"))
+    span = numbered.groupBy("doc_id", "block_no").agg(F.min("top").alias("line_start"), F.max("top").alias("line_end"))
+    rows_of = span.join(stems, ["doc_id", "block_no"], "left").join(options, ["doc_id", "block_no"], "left")
+    question = collapse(F.coalesce(joined("stems"), F.lit("")))
+    kind = "array<struct<pos:int,text:string,marker:string,marked:boolean>>"
+    number = F.col("block_no").cast("int")
+    return rows_of.select("doc_id", number.alias("block_no"), number.alias("q_index"), question.alias("question"), F.coalesce("options", F.array().cast(kind)).cast(kind).alias("options"), F.lit(None).cast("array<string>").alias("inline_letters"), "line_start", "line_end")
+
+
+def usable_blocks(blocks: DataFrame) -> DataFrame:
+    """doc_id and usable: how many blocks can be answered, with a question and two options."""
+    return blocks.groupBy("doc_id").agg(F.count_if((F.size("options") >= 2) & (F.col("question") != "")).alias("usable"))
 
 
 def choose_reading(readings: DataFrame) -> DataFrame:

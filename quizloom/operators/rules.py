@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quizloom.functions import patterns as P
@@ -76,17 +76,37 @@ def capability_missing(cards: DataFrame, capabilities: list[str]) -> DataFrame:
     return _issue(bad, "capability-missing", 8, F.lit("the target cannot hold it"))
 
 
-def validate(cards: DataFrame, ledger: DataFrame, capabilities: list[str]) -> DataFrame:
-    """doc_id, card_id, code, message, rule_order: every issue, as export sees it."""
+def validate(cards: DataFrame, ledger: DataFrame, capabilities: list[str], pairs: DataFrame | None = None, items: DataFrame | None = None) -> DataFrame:
+    """doc_id, card_id, code, message, rule_order: every issue, as export sees it; in_order() gives their order. pairs, items:
+    those of matching cards, see matching_pairs."""
     cards = cards.filter("reject is null")
     options = cards.select("doc_id", "card_id", F.explode("options").alias("o")).select("doc_id", "card_id", "o.*")
     stems = cards.select("doc_id", F.concat(F.lit("ev_"), F.substring("source_id", 1, 16), F.lit("_stem")).alias("evidence_id"))
     found = dangling_evidence(stems.unionByName(options.select("doc_id", "evidence_id")), ledger)
-    for issues in (duplicate_cards(cards), option_set_mismatch(cards), duplicate_options(options), family_rules(cards), unresolved_review(cards), evidence_tier(cards), capability_missing(cards, capabilities)):
+    every = [duplicate_cards(cards), option_set_mismatch(cards), duplicate_options(options), family_rules(cards), unresolved_review(cards), evidence_tier(cards), capability_missing(cards, capabilities)]
+    if pairs is not None and items is not None:
+        every.append(matching_pairs(pairs, items))
+    for issues in every:
         found = found.unionByName(issues)
     return found
 
 
+def in_order(issues: DataFrame) -> DataFrame:
+    """issues with issue_no, from 1 in each document: by rule, then card, code and message."""
+    order = Window.partitionBy("doc_id").orderBy("rule_order", F.col("card_id").asc_nulls_first(), "code", "message")
+    return issues.withColumn("issue_no", F.row_number().over(order))
+
+
+#: Codes that only warn; all others stop an export. None does so yet.
+WARNINGS: tuple[str, ...] = ()
+
+
+def issue_totals(issues: DataFrame) -> DataFrame:
+    """doc_id, blocking and warnings: how many issues of either kind."""
+    warns = F.col("code").isin(*WARNINGS) if WARNINGS else F.lit(False)
+    return issues.groupBy("doc_id").agg(F.count_if(~warns).alias("blocking"), F.count_if(warns).alias("warnings"))
+
+
 def card_mode(card: Column) -> Column:
     """The mode of a card given as JSON; a card with both markers, and any other, is unknown."""
     get = lambda k: F.get_json_object(card, f"$.{k}")

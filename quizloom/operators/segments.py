@@ -5,7 +5,10 @@ Every window is partitioned by doc_id, so one exchange on doc_id serves all step
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, WindowSpec
+from functools import reduce
+from operator import or_
+
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from quizloom.functions import patterns as P
@@ -26,16 +29,26 @@ def lines(docs: DataFrame, body: str = "body") -> DataFrame:
     A null body has no lines; an empty one has one blank line.
     """
     one = docs.select("doc_id", F.posexplode(F.split(body, r"\r?\n", -1)).alias("n", "_line")).withColumn("raw", strip(F.col("_line")))
-    mark = F.col("raw").rlike(P.CORRECT_MARK)
-    rest = strip(F.regexp_replace(F.regexp_replace("raw", P.CORRECT_MARK, " "), rf"{P.SPACE}{{2,}}", " "))
-    one = one.withColumn("marked", mark).withColumn("clean", F.when(mark, rest).otherwise(F.regexp_replace("raw", rf"{P.SPACE}{{2,}}", " ")))
-    is_option, is_bullet, is_number = (F.col("clean").rlike(p) for p in (P.OPTION, P.BULLET, P.NUMBERED))
-    kind = F.when(F.col("raw") == "", "blank").when(is_option | is_bullet, "option").when(is_number, "numbered").otherwise("text")
-    marker = F.when(is_option, F.upper(F.regexp_extract("clean", P.OPTION, 1))).when(~is_bullet & is_number, F.regexp_extract("clean", P.NUMBERED, 1))
-    text = F.when(is_option, strip(F.regexp_extract("clean", P.OPTION, 2))).when(is_bullet, strip(F.regexp_extract("clean", P.BULLET, 1)))
-    text = text.when(is_number, strip(F.regexp_extract("clean", P.NUMBERED, 2))).otherwise(F.col("clean"))
-    blank = F.col("raw") == ""
-    return one.select("doc_id", "n", "raw", F.when(blank, "").otherwise(text).alias("text"), kind.alias("kind"), F.when(~blank, marker).alias("marker"), (mark & ~blank).alias("marked"))
+    may = reduce(or_, [F.contains("raw", F.lit(c)) for c in P.MARK_CHARACTERS])
+    one = one.withColumn("marked", may & F.col("raw").rlike(P.CORRECT_MARK)).withColumn("blank", F.col("raw") == "")
+    markless = F.when(F.col("marked"), F.regexp_replace("raw", P.CORRECT_MARK, " ")).otherwise(F.col("raw"))
+    one = one.withColumn("clean", strip(F.regexp_replace(markless, rf"{P.SPACE}{{2,}}", " ")))
+    # each pattern is tried once: its parts, or null where the line does not have it
+    one = one.withColumn("option", _parts("clean", P.OPTION, 2))
+    one = one.withColumn("bullet", F.when(F.col("option").isNull(), _parts("clean", P.BULLET, 1)))
+    one = one.withColumn("numbered", F.when(F.coalesce("option", "bullet").isNull(), _parts("clean", P.NUMBERED, 2)))
+    is_option, is_bullet, is_number = (F.col(c).isNotNull() for c in ("option", "bullet", "numbered"))
+    kind = F.when(F.col("blank"), "blank").when(is_option | is_bullet, "option").when(is_number, "numbered").otherwise("text")
+    marker = F.when(is_option, F.upper(F.get("option", F.lit(0)))).when(is_number, F.get("numbered", F.lit(0)))
+    text = F.coalesce(F.get("option", F.lit(1)), F.get("bullet", F.lit(0)), F.get("numbered", F.lit(1)))
+    text = F.when(F.col("blank"), "").when(text.isNotNull(), strip(text)).otherwise(F.col("clean"))
+    return one.select("doc_id", "n", "raw", text.alias("text"), kind.alias("kind"), marker.alias("marker"), "marked")
+
+
+def _parts(column: str, pattern: str, groups: int) -> Column:
+    """The groups of a pattern in a line, or null."""
+    found = F.array(*[F.regexp_extract(column, pattern, k + 1) for k in range(groups)])
+    return F.when(F.col(column).rlike(pattern), found)
 
 
 def answer_key(parsed: DataFrame) -> DataFrame:
@@ -81,7 +94,8 @@ def placed_lines(parsed: DataFrame, key: DataFrame) -> DataFrame:
     """
     cut = key.groupBy("doc_id").agg(F.min("cut").alias("cut"))
     rows = parsed.filter("kind != 'blank'").join(cut, "doc_id", "left").filter("cut is null or n < cut").drop("cut")
-    rows = rows.withColumn("says", F.col("raw").rlike(P.INLINE_ANSWER)).withColumn("pos", F.row_number().over(_doc()))
+    may = reduce(or_, [F.contains(F.lower("raw"), F.lit(w)) for w in P.INLINE_WORDS])
+    rows = rows.withColumn("says", may & F.col("raw").rlike(P.INLINE_ANSWER)).withColumn("pos", F.row_number().over(_doc()))
     rows = rows.withColumn("stretch", F.sum(((F.col("kind") == "numbered") & ~(F.col("says") & (F.col("pos") > 1))).cast("int")).over(_so_far()))
     own = Window.partitionBy("doc_id", "stretch").orderBy("n")
     shown = F.when((F.col("kind") == "option") & ~F.col("says"), F.col("marker"))

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterator
+from dataclasses import dataclass, fields
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quizloom.functions import patterns as P
+from quizloom.functions.text import deck_key
 
 MIN_OPTIONS = 2
 
@@ -90,26 +92,51 @@ def rights_basis(bases: Column) -> Column:
     return F.when(F.size(distinct) == 1, F.get(distinct, F.lit(0))).otherwise("unconfirmed")
 
 
-def decks(cards: DataFrame, docs: DataFrame, capabilities: list[str], target: str = P.TARGET) -> DataFrame:
-    """doc_id, deck_key, card_count, deck (JSON) of every document that exports a card."""
-    from quizloom.functions.text import deck_key
+@dataclass(frozen=True)
+class Envelope:
+    """What a deck says of itself beyond its cards. A column of docs with the name of a field takes its place."""
+
+    level: str = "general"
+    difficulty: str = "intermediate"
+    tags: tuple[str, ...] = ("captured",)
+    source_kind: str = "text-input"
+    rights_bases: tuple[str, ...] = ("user-authored",)
+    estimated_minutes: int | None = None
+
+    def column(self, name: str, docs: DataFrame) -> Column:
+        value = getattr(self, name)
+        given = F.array(*[F.lit(v) for v in value]).cast("array<string>") if isinstance(value, tuple) else F.lit(value)
+        return (F.coalesce(F.col(name), given) if name in docs.columns else given).alias(name)
+
 
+def decks(cards: DataFrame, docs: DataFrame, capabilities: list[str], target: str = P.TARGET, envelope: Envelope | None = None) -> DataFrame:
+    """doc_id, deck_key, card_count, deck (JSON) of every document that exports a card."""
     rows = gated(cards, capabilities).filter("reason is null")
     held = rows.groupBy("doc_id", "locale").agg(F.array_sort(F.collect_list(F.struct("sequence", card_json().alias("card")))).alias("cards"))
-    rows = held.join(docs.select("doc_id", "title"), "doc_id").withColumn("deck_key", deck_key(F.col("title")))
+    return _decks(held, docs, target, envelope or Envelope(), None)
+
+
+def _decks(held: DataFrame, docs: DataFrame, target: str, envelope: Envelope, review: Column | None) -> DataFrame:
+    told = docs.select("doc_id", "title", *[envelope.column(f.name, docs) for f in fields(Envelope)])
+    rows = held.join(told, "doc_id").withColumn("deck_key", deck_key(F.col("title")))
     count = F.size("cards")
-    meta = F.to_json(
-        F.struct(
-            F.create_map("locale", "title").alias("title"), F.lit("general").alias("level"), F.array(F.lit("captured")).alias("tags"), F.lit("intermediate").alias("difficulty"),
-            count.alias("estimatedMinutes"), count.alias("cardCount"), F.struct(F.col("locale").alias("source"), F.col("locale").alias("target")).alias("languages"),
-            F.struct(F.lit("text-input").alias("kind"), F.lit("user-authored").alias("rightsBasis")).alias("source"),
-        )
-    )
+    meta = [
+        F.create_map("locale", "title").alias("title"), "level", "tags", "difficulty", F.coalesce("estimated_minutes", count).alias("estimatedMinutes"), count.alias("cardCount"),
+        F.struct(F.col("locale").alias("source"), F.col("locale").alias("target")).alias("languages"),
+        F.struct(F.col("source_kind").alias("kind"), rights_basis(F.col("rights_bases")).alias("rightsBasis")).alias("source"),
+    ]
+    meta += [] if review is None else [review.alias("review")]
     body = F.array_join(F.transform("cards", lambda c: c["card"]), ",")
-    deck = F.concat(F.lit(f'{{"schemaId":{json.dumps(target)},"deckKey":"'), F.col("deck_key"), F.lit('","bookKey":null,"meta":'), meta, F.lit(',"cards":['), body, F.lit("]}"))
+    status = "" if review is None else '"status":"draft",'
+    deck = F.concat(F.lit(f'{{"schemaId":{json.dumps(target)},{status}"deckKey":"'), F.col("deck_key"), F.lit('","bookKey":null,"meta":'), F.to_json(F.struct(*meta)), F.lit(',"cards":['), body, F.lit("]}"))
     return rows.select("doc_id", "deck_key", count.cast("long").alias("card_count"), deck.alias("deck"))
 
 
+def write_decks(decks: DataFrame, path: str) -> None:
+    """A line of JSON for each deck, in files under path."""
+    decks.select(F.col("deck").alias("value")).write.text(path)
+
+
 def drafts(cards: DataFrame) -> DataFrame:
     """Draftable cards with their sequence, review status and reasons, and the draft as JSON."""
     order = Window.partitionBy("doc_id").orderBy("block_no")
@@ -129,55 +156,104 @@ def draft_summary(drafted: DataFrame) -> DataFrame:
     return drafted.groupBy("doc_id").agg(F.count(F.lit(1)).alias("cards"), count("needs-answer").alias("needs_answer"), count("needs-review").alias("needs_review"), count("ready").alias("ready"))
 
 
-CARD = "struct<cardId:string,type:string,selectionMode:string,sourceFormat:string,question:map<string,string>,front:map<string,string>,back:map<string,string>,correctAnswer:string,correctOptionIds:array<string>,options:array<struct<optionId:string,text:string,isCorrect:boolean>>>"
-DECK = f"schemaId string, cards array<{CARD}>"
+def draft_decks(cards: DataFrame, docs: DataFrame, target: str = P.TARGET, envelope: Envelope | None = None) -> DataFrame:
+    """doc_id, deck_key, card_count and deck (JSON) of every document with a card that the target could hold; the deck says
+    that it is a draft, and how many cards still need what."""
+    rows = drafts(cards)
+    held = rows.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("sequence", F.col("draft").alias("card")))).alias("cards"))
+    held = held.join(draft_summary(rows).withColumnRenamed("cards", "n"), "doc_id").join(cards.groupBy("doc_id").agg(F.min("locale").alias("locale")), "doc_id")
+    review = F.struct(F.col("n").alias("cards"), F.col("needs_answer").alias("needsAnswer"), F.col("needs_review").alias("needsReview"), F.col("ready").alias("ready"))
+    return _decks(held, docs, target, envelope or Envelope(), review)
+
+
+def draft_ids(cards: DataFrame) -> DataFrame:
+    """doc_id, card_id and the number that the card has in the draft deck."""
+    return drafts(cards).select("doc_id", "card_id", F.col("sequence").alias("draft_card_id"))
+
+
+def blocked_with_drafts(cards: DataFrame, capabilities: list[str]) -> DataFrame:
+    """Blocked cards with their number in the draft deck; null for those that no draft can hold."""
+    return blocked(cards, capabilities).join(draft_ids(cards), ["doc_id", "card_id"], "left")
+
+
+_LIST = "array<variant>"
+
+
+def _get(value: Column, path: str, kind: str = "string") -> Column:
+    return F.try_variant_get(value, f"$.{path}", kind)
+
+
+def _is_object(value: Column) -> Column:
+    return F.coalesce(F.schema_of_variant(value).startswith("OBJECT"), F.lit(False))
+
+
+def _is_text(value: Column) -> Column:
+    return F.trim(F.coalesce(value, F.lit(""))) != ""
+
+
+def _quoted(values: Column) -> Column:
+    """A list of strings as the messages write it."""
+    return F.concat(F.lit("["), F.array_join(F.transform(values, lambda v: F.concat(F.lit("'"), v, F.lit("'"))), ", "), F.lit("]"))
+
+
+def _card_errors(card: Column, where: Column, capabilities: list[str]) -> Column:
+    """Messages on one card that is an object, in order. Their wording."""
+    say = lambda cond, text: F.when(cond, F.concat(where, F.lit(": "), text if isinstance(text, Column) else F.lit(text)))
+    blank = lambda key: F.coalesce(~F.exists(F.map_values(_get(card, key, "map<string,variant>")), lambda v: _is_text(F.coalesce(v.cast("string"), F.lit("null")))), F.lit(True))
+    kind = _get(card, "type")
+    mcq, flash = F.coalesce(kind == "mcq", F.lit(False)), F.coalesce(kind == "flashcard", F.lit(False))
+    options = _get(card, "options", _LIST)
+    listed, n = mcq & options.isNotNull(), F.coalesce(F.size(options), F.lit(0))
+    two = F.coalesce(_get(card, "sourceFormat") == "true-false", F.lit(False))
+    several = F.coalesce(_get(card, "selectionMode") == "multiple", F.lit(False))
+    many, only = listed & several, listed & ~several
+    right = F.filter(options, lambda o: _is_object(o) & F.coalesce(_get(o, "isCorrect", "boolean"), F.lit(False)))
+    distinct = lambda c: F.array_sort(F.array_distinct(c))
+    ids = F.coalesce(distinct(_get(card, "correctOptionIds", "array<string>")), F.array().cast("array<string>"))
+    flagged = F.coalesce(distinct(F.transform(right, lambda o: F.coalesce(_get(o, "optionId"), F.lit("None")))), F.array().cast("array<string>"))
+    empty = F.transform(options, lambda o, k: F.when(~(_is_object(o) & _is_text(_get(o, "text"))), F.concat(where, F.lit(": option "), (k + 1).cast("string"), F.lit(" has no text"))))
+    answer, stated = _get(card, "correctAnswer"), _get(F.get(right, F.lit(0)), "text")
+    first = F.array(
+        say(blank("question"), "the question is empty"),
+        say(mcq & options.isNull(), "mcq needs an options list"),
+        say(listed & two & (n != 2), F.format_string("a true/false card needs exactly 2 options, has %d", n)),
+        say(listed & ~two & (n < MIN_OPTIONS), F.format_string(f"an mcq card needs at least {MIN_OPTIONS} options; this card has %d", n)),
+    )
+    after = F.array(
+        say(many & ~_declared(capabilities, P.CAPABILITY["multiple-select"]), f"the target does not declare {P.CAPABILITY['multiple-select']}"),
+        say(many & (F.size(ids) == 0), "mark at least one correct option (correctOptionIds is empty)"),
+        say(many & (F.size(ids) > 0) & (flagged != ids), F.concat(F.lit("correctOptionIds "), _quoted(ids), F.lit(" does not equal the options flagged isCorrect "), _quoted(flagged))),
+        say(only & two & ~_declared(capabilities, P.CAPABILITY["true-false"]), f"the target does not declare {P.CAPABILITY['true-false']}"),
+        say(only & (F.size(right) != 1), F.format_string("mark exactly one correct option, %d are marked", F.size(right))),
+        say(only & (F.size(right) == 1) & (F.trim(F.coalesce(answer, F.lit(""))) != F.trim(F.coalesce(stated, F.lit("")))), "correctAnswer must repeat the text of the correct option"),
+        say(flash & blank("front"), "the flashcard front is empty"),
+        say(flash & blank("back"), "the flashcard back is empty"),
+        say(~mcq & ~flash, F.concat(F.lit("type "), F.coalesce(F.concat(F.lit("'"), kind, F.lit("'")), F.lit("None")), F.lit(" is not supported by this target profile"))),
+    )
+    return F.array_compact(F.concat(first, F.when(listed, empty).otherwise(F.array().cast("array<string>")), after))
 
 
 def check_decks(decks: DataFrame, capabilities: list[str], target: str = P.TARGET) -> DataFrame:
-    """doc_id and errors (in order) of decks given as JSON in `deck`. Text that is no object is one error."""
-    blank = lambda m: F.coalesce(~F.exists(F.map_values(m), lambda v: F.trim(v) != ""), F.lit(True))
-
-    def one(card: Column, i: Column) -> Column:
-        where = F.concat(F.lit("card "), F.coalesce(F.nullif(card["cardId"], F.lit("")), (i + 1).cast("string")), F.lit(": "))
-        say = lambda cond, text: F.when(cond, F.concat(where, text if isinstance(text, Column) else F.lit(text)))
-        mcq, flash = F.coalesce(card["type"] == "mcq", F.lit(False)), F.coalesce(card["type"] == "flashcard", F.lit(False))
-        opts = card["options"]
-        n = F.coalesce(F.size(opts), F.lit(0))
-        listed = mcq & opts.isNotNull()
-        two = F.coalesce(card["sourceFormat"] == "true-false", F.lit(False))
-        many = listed & F.coalesce(card["selectionMode"] == "multiple", F.lit(False))
-        only = listed & ~F.coalesce(card["selectionMode"] == "multiple", F.lit(False))
-        right = F.filter(opts, lambda o: F.coalesce(o["isCorrect"], F.lit(False)))
-        ids = F.coalesce(F.array_sort(F.array_distinct(card["correctOptionIds"])), F.array().cast("array<string>"))
-        flagged = F.array_sort(F.array_distinct(F.transform(right, lambda o: o["optionId"])))
-        empty = F.transform(F.filter(F.transform(opts, lambda o, k: F.struct(k.alias("k"), o["text"].alias("t"))), lambda o: F.trim(F.coalesce(o["t"], F.lit(""))) == ""), lambda o: F.concat(where, F.lit("option "), (o["k"] + 1).cast("string"), F.lit(" has no text")))
-        told = F.array(
-            say(blank(card["question"]), "the question is empty"),
-            say(mcq & opts.isNull(), "mcq needs an options list"),
-            say(listed & two & (n != 2), F.format_string("a true/false card needs exactly 2 options, has %d", n)),
-            say(listed & ~two & (n < MIN_OPTIONS), F.format_string(f"an mcq card needs at least {MIN_OPTIONS} options; this card has %d", n)),
-        )
-        after = F.array(
-            say(many & ~_declared(capabilities, P.CAPABILITY["multiple-select"]), f"the target does not declare {P.CAPABILITY['multiple-select']}"),
-            say(many & (F.size(ids) == 0), "mark at least one correct option (correctOptionIds is empty)"),
-            say(many & (F.size(ids) > 0) & (flagged != ids), "correctOptionIds does not equal the options flagged isCorrect"),
-            say(only & two & ~_declared(capabilities, P.CAPABILITY["true-false"]), f"the target does not declare {P.CAPABILITY['true-false']}"),
-            say(only & (F.size(right) != 1), F.format_string("mark exactly one correct option, %d are marked", F.size(right))),
-            say(only & (F.size(right) == 1) & (F.trim(F.coalesce(card["correctAnswer"], F.lit(""))) != F.trim(F.coalesce(F.get(right, F.lit(0))["text"], F.lit("")))), "correctAnswer must repeat the text of the correct option"),
-            say(flash & blank(card["front"]), "the flashcard front is empty"),
-            say(flash & blank(card["back"]), "the flashcard back is empty"),
-            say(~mcq & ~flash, F.concat(F.lit("type "), F.coalesce(card["type"], F.lit("None")), F.lit(" is not supported by this target profile"))),
-        )
-        return F.concat(F.array_compact(told), F.when(listed, empty).otherwise(F.array().cast("array<string>")), F.array_compact(after))
-
-    parsed = F.from_json("deck", DECK)
-    rows = decks.select("doc_id", F.trim("deck").startswith("{").alias("_object"), parsed.alias("d"))
-    cards = F.col("d.cards")
-    head = F.when(F.coalesce(F.col("d.schemaId") != target, F.lit(True)), F.array(F.concat(F.lit(f"schemaId must be '{target}', found "), F.coalesce(F.concat(F.lit("'"), F.col("d.schemaId"), F.lit("'")), F.lit("None"))))).otherwise(F.array().cast("array<string>"))
-    ids = F.transform(cards, lambda c: F.coalesce(c["cardId"], F.lit("")))
-    per_card = F.transform(cards, lambda c, i: F.concat(one(c, i), F.when(F.array_position(ids, F.coalesce(c["cardId"], F.lit(""))) < i + 1, F.array(F.concat(F.lit("card "), F.coalesce(c["cardId"], F.lit("")), F.lit(": duplicate cardId")))).otherwise(F.array().cast("array<string>"))))
-    body = F.when(F.coalesce(F.size(cards), F.lit(0)) <= 0, F.array(F.lit("the deck has no cards"))).otherwise(F.flatten(per_card))
-    return rows.select("doc_id", F.when(~F.coalesce("_object", F.lit(False)) | F.col("d").isNull(), F.array(F.lit("the deck is not a JSON object"))).otherwise(F.concat(head, body)).alias("errors"))
+    """doc_id and errors (in order) of decks given as JSON in `deck`: a person's edit, so nothing is taken for granted of the
+    kinds of its values. Text that is no JSON object is one error."""
+    rows = decks.select("doc_id", F.try_parse_json("deck").alias("deck"))
+    rows = rows.withColumns({"ok": _is_object(F.col("deck")), "schema": _get(F.col("deck"), "schemaId")})
+    cards = rows.filter("ok").select("doc_id", F.posexplode(_get(F.col("deck"), "cards", _LIST)).alias("at", "card")).withColumn("object", _is_object(F.col("card")))
+    name = F.nullif(_get(F.col("card"), "cardId"), F.lit(""))
+    number = (F.col("at") + 1).cast("string")
+    where = F.concat(F.lit("card "), F.when(F.col("object"), F.coalesce(name, number)).otherwise(number))
+    cards = cards.withColumns({"where": where, "id": F.when(F.col("object"), F.coalesce(_get(F.col("card"), "cardId"), F.lit("")))})
+    again = F.row_number().over(Window.partitionBy("doc_id", "id").orderBy("at")) > 1
+    cards = cards.withColumn("again", again & F.col("id").isNotNull())
+    none = F.array().cast("array<string>")
+    own = F.when(~F.col("object"), F.array(F.concat("where", F.lit(": is not an object")))).otherwise(_card_errors(F.col("card"), F.col("where"), capabilities))
+    repeated = F.when(F.col("again"), F.array(F.concat(F.lit("card "), "id", F.lit(": duplicate cardId")))).otherwise(none)
+    held = cards.select("doc_id", "at", F.concat(own, repeated).alias("e")).groupBy("doc_id").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("at", "e"))), lambda x: x["e"])).alias("body"))
+    found = F.coalesce(F.concat(F.lit("'"), F.col("schema"), F.lit("'")), F.lit("None"))
+    head = F.when(F.col("schema").eqNullSafe(target), none).otherwise(F.array(F.concat(F.lit(f"schemaId must be '{target}', found "), found)))
+    body = F.coalesce("body", F.array(F.lit("the deck has no cards")))
+    errors = F.when(F.col("ok"), F.concat(head, body)).otherwise(F.array(F.lit("the deck is not a JSON object")))
+    return rows.select("doc_id", "ok", "schema").join(held, "doc_id", "left").select("doc_id", errors.alias("errors"))
 
 
 def finalize_decks(decks: DataFrame) -> DataFrame:

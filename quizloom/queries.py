@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 
 from quizloom.functions import identity, quality, text
 from quizloom.functions import patterns as P
-from quizloom.operators import captures, geometry, rules, segments
+from quizloom.functions.tables import materialized
+from quizloom.operators import captures, geometry, jobs, rules, segments
 from quizloom.operators import cards as C
-from quizloom.plans import export
+from quizloom.plans import capture_ir, export, metrics
 from quizloom.plans.text_pipeline import ALL_CAPABILITIES, text_cards
 from quizloom.sources import quiz_html
 from quizloom.sources.corpus import BODY, quizzes
@@ -67,7 +68,7 @@ def line_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT p_partkey AS doc_id, q AS q_index, CASE q WHEN 1 THEN 'A' WHEN 2 THEN 'A,C' ELSE CASE WHEN p_size % 2 = 0 THEN 'A' ELSE 'B' END END AS letters FROM part, (SELECT unnest([1::BIGINT, 2, 3]) AS q) WHERE p_partkey % 4 <> 0")
 def answer_key_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    key = segments.answer_key(segments.lines(quizzes(spark, sf_dir)))
+    key = segments.answer_key(materialized(segments.lines(quizzes(spark, sf_dir)), "lines"))
     return key.select("doc_id", F.col("q_index").cast("long").alias("q_index"), F.array_join("letters", ",").alias("letters"))
 
 
@@ -92,7 +93,7 @@ UNION ALL SELECT p_partkey, 3, 'Its size is even', ['True', 'False'], [p_size %
 
 @query(f"SELECT doc_id, q_index AS block_no, q_index, question, array_to_string(texts, '|') AS options FROM ({_QUESTIONS})")
 def segment_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parsed = segments.lines(quizzes(spark, sf_dir))
+    parsed = materialized(segments.lines(quizzes(spark, sf_dir)), "lines")
     rows = segments.blocks(segments.placed_lines(parsed, segments.answer_key(parsed)))
     return _long(rows.select("doc_id", "block_no", "q_index", "question", F.array_join(F.transform("options", lambda o: o["text"]), "|").alias("options")), "block_no", "q_index")
 
@@ -101,7 +102,7 @@ def segment_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 def segment_restarts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Blocks without numbers: options that start over open one, text after an option continues it."""
     body = F.concat(F.lit("Stem of "), "p_name", F.lit("\nA) one\nwraps on\nB) two\n\nSecond of "), "p_name", F.lit(" goes on\nA) three\nB) four"))
-    parsed = segments.lines(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("doc_id"), body.alias("body")))
+    parsed = materialized(segments.lines(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("doc_id"), body.alias("body"))), "lines")
     rows = segments.blocks(segments.placed_lines(parsed, segments.answer_key(parsed)))
     return _long(rows.select("doc_id", "block_no", "question", F.array_join(F.transform("options", lambda o: o["text"]), "|").alias("options")), "block_no")
 
@@ -509,3 +510,162 @@ def quiz_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"SELECT p_partkey AS doc_id, sha256({BODY.replace('AS string', 'AS VARCHAR')}) AS body FROM part")
 def quiz_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quizzes(spark, sf_dir).select("doc_id", F.sha2("body", 256).alias("body"))
+
+
+# ---- whole pages, documents, drafts and jobs ---------------------------------------------------------------------------
+
+
+def _drawn(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """A page for each order: every third line is a question in large type, the others open with a widget that is read badly
+    where the quantity is small; returned lines are tinted."""
+    lines = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").cast("int").alias("n"))
+    lines = lines.agg(F.max("l_partkey").alias("p"), F.max("l_quantity").cast("double").alias("q"), F.max("l_returnflag").alias("f"))
+    height = F.when(F.col("n") % 3 == 1, 49).otherwise(29)
+    word = lambda k, left, conf, text: F.struct(F.lit(k).alias("word_num"), F.lit(left).alias("left"), conf.alias("conf"), text.alias("text"))
+    two = F.array(word(1, 10, F.col("q") * 2, F.lit("X")), word(2, 60, F.lit(95.0), F.concat(F.lit("item"), F.col("p").cast("string"))))
+    words = lines.select("doc_id", "n", height.alias("height"), F.explode(two).alias("w"))
+    one = F.lit(1)
+    words = words.select("doc_id", F.lit(5).alias("level"), one.alias("page_num"), one.alias("block_num"), one.alias("par_num"), F.col("n").alias("line_num"), "w.word_num", "w.left", (F.col("n") * 100 + 30).alias("top"), F.lit(40).alias("width"), "height", "w.conf", "w.text")
+    tint = F.when(F.col("f") == "R", 240.0).otherwise(200.0)
+    rows = lines.select("doc_id", F.explode(F.sequence(F.col("n") * 100, F.col("n") * 100 + 80, F.lit(20))).alias("y"), F.lit(200.0).alias("red"), tint.alias("green"), F.lit(200.0).alias("blue"), F.lit(1000).alias("height"))
+    return words, rows
+
+
+@query("""WITH l AS (SELECT l_orderkey AS doc_id, l_linenumber AS n, max(l_partkey) AS p, max(l_quantity)::DOUBLE AS q, max(l_returnflag) AS f FROM lineitem GROUP BY ALL),
+k AS (SELECT *, n % 3 = 1 AS stem FROM l WHERE doc_id IN (SELECT doc_id FROM l GROUP BY doc_id HAVING count(DISTINCT n % 3 = 1) = 2)),
+o AS (SELECT *, CASE WHEN row_number() OVER w = 1 OR (stem AND NOT lag(stem) OVER w) THEN 1 ELSE 0 END AS opens, NOT stem AND (q * 2 < 92 OR coalesce(lag(stem) OVER w, true)) AS opt FROM k WINDOW w AS (PARTITION BY doc_id ORDER BY n)),
+b AS (SELECT *, sum(opens) OVER (PARTITION BY doc_id ORDER BY n)::BIGINT AS block_no FROM o),
+c AS (SELECT *, sum(CASE WHEN opt THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, block_no ORDER BY n) AS option_no, CASE WHEN opt AND q * 2 < 92 THEN '' ELSE 'X ' END || 'item' || p AS t FROM b),
+s AS (SELECT doc_id, block_no, string_agg(t, ' ' ORDER BY n) AS question FROM c WHERE stem GROUP BY ALL),
+a AS (SELECT doc_id, block_no, option_no, string_agg(t, ' ' ORDER BY n) AS t, bool_or(opt AND f = 'R') AS m FROM c WHERE NOT stem GROUP BY ALL),
+r AS (SELECT doc_id, block_no, string_agg(t, '|' ORDER BY option_no) AS options, CASE WHEN 2 * count(*) FILTER (m) > count(*) THEN 0 ELSE count(*) FILTER (m) END AS n_marked FROM a GROUP BY ALL)
+SELECT doc_id, block_no, coalesce(question, '') AS question, coalesce(options, '') AS options, coalesce(n_marked, 0) AS n_marked FROM s FULL JOIN r USING (doc_id, block_no)""")
+def drawn_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = geometry.drawn_blocks(*_drawn(spark, sf_dir))
+    marked = F.size(F.filter("options", lambda o: o["marked"])).cast("long").alias("n_marked")
+    return found.select("doc_id", F.col("block_no").cast("long").alias("block_no"), "question", F.array_join(F.transform("options", lambda o: o["text"]), "|").alias("options"), marked)
+
+
+@query(f"WITH d AS ({SQL['drawn_pages']}) SELECT doc_id, count(*) FILTER (question <> '' AND contains(options, '|'))::BIGINT AS usable FROM d GROUP BY doc_id")
+def usable_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return geometry.usable_blocks(geometry.drawn_blocks(*_drawn(spark, sf_dir)))
+
+
+@query("""WITH e AS (SELECT o_orderkey AS doc_id, o_custkey % 50 AS l, o_custkey % 50 + 10 + o_orderkey % 40 AS r FROM orders WHERE o_orderkey % 7 = 0)
+SELECT doc_id, y::BIGINT AS y, avg(least(255, x * 3 + y))::DOUBLE AS red FROM e, range(0, 60) t(x), (SELECT unnest([0, 4, 8]) AS y) WHERE x >= least(l, 59) AND x < least(greatest(least(l, 59) + 1, r), 60) GROUP BY doc_id, y""")
+def page_row_means(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages of 60 x 10 pixels; the column of some reaches over the edge."""
+    rows = table(spark, sf_dir, "orders").filter("o_orderkey % 7 = 0").select(F.col("o_orderkey").alias("doc_id"), (F.col("o_custkey") % 50).cast("int").alias("left"), (F.col("o_custkey") % 50 + 10 + F.col("o_orderkey") % 40).cast("int").alias("right"))
+    pixels = rows.select("doc_id", F.explode(F.sequence(F.lit(0), F.lit(59))).alias("x")).withColumn("y", F.explode(F.sequence(F.lit(0), F.lit(9))))
+    shade = F.least(F.lit(255), F.col("x") * 3 + F.col("y"))
+    found = geometry.row_means(pixels.withColumns({"red": shade, "green": shade, "blue": shade}), rows)
+    return found.select("doc_id", F.col("y").cast("long").alias("y"), "red")
+
+
+@query(f"SELECT doc_id, family, concat('q-000', q_index) AS draft_card_id FROM ({_QUESTIONS}) WHERE NOT {_KNOWN} OR family <> 'single-choice'")
+def blocked_with_drafts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return export.blocked_with_drafts(_cards(spark, sf_dir), ["mcq.single"]).select("doc_id", "family", "draft_card_id")
+
+
+@query(f"SELECT p_partkey AS doc_id, {_KEY} AS deck_key, 3::BIGINT AS card_count, 'draft' AS status, CASE WHEN p_partkey % 4 = 0 THEN '3' ELSE '0' END AS needs_answer, p_brand AS level, CASE WHEN p_size % 2 = 0 THEN 'licensed' ELSE 'unconfirmed' END AS rights FROM part")
+def draft_decks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Drafts with envelopes that differ by document."""
+    bases = F.when(F.col("p_size") % 2 == 0, F.array(F.lit("licensed"), F.lit("licensed"))).otherwise(F.array(F.lit("licensed"), F.lit("user-authored")))
+    docs = quizzes(spark, sf_dir).withColumns({"level": F.col("p_brand"), "rights_bases": bases})
+    found = export.draft_decks(text_cards(docs)[1], docs)
+    get = lambda path: F.get_json_object("deck", f"$.{path}")
+    return found.select("doc_id", "deck_key", "card_count", get("status").alias("status"), get("meta.review.needsAnswer").alias("needs_answer"), get("meta.level").alias("level"), get("meta.source.rightsBasis").alias("rights"))
+
+
+@query(f"""SELECT p_partkey AS doc_id, 'capture-ir.v1' AS version, {_KEY} AS deck_key, 3::BIGINT AS n_cards, 11::BIGINT AS n_evidence, 'multiple-select' AS second_family, CASE WHEN p_partkey % 4 <> 0 THEN 2 ELSE 0 END::BIGINT AS second_correct,
+CASE WHEN p_partkey % 4 = 0 OR p_size % 2 <> 0 THEN 'false' ELSE 'true' END AS third_answer FROM part""")
+def capture_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cards = _cards(spark, sf_dir)
+    found = capture_ir.capture_documents(cards, C.evidence(cards), quizzes(spark, sf_dir), ALL_CAPABILITIES)
+    get = lambda path: F.get_json_object("document", f"$.{path}")
+    size = lambda path: F.json_array_length(get(path)).cast("long")
+    return found.select("doc_id", get("schemaVersion").alias("version"), get("deck.deckKey").alias("deck_key"), size("cards").alias("n_cards"), size("evidence").alias("n_evidence"), get("cards[1].family").alias("second_family"), size("cards[1].correctOptionIds").alias("second_correct"), get("cards[2].answer").alias("third_answer"))
+
+
+@query("""SELECT p_partkey AS doc_id, CASE p_partkey % 5 WHEN 0 THEN 'card 1: is not an object' WHEN 1 THEN concat('card ', p_name, ': ', CASE WHEN p_size % 5 < 2 THEN concat('an mcq card needs at least 2 options; this card has ', p_size % 5, '; card ', p_name, ': ') ELSE '' END,
+CASE WHEN p_size % 5 = 1 THEN 'correctAnswer must repeat the text of the correct option' ELSE concat('mark exactly one correct option, ', p_size % 5, ' are marked') END)
+WHEN 2 THEN concat('card c: correctOptionIds [''', p_brand, ''', ''a''] does not equal the options flagged isCorrect [''a'']') WHEN 3 THEN 'card 2: option 1 has no text; card 2: mark exactly one correct option, 0 are marked; card 2: duplicate cardId' ELSE 'the deck is not a JSON object' END AS errors FROM part""")
+def deck_check_untyped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Decks that a person has edited: cards and options that are no objects, other counts and ids than declared, no deck."""
+    head = '{"schemaId":"learncard.v1","cards":['
+    option = F.array_join(F.transform(F.sequence(F.lit(1), F.col("p_size") % 5), lambda k: F.concat(F.lit('{"text":"o'), k.cast("string"), F.lit('","isCorrect":true}'))), ",")
+    k = F.col("p_partkey") % 5
+    deck = (
+        F.when(k == 0, head + '"x"]}')
+        .when(k == 1, F.concat(F.lit(head + '{"type":"mcq","cardId":"'), "p_name", F.lit('","question":{"en":7},"correctAnswer":"?","options":['), F.when(F.col("p_size") % 5 > 0, option).otherwise(""), F.lit("]}]}")))
+        .when(k == 2, F.concat(F.lit(head + '{"type":"mcq","cardId":"c","selectionMode":"multiple","question":{"en":"q"},"correctOptionIds":["'), "p_brand", F.lit('","a"],"options":[{"optionId":"a","text":"x","isCorrect":true},{"optionId":"b","text":"y"}]}]}')))
+        .when(k == 3, F.lit(head + '{"type":"flashcard","cardId":2,"question":{"en":"q"},"front":{"en":"f"},"back":{"en":"b"}},{"type":"mcq","cardId":"2","question":{"en":"q"},"options":["x",{"text":"y"}]}]}'))
+        .otherwise(F.concat(F.lit('["'), "p_name", F.lit('"]')))
+    )
+    rows = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("doc_id"), deck.alias("deck"))
+    return export.check_decks(rows, ["mcq.multiple-select.v1"]).select("doc_id", F.array_join("errors", "; ").alias("errors"))
+
+
+@query(f"WITH v AS (SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN 9 ELSE 1 END AS n FROM ({_QUESTIONS}) GROUP BY doc_id) SELECT doc_id, n::BIGINT AS blocking, 0::BIGINT AS warnings, n::BIGINT AS last_issue FROM v")
+def issue_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cards = _cards(spark, sf_dir)
+    issues = materialized(rules.in_order(rules.validate(cards, C.evidence(cards), ["mcq.single"])), "issues")
+    return rules.issue_totals(issues).join(issues.groupBy("doc_id").agg(F.max("issue_no").cast("long").alias("last_issue")), "doc_id")
+
+
+@query("""WITH q AS (SELECT DISTINCT l_orderkey AS question_fingerprint, 'option ' || l_partkey % 9 AS clean_text FROM lineitem), r AS (SELECT l_orderkey AS question_fingerprint, 'option ' || l_suppkey % 9 AS clean_text, bool_or(l_returnflag = 'R') AS is_correct FROM lineitem GROUP BY ALL)
+SELECT q.question_fingerprint, q.clean_text, r.is_correct FROM q LEFT JOIN r USING (question_fingerprint, clean_text)""")
+def resolved_options(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "lineitem")
+    name = lambda c: F.concat(F.lit("option "), (F.col(c) % 9).cast("string")).alias("clean_text")
+    fingerprint = F.col("l_orderkey").alias("question_fingerprint")
+    return captures.resolved_options(rows.select(fingerprint, name("l_partkey")).distinct(), rows.select(fingerprint, name("l_suppkey"), (F.col("l_returnflag") == "R").alias("is_correct")))
+
+
+_STATES = ("queued", "running", "awaiting_user", "succeeded", "failed")
+
+
+def _job_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each third event is sent twice."""
+    rows = table(spark, sf_dir, "events").select("event_id", F.col("user_id").alias("entity_id"), F.get(F.array(*[F.lit(x) for x in _STATES]), (F.col("event_id") % 5).cast("int")).alias("state"), F.col("ts").alias("occurred_at"))
+    return rows.unionByName(rows.filter("event_id % 3 = 0"))
+
+
+_JOB_EVENTS = "SELECT event_id, user_id AS entity_id, ['queued', 'running', 'awaiting_user', 'succeeded', 'failed'][event_id % 5 + 1] AS state, ts FROM events"
+
+
+@query(f"SELECT entity_id, arg_max(state, (ts, event_id)) AS state, count(*) AS n_events FROM ({_JOB_EVENTS}) GROUP BY entity_id")
+def job_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jobs.states(_job_events(spark, sf_dir))
+
+
+@query(f"""SELECT event_id, entity_id, before, state FROM (SELECT *, lag(state) OVER (PARTITION BY entity_id ORDER BY ts, event_id) AS before FROM ({_JOB_EVENTS})) WHERE state IS DISTINCT FROM before
+AND NOT CASE WHEN before IS NULL THEN state = 'queued' ELSE (before || '>' || state) IN ('queued>running', 'running>awaiting_user', 'running>succeeded', 'running>failed', 'running>cancelled') END""")
+def job_invalid_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jobs.invalid_steps(_job_events(spark, sf_dir), jobs.JOB)
+
+
+_GOLDEN = """SELECT o_orderkey AS k, o_custkey % 3 <> 0 AS known, o_orderkey % 11 = 0 AS lost, CASE WHEN o_custkey % 5 = 0 THEN 'true-false' ELSE 'single-choice' END = CASE WHEN o_custkey % 4 = 0 THEN 'true-false' ELSE 'single-choice' END AS same_family,
+o_custkey % 7 <> 0 AS same_question, o_custkey % 8 <> 0 AS same_order, o_custkey % 6 <> 0 AS same_set, o_custkey % 10 < 7 AS verified FROM orders"""
+
+
+@query(f"""WITH g AS ({_GOLDEN}), m AS (SELECT avg((same_question AND NOT lost)::INT) AS question_exact, avg((same_order AND NOT lost)::INT) AS options_exact, avg((same_family AND NOT lost)::INT) AS family_accuracy,
+avg((same_set AND NOT lost)::INT) FILTER (known) AS correct_set_accuracy, avg((verified AND NOT lost AND NOT (known AND same_set))::INT) AS false_authoritative, avg((NOT (verified AND NOT lost))::INT) FILTER (NOT known) AS blocked_when_unknown,
+avg((verified = known AND NOT lost)::INT) AS tier_accuracy FROM g)
+SELECT metric, round(value, 9) AS value FROM (UNPIVOT m ON question_exact, options_exact, family_accuracy, correct_set_accuracy, false_authoritative, blocked_when_unknown, tier_accuracy INTO NAME metric VALUE value)""")
+def golden_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cards that differ from what was expected in family, question, order of options, answer and tier, or are not found."""
+    c, orders = F.col("o_custkey"), table(spark, sf_dir, "orders")
+    option = lambda t, right: F.struct(F.lit(t).alias("text"), right.alias("is_correct"))
+    a_right = F.lit(True)
+    expected = orders.select(
+        F.col("o_orderkey").alias("doc_id"), F.lit(1).alias("block_no"), F.when(c % 5 == 0, "true-false").otherwise("single-choice").alias("family"), F.lit("What  is it?").alias("question"),
+        F.array(option("a", a_right), option("b", ~a_right)).alias("options"), F.when(c % 3 != 0, "source-verified").otherwise("source-ambiguous").alias("tier"), (c % 3 != 0).alias("known"),
+    )
+    same = c % 6 != 0
+    in_turn = F.array(option("a", same), option("b", ~same))
+    found = orders.filter("o_orderkey % 11 <> 0").select(
+        F.col("o_orderkey").alias("doc_id"), F.lit(1).alias("block_no"), F.when(c % 4 == 0, "true-false").otherwise("single-choice").alias("family"), F.when(c % 7 != 0, " What is it? ").otherwise("What?").alias("question"),
+        F.when(c % 8 != 0, in_turn).otherwise(F.reverse(in_turn)).alias("options"), F.when(c % 10 < 7, "source-verified").otherwise("source-ambiguous").alias("tier"),
+    )
+    return metrics.golden(expected, found).select("metric", F.round("value", 9).alias("value"))
