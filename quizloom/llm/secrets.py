@@ -1,8 +1,10 @@
 """Operator 9: secret scans by grammar inference.
 
 Fixed rules find labelled credentials (the value behind a key word, access keys, long hex). Their values are the training
-set of a probabilistic automaton: a prefix tree over character kinds whose statistically compatible states are merged.
-Every other candidate token is then scored by its likelihood under that automaton against plain text.
+set of a probabilistic automaton: a prefix tree whose statistically compatible states are merged. A step of the tree is a
+character where that one is more frequent than chance, else the smallest class that covers the letters around it, so
+prefixes, marks and lengths of a format are kept. Every other candidate token is then scored by its likelihood under that
+automaton, its end included, against plain text.
 """
 
 from __future__ import annotations
@@ -10,7 +12,8 @@ from __future__ import annotations
 import hashlib
 import math
 import re
-from collections import Counter
+import string
+from collections import Counter, deque
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -19,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quizloom.llm.common import blocks, documents, id_text, stored
+from quizloom.llm.common import blocks, documents, id_text, raw_bytes, stored
 
 # The patterns of the base rules.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE)
@@ -28,22 +31,27 @@ HEX = re.compile(r"[0-9a-f]{24,}")
 KINDS = ("assign", "access", "hex")
 WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 
-#: Other candidates: tokens of this form that hold a digit.
-CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*[0-9])[A-Za-z0-9+/_=-]{16,}(?![A-Za-z0-9+/_=-])")
-#: At most so many labelled values are learned from: distinct ones, in the order of a hash.
+#: All other tokens of this form are candidates.
+CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{8,}(?![A-Za-z0-9+/_=-])")
+#: The labelled values that are learned from: at most so many distinct ones, in the order of a hash, of at most so many
+#: characters each.
 SAMPLE = 4000
-LONGEST_VALUE = 128
+LONGEST_VALUE = 1024
 ALPHA = 0.01
-#: Automata are read to this depth of the prefix tree; beyond it states repeat.
-DEPTH = 40
-#: Bits a character above plain text that a candidate needs, and the least number of its characters.
-THRESHOLD = 1.0
-LEAST = 16
-
-#: Character kinds, and how many characters each holds.
-_SYMBOLS = (("0123456789", 10), ("abcdef", 6), ("ghijklmnopqrstuvwxyz", 20), ("ABCDEF", 6), ("GHIJKLMNOPQRSTUVWXYZ", 20), ("+/=", 3), ("-_.", 3))
-_KIND = {c: k for k, (chars, _) in enumerate(_SYMBOLS) for c in chars}
-_SIZE = [n for _, n in _SYMBOLS]
+#: Bits by which a candidate must be likelier under the automaton than as plain text: what makes up for how rare secrets are.
+THRESHOLD = 12.0
+#: Probability of a character and of an end where the automaton knows none.
+FLOOR = 1e-6
+FLOOR_END = 1e-3
+#: Decisions on tokens that a worker remembers.
+REMEMBERED = 200_000
+
+MARKS = "+/=-_."
+_DIGITS, _LOWER, _UPPER = string.digits, string.ascii_lowercase, string.ascii_uppercase
+#: Character classes, the smallest first.
+CLASSES = [frozenset(c) for c in (_DIGITS, _DIGITS + "abcdef", _DIGITS + "ABCDEF", _LOWER, _UPPER, _DIGITS + _LOWER, _DIGITS + _UPPER, _LOWER + _UPPER, _DIGITS + _LOWER + _UPPER)]
+#: The steps that a character may be: itself, or the number of a class.
+STEPS = {c: (c, *(k for k, own in enumerate(CLASSES) if c in own)) for c in _DIGITS + _LOWER + _UPPER + MARKS}
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -58,10 +66,11 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(found)
 
 
-def candidate_spans(text: str) -> list[tuple[int, int, int, str]]:
+def candidate_spans(text: str) -> Iterator[tuple[int, int, int, str]]:
     """(start, kind, end, value): the base spans, then other candidates (kind 3), which overlap none of them."""
     spans = [(a, k, b, (ASSIGN.match(text, a)[2] if k == 0 else text[a:b])) for a, k, b in base_spans(text)]
-    others, reach = [], 0
+    yield from spans
+    reach = 0
     base = iter([*spans, (len(text) + 1, 0, 0, "")])
     following = next(base)
     for m in CANDIDATE.finditer(text):
@@ -69,85 +78,81 @@ def candidate_spans(text: str) -> list[tuple[int, int, int, str]]:
             reach = max(reach, following[2])
             following = next(base)
         if reach <= m.start():
-            others.append((m.start(), OTHER, m.end(), m[0]))
-    return spans + others
+            yield m.start(), OTHER, m.end(), m[0]
 
 
-SCANNED = "doc_id long, starts array<int>, kinds array<int>, ends array<int>, values array<string>"
 OTHER = 3
 
 
-def scan(docs: DataFrame) -> DataFrame:
-    """For each document its base spans (kind 0 to 2) and candidates (kind 3) that overlap none of them, with their text."""
-
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in blocks(batches):
-            rows = []
-            for doc, text in zip(block.column("doc_id").to_pylist(), block.column("text").to_pylist(), strict=True):
-                spans = candidate_spans(text)
-                rows.append((doc, *([s[i] for s in spans] for i in range(4))))
-            kinds = [pa.int64(), *[pa.list_(pa.int32())] * 3, pa.list_(pa.string())]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["doc_id", "starts", "kinds", "ends", "values"])
-
-    return id_text(docs).mapInArrow(read, SCANNED)
-
-
 @dataclass
 class _State:
     passed: int = 0
     ended: int = 0
-    next: dict[int, int] = field(default_factory=dict)
+    next: dict[str | int, int] = field(default_factory=dict)
     times: Counter = field(default_factory=Counter)
 
 
 class Automaton:
     """A probabilistic automaton from positive samples, by merging compatible states of their prefix tree."""
 
-    def __init__(self, values: list[str], alpha: float = ALPHA, depth: int = DEPTH):
-        self.states = [_State()]
-        for v in values:
-            at = 0
-            self.states[0].passed += 1
-            for c in v[:LONGEST_VALUE]:
-                k = _KIND.get(c)
-                if k is None:
-                    continue
-                self.states[at].times[k] += 1
-                if k not in self.states[at].next:
-                    self.states[at].next[k] = len(self.states)
-                    self.states.append(_State())
-                at = self.states[at].next[k]
-                self.states[at].passed += 1
-            self.states[at].ended += 1
+    def __init__(self, values: list[str], alpha: float = ALPHA):
         self.bound = math.sqrt(0.5 * math.log(2 / alpha))
-        self.depth = depth
+        self.states = [_State()]
+        self._grow(values)
         self._merge_all()
 
+    def _grow(self, values: list[str]) -> None:
+        """The prefix tree."""
+
+        def covering(value: str) -> list[int]:
+            """For each character the smallest class of the letters between the marks around it."""
+            out: list[int] = []
+            for part in re.split(f"([{re.escape(MARKS)}])", value):
+                out += [next(k for k, own in enumerate(CLASSES) if part in MARKS or own.issuperset(part))] * len(part)
+            return out
+
+        todo = [(0, 0, [(v, covering(v)) for v in values])]
+        while todo:
+            at, depth, own = todo.pop()
+            state = self.states[at]
+            state.passed = len(own)
+            going = [(v, k) for v, k in own if len(v) > depth]
+            state.ended = len(own) - len(going)
+            times, below = Counter(v[depth] for v, _ in going), {}
+            for v, k in going:
+                c = v[depth]
+                often = times[c] / len(going) - 1 / len(CLASSES[k[depth]]) > self.bound / math.sqrt(len(going))
+                below.setdefault(c if c in MARKS or often else k[depth], []).append((v, k))
+            for step, rest in below.items():
+                state.times[step] = len(rest)
+                state.next[step] = len(self.states)
+                self.states.append(_State())
+                todo.append((state.next[step], depth + 1, rest))
+
     def _differ(self, f1: int, n1: int, f2: int, n2: int) -> bool:
         """Hoeffding's bound on the difference of two frequencies."""
         return bool(n1 and n2) and abs(f1 / n1 - f2 / n2) > self.bound * (1 / math.sqrt(n1) + 1 / math.sqrt(n2))
 
-    def _compatible(self, a: int, b: int, left: int = 12) -> bool:
-        todo = [(a, b, left)]
+    def _compatible(self, a: int, b: int) -> bool:
+        """Whether the whole tree below b agrees with the automaton at a."""
+        todo = [(a, b)]
         while todo:
-            a, b, left = todo.pop()
+            a, b = todo.pop()
             x, y = self.states[a], self.states[b]
             if self._differ(x.ended, x.passed, y.ended, y.passed):
                 return False
             for k in {*x.times, *y.times}:
                 if self._differ(x.times[k], x.passed, y.times[k], y.passed):
                     return False
-                if left and k in x.next and k in y.next and x.next[k] != y.next[k]:
-                    todo.append((x.next[k], y.next[k], left - 1))
+                if k in x.next and k in y.next:
+                    todo.append((x.next[k], y.next[k]))
         return True
 
-    def _fold(self, a: int, b: int) -> None:
-        """Add the tree below b to the automaton at a."""
-        todo = [(a, b)]
+    def _fold(self, a: int, b: int) -> list[int]:
+        """Add the tree below b to the automaton at a; the states that get new steps."""
+        todo, grown = [(a, b)], []
         while todo:
             a, b = todo.pop()
-            if a == b:
-                continue
             x, y = self.states[a], self.states[b]
             x.passed += y.passed
             x.ended += y.ended
@@ -157,95 +162,116 @@ class Automaton:
                     todo.append((x.next[k], to))
                 else:
                     x.next[k] = to
+                    grown.append(a)
+        return grown
 
     def _merge_all(self) -> None:
-        red, blue = [0], [(0, k) for k in sorted(self.states[0].next)]
-        while blue:
-            at, k = blue.pop(0)
+        """In turn every state below the kept ones is merged with the first of them that it agrees with, or kept."""
+        kept, known = [0], {0}
+        todo = deque((0, k) for k in sorted(self.states[0].next, key=str))
+        while todo:
+            at, k = todo.popleft()
             state = self.states[at].next[k]
-            if state in red:
-                continue
-            same = next((r for r in red if self._compatible(r, state)), None)
-            if same is None and len(red) < 64:
-                red.append(state)
-                blue += [(state, s) for s in sorted(self.states[state].next)]
+            if state in known:
                 continue
-            same = red[-1] if same is None else same
-            self.states[at].next[k] = same
-            self._fold(same, state)
-            blue += [(r, s) for r in red for s in sorted(self.states[r].next) if self.states[r].next[s] not in red and (r, s) not in blue]
-        keep = {r: i for i, r in enumerate(red)}
-        self.states = [self.states[r] for r in red]
+            same = next((r for r in kept if self._compatible(r, state)), None)
+            if same is None:
+                kept.append(state)
+                known.add(state)
+                grown = [state]
+            else:
+                self.states[at].next[k] = same
+                grown = [g for g in self._fold(same, state) if g in known]
+            todo += [(g, s) for g in dict.fromkeys(grown) for s in sorted(self.states[g].next, key=str)]
+        place = {r: i for i, r in enumerate(kept)}
+        self.states = [self.states[r] for r in kept]
         for s in self.states:
-            s.next = {k: keep[v] for k, v in s.next.items()}
+            s.next = {k: place[v] for k, v in s.next.items()}
 
     def bits(self, value: str) -> float:
-        """Mean log2 likelihood of a character, each kind spread evenly over its characters; an unseen step is smoothed."""
-        at, total, n = 0, 0.0, 0
+        """log2 probability of a value of known characters, its end included. A class gives its characters equal parts."""
+        ways, total = {0: 1.0}, 0.0
         for c in value:
-            k = _KIND.get(c)
-            if k is None:
-                continue
-            s = self.states[at]
-            going = sum(s.times.values())
-            total += math.log2((s.times[k] + 0.05) / (going + 0.05 * len(_SIZE)) / _SIZE[k])
-            n += 1
-            at = s.next.get(k, at)
-        return total / n if n else 0.0
-
-
-def fit(scanned: DataFrame) -> Automaton | None:
-    """Learn from at most SAMPLE distinct labelled values; None if there are none."""
-    values = scanned.select(F.explode(F.arrays_zip("kinds", "values")).alias("s")).filter(F.col("s.kinds") < OTHER)
-    chosen = values.select(F.substring("s.values", 1, LONGEST_VALUE).alias("value")).distinct().orderBy(F.xxhash64("value"), "value").limit(SAMPLE)
-    sample = sorted(r["value"] for r in chosen.collect())
-    return Automaton(sample) if sample else None
+            ahead: dict[int, float] = {}
+            for at, p in ways.items():
+                s = self.states[at]
+                for k in STEPS[c]:
+                    n = s.times.get(k)
+                    if n:
+                        to = s.next[k]
+                        ahead[to] = ahead.get(to, 0.0) + p * n / s.passed / (1 if k == c else len(CLASSES[k]))
+            mass = sum(ahead.values())
+            if mass < FLOOR:
+                ahead, mass = {at: p * FLOOR for at, p in ways.items()}, FLOOR
+            total += math.log2(mass)
+            ways = {at: p / mass for at, p in ahead.items()}
+        end = sum(p * self.states[at].ended / self.states[at].passed for at, p in ways.items())
+        return total + math.log2(max(end, FLOOR_END))
 
 
 def plain_bits(value: str, pairs: np.ndarray) -> float:
-    codes = np.frombuffer(value.lower().encode("ascii", "replace"), np.uint8)
-    return float(pairs[codes[:-1], codes[1:]].mean()) if len(codes) > 1 else 0.0
+    """log2 probability of a value between two spaces by pairs of characters."""
+    codes = np.frombuffer(f" {value.lower()} ".encode("ascii", "replace"), np.uint8)
+    return float(pairs[codes[:-1], codes[1:]].sum())
+
 
+GATHERED = "value string, n long"
 
-def plain_model(docs: DataFrame) -> np.ndarray:
-    """log2 probability of each character after another, lower case, over the letters and marks of all texts: a 128 x 128
-    table, added up by Spark."""
 
-    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from quizloom.llm.common import raw_bytes
+def _gather(docs: DataFrame) -> DataFrame:
+    """Labelled values, each once in a task, and how often each pair of characters occurs (its number, as text, after a space):
+    lower case, other characters than ASCII as one."""
 
-        held = np.zeros(1 << 14, np.int64)
-        lower = np.arange(256, dtype=np.uint8)
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, lower = np.zeros(1 << 14, np.int64), np.arange(256, dtype=np.uint8)
         lower[65:91] += 32
         lower[128:] = 126
         for block in blocks(batches):
             b = lower[raw_bytes(block.column("text"))[0]].astype(np.uint16)
             held += np.bincount(b[:-1] * 128 + b[1:], minlength=1 << 14)
+            values = set()
+            for text in block.column("text").to_pylist():
+                values.update(ASSIGN.match(text, a)[2] if k == 0 else text[a:b] for a, k, b in base_spans(text))
+            values = [v for v in values if len(v) <= LONGEST_VALUE]
+            yield pa.RecordBatch.from_arrays([pa.array(values, pa.string()), pa.array(np.ones(len(values), np.int64))], names=["value", "n"])
         own = np.flatnonzero(held)
-        yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(held[own])], names=["pair", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array([f" {k}" for k in own], pa.string()), pa.array(held[own])], names=["value", "n"])
 
-    rows = id_text(docs).mapInArrow(sums, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).collect()  # at most 2 ** 14
-    counts = np.full(1 << 14, 0.5)
-    for r in rows:
-        counts[r["pair"]] += r["n"]
-    counts = counts.reshape(128, 128)
-    return np.log2(counts / counts.sum(axis=1, keepdims=True))
+    return id_text(docs).mapInArrow(read, GATHERED).groupBy("value").agg(F.sum("n").alias("n"))
 
 
 @dataclass
 class SecretModel:
     automaton: Automaton | None
+    #: log2 probability of each character after another.
     pairs: np.ndarray
+    told: dict[str, bool] = field(default_factory=dict)
 
     def keep(self, kind: int, value: str) -> bool:
         """Base spans stay; a candidate stays if its format is likely enough."""
         if kind < OTHER:
             return True
-        return self.automaton is not None and len(value) >= LEAST and self.automaton.bits(value) - plain_bits(value, self.pairs) >= THRESHOLD
+        if value not in self.told:
+            if len(self.told) >= REMEMBERED:
+                self.told.clear()
+            self.told[value] = self.automaton is not None and self.automaton.bits(value) - plain_bits(value, self.pairs) >= THRESHOLD
+        return self.told[value]
+
+
+def learn(docs: DataFrame) -> SecretModel:
+    """The automaton from at most SAMPLE distinct labelled values of at most LONGEST_VALUE characters, in the order of a hash
+    (none if there are none), and the pairs of characters of all texts."""
+    gathered = stored(_gather(docs), "labelled")
+    chosen = gathered.filter("value not like ' %'").orderBy(F.xxhash64("value"), "value").limit(SAMPLE).collect()
+    sample = sorted(r["value"] for r in chosen)
+    counts = np.full(1 << 14, 0.5)
+    for r in gathered.filter("value like ' %'").collect():  # at most 2 ** 14
+        counts[int(r["value"])] += r["n"]
+    counts = counts.reshape(128, 128)
+    return SecretModel(Automaton(sample) if sample else None, np.log2(counts / counts.sum(axis=1, keepdims=True)))
 
 
-def learn(docs: DataFrame, scanned: DataFrame | None = None) -> SecretModel:
-    return SecretModel(fit(scan(docs) if scanned is None else scanned), plain_model(docs))
+FOUND = "doc_id long, starts array<int>, kinds array<int>, ends array<int>"
 
 
 def find_secrets(docs: DataFrame) -> DataFrame:
@@ -253,20 +279,15 @@ def find_secrets(docs: DataFrame) -> DataFrame:
 
     Null and empty texts have none; repeated rows are scanned one by one; a null doc_id is kept. Other columns are not read.
     """
-    scanned = stored(scan(docs), "secrets")
-    model = learn(docs, scanned)
+    model = learn(docs)
 
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for doc, *spans in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "starts", "kinds", "ends", "values")), strict=True):
-                keep = sorted((a, k, b) for a, k, b, v in zip(*spans, strict=True) if model.keep(k, v))
-                out.append((doc, *([s[i] for s in keep] for i in range(3))))
-            if out:
-                kinds_of = [pa.int64(), *[pa.list_(pa.int32())] * 3]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds_of, strict=True)], names=["doc_id", "starts", "kinds", "ends"])
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in blocks(batches):
+            spans = [sorted((a, k, b) for a, k, b, v in candidate_spans(t) if model.keep(k, v)) for t in block.column("text").to_pylist()]
+            columns = [pa.array([[s[i] for s in own] for own in spans], pa.list_(pa.int32())) for i in range(3)]
+            yield pa.RecordBatch.from_arrays([block.column("doc_id"), *columns], names=["doc_id", "starts", "kinds", "ends"])
 
-    return scanned.mapInArrow(score, "doc_id long, starts array<int>, kinds array<int>, ends array<int>")
+    return id_text(docs).mapInArrow(read, FOUND)
 
 
 def redacted(docs: DataFrame, model: SecretModel | None = None, mark: str = "[SECRET]") -> DataFrame:
