@@ -1,17 +1,20 @@
 """Operator 7: information-theoretic sanitisation of personal data, with DataFrame functions only.
 
-Fixed rules find protected values. From the whole corpus it is then estimated how much each term reveals them: the
-pointwise mutual information of a term and the neighbourhood of a kind of value, as a share of the information the kind
-itself carries. Terms beside a value that reveal too much are spans as well; they are generalised, or removed if they
-reveal nearly all.
+Fixed rules find protected values; each distinct value is an entity. From the whole corpus it is estimated how much each term
+reveals an entity that it is met beside: their pointwise mutual information over documents, with the lower bound of the
+confidence interval in the place of the observed share, against the information of the entity. What is left of that is the
+doubt of a reader who knows the term. Terms that leave too little doubt are spans as well, wherever they stand in such a
+document; they are generalised, or removed if they leave next to none.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quizloom.llm.common import documents, stored
+from quizloom.llm.common import documents, hot_join, stored
 
 KINDS = ("email", "ip", "card", "phone")
 TERM = "term"
@@ -23,29 +26,47 @@ CARD = r"[0-9](?:[\x20-]?[0-9]){15,}+"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 OCTETS = r"^0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]{1,2})(?:\.0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]{1,2})){3}$"
 
-#: Terms are runs of so many letters; a neighbourhood reaches so many characters to either side.
-WORD = r"\p{L}{3,}"
+#: Terms are runs of so many letters that don't run into an address; beside a value means within so many characters of it.
+TOKEN = EMAIL + r"|\p{L}{3,}+(?![A-Za-z0-9._%+-]*+@)"
 REACH = 48
-#: A term must be met beside a kind so often; from GENERALISE of the kind's information it is a span, from REMOVE it goes.
-SUPPORT = 8
-GENERALISE = 0.8
-REMOVE = 0.95
+#: Bits of doubt up to which a term is generalised, and removed; and the share of an entity's information that it must give.
+GENERALISE = 1.6
+REMOVE = 0.7
+SHARE = 0.5
+#: Half the width of the confidence interval, in standard deviations.
+Z = 1.96
+#: Running sums go by chunks of so many values, as each step within one copies what the chunk has so far.
+CHUNK = 256
 
 SPAN = "array<struct<start:int,end:int,value:string>>"
+INTS = "array<int>"
+
+
+def running(values: Column, combine: Callable[[Column, Column], Column]) -> Column:
+    """For each of an array of integers the combination (a sum, a maximum) of those up to it, from 0."""
+
+    def scan(xs: Column) -> Column:
+        begin = F.array(F.lit(0)).cast(INTS)
+        return F.aggregate(xs, begin, lambda done, x: F.concat(done, F.array(combine(F.element_at(done, -1), x)).cast(INTS)))
+
+    chunks = F.transform(F.sequence(F.lit(0), F.floor((F.size(values) - 1) / CHUNK).cast("int")), lambda k: F.slice(scan(F.slice(values, k * CHUNK + 1, CHUNK)), 2, CHUNK))
+    placed = lambda done: F.flatten(F.zip_with(done, scan(F.transform(done, lambda c: F.element_at(c, -1))), lambda c, before: F.transform(F.coalesce(c, F.array().cast(INTS)), lambda x: combine(before, x))))
+    return F.when(F.size(values) > 0, _let(chunks, placed)).otherwise(F.array().cast(INTS))
+
+
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
 def located(text: Column, pattern: str) -> Column:
     """Leftmost non-overlapping matches of a pattern in a text: start, end (code points) and value."""
-    steps = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("value"))
 
-    def add(state: Column, step: Column) -> Column:
-        start = state["at"] + F.length(step["gap"])
-        end = start + F.coalesce(F.length(step["value"]), F.lit(0))
-        one = F.array(F.struct(start.alias("start"), end.alias("end"), step["value"].alias("value")))
-        return F.struct(end.alias("at"), F.when(step["value"].isNull(), state["found"]).otherwise(F.concat(state["found"], one)).cast(SPAN).alias("found"))
+    def placed(found: Column) -> Column:
+        steps = F.zip_with(F.slice(found["gaps"], F.lit(1), F.size(found["values"])), found["values"], lambda gap, value: F.length(gap) + F.length(value))
+        ends = running(steps, lambda a, b: a + b)
+        return _let(ends, lambda ends: F.transform(found["values"], lambda v, i: F.struct((F.get(ends, i) - F.length(v)).alias("start"), F.get(ends, i).alias("end"), v.alias("value")))).cast(SPAN)
 
-    begin = F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("found"))
-    return F.aggregate(steps, begin, add, lambda s: s["found"])
+    return _let(F.struct(F.split(text, pattern, -1).alias("gaps"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("values")), placed)
 
 
 def _digits(value: Column) -> Column:
@@ -67,79 +88,101 @@ def base_spans(text: Column) -> list[Column]:
 
 
 def scan(docs: DataFrame) -> DataFrame:
-    """docs, with null text as empty, and `spans`: kind (number), start, end, and the text before and after each."""
-    rows = docs.withColumn("text", F.coalesce("text", F.lit("")))
+    """row (a number of its own), doc_id, same (a hash of the text), spans (kind as a number, start, end, value), and the text
+    of those that have any. Null text counts as empty."""
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     rows = rows.withColumns({f"_{k}": found for k, found in zip(KINDS, base_spans(F.col("text")), strict=True)})
 
     def told(kind: int) -> Column:
-        def one(s: Column) -> Column:
-            low = F.greatest(s["start"] - REACH, F.lit(0))
-            before, after = F.substring(F.col("text"), low + 1, s["start"] - low), F.substring(F.col("text"), s["end"] + 1, F.lit(REACH))
-            return F.struct(F.lit(kind).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), low.alias("low"), before.alias("before"), after.alias("after"))
+        return F.transform(F.col(f"_{KINDS[kind]}"), lambda s: F.struct(F.lit(kind).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value")))
 
-        return F.transform(F.col(f"_{KINDS[kind]}"), one)
+    spans = F.concat(*[told(k) for k in range(len(KINDS))])
+    rows = rows.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.xxhash64("text").alias("same"), spans.alias("spans"), "text")
+    return rows.withColumn("text", F.when(F.size("spans") > 0, F.col("text")))
 
-    return rows.withColumn("spans", F.concat(*[told(k) for k in range(len(KINDS))])).drop(*[f"_{k}" for k in KINDS])
 
+def _words(scanned: DataFrame) -> DataFrame:
+    """row, term, start and end of the words of texts with protected values, but those inside addresses."""
+    found = scanned.filter("text is not null").select("row", F.explode(located(F.col("text"), TOKEN)).alias("w")).filter(~F.contains("w.value", F.lit("@")))
+    return found.select("row", F.lower("w.value").alias("term"), "w.start", "w.end")
 
-def _neighbours(spans: DataFrame) -> DataFrame:
-    """row, kind, start, end and term of the words around base spans; words cut by the reach are left out."""
-    one = spans.select("row", F.explode("spans").alias("s")).select("row", "s.*")
-    before = F.filter(located(F.col("before"), WORD), lambda w: (w["start"] > 0) | (F.col("low") == 0))
-    after = F.filter(located(F.col("after"), WORD), lambda w: w["end"] < REACH)
-    sides = one.select("row", "kind", F.explode(F.array(F.struct(F.col("low").alias("base"), before.alias("words")), F.struct(F.col("end").alias("base"), after.alias("words")))).alias("side"))
-    words = sides.select("row", "kind", "side.base", F.explode("side.words").alias("w"))
-    found = words.select("row", "kind", (F.col("base") + F.col("w.start")).alias("start"), (F.col("base") + F.col("w.end")).alias("end"), F.lower("w.value").alias("term"))
-    own = spans.select(F.col("row").alias("_row"), F.explode("spans").alias("s")).select("_row", F.col("s.start").alias("_start"), F.col("s.end").alias("_end"))
-    return found.join(own, (F.col("row") == F.col("_row")) & (F.col("start") < F.col("_end")) & (F.col("_start") < F.col("end")), "left_anti").distinct()
 
+def _mentions(scanned: DataFrame) -> DataFrame:
+    """row, entity (kind and value, lower case), start and end of protected values."""
+    one = scanned.select("row", F.explode("spans").alias("s"))
+    return one.select("row", F.concat(F.col("s.kind").cast("string"), F.lit(":"), F.lower("s.value")).alias("entity"), "s.start", "s.end")
 
-def disclosure(docs: DataFrame, neighbours: DataFrame) -> DataFrame:
-    """kind, term and the share of the kind's information that the term gives away, from counts over all texts."""
-    words = docs.select(F.explode(F.split(F.lower("text"), r"[^\p{L}]+")).alias("term"))
-    corpus = stored(words.filter(F.length("term") >= 3).groupBy("term").agg(F.count(F.lit(1)).alias("n_term")), "terms")
-    n = float(corpus.agg(F.sum("n_term")).first()[0] or 1)
-    beside = neighbours.groupBy("kind", "term").agg(F.count(F.lit(1)).alias("n_both"))
-    sizes = {r["kind"]: r["n"] for r in beside.groupBy("kind").agg(F.sum("n_both").alias("n")).collect()}  # a row for each kind
-    n_kind = F.get(F.array(*[F.lit(float(sizes.get(k, 1))) for k in range(len(KINDS))]), F.col("kind"))
-    counted = beside.filter(F.col("n_both") >= SUPPORT).join(corpus, "term")
-    share = F.log2(F.col("n_both") * F.lit(n) / (F.col("n_term") * n_kind)) / -F.log2(n_kind / F.lit(n))
-    return counted.select("kind", "term", share.alias("share"))
+
+def meetings(words: DataFrame, mentions: DataFrame) -> DataFrame:
+    """row, term and entity of all words within REACH of a value, once for each text. Only what lies in neighbouring stretches
+    of REACH characters is compared."""
+    stretches = F.sequence(F.floor(F.greatest(F.col("start") - REACH, F.lit(0)) / REACH), F.floor((F.col("end") + REACH) / REACH))
+    near = mentions.select("row", "entity", F.col("start").alias("m_start"), F.col("end").alias("m_end"), F.explode(stretches).alias("stretch"))
+    found = words.withColumn("stretch", F.floor(F.col("start") / REACH)).join(near, ["row", "stretch"])
+    return found.filter((F.col("end") >= F.col("m_start") - REACH) & (F.col("start") <= F.col("m_end") + REACH)).select("row", "term", "entity").distinct()
+
+
+def lower_bound(hits: Column, of: Column) -> Column:
+    """The lower end of the Wilson interval of a share."""
+    p, z = hits / of, Z * Z
+    return (p + z / (2 * of) - Z * F.sqrt((p * (1 - p) + z / (4 * of)) / of)) / (1 + z / of)
+
+
+def disclosure(docs: DataFrame, met: DataFrame, mentions: DataFrame) -> DataFrame:
+    """term, entity, _n (texts they meet in), doubt (bits that the term leaves of the entity) and share (of the entity's
+    information that it gives away) of those beyond the thresholds, from counts over all texts."""
+    both = met.groupBy("term", "entity").agg(F.count(F.lit(1)).alias("_n"))
+    enough = -F.log2(lower_bound(F.col("_n"), F.col("_n"))) <= GENERALISE  # were the term met nowhere else
+    both = stored(both.filter(enough), "meetings")
+    texts = docs.select(F.explode(F.array_distinct(F.split(F.lower("text"), r"[^\p{L}]+"))).alias("term")).filter(F.length("term") >= 3)
+    terms = texts.groupBy("term").agg(F.count(F.lit(1)).alias("n_term")).join(both.select("term").distinct(), "term")
+    entities = mentions.select("row", "entity").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity"))
+    n = float(docs.count())
+    found = both.join(terms, "term").join(entities, "entity")
+    # a word beside an address may be counted as a part of it by one side and alone by the other
+    doubt = -F.log2(lower_bound(F.col("_n"), F.greatest("n_term", "_n")))
+    rows = found.select("term", "entity", "_n", doubt.alias("doubt"), F.greatest(F.log2(F.lit(n) / F.col("n_entity")), F.lit(1e-9)).alias("information"))
+    return rows.withColumn("share", 1 - F.col("doubt") / F.col("information")).filter((F.col("doubt") <= GENERALISE) & (F.col("share") >= SHARE)).drop("information")
 
 
 def find_personal(docs: DataFrame) -> DataFrame:
-    """Needs doc_id and text. Returns row (a number of its own for each input row), doc_id, same (a hash of the text), `base` spans (kind, start, end)
-    and `terms` (start, end, share). Null and empty texts have none; repeated rows and null doc_ids are kept."""
-    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    scanned = scan(texts).select(F.monotonically_increasing_id().alias("row"), "doc_id", F.xxhash64("text").alias("same"), "spans")
-    spans = stored(scanned, "personal")
-    neighbours = stored(_neighbours(spans), "neighbours")
-    shares = disclosure(texts, neighbours).filter(F.col("share") >= GENERALISE)
-    told = neighbours.join(shares, ["kind", "term"]).groupBy("row", "start", "end").agg(F.max("share").alias("share"))
-    terms = told.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("start", "end", "share"))).alias("terms"))
+    """Needs doc_id and text. Returns row (a number of its own for each input row), doc_id, same (a hash of the text), `base`
+    spans (kind, start, end) and `terms` (start, end, doubt). Null and empty texts have none; repeated rows and null doc_ids
+    are kept, and count as texts of their own."""
+    scanned = stored(scan(docs), "personal")
+    words, mentions = stored(_words(scanned), "words"), stored(_mentions(scanned), "mentions")
+    met = stored(meetings(words, mentions), "met")
+    told = stored(disclosure(docs, met, mentions).select("term", "entity", "_n", "doubt"), "disclosed")
+    at = hot_join(met, told, ["term", "entity"]).groupBy("row", "term").agg(F.min("doubt").alias("doubt"))
+    terms = words.join(at, ["row", "term"]).groupBy("row").agg(F.array_sort(F.collect_list(F.struct("start", "end", "doubt"))).alias("terms"))
     base = F.transform("spans", lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
-    return spans.select("row", "doc_id", "same", base.alias("base")).join(terms, "row", "left")
+    return scanned.select("row", "doc_id", "same", base.alias("base")).join(terms, "row", "left")
 
 
 def sanitise(docs: DataFrame) -> DataFrame:
-    """doc_id and text with protected values named by kind, and terms generalised to [TERM] or removed. Spans that overlap
-    an earlier one are left to it. Null text: empty. Rows with equal doc_id and text are changed alike."""
+    """doc_id and text with protected values named by kind, and terms generalised to [TERM] or removed. Of spans that overlap
+    the first gives the mark, and all they cover goes. Null text: empty. Rows with equal doc_id and text are changed alike."""
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     found = find_personal(texts)
     mark = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
+    cut = lambda s, mark: F.struct(s["start"].alias("start"), s["end"].alias("end"), mark.alias("mark"))
     cuts = F.concat(
-        F.transform("base", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.get(mark, s["kind"]).alias("mark"))),
-        F.transform(F.coalesce("terms", F.array().cast("array<struct<start:int,end:int,share:double>>")), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.when(s["share"] >= REMOVE, "").otherwise("[TERM]").alias("mark"))),
+        F.transform("base", lambda s: cut(s, F.get(mark, s["kind"]))),
+        F.transform(F.coalesce("terms", F.array().cast("array<struct<start:int,end:int,doubt:double>>")), lambda s: cut(s, F.when(s["doubt"] <= REMOVE, "").otherwise("[TERM]"))),
     )
     marked = found.filter("size(base) > 0").select(F.col("doc_id").alias("_doc"), F.col("same").alias("_same"), F.array_sort(cuts).alias("cuts")).dropDuplicates(["_doc", "_same"])
     rows = texts.join(marked, texts["doc_id"].eqNullSafe(F.col("_doc")) & (F.xxhash64("text") == F.col("_same")), "left")
-    state = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    reached = running(F.transform("cuts", lambda c: c["end"]), lambda a, b: F.greatest(a, b))
+    rows = rows.withColumns({"chars": F.when(F.col("cuts").isNotNull(), F.split("text", "")), "reached": F.when(F.col("cuts").isNotNull(), reached)})
 
-    def add(s: Column, c: Column) -> Column:
-        out = F.concat(s["out"], F.substring(F.col("text"), s["at"] + 1, c["start"] - s["at"]), c["mark"])
-        return F.when(c["start"] < s["at"], s).otherwise(F.struct(c["end"].alias("at"), out.alias("out")))
+    def piece(c: Column, i: Column) -> Column:
+        before = F.when(i > 0, F.get(F.col("reached"), i - 1)).otherwise(0)
+        gap = F.array_join(F.slice("chars", before + 1, F.greatest(c["start"] - before, F.lit(0))), "")
+        return F.concat(gap, F.when(c["start"] >= before, c["mark"]).otherwise(""))
 
-    done = F.aggregate("cuts", state, add, lambda s: F.concat(s["out"], F.substring(F.col("text"), s["at"] + 1, F.length("text"))))
+    end = F.element_at("reached", -1)
+    tail = F.array_join(F.slice("chars", end + 1, F.size("chars")), "")
+    done = F.concat(F.array_join(F.transform("cuts", piece), ""), tail)
     return rows.select("doc_id", F.coalesce(done, F.col("text")).alias("text"))
 
 
