@@ -17,7 +17,10 @@ from pyspark.sql import functions as F
 
 from quizloom.llm.common import blocks, documents, id_text, raw_bytes
 
+#: Length of q-grams, less for short segments, and the fewest characters of an item: shorter ones (a word, a number) say
+#: nothing of a text and are left out.
 Q = 7
+LEAST_ITEM = 7
 #: Shared q-grams that a region needs at least. The most frequent q-grams of a segment are left out as far as the bound,
 #: lowered by as many, stays at this or above; the filter then still loses no region within the budget.
 LEAST = 8
@@ -64,6 +67,7 @@ class Table:
 
     item: np.ndarray  # by segment
     start: np.ndarray  # of the segment, in its item
+    q: int
     texts: list[bytes]
     budget: np.ndarray
     bound: np.ndarray  # shared q-grams that an occurrence within the budget has at least
@@ -80,72 +84,87 @@ def _hash18(g: np.ndarray) -> np.ndarray:
     return (g * _U64(0x9E3779B97F4A7C15)) >> _U64(46)
 
 
-def make_table(items: list[tuple[int, str]], q: int = Q, segment: int = SEGMENT, stride: int = STRIDE, rate: float = RATE) -> Table:
-    """Items shorter than q characters have no segment; an item of under `segment` characters is one."""
-    owner, begins, texts = [], [], []
+def _bound(size: int, q: int, rate: float) -> int:
+    """Shared q-grams that are left at least by the edits allowed."""
+    return size - q + 1 - q * int(size * rate)
+
+
+def make_tables(items: list[tuple[int, str]], q: int = Q, segment: int = SEGMENT, stride: int = STRIDE, rate: float = RATE) -> list[Table]:
+    """A table for each length of q-grams. An item of under `segment` characters is one segment, with q-grams as long as the
+    bound allows, at most q; items of under LEAST_ITEM characters have none."""
+    found: dict[int, list[tuple[int, int, bytes]]] = {}
     for item, text in items:
         b = normalised(pa.array([text or ""]))[0].tobytes().rstrip()
-        if len(b) < q:
+        if len(b) < LEAST_ITEM:
             continue
         starts = list(range(0, max(1, len(b) - segment + 1), stride))
         if len(b) > segment and starts[-1] != len(b) - segment:
             starts.append(len(b) - segment)
-        for s in starts:
-            owner.append(item)
-            begins.append(s)
-            texts.append(b[s : s + segment])
-    size = np.array([len(t) for t in texts], dtype=np.int64)
-    budget = (size * rate).astype(np.int64)
-    bound = size - q + 1 - q * budget
+        own = min(len(b), segment)
+        length = next(k for k in range(min(q, own), 0, -1) if _bound(own, k, rate) >= 1)
+        found.setdefault(length, []).extend((item, s, b[s : s + segment]) for s in starts)
+    return [_table(rows, length, rate) for length, rows in sorted(found.items())]
+
+
+def _table(rows: list[tuple[int, int, bytes]], q: int, rate: float) -> Table:
+    owner, begins, texts = zip(*rows, strict=True)
+    budget = np.array([int(len(t) * rate) for t in texts], dtype=np.int64)
+    bound = np.array([_bound(len(t), q, rate) for t in texts], dtype=np.int64)
     grams = [_grams(np.frombuffer(t, np.uint8), q) for t in texts]
-    every = np.concatenate([np.zeros(0, _U64), *grams])
-    known, times = np.unique(every, return_counts=True)
+    known, times = np.unique(np.concatenate(grams), return_counts=True)
     kept = []
     for g, most in zip(grams, np.maximum(0, bound - LEAST), strict=True):
         often = times[np.searchsorted(known, g)]
         kept.append(np.sort(np.argsort(-often, kind="stable")[most:]))
-    least = np.maximum(1, bound - np.maximum(0, bound - LEAST))
-    every = np.concatenate([np.zeros(0, _U64), *[g[k] for g, k in zip(grams, kept, strict=True)]])
+    least = bound - np.maximum(0, bound - LEAST)
+    every = np.concatenate([g[k] for g, k in zip(grams, kept, strict=True)])
     own = np.repeat(np.arange(len(texts)), [len(k) for k in kept])
-    place = np.concatenate([np.zeros(0, np.int64), *kept])
+    place = np.concatenate(kept)
     order = np.argsort(every, kind="stable")
     keys, first = np.unique(every[order], return_index=True)
     occurs = np.zeros(1 << 18, bool)
     occurs[_hash18(keys)] = True
-    return Table(np.array(owner, np.int64), np.array(begins, np.int64), texts, budget, np.maximum(1, bound), least, grams, keys, np.append(first, len(every)), own[order], place[order], occurs)
-
-
-def banded_edits(pattern: bytes, text: bytes, budget: int) -> tuple[int, int, int]:
-    """Fewest edits of `pattern` against any part of `text` (budget + 1 if there are more than budget), where that part
-    begins and ends. `text` is a region of a band, little longer than the pattern, so the table is the band itself."""
-    same = text.find(pattern)
-    if same >= 0:
-        return 0, same, same + len(pattern)
-    p, t = np.frombuffer(pattern, np.uint8), np.frombuffer(text, np.uint8)
-    n = len(t)
-    steps = np.arange(n + 1)
-    cost, origin = np.zeros(n + 1, np.int64), steps.copy()
+    return Table(np.array(owner, np.int64), np.array(begins, np.int64), q, list(texts), budget, bound, least, grams, keys, np.append(first, len(every)), own[order], place[order], occurs)
+
+
+def banded_edits(pattern: bytes, text: bytes, low: int, width: int, budget: int) -> tuple[int, int, int]:
+    """Fewest edits of `pattern` against any part of `text` by alignments inside the band of diagonals (place in the text less
+    place in the pattern) from `low` on, `width` of them, or budget + 1 if there are more than budget; where that part begins
+    and ends."""
+    p, n, far = np.frombuffer(pattern, np.uint8), len(text), budget + 1
+    steps = np.arange(width)
+    padded = np.zeros(max(0, len(p) + low + width) + len(p) + n + 2 + max(0, -low), np.uint8)
+    shift = max(0, -low) + 1  # text[j] is at padded[j + shift]
+    padded[shift : shift + n] = np.frombuffer(text, np.uint8)
+
+    def inside(at: np.ndarray) -> np.ndarray:
+        return (at >= 0) & (at <= n)
+
+    at = low + steps
+    cost, origin = np.where(inside(at), 0, far), at.copy()
     for i, c in enumerate(p):
-        replace = cost[:-1] + (t != c)
-        delete = cost + 1
-        best, begin = delete.copy(), origin.copy()
-        take = replace < best[1:]
-        best[1:] = np.where(take, replace, best[1:])
-        begin[1:] = np.where(take, origin[:-1], begin[1:])
+        at = low + steps + i + 1  # ends of the part after this row
+        replace = cost + (padded[at - 1 + shift] != c)
+        replace[at < 1] = far
+        delete = np.append(cost[1:] + 1, far)
+        best = np.minimum(replace, delete)
+        begin = np.where(replace <= delete, origin, np.append(origin[1:], 0))
+        best[~inside(at)] = far
         # insertions run along the row: the least of best[k] + (j - k)
-        low = np.minimum.accumulate(best - steps)
-        source = np.maximum.accumulate(np.where(best - steps == low, steps, 0))
-        cost, origin = low + steps, begin[source]
+        low_cost = np.minimum.accumulate(best - steps)
+        source = np.maximum.accumulate(np.where(best - steps == low_cost, steps, 0))
+        cost, origin = np.where(inside(at), low_cost + steps, far), begin[source]
         if cost.min() > budget:
-            return budget + 1, 0, 0
-    end = int(cost.argmin())
-    return int(cost[end]), int(origin[end]), end
+            return far, 0, 0
+    k = int(cost.argmin())
+    return int(cost[k]), int(origin[k]), len(p) + low + k
 
 
 MATCH = "doc_id long, item_id long, segment_start long, doc_start long, doc_end long, edits long"
 
 
-def _matches(block: pa.RecordBatch, table: Table, q: int = Q) -> list[tuple[int, ...]]:
+def _matches(block: pa.RecordBatch, table: Table) -> list[tuple[int, ...]]:
+    q = table.q
     b, at, source = normalised(block.column("text"))
     g = _grams(b, q)
     hit = np.flatnonzero(table.filter[_hash18(g)]) if len(g) else np.zeros(0, np.int64)
@@ -180,46 +199,49 @@ def _matches(block: pa.RecordBatch, table: Table, q: int = Q) -> list[tuple[int,
             w = int(table.budget[s[i]]) + 1
             lo = int(code[i] % n_band) * 2 * w - half * w - SEGMENT
             found.add((int(code[i] // n_band // n_seg), int(s[i]), lo))
+    best: dict[tuple[int, int, int, int], int] = {}
     for r, s, lo in sorted(found):
         size, budget = len(table.texts[s]), int(table.budget[s])
-        begin, end = max(0, lo - budget), min(int(at[r + 1] - at[r]), lo + size + 3 * budget + 2)
+        low, width = lo - budget, 4 * budget + 2
+        begin, end = max(0, low), min(int(at[r + 1] - at[r]), lo + size + 3 * budget + 2)
         region = b[at[r] + begin : at[r] + end]
         if np.isin(table.every[s], _grams(region, q)).sum() < table.bound[s]:
             continue  # with the frequent q-grams as well it misses the bound
-        edits, x, y = banded_edits(table.texts[s], region.tobytes(), budget)
+        edits, x, y = banded_edits(table.texts[s], region.tobytes(), low - begin, width, budget)
         if edits <= budget and y > x:
             first, last = source[at[r] + begin + x], source[at[r] + begin + y - 1]
-            out.append((r, int(table.item[s]), int(table.start[s]), int(first), int(last) + 1, edits))
-    return out
+            key = (r, s, int(first), int(last) + 1)
+            best[key] = min(edits, best.get(key, edits))
+    return [(r, int(table.item[s]), int(table.start[s]), first, last, edits) for (r, s, first, last), edits in best.items()]
 
 
-def _tables(benchmark: DataFrame) -> Iterator[Table]:
-    """Tables of at most TABLE_BYTES of items each, read one after the other: no more of them than that at once."""
+def _tables(benchmark: DataFrame) -> Iterator[list[Table]]:
+    """Tables of at most TABLE_BYTES of items, read one after the other: no more of them than that at once."""
     held, size = [], 0
     for r in benchmark.filter("text is not null").select("item_id", "text").toLocalIterator():
         held.append((r["item_id"], r["text"]))
         size += len(r["text"])
         if size >= TABLE_BYTES:
-            yield make_table(held)
+            yield make_tables(held)
             held, size = [], 0
     if held:
-        yield make_table(held)
+        yield make_tables(held)
 
 
 def find_contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, item_id, segment_start (in the normalised item), doc_start, doc_end (UTF-8 bytes of the text) and edits of
-    every segment found. Needs doc_id and text, item_id and text; null texts have no segments, an empty benchmark gives no
-    rows; repeated rows repeat their matches; null ids are kept."""
+    every segment found, each place once. Needs doc_id and text, item_id and text; null texts have no segments, nor have items
+    of under LEAST_ITEM characters; an empty benchmark gives no rows; repeated rows repeat their matches; null ids are kept."""
     rows = id_text(docs)
     out = docs.sparkSession.createDataFrame([], MATCH)
-    for table in _tables(benchmark):
-        if not table.texts:
+    for tables in _tables(benchmark):
+        if not tables:
             continue
-        shared = docs.sparkSession.sparkContext.broadcast(table)  # TABLE_BYTES of text at most
+        shared = docs.sparkSession.sparkContext.broadcast(tables)  # TABLE_BYTES of text at most
 
         def search(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for block in blocks(batches):
-                found = _matches(block, shared.value)
+                found = [f for table in shared.value for f in _matches(block, table)]
                 if found:
                     ids = block.column("doc_id").take(pa.array([f[0] for f in found]))
                     columns = [pa.array(c, pa.int64()) for c in list(zip(*found, strict=True))[1:]]
