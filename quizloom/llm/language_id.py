@@ -19,16 +19,16 @@ from pyspark.sql import functions as F
 from quizloom.llm.common import blocks, documents, raw_bytes, stored
 
 SLOTS = 1 << 14
-#: Languages that are learned: those with the most training texts.
-MOST_LANGUAGES = 256
 UNKNOWN = "und"
+#: A text is ambiguous if the two best codewords, at full weight of the evidence, are so close in probability.
 AMBIGUOUS = 0.02
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
 
 def held_out(doc_id: str = "doc_id") -> F.Column:
-    return F.pmod(F.crc32(F.col(doc_id).cast("string")), F.lit(4)) == 2
+    """A null doc_id is in training."""
+    return F.pmod(F.coalesce(F.crc32(F.col(doc_id).cast("string")), F.lit(0)), F.lit(4)) == 2
 
 
 def _slots(data: np.ndarray, at: np.ndarray) -> list[np.ndarray]:
@@ -94,22 +94,24 @@ class LanguageModel:
         """Best language index, score (0 to 1) and ambiguity flag of rows of n-gram counts."""
         total = np.maximum(counts.sum(axis=1, keepdims=True), 1)
         margin = np.clip((counts @ self.weights) / total * self.scale, -30, 30)
+        sharp = np.sort(self._chances(margin), axis=1)
+        near = sharp[:, -1] - sharp[:, -2] < AMBIGUOUS if sharp.shape[1] > 1 else np.zeros(len(sharp), bool)
         # a few n-grams say less than many
-        margin *= np.minimum(1, np.sqrt(total / 300))
+        p = self._chances(margin * np.minimum(1, np.sqrt(total / 300)))
+        best = p.argmax(axis=1)
+        return best, p[np.arange(len(p)), best], near
+
+    def _chances(self, margin: np.ndarray) -> np.ndarray:
+        """By language, from the weighted losses of its codeword."""
         loss = np.log1p(np.exp(-margin[:, None, :] * self.code[None, :, :])) @ self.trust
-        order = np.argsort(loss, axis=1, kind="stable")
-        best = order[:, 0]
-        p = np.exp(-(loss - loss.min(axis=1, keepdims=True)))
-        p /= p.sum(axis=1, keepdims=True)
-        first = p[np.arange(len(p)), best]
-        second = p[np.arange(len(p)), order[:, 1]] if p.shape[1] > 1 else np.zeros(len(p))
-        return best, first, first - second < AMBIGUOUS
+        p = np.exp(loss.min(axis=1, keepdims=True) - loss)
+        return p / p.sum(axis=1, keepdims=True)
 
 
 def fit(train: DataFrame) -> LanguageModel | None:
     """Fit from text and lang of all given rows. Rows without either are left out; None if nothing is left.
 
-    What reaches the driver is one vector of SLOTS sums for each of at most MOST_LANGUAGES languages.
+    What reaches the driver is one vector of SLOTS sums (128 KB) for each language, however many texts there are.
     """
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -129,8 +131,7 @@ def fit(train: DataFrame) -> LanguageModel | None:
 
     given = train.select("lang", "text").filter("lang is not null and text is not null")
     added = stored(given.mapInArrow(sums, "lang string, slot long, n long").groupBy("lang", "slot").agg(F.sum("n").alias("n")), "grams")
-    top = added.filter("slot = -1").orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES).select("lang")
-    found = added.join(F.broadcast(top), "lang").toPandas()
+    found = added.toPandas()
     if not len(found):
         return None
     languages = sorted(found["lang"].unique())
@@ -153,10 +154,12 @@ def fit(train: DataFrame) -> LanguageModel | None:
     return LanguageModel(languages, code, weights, trust / trust.sum(), scale)
 
 
-def predict(docs: DataFrame, model: LanguageModel | None) -> DataFrame:
-    """docs with lang_pred, score and ambiguous. Null texts, and those without a letter, are `und` with score 0."""
-    names = [c for c in docs.columns if c not in ("lang_pred", "score", "ambiguous")]
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*names).schema)
+def predict(docs: DataFrame, model: LanguageModel | None, names: tuple[str, str, str] = ("lang_pred", "score", "ambiguous")) -> DataFrame:
+    """docs with the language, the score and the ambiguity of each text, under `names`; columns of docs with these names give
+    way. Null texts, and those without a letter, are `und` with score 0 and not ambiguous; so are all texts without a model.
+    Languages whose codewords tie go by the alphabet. Repeated rows and null doc_ids stay, each predicted from its text."""
+    own = [c for c in docs.columns if c not in names]
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*own).schema)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in blocks(batches):
@@ -168,9 +171,10 @@ def predict(docs: DataFrame, model: LanguageModel | None) -> DataFrame:
                     for k, i in enumerate(range(span.start, span.stop)):
                         if letters[i]:
                             lang[i], score[i], ambiguous[i] = model.languages[best[k]], p[k], near[k]
-            yield pa.RecordBatch.from_arrays([*[block.column(c) for c in names], pa.array(lang, pa.string()), pa.array(score), pa.array(ambiguous)], names=[*names, "lang_pred", "score", "ambiguous"])
+            yield pa.RecordBatch.from_arrays([*[block.column(c) for c in own], pa.array(lang, pa.string()), pa.array(score), pa.array(ambiguous)], names=[*own, *names])
 
-    return docs.select(*names).mapInArrow(read, f"{kinds}, lang_pred string, score double, ambiguous boolean")
+    told = ", ".join(f"`{n}` {k}" for n, k in zip(names, ("string", "double", "boolean"), strict=True))
+    return docs.select(*own).mapInArrow(read, f"{kinds}, {told}")
 
 
 def identify(docs: DataFrame) -> DataFrame:
