@@ -8,6 +8,7 @@ are never moved: what is joined is what was computed from them where they lie.
 from __future__ import annotations
 
 import hashlib
+import html
 import zlib
 from collections.abc import Iterator
 from html.parser import HTMLParser
@@ -97,13 +98,13 @@ class _Sequence(HTMLParser):
         return [{"pos": k, **item} for k, item in enumerate(self.items)]
 
 
-def sequence(html: str | None) -> list[dict]:
+def sequence(source: str | None) -> list[dict]:
     parser = _Sequence()
-    parser.feed(html or "")
+    parser.feed(source or "")
     return parser.done()
 
 
-def interleaved(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
+def interleaved(pages: DataFrame, key: str = "page_id", column: str = "html") -> DataFrame:
     """key and `items`: the ordered sequence of each page. Null and empty pages have none; repeated rows stay."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -112,7 +113,7 @@ def interleaved(pages: DataFrame, key: str = "page_id", html: str = "html") -> D
             yield pa.RecordBatch.from_arrays([block.column("_key"), items], names=["_key", "items"])
 
     kind = pages.schema[key].dataType.simpleString()
-    rows = pages.select(F.col(key).alias("_key"), F.col(html).alias("_html"))
+    rows = pages.select(F.col(key).alias("_key"), F.col(column).alias("_html"))
     return rows.mapInArrow(read, f"_key {kind}, items {ITEM}").withColumnRenamed("_key", key)
 
 
@@ -125,9 +126,9 @@ def resolved(sequences: DataFrame, payloads: DataFrame, key: str = "page_id") ->
     return refs.join(payloads.withColumnRenamed("digest", "_digest"), "_digest", "left").drop("_digest")
 
 
-def image(payload: bytes) -> bytes:
+def image(data: bytes) -> bytes:
     """A grey image of WIDTH samples a row, one byte each (portable graymap)."""
-    return b"P5\n%d %d\n255\n" % (WIDTH, len(payload) // WIDTH) + payload
+    return b"P5\n%d %d\n255\n" % (WIDTH, len(data) // WIDTH) + data
 
 
 def samples(stored_image: bytes) -> bytes:
@@ -138,9 +139,9 @@ def samples(stored_image: bytes) -> bytes:
     return rest
 
 
-def feature(payload: bytes) -> str:
+def feature(data: bytes) -> str:
     """Mean, 16-bin histogram (0 to f, by share) and an 8 x 8 mean hash of the image."""
-    x = np.frombuffer(payload, np.uint8)
+    x = np.frombuffer(data, np.uint8)
     bins = np.bincount(x >> 4, minlength=16) / len(x)
     shares = "".join(f"{min(15, int(b * 16)):x}" for b in bins)
     grid = x.reshape(-1, 8, 3).sum(axis=2, dtype=np.int64)
@@ -150,28 +151,50 @@ def feature(payload: bytes) -> str:
     return f"{x.mean():.3f}:{shares}:{int(bits, 2):016x}"
 
 
-STORED = "doc_id long, n_bytes long, html string, digest string, media binary"
+def payload(text: memoryview | bytes) -> bytes:
+    """A text in UTF-8, filled up with bytes 255 to a positive multiple of UNIT."""
+    n = len(text)
+    return bytes(text) + bytes([PAD]) * (max(UNIT, -(-n // UNIT) * UNIT) - n)
 
 
 def as_media(docs: DataFrame) -> DataFrame:
-    """Each document as a page that refers to its payload, and the payload as an image named by its digest.
+    """digest and media: the payload of each document (null text: empty) as an image, named by its digest."""
 
-    The payload is the text in UTF-8 (null: empty), filled up with bytes 255 to a positive multiple of UNIT.
-    """
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in blocks(batches):
+            media = [image(payload(t)) for t in _texts(block)]
+            yield pa.RecordBatch.from_arrays([pa.array([hashlib.sha256(m).hexdigest() for m in media], pa.string()), pa.array(media, pa.binary())], names=["digest", "media"])
+
+    return id_text(docs).mapInArrow(write, "digest string, media binary")
+
+
+def _texts(block: pa.RecordBatch) -> list[memoryview]:
+    data, at = raw_bytes(block.column("text"))
+    view, at = memoryview(data), at.tolist()
+    return [view[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
+
+
+def page(text: str, digest: str) -> str:
+    """A document as a page: its lines are paragraphs, and in their middle stands a figure with the payload, whose caption is
+    the paragraph before it."""
+    lines = [html.escape(" ".join(x.split())) for x in text.split("\n")]
+    lines = [x for x in lines if x]
+    half = len(lines) // 2
+    caption = f"<figcaption>{lines[half - 1]}</figcaption>" if half else ""
+    parts = [*(f"<p>{x}</p>" for x in lines[:half]), f'<figure><img src="{DIGEST}{digest}">{caption}</figure>', *(f"<p>{x}</p>" for x in lines[half:])]
+    return f"<article>{''.join(parts)}</article>"
+
+
+def as_pages(docs: DataFrame) -> DataFrame:
+    """doc_id, n_bytes and html of each document (see page); a null text is empty."""
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in blocks(batches):
-            data, at = raw_bytes(block.column("text"))
-            size = np.diff(at).tolist()
-            view = memoryview(data)
-            media = []
-            for begin, n in zip(at[:-1].tolist(), size, strict=True):
-                media.append(image(bytes(view[begin : begin + n]) + bytes([PAD]) * (max(UNIT, -(-n // UNIT) * UNIT) - n)))
-            digest = [hashlib.sha256(m).hexdigest() for m in media]
-            html = [f'<article><p>Document of {n} bytes.</p><figure><img src="{DIGEST}{d}"><figcaption>{n}</figcaption></figure></article>' for n, d in zip(size, digest, strict=True)]
-            yield pa.RecordBatch.from_arrays([block.column("doc_id"), pa.array(size, pa.int64()), pa.array(html), pa.array(digest), pa.array(media, pa.binary())], names=["doc_id", "n_bytes", "html", "digest", "media"])
+            texts = _texts(block)
+            pages = [page(bytes(t).decode(), hashlib.sha256(image(payload(t))).hexdigest()) for t in texts]
+            yield pa.RecordBatch.from_arrays([block.column("doc_id"), pa.array([len(t) for t in texts], pa.int64()), pa.array(pages, pa.string())], names=["doc_id", "n_bytes", "html"])
 
-    return id_text(docs).mapInArrow(write, STORED)
+    return id_text(docs).mapInArrow(write, "doc_id long, n_bytes long, html string")
 
 
 def payload_features(media: DataFrame) -> DataFrame:
@@ -187,8 +210,8 @@ def payload_features(media: DataFrame) -> DataFrame:
                 known.add(digest)
                 if hashlib.sha256(held).hexdigest() != digest:
                     raise ValueError(f"payload {digest} is damaged")
-                payload = samples(held)
-                rows.append((digest, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(held), digest, feature(payload)))
+                data = samples(held)
+                rows.append((digest, len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-32:]), len(held), digest, feature(data)))
             kinds = [pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["digest", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
 
@@ -197,8 +220,10 @@ def payload_features(media: DataFrame) -> DataFrame:
 
 
 def op3_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    held = stored(as_media(documents(spark, sf_dir)), "media")
-    pages = interleaved(held.select(F.struct("doc_id", "n_bytes").alias("document"), "html"), "document")
+    """pos: the texts and media before the payload in its document; caption_sha256: of its caption (null without one)."""
+    docs = documents(spark, sf_dir)
+    held = stored(as_media(docs), "media")
+    pages = interleaved(as_pages(docs).select(F.struct("doc_id", "n_bytes").alias("document"), "html"), "document")
     found = resolved(pages, stored(payload_features(held), "features"), "document")
-    names = ["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "pos", "caption"]
-    return found.select("document.doc_id", "document.n_bytes", *names)
+    names = ["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "pos"]
+    return found.select("document.doc_id", "document.n_bytes", *names, F.sha2("caption", 256).alias("caption_sha256"))
