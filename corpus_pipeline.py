@@ -15,35 +15,32 @@ from quizloom.llm import decontaminate, language_id, near_dedup, packing, secret
 from quizloom.llm.common import shared_dir
 
 
-#: A text of fewer characters may be ambiguous and stays all the same.
-SHORT = 200
-
-
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is told; `und` goes, and so do ambiguous texts unless they are too short to tell. The model
-    learns from those not held out."""
+    """Documents whose language is told; `und` and ambiguous texts go. The model learns from those not held out. Null and empty
+    texts go (no language); repeated rows and null doc_ids stay or go by their text."""
     model = language_id.fit(docs.filter(~language_id.held_out()))
-    told = language_id.predict(docs, model)
-    return told.filter((F.col("lang_pred") != language_id.UNKNOWN) & (~F.col("ambiguous") | (F.length("text") < SHORT))).select(*docs.columns)
+    told = language_id.predict(docs, model, ("_lang", "_score", "_ambiguous"))
+    return told.filter((F.col("_lang") != language_id.UNKNOWN) & ~F.col("_ambiguous")).select(*docs.columns)
 
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, the one with the smallest doc_id, of each group of near duplicates."""
+    """One document, the one with the smallest doc_id, of each group of near duplicates. Rows equal in doc_id and text are one
+    document; other rows with equal or null doc_id stand for themselves; texts without words stay."""
     return near_dedup.one_of_each(docs).select(*docs.columns)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark segment."""
+    """Documents that hold no benchmark segment. Null and empty texts hold none; without a benchmark all stay."""
     return decontaminate.decontaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select(*docs.columns)
 
 
 def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with secrets in their texts replaced by a mark."""
+    """All documents, with secrets in their texts replaced by a mark; n_chars follows. A null text stays null."""
     return secrets.redacted(docs).select(*docs.columns)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of all documents with their places in sequences."""
+    """Pieces of all documents with their places in sequences; a null text is empty. No documents: no pieces."""
     return packing.pack_documents(docs)
 
 
