@@ -166,10 +166,10 @@ def test_context_counts():
             for i, k, step, context, node, bit in steps(text):
                 slot = slots.begin[pairs[k][at[row] + i]] + step
                 n, m = want[k, context, node, bit], want[k, context, node, 1 - bit]
-                assert abs(slots.odds[slot] - math.log((n + scoring.PRIOR) / (m + scoring.PRIOR))) <= 0.05 + (0.25 if n + m > 5 else 0)
+                assert abs(scoring._odds(slots.known[slot]) - math.log((n + scoring.PRIOR) / (m + scoring.PRIOR))) <= 0.05 + (0.25 if n + m > 5 else 0)
                 if not held[row * 3 + g]:
-                    own_slot = slot + len(slots.odds) // 2
-                    assert abs(slots.odds[own_slot] - math.log((n - 1 + scoring.PRIOR) / (m + scoring.PRIOR))) <= 0.05 + (0.25 if n + m > 5 else 0)
+                    own_slot = slot + len(slots.known) // 2
+                    assert abs(scoring._odds(slots.known[own_slot]) - math.log((n - 1 + scoring.PRIOR) / (m + scoring.PRIOR))) <= 0.05 + (0.25 if n + m > 5 else 0)
 
 
 def test_planes():
@@ -196,7 +196,7 @@ def test_mixing_against_a_scalar_mixer(monkeypatch):
     again = scoring.Mixer().mixed(b, at, ~np.array(held), pairs, slots, code)
     assert got.tolist() == again.tolist()
 
-    nodes, weights, correction = len(slots.odds) // 2, np.full((3, scoring.GATES), 0.4), np.zeros(scoring.ODDS * 16)
+    nodes, weights, correction = len(slots.known) // 2, np.full((3, scoring.GATES), 0.4), np.zeros(scoring.ODDS * 16)
     for sweep in range(2):
         total = [0.0] * len(texts)
         for t in range(40):
@@ -206,8 +206,8 @@ def test_mixing_against_a_scalar_mixer(monkeypatch):
                     for step in range(code.size[b[i]]):
                         sign = 1 if code.bit[code.first[b[i]] + step] else -1
                         at_slot = [slots.begin[p[i]] + step + (0 if held[row] else nodes) for p in pairs]
-                        x = [float(slots.odds[s]) for s in at_slot]
-                        gate = int(slots.sure[at_slot[2]]) + 16 * min(int(slots.sure[at_slot[1]]) // 4, 3)
+                        x = [float(scoring._odds(slots.known[s])) for s in at_slot]
+                        gate = int(slots.known[at_slot[2]] & 15) + 16 * min(int(slots.known[at_slot[1]] & 15) // 4, 3)
                         z = min(14, max(-14, sum(weights[k][gate] * x[k] for k in range(3))))
                         bucket = int(min(31, max(0, z * sign * 2 + 16))) + 32 * (gate % 16)
                         final = z + correction[bucket] * sign
