@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from quizloom.llm import oracles
 from quizloom.llm.decontaminate import op4_decontamination
 from quizloom.llm.language_id import op10_language_id
 from quizloom.llm.media import op3_media
@@ -24,9 +25,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_decontamination": op4_decontamination,
     "op5_lm_scoring": op5_lm_scoring,
     "op6_near_dedup": op6_near_dedup,
-    "op8_token_files": op8_token_files,
     "op7_pii": op7_pii,
+    "op8_token_files": op8_token_files,
     "op9_secret_scan": op9_secret_scan,
     "op10_language_id": op10_language_id,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op2_substring_dedup": oracles.SUBSTRING_DEDUP, "op6_near_dedup": oracles.NEAR_DEDUP}
