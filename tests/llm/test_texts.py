@@ -208,6 +208,10 @@ def test_mixing_against_a_scalar_mixer(monkeypatch):
                         at_slot = [slots.begin[p[i]] + step + (0 if held[row] else nodes) for p in pairs]
                         x = [float(scoring._odds(slots.known[s])) for s in at_slot]
                         gate = int(slots.known[at_slot[2]] & 15) + 16 * min(int(slots.known[at_slot[1]] & 15) // 4, 3)
+                        word = int(slots.known[at_slot[2]]) & 15
+                        if word % 2 == 0 and word >= scoring.CERTAIN:
+                            total[row] += -math.log10(1 + math.exp(-x[2]))
+                            continue
                         z = min(14, max(-14, sum(weights[k][gate] * x[k] for k in range(3))))
                         bucket = int(min(31, max(0, z * sign * 2 + 16))) + 32 * (gate % 16)
                         final = z + correction[bucket] * sign
