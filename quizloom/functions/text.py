@@ -9,7 +9,9 @@ from __future__ import annotations
 import html
 import re
 import unicodedata
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
+from functools import reduce
+from operator import or_
 
 import pandas as pd
 from pyspark.sql import Column
@@ -72,14 +74,28 @@ def strip(text: Column) -> Column:
     return F.btrim(text, F.lit(P.SPACE_CHARACTERS))
 
 
+def _any(text: Column, parts: Iterable[str]) -> Column:
+    return reduce(or_, [F.contains(text, F.lit(x)) for x in parts])
+
+
+def squeezed(text: Column) -> Column:
+    """Runs of two white-space characters and more as one space. Few texts have any, and to look for them costs far less than
+    the pattern."""
+    may = _any(text, ("  ", *P.SPACE_CHARACTERS.replace(" ", "")))
+    return F.when(may, F.regexp_replace(text, rf"{P.SPACE}{{2,}}", " ")).otherwise(text)
+
+
 def collapse(text: Column) -> Column:
     """White-space runs as one space, none at the ends."""
-    return F.trim(F.regexp_replace(text, rf"{P.SPACE}+", " "))
+    common = reduce(lambda t, c: F.replace(t, F.lit(c), F.lit(" ")), "\n\t\r", text)
+    rare = P.SPACE_CHARACTERS.translate(str.maketrans("", "", " \n\t\r"))
+    plain = F.when(_any(text, rare), F.regexp_replace(common, P.SPACE, " ")).otherwise(common)
+    return F.trim(F.when(F.contains(plain, F.lit("  ")), F.regexp_replace(plain, " {2,}", " ")).otherwise(plain))
 
 
 def strip_markup(text: Column) -> Column:
     """Tags go first, so that a decoded bracket is never taken for one."""
-    return F.regexp_replace(text, P.TAG, "")
+    return F.when(F.contains(text, F.lit("<")), F.regexp_replace(text, P.TAG, "")).otherwise(text)
 
 
 def normalized(text: Column, python: bool = False) -> Column:

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from quizloom.functions import patterns as P
-from quizloom.functions.text import answer_letters, strip
+from quizloom.functions.text import answer_letters, squeezed, strip
 
 
 def _doc() -> WindowSpec:
@@ -32,7 +32,7 @@ def lines(docs: DataFrame, body: str = "body") -> DataFrame:
     may = reduce(or_, [F.contains("raw", F.lit(c)) for c in P.MARK_CHARACTERS])
     one = one.withColumn("marked", may & F.col("raw").rlike(P.CORRECT_MARK)).withColumn("blank", F.col("raw") == "")
     markless = F.when(F.col("marked"), F.regexp_replace("raw", P.CORRECT_MARK, " ")).otherwise(F.col("raw"))
-    one = one.withColumn("clean", strip(F.regexp_replace(markless, rf"{P.SPACE}{{2,}}", " ")))
+    one = one.withColumn("clean", strip(squeezed(markless)))
     # each pattern is tried once: its parts, or null where the line does not have it
     one = one.withColumn("option", _parts("clean", P.OPTION, 2))
     one = one.withColumn("bullet", F.when(F.col("option").isNull(), _parts("clean", P.BULLET, 1)))
@@ -132,7 +132,7 @@ def blocks(placed: DataFrame) -> DataFrame:
         F.min("n").alias("line_start"),
         F.max("n").alias("line_end"),
     ).filter((F.size("stems") > 0) | (F.size("parts") > 0))
-    question = strip(F.regexp_replace(F.array_join(F.transform("stems", lambda s: s["text"]), " "), rf"{P.SPACE}{{2,}}", " "))
+    question = strip(squeezed(F.array_join(F.transform("stems", lambda s: s["text"]), " ")))
 
     def merged(i: F.Column) -> F.Column:
         own = F.filter("parts", lambda p: p["option_no"] == i)
