@@ -301,21 +301,23 @@ def typed_promotion(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---- text functions ---------------------------------------------------------------------------------------------------
 
 
-@query(f"SELECT doc_id, sha256(trim(regexp_replace(regexp_replace(text, '<[^>]*>', '', 'g'), '{_SPACE}+', ' ', 'g'))) AS clean FROM documents WHERE NOT contains(text, '&')")
-def normalize_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "documents").filter(~F.contains("text", F.lit("&")))
-    return rows.select("doc_id", F.sha2(text.normalized(F.col("text")), 256).alias("clean"))
+@query(f"SELECT doc_id, sha256(trim(regexp_replace(regexp_replace(text, '<[^>]*>', '', 'g'), '{_SPACE}+', ' ', 'g'))) AS clean FROM documents")
+def collapse_markup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tags out and white space collapsed, over every document: the part of normalize_text that SQL can express."""
+    return table(spark, sf_dir, "documents").select("doc_id", F.sha2(text.collapse(text.strip_markup(F.col("text"))), 256).alias("clean"))
 
 
 @query()
-def normalize_all_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """normalize_text for every document: those with entities or accents to compose as well, which SQL cannot express, and
-    null texts."""
+def normalize_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document: those with entities or accents to compose as well, which SQL cannot express, and null texts."""
     rows = table(spark, sf_dir, "documents").select("doc_id", "text", F.coalesce(text.needs_python(F.col("text")), F.lit(False)).alias("python"))
     parts = [rows.filter(F.col("python") == python).select("doc_id", F.sha2(text.normalized(F.col("text"), python), 256).alias("clean")) for python in (False, True)]
     return parts[0].unionAll(parts[1])
 
 
+QUERIES["normalize_all_texts"] = normalize_text
+
+
 @query("SELECT p_partkey AS doc_id, p_name AS clean FROM part")
 def clean_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Marks, words and notes of feedback around each name, in turn; markup and white space as well."""
@@ -328,9 +330,9 @@ def clean_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 _RATIO = f"length(regexp_replace(text, '[^\\p{{L}}]', '', 'g'))::DOUBLE / length(regexp_replace(text, '{_SPACE}', '', 'g'))"
 
 
-@query(f"SELECT conv_id, turn, CASE WHEN length(regexp_replace(text, '{_SPACE}', '', 'g')) = 0 THEN 0 ELSE round({_RATIO}, 9) END AS ratio, regexp_matches(text, '[|@¤§¶©®™\\\\^~`]') AS has_furniture FROM conversations WHERE text IS NOT NULL")
+@query(f"SELECT conv_id, turn, CASE WHEN length(regexp_replace(text, '{_SPACE}', '', 'g')) = 0 THEN 0 ELSE round({_RATIO}, 9) END AS ratio, coalesce(regexp_matches(text, '[|@¤§¶©®™\\\\^~`]'), false) AS has_furniture FROM conversations")
 def readability(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "conversations").filter("text is not null")
+    rows = table(spark, sf_dir, "conversations")
     return rows.select("conv_id", "turn", F.round(quality.letter_ratio(F.col("text")), 9).alias("ratio"), (F.size(quality.furniture(F.col("text"))) > 0).alias("has_furniture"))
 
 
