@@ -495,20 +495,57 @@ def capture_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---- pages ------------------------------------------------------------------------------------------------------------
 
 
-@query("""SELECT p_partkey AS doc_id, k AS block_no, CASE k WHEN 0 THEN 'single-choice' WHEN 1 THEN 'true-false' WHEN 2 THEN 'flashcard' ELSE 'image-occlusion' END AS family, CASE k WHEN 0 THEN concat('Brand & type of ', p_name) WHEN 1 THEN 'Even size' WHEN 2 THEN p_name END AS question,
-CASE k WHEN 0 THEN p_brand WHEN 1 THEN CASE WHEN p_size % 2 = 0 THEN 'True' ELSE 'False' END ELSE '' END AS correct, CASE WHEN k = 3 THEN 'family' END AS reject FROM part, (SELECT unnest([0::BIGINT, 1, 2, 3]) AS k)""")
-def quiz_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _quiz_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cards of a page for each part: a question with an entity and tags, true/false, a flashcard, and a family that is none."""
     even = F.col("p_size") % 2 == 0
     html = F.concat(
         F.lit('<main><div data-question-id="a" data-family="single-choice"><p class="big question-stem">Brand &amp; type<br>of <b>'), "p_name", F.lit('</b></p><ul><li class="option-item" data-correct="true"><span data-clean-text="'), "p_brand",
         F.lit('">✓ x</span><li class="option-item">Other</ul></div></i><div data-question-id="b" data-family="true-false"><p class="question-stem">Even size</p><span class="option-item" data-correct="'), even.cast("string"), F.lit('">True</span><span class="option-item" data-correct="'), (~even).cast("string"),
         F.lit('">False</span></div><div data-question-id="c" data-family="flashcard"><i class="flashcard-front">'), "p_name", F.lit('</i><i class="flashcard-back">'), "p_brand", F.lit('</i></div><div data-question-id="d" data-family="image-occlusion"></div></main>'),
     )
-    rows = quiz_html.cards(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("doc_id"), html.alias("html")))
+    return quiz_html.cards(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("doc_id"), html.alias("html")))
+
+
+@query("""SELECT p_partkey AS doc_id, k AS block_no, CASE k WHEN 0 THEN 'single-choice' WHEN 1 THEN 'true-false' WHEN 2 THEN 'flashcard' ELSE 'image-occlusion' END AS family, CASE k WHEN 0 THEN concat('Brand & type of ', p_name) WHEN 1 THEN 'Even size' WHEN 2 THEN p_name END AS question,
+CASE k WHEN 0 THEN p_brand WHEN 1 THEN CASE WHEN p_size % 2 = 0 THEN 'True' ELSE 'False' END ELSE '' END AS correct, CASE WHEN k = 3 THEN 'family' END AS reject FROM part, (SELECT unnest([0::BIGINT, 1, 2, 3]) AS k)""")
+def quiz_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _quiz_cards(spark, sf_dir)
     correct = F.array_join(F.transform(F.filter("options", lambda o: o["is_correct"]), lambda o: o["text"]), "|")
     return rows.select("doc_id", F.col("block_no").cast("long").alias("block_no"), "family", "question", F.coalesce(correct, F.lit("")).alias("correct"), "reject")
 
 
+@query(f"SELECT p_partkey AS doc_id, {_KEY} AS deck_key, 3::BIGINT AS card_count, p_brand AS first_answer, CASE WHEN p_size % 2 = 0 THEN 'True' ELSE 'False' END AS second_answer, 'flashcard' AS third_type, p_brand AS third_back FROM part")
+def page_decks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quiz pages all the way to a deck, a flashcard among its cards."""
+    docs = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("doc_id"), F.col("p_name").alias("title"))
+    found = export.decks(materialized(_quiz_cards(spark, sf_dir), "cards"), docs, ALL_CAPABILITIES)
+    get = lambda path: F.get_json_object("deck", f"$.cards{path}")
+    return found.select("doc_id", "deck_key", "card_count", get("[0].correctAnswer").alias("first_answer"), get("[1].correctAnswer").alias("second_answer"), get("[2].type").alias("third_type"), get("[2].back.en").alias("third_back"))
+
+
+_PAGE_FP = "sha256(concat('qfp:1', chr(10), 'origin:https://fixture.local', chr(10), 'path:/fixture.html', chr(10), 'family:single-choice', chr(10), 'question:Brand & type of ', p_name, chr(10), 'option_count:2', chr(10), 'options:', array_to_string(list_sort([p_brand, 'Other']), chr(10))))"
+_PAGE_SRC = f"concat('src_', substr(sha256(concat('sid:1', chr(10), 'origin:https://fixture.local', chr(10), 'path:/fixture.html', chr(10), 'qfp:', {_PAGE_FP})), 1, 32))"
+
+
+@query(f"SELECT p_partkey AS doc_id, concat('draft_', substr(sha256(concat('drf:1', chr(10), 'source_id:', {_PAGE_SRC}, chr(10), 'family:single-choice')), 1, 16)) AS draft_id FROM part")
+def page_draft_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _quiz_cards(spark, sf_dir).filter("block_no = 0").select("doc_id", "draft_id")
+
+
+_CYRILLIC = "translate(p_type, 'AEO', 'АЕО')"
+
+
+@query(f"""WITH t AS (SELECT p_partkey AS doc_id, p_name AS a, CASE p_partkey % 3 WHEN 0 THEN {_CYRILLIC} WHEN 1 THEN p_type ELSE p_name || ' and more words' END AS b FROM part),
+r AS (SELECT *, length(regexp_replace(b, '[^A-Za-z]', '', 'g'))::DOUBLE / length(regexp_replace(b, '[^\\p{{L}}]', '', 'g')) AS rb, len(string_split(a, ' ')) AS na, len(string_split(b, ' ')) AS nb FROM t)
+SELECT doc_id, round(rb, 9) AS current_ratio, (1 > rb + 0.05) OR (na > nb) AS better FROM r""")
+def reads_better(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Readings of a row beside others: with letters of another alphabet, other text, and more words."""
+    k = F.col("p_partkey") % 3
+    current = F.when(k == 0, F.translate("p_type", "AEO", "АЕО")).when(k == 1, F.col("p_type")).otherwise(F.concat("p_name", F.lit(" and more words")))
+    rows = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("doc_id"), F.col("p_name").alias("a"), current.alias("b"))
+    return rows.select("doc_id", F.round(quality.latin_ratio(F.col("b")), 9).alias("current_ratio"), quality.reads_better(F.col("a"), F.col("b")).alias("better"))
+
+
 @query(f"SELECT p_partkey AS doc_id, sha256({BODY.replace('AS string', 'AS VARCHAR')}) AS body FROM part")
 def quiz_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quizzes(spark, sf_dir).select("doc_id", F.sha2("body", 256).alias("body"))
