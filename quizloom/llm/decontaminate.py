@@ -131,6 +131,9 @@ def banded_edits(pattern: bytes, text: bytes, low: int, width: int, budget: int)
     """Fewest edits of `pattern` against any part of `text` by alignments inside the band of diagonals (place in the text less
     place in the pattern) from `low` on, `width` of them, or budget + 1 if there are more than budget; where that part begins
     and ends."""
+    same = text.find(pattern)
+    if same >= 0 and low <= same < low + width:
+        return 0, same, same + len(pattern)
     p, n, far = np.frombuffer(pattern, np.uint8), len(text), budget + 1
     steps = np.arange(width)
     padded = np.zeros(max(0, len(p) + low + width) + len(p) + n + 2 + max(0, -low), np.uint8)
