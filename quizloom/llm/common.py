@@ -66,6 +66,8 @@ def blocks(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int =
 
 def raw_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of a string or binary column, and the n + 1 offsets of its rows; nulls are empty."""
+    if not len(column):
+        return np.zeros(0, dtype=np.uint8), np.zeros(1, dtype=np.int64)
     if column.null_count:
         column = pc.fill_null(column, pa.scalar("" if pa.types.is_string(column.type) or pa.types.is_large_string(column.type) else b"", column.type))
     wide = pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type)

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from quizloom.llm import oracles
 from quizloom.llm.decontaminate import op4_decontamination
+from quizloom.llm.infill import op13_fill_in_middle
 from quizloom.llm.language_id import op10_language_id
 from quizloom.llm.media import op3_media
 from quizloom.llm.near_dedup import op6_near_dedup
@@ -29,5 +30,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_files": op8_token_files,
     "op9_secret_scan": op9_secret_scan,
     "op10_language_id": op10_language_id,
+    "op13_fill_in_middle": op13_fill_in_middle,
+}
+ORACLE_SQL: dict[str, str] = {
+    "op2_substring_dedup": oracles.SUBSTRING_DEDUP,
+    "op6_near_dedup": oracles.NEAR_DEDUP,
+    "op13_fill_in_middle": oracles.FILL_IN_MIDDLE,
 }
-ORACLE_SQL: dict[str, str] = {"op2_substring_dedup": oracles.SUBSTRING_DEDUP, "op6_near_dedup": oracles.NEAR_DEDUP}

@@ -2,7 +2,7 @@
 
 import random
 
-from conftest import prose
+from texts_for_tests import prose
 
 import corpus_pipeline
 

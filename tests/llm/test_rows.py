@@ -1,7 +1,7 @@
 """Odd rows for every operator: long texts, repeated rows, null ids and texts, columns with clashing names, no rows at all."""
 
 import pytest
-from conftest import prose
+from texts_for_tests import prose
 
 from quizloom.llm import decontaminate, language_id, media, near_dedup, packing, pii, scoring, secrets, substring_dedup, token_files
 

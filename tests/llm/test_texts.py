@@ -9,7 +9,7 @@ from collections import Counter
 
 import pyarrow as pa
 import pytest
-from conftest import prose
+from texts_for_tests import prose
 
 from quizloom.llm import decontaminate, language_id, media, pii, scoring, secrets
 
