@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from quizloom.llm import oracles
+from quizloom.llm.archives import op12_arc_to_warc
 from quizloom.llm.decontaminate import op4_decontamination
 from quizloom.llm.infill import op13_fill_in_middle
 from quizloom.llm.language_id import op10_language_id
@@ -30,10 +31,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_files": op8_token_files,
     "op9_secret_scan": op9_secret_scan,
     "op10_language_id": op10_language_id,
+    "op12_arc_to_warc": op12_arc_to_warc,
     "op13_fill_in_middle": op13_fill_in_middle,
 }
 ORACLE_SQL: dict[str, str] = {
     "op2_substring_dedup": oracles.SUBSTRING_DEDUP,
     "op6_near_dedup": oracles.NEAR_DEDUP,
+    "op12_arc_to_warc": oracles.ARC_TO_WARC,
     "op13_fill_in_middle": oracles.FILL_IN_MIDDLE,
 }
