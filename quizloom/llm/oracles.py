@@ -42,3 +42,18 @@ SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_c
 ARC_TO_WARC = """WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS h FROM pages),
 b AS (SELECT page_id, payload_bytes, h, array_to_string([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (((('0x' || substr(h, i // 4 * 5 + 1, 5))::BIGINT >> (15 - 5 * (i % 4))) & 31) + 1)::BIGINT, 1) FOR i IN range(32)], '') AS payload_digest FROM p)
 SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = max(page_id) OVER w THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id < max(page_id) OVER w THEN max(page_id) OVER w END AS refers_to FROM b WINDOW w AS (PARTITION BY h)"""
+
+_CRC32 = "xor(list_reduce(list_concat([4294967295], flatten([[ord(substr(conv_id::VARCHAR, i, 1)), -1, -1, -1, -1, -1, -1, -1, -1] FOR i IN range(1, length(conv_id::VARCHAR) + 1)])), lambda a, x: CASE WHEN x >= 0 THEN xor(a, x) ELSE xor(a >> 1, (a & 1) * 3988292384) END), 4294967295)"
+
+#: Rebuilt conversations as lists of turns; nodes by the hash of a prefix; sums over the prefixes of each node's smallest member.
+PREFIX_TRIE = rf"""WITH t AS (SELECT conv_id, turn, sha256(strlen(coalesce(role, ''))::VARCHAR || ':' || coalesce(role, '') || coalesce(text, '')) AS b, len(regexp_extract_all(coalesce(text, ''), {_WORD})) AS w FROM conversations WHERE conv_id IS NOT NULL),
+own AS (SELECT conv_id, list(b ORDER BY turn NULLS FIRST, b) AS b, list(w ORDER BY turn NULLS FIRST, b) AS w FROM t GROUP BY conv_id),
+f AS (SELECT conv_id, b, w, ({_CRC32} % 4)::BIGINT AS h FROM own),
+c AS (SELECT f.conv_id, list_concat(coalesce(s.b[1:h], []), f.b[h + 1:]) AS b, list_concat(coalesce(s.w[1:h], []), f.w[h + 1:]) AS w FROM f LEFT JOIN own s ON s.conv_id = f.conv_id - f.conv_id % 20),
+p AS MATERIALIZED (SELECT conv_id, d, md5(array_to_string(b[1:d], ',')) AS key, CASE WHEN d > 0 THEN w[d] ELSE 0 END AS w, d = len(b) AS done FROM (SELECT conv_id, b, w, unnest(range(len(b) + 1)) AS d FROM c)),
+n AS MATERIALIZED (SELECT d, key, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(w) * (count(*) - 1) AS own, sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (done), '')) AS ends_sha256 FROM p GROUP BY d, key),
+u AS (SELECT n.d, n.key, q.key AS up, m.conv_id AS parent_conv_id FROM n JOIN p q ON q.conv_id = n.conv_id AND q.d = n.d - 1 JOIN n m ON m.d = q.d AND m.key = q.key),
+k AS (SELECT d - 1 AS d, up AS key, count(*) AS n_children FROM u GROUP BY ALL),
+x AS (SELECT n.*, coalesce(n_children, 0) AS n_children, parent_conv_id FROM n LEFT JOIN k ON k.d = n.d AND k.key = n.key LEFT JOIN u ON u.d = n.d AND u.key = n.key),
+s AS (SELECT p.d, p.key, sum(own)::BIGINT AS saved_tokens, count(*) FILTER (n_children = 0) AS n_leaves FROM x JOIN p ON p.conv_id = x.conv_id AND p.d <= x.d GROUP BY ALL)
+SELECT conv_id, x.d AS depth, parent_conv_id, n_convs, n_children, n_leaves, saved_tokens, ends_sha256 FROM x JOIN s ON s.d = x.d AND s.key = x.key"""
