@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
 
@@ -14,3 +16,21 @@ def materialized(df: DataFrame, name: str) -> DataFrame:
     path = f"{at.rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def runs_of_key(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
+    """The rows of each key in turn, from batches that are sorted by it."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        keys, at = batch.column(key).to_pylist(), 0
+        for k in range(1, len(keys) + 1):
+            if k < len(keys) and keys[k] == keys[at]:
+                continue
+            if held and keys[at] != last:
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(batch.slice(at, k - at))
+            last, at = keys[at], k
+    if held:
+        yield pa.Table.from_batches(held)
