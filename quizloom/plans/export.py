@@ -187,8 +187,31 @@ def _is_object(value: Column) -> Column:
     return F.coalesce(F.schema_of_variant(value).startswith("OBJECT"), F.lit(False))
 
 
+def _written(value: Column) -> Column:
+    """A value as messages and comparisons write it: a null that is there as None, truths in capitals, others as in JSON; null if
+    there is no such key. (Numbers with a fraction and nested values are compared as JSON writes them.)"""
+    kind = F.schema_of_variant(value)
+    text = F.try_variant_get(value, "$", "string")
+    return F.when(kind == "VOID", "None").when(kind == "BOOLEAN", F.initcap(text)).otherwise(F.coalesce(text, F.to_json(value)))
+
+
+def _holds(value: Column) -> Column:
+    """Whether a value counts as true: all do but false, null, zero, and empty strings, lists and objects."""
+    text = F.try_variant_get(value, "$", "string")
+    number = F.schema_of_variant(value).rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT)") & (F.try_variant_get(value, "$", "double") == 0)
+    empty = F.schema_of_variant(value).isin("VOID", "ARRAY<VOID>", "OBJECT<>") & (F.coalesce(F.to_json(value), F.lit("null")).isin("null", "[]", "{}"))
+    return F.coalesce(value.isNotNull() & ~empty & ~number & (F.coalesce(text, F.lit("x")) != "") & ~((F.schema_of_variant(value) == "BOOLEAN") & (text == "false")), F.lit(False))
+
+
 def _is_text(value: Column) -> Column:
-    return F.trim(F.coalesce(value, F.lit(""))) != ""
+    """Whether something other than white space is written there."""
+    return F.trim(F.coalesce(_written(value), F.lit(""))) != ""
+
+
+def _repr(value: Column) -> Column:
+    """A value in a message: strings in quotes, what is missing as None."""
+    text = F.coalesce(_written(value), F.lit("None"))
+    return F.when(F.schema_of_variant(value) == "STRING", F.concat(F.lit("'"), text, F.lit("'"))).otherwise(text)
 
 
 def _quoted(values: Column) -> Column:
@@ -199,20 +222,21 @@ def _quoted(values: Column) -> Column:
 def _card_errors(card: Column, where: Column, capabilities: list[str]) -> Column:
     """Messages on one card that is an object, in order. Their wording."""
     say = lambda cond, text: F.when(cond, F.concat(where, F.lit(": "), text if isinstance(text, Column) else F.lit(text)))
-    blank = lambda key: F.coalesce(~F.exists(F.map_values(_get(card, key, "map<string,variant>")), lambda v: _is_text(F.coalesce(v.cast("string"), F.lit("null")))), F.lit(True))
-    kind = _get(card, "type")
+    blank = lambda key: F.coalesce(~F.exists(F.map_values(_get(card, key, "map<string,variant>")), _is_text), F.lit(True))
+    kind = F.when(F.schema_of_variant(_get(card, "type", "variant")) == "STRING", _get(card, "type"))
     mcq, flash = F.coalesce(kind == "mcq", F.lit(False)), F.coalesce(kind == "flashcard", F.lit(False))
     options = _get(card, "options", _LIST)
     listed, n = mcq & options.isNotNull(), F.coalesce(F.size(options), F.lit(0))
     two = F.coalesce(_get(card, "sourceFormat") == "true-false", F.lit(False))
     several = F.coalesce(_get(card, "selectionMode") == "multiple", F.lit(False))
     many, only = listed & several, listed & ~several
-    right = F.filter(options, lambda o: _is_object(o) & F.coalesce(_get(o, "isCorrect", "boolean"), F.lit(False)))
+    any_of = lambda o, key: _get(o, key, "variant")
+    right = F.filter(options, lambda o: _is_object(o) & _holds(any_of(o, "isCorrect")))
     distinct = lambda c: F.array_sort(F.array_distinct(c))
     ids = F.coalesce(distinct(_get(card, "correctOptionIds", "array<string>")), F.array().cast("array<string>"))
-    flagged = F.coalesce(distinct(F.transform(right, lambda o: F.coalesce(_get(o, "optionId"), F.lit("None")))), F.array().cast("array<string>"))
-    empty = F.transform(options, lambda o, k: F.when(~(_is_object(o) & _is_text(_get(o, "text"))), F.concat(where, F.lit(": option "), (k + 1).cast("string"), F.lit(" has no text"))))
-    answer, stated = _get(card, "correctAnswer"), _get(F.get(right, F.lit(0)), "text")
+    flagged = F.coalesce(distinct(F.transform(right, lambda o: F.coalesce(_written(any_of(o, "optionId")), F.lit("None")))), F.array().cast("array<string>"))
+    empty = F.transform(options, lambda o, k: F.when(~(_is_object(o) & _is_text(any_of(o, "text"))), F.concat(where, F.lit(": option "), (k + 1).cast("string"), F.lit(" has no text"))))
+    answer, stated = _written(any_of(card, "correctAnswer")), _written(any_of(F.get(right, F.lit(0)), "text"))
     first = F.array(
         say(blank("question"), "the question is empty"),
         say(mcq & options.isNull(), "mcq needs an options list"),
@@ -228,7 +252,7 @@ def _card_errors(card: Column, where: Column, capabilities: list[str]) -> Column
         say(only & (F.size(right) == 1) & (F.trim(F.coalesce(answer, F.lit(""))) != F.trim(F.coalesce(stated, F.lit("")))), "correctAnswer must repeat the text of the correct option"),
         say(flash & blank("front"), "the flashcard front is empty"),
         say(flash & blank("back"), "the flashcard back is empty"),
-        say(~mcq & ~flash, F.concat(F.lit("type "), F.coalesce(F.concat(F.lit("'"), kind, F.lit("'")), F.lit("None")), F.lit(" is not supported by this target profile"))),
+        say(~mcq & ~flash, F.concat(F.lit("type "), _repr(any_of(card, "type")), F.lit(" is not supported by this target profile"))),
     )
     return F.array_compact(F.concat(first, F.when(listed, empty).otherwise(F.array().cast("array<string>")), after))
 
@@ -237,20 +261,21 @@ def check_decks(decks: DataFrame, capabilities: list[str], target: str = P.TARGE
     """doc_id and errors (in order) of decks given as JSON in `deck`: a person's edit, so nothing is taken for granted of the
     kinds of its values. Text that is no JSON object is one error."""
     rows = decks.select("doc_id", F.try_parse_json("deck").alias("deck"))
-    rows = rows.withColumns({"ok": _is_object(F.col("deck")), "schema": _get(F.col("deck"), "schemaId")})
+    rows = rows.withColumns({"ok": _is_object(F.col("deck")), "schema": _get(F.col("deck"), "schemaId", "variant")})
     cards = rows.filter("ok").select("doc_id", F.posexplode(_get(F.col("deck"), "cards", _LIST)).alias("at", "card")).withColumn("object", _is_object(F.col("card")))
-    name = F.nullif(_get(F.col("card"), "cardId"), F.lit(""))
+    key = _get(F.col("card"), "cardId", "variant")
+    name = F.when(_holds(key), _written(key))
     number = (F.col("at") + 1).cast("string")
     where = F.concat(F.lit("card "), F.when(F.col("object"), F.coalesce(name, number)).otherwise(number))
-    cards = cards.withColumns({"where": where, "id": F.when(F.col("object"), F.coalesce(_get(F.col("card"), "cardId"), F.lit("")))})
+    cards = cards.withColumns({"where": where, "id": F.when(F.col("object"), F.coalesce(_written(key), F.lit("")))})
     again = F.row_number().over(Window.partitionBy("doc_id", "id").orderBy("at")) > 1
     cards = cards.withColumn("again", again & F.col("id").isNotNull())
     none = F.array().cast("array<string>")
     own = F.when(~F.col("object"), F.array(F.concat("where", F.lit(": is not an object")))).otherwise(_card_errors(F.col("card"), F.col("where"), capabilities))
     repeated = F.when(F.col("again"), F.array(F.concat(F.lit("card "), "id", F.lit(": duplicate cardId")))).otherwise(none)
     held = cards.select("doc_id", "at", F.concat(own, repeated).alias("e")).groupBy("doc_id").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("at", "e"))), lambda x: x["e"])).alias("body"))
-    found = F.coalesce(F.concat(F.lit("'"), F.col("schema"), F.lit("'")), F.lit("None"))
-    head = F.when(F.col("schema").eqNullSafe(target), none).otherwise(F.array(F.concat(F.lit(f"schemaId must be '{target}', found "), found)))
+    found = _repr(F.col("schema"))
+    head = F.when((F.schema_of_variant(F.col("schema")) == "STRING") & (_written(F.col("schema")) == target), none).otherwise(F.array(F.concat(F.lit(f"schemaId must be '{target}', found "), found)))
     body = F.coalesce("body", F.array(F.lit("the deck has no cards")))
     errors = F.when(F.col("ok"), F.concat(head, body)).otherwise(F.array(F.lit("the deck is not a JSON object")))
     return rows.select("doc_id", "ok", "schema").join(held, "doc_id", "left").select("doc_id", errors.alias("errors"))

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quizloom.functions import patterns as P
@@ -40,3 +41,50 @@ def golden(expected: DataFrame, found: DataFrame) -> DataFrame:
     }
     one = rows.agg(*[v.alias(k) for k, v in values.items()])
     return one.unpivot([], list(values), "metric", "value")
+
+
+def matched(expected: DataFrame, found: DataFrame, least: float = 0.5) -> DataFrame:
+    """doc_id, e_block and f_block: which found card is which expected one, each at most once (doc_id, block_no, question).
+
+    Cards whose normalised questions are equal go together first, in turn if there are several; of the others, those whose words
+    overlap the most (shared over all, `least` at least), the earlier of equals. So cards that are shifted, or split in two, are
+    still told. Pairs are made from shared words within a document; what is left to choose is at most a document's cards.
+    """
+    numbered = lambda rows, side: rows.select("doc_id", F.col("block_no").alias(f"{side}_block"), collapse(F.col("question")).alias("question")).withColumn("k", F.row_number().over(Window.partitionBy("doc_id", "question").orderBy(f"{side}_block")))
+    e, f = numbered(expected, "e"), numbered(found, "f")
+    equal = e.join(f, ["doc_id", "question", "k"]).select("doc_id", "e_block", "f_block")
+    words = F.array_distinct(F.filter(F.split(F.lower("question"), " "), lambda w: w != ""))
+    left = lambda rows, side: rows.join(equal, ["doc_id", f"{side}_block"], "left_anti").select("doc_id", f"{side}_block", words.alias(f"{side}_words"))
+    spread = lambda rows, side: rows.select("doc_id", f"{side}_block", F.size(f"{side}_words").alias(f"{side}_size"), F.explode(f"{side}_words").alias("word"))
+    shared = spread(left(e, "e"), "e").join(spread(left(f, "f"), "f"), ["doc_id", "word"]).groupBy("doc_id", "e_block", "f_block", "e_size", "f_size").agg(F.count(F.lit(1)).alias("n"))
+    score = F.col("n") / (F.col("e_size") + F.col("f_size") - F.col("n"))
+    kind = f"doc_id {expected.schema['doc_id'].dataType.simpleString()}, e_block {expected.schema['block_no'].dataType.simpleString()}, f_block {found.schema['block_no'].dataType.simpleString()}"
+
+    def chosen(pairs: pd.DataFrame) -> pd.DataFrame:
+        taken_e, taken_f, keep = set(), set(), []
+        for r in pairs.sort_values(["score", "e_block", "f_block"], ascending=[False, True, True]).itertuples():
+            free = r.e_block not in taken_e and r.f_block not in taken_f
+            keep.append(free)
+            if free:
+                taken_e.add(r.e_block)
+                taken_f.add(r.f_block)
+        return pairs.sort_values(["score", "e_block", "f_block"], ascending=[False, True, True])[keep][["doc_id", "e_block", "f_block"]]
+
+    near = shared.select("doc_id", "e_block", "f_block", score.alias("score")).filter(F.col("score") >= least).groupBy("doc_id").applyInPandas(chosen, kind)
+    return equal.unionByName(near)
+
+
+def detection(expected: DataFrame, found: DataFrame, least: float = 0.5) -> DataFrame:
+    """metric (detection_precision, detection_recall) and value: of the found cards those that are expected ones, and of the
+    expected cards those that are found; null where there are none."""
+    counts = {"both": matched(expected, found, least), "f": found, "e": expected}
+    rows = [df.select(F.lit(name).alias("of"), F.lit(1).alias("one")) for name, df in counts.items()]
+    one = rows[0].unionByName(rows[1]).unionByName(rows[2]).agg(*[F.count_if(F.col("of") == name).alias(name) for name in counts])
+    return one.select(F.try_divide("both", "f").alias("detection_precision"), F.try_divide("both", "e").alias("detection_recall")).unpivot([], ["detection_precision", "detection_recall"], "metric", "value")
+
+
+def aligned(expected: DataFrame, found: DataFrame, least: float = 0.5) -> DataFrame:
+    """found with the block_no of the expected card that each is; cards that are none are left out, so that golden() compares
+    cards by what they say and not by where they stand."""
+    pairs = matched(expected, found, least).withColumnRenamed("f_block", "block_no")
+    return found.join(pairs, ["doc_id", "block_no"]).drop("block_no").withColumnRenamed("e_block", "block_no")

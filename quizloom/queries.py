@@ -590,11 +590,19 @@ def usable_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return geometry.usable_blocks(geometry.drawn_blocks(*_drawn(spark, sf_dir)))
 
 
-@query("""WITH e AS (SELECT o_orderkey AS doc_id, o_custkey % 50 AS l, o_custkey % 50 + 10 + o_orderkey % 40 AS r FROM orders WHERE o_orderkey % 7 = 0)
-SELECT doc_id, y::BIGINT AS y, avg(least(255, x * 3 + y))::DOUBLE AS red FROM e, range(0, 60) t(x), (SELECT unnest([0, 4, 8]) AS y) WHERE x >= least(l, 59) AND x < least(greatest(least(l, 59) + 1, r), 60) GROUP BY doc_id, y""")
+PAGE_MEANS = """WITH e AS (SELECT o_orderkey AS doc_id, o_custkey % 50 AS l, o_custkey % 50 + 10 + o_orderkey % 40 AS r FROM orders)
+SELECT doc_id, y::BIGINT AS y, avg(least(255, x * 3 + y))::DOUBLE AS red FROM e, range(0, 60) t(x), (SELECT unnest([0, 4, 8]) AS y) WHERE x >= least(l, 59) AND x < least(greatest(least(l, 59) + 1, r), 60) GROUP BY doc_id, y"""
+
+
+def page_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page for each order; the column of some reaches over the edge."""
+    return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id"), (F.col("o_custkey") % 50).cast("int").alias("left"), (F.col("o_custkey") % 50 + 10 + F.col("o_orderkey") % 40).cast("int").alias("right"))
+
+
+@query(PAGE_MEANS)
 def page_row_means(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages of 60 x 10 pixels; the column of some reaches over the edge."""
-    rows = table(spark, sf_dir, "orders").filter("o_orderkey % 7 = 0").select(F.col("o_orderkey").alias("doc_id"), (F.col("o_custkey") % 50).cast("int").alias("left"), (F.col("o_custkey") % 50 + 10 + F.col("o_orderkey") % 40).cast("int").alias("right"))
+    """Pages of 60 x 10 pixels, a row for each pixel."""
+    rows = page_edges(spark, sf_dir)
     pixels = rows.select("doc_id", F.explode(F.sequence(F.lit(0), F.lit(59))).alias("x")).withColumn("y", F.explode(F.sequence(F.lit(0), F.lit(9))))
     shade = F.least(F.lit(255), F.col("x") * 3 + F.col("y"))
     found = geometry.row_means(pixels.withColumns({"red": shade, "green": shade, "blue": shade}), rows)
@@ -648,7 +656,7 @@ def deck_check_untyped(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH v AS (SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN 9 ELSE 1 END AS n FROM ({_QUESTIONS}) GROUP BY doc_id) SELECT doc_id, n::BIGINT AS blocking, 0::BIGINT AS warnings, n::BIGINT AS last_issue FROM v")
 def issue_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     cards = _cards(spark, sf_dir)
-    issues = materialized(rules.in_order(rules.validate(cards, C.evidence(cards), ["mcq.single"])), "issues")
+    issues = materialized(rules.in_order(rules.validate(cards, C.evidence(cards), ["mcq.single"]), cards), "issues")
     return rules.issue_totals(issues).join(issues.groupBy("doc_id").agg(F.max("issue_no").cast("long").alias("last_issue")), "doc_id")
 
 

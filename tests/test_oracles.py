@@ -4,6 +4,9 @@ import duckdb
 import pytest
 
 from quizloom import queries as Q
+from quizloom import source_queries
+
+assert source_queries  # registers its queries
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()

@@ -49,7 +49,8 @@ def test_recognisers_and_pixels(spark):
             raise ValueError("unreadable")
         return [(1, 1, 1, 1, 1, 0, 0, 5, 9, 90.0, "Hello")]
 
-    assert [(r["doc_id"], r["text"]) for r in recognise.recognised(images, read).collect()] == [(1, "Hello")]
+    words = recognise.recognised(images, read).orderBy("doc_id").collect()
+    assert [(r["doc_id"], r["text"], r["error"]) for r in words] == [(1, "Hello", None), (2, None, "ValueError: unreadable"), (3, None, "ValueError: unreadable")]
     edges = spark.createDataFrame([(k, 1, 9) for k in (1, 2, 3)], "doc_id long, left int, right int")
     assert [(r["y"], r["red"], r["green"], r["height"]) for r in recognise.image_rows(images, edges, 2).orderBy("y").collect()] == [(0, 10.0, 20.0, 3), (2, 10.0, 20.0, 3)]
 
@@ -74,8 +75,12 @@ def test_verbs(spark, tmp_path, capsys):
     at = str(tmp_path / "in")
     assert cli.main(["extract", at], spark) == 0
     assert [c["family"] for c in json.loads(capsys.readouterr().out)["cards"]] == ["single-choice", "multiple-select"]
-    assert cli.main(["validate", at], spark) == 0 and "No issues" in capsys.readouterr().out
-    assert cli.main(["export", at, "--capability", "x.y", "-o", str(tmp_path / "out")], spark) == 0 and "2 card(s)" in capsys.readouterr().out
+    assert cli.main(["validate", at], spark) == 1 and "capability-missing" in capsys.readouterr().out
+    (tmp_path / "profile.json").write_text('{"capabilities": ["mcq.single", "mcq.multiple-select.v1"]}')
+    profile = ["--profile", str(tmp_path / "profile.json")]
+    assert cli.main(["validate", at, *profile], spark) == 0 and capsys.readouterr() == ("", "0 issues, 0 of them stop an export\n")
+    assert cli.main(["export", at], spark) == 0 and "blocked" in capsys.readouterr().err
+    assert cli.main(["export", at, *profile, "--capability", "x.y", "-o", str(tmp_path / "out")], spark) == 0 and "1 decks with 2 cards" in capsys.readouterr().err
     deck = json.loads(spark.read.text(str(tmp_path / "out")).first()[0])
     assert deck["meta"]["cardCount"] == 2
     (tmp_path / "none").mkdir()
@@ -89,8 +94,11 @@ def test_verbs(spark, tmp_path, capsys):
         ("[]", ["the deck is not a JSON object"]),
         ("{", ["the deck is not a JSON object"]),
         (None, ["the deck is not a JSON object"]),
-        ('{"schemaId":3,"cards":{}}', ["schemaId must be 'learncard.v1', found '3'", "the deck has no cards"]),
+        ('{"schemaId":3,"cards":{}}', ["schemaId must be 'learncard.v1', found 3", "the deck has no cards"]),
         ('{"schemaId":"learncard.v1","cards":["x",{"type":"mcq","options":"no"}]}', ["card 1: is not an object", "card 2: the question is empty", "card 2: mcq needs an options list"]),
+        ('{"schemaId":null,"cards":[{"type":7,"question":{"en":null},"cardId":0},{"type":"flashcard","question":{"en":"q"},"front":{"en":false},"back":{"en":""},"cardId":true}]}', ["schemaId must be 'learncard.v1', found None", "card 1: type 7 is not supported by this target profile", "card True: the flashcard back is empty"]),
+        ('{"schemaId":"learncard.v1","cards":[{"type":"mcq","question":{"en":"q"},"cardId":null,"correctAnswer":"a","options":[{"text":"a","isCorrect":"false"},{"text":null,"isCorrect":1},{"text":"c","isCorrect":[]},{"text":" ","isCorrect":0.0},{"text":0,"isCorrect":{}}]},{"cardId":null,"type":null,"question":{"en":"q"}}]}', ["card 1: option 4 has no text", "card 1: mark exactly one correct option, 2 are marked", "card 2: type None is not supported by this target profile", "card None: duplicate cardId"]),
+        ('{"schemaId":"learncard.v1","cards":[{"type":"mcq","question":{"en":"q"},"correctAnswer":null,"options":[{"text":null,"isCorrect":true},{"text":"b","isCorrect":""}]},{"question":"q"}]}', ["card 2: the question is empty", "card 2: type None is not supported by this target profile", "card : duplicate cardId"]),
         ('{"schemaId":"learncard.v1","cards":[{"type":"match","question":{"en":" "}}]}', ["card 1: the question is empty", "card 1: type 'match' is not supported by this target profile"]),
     ],
 )
