@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 
 from quizloom.llm.common import blocks, documents, id_text, raw_bytes
 
-#: Length of q-grams, less for short segments, and the fewest characters of an item: shorter ones (a word, a number) say
-#: nothing of a text and are left out.
+#: Length of q-grams, less for short segments. Items of fewer characters have no q-gram and no edit to spare: they are looked
+#: for as they are, between white space or the ends of a text.
 Q = 7
 LEAST_ITEM = 7
 #: Shared q-grams that a region needs at least. The most frequent q-grams of a segment are left out as far as the bound,
@@ -65,7 +65,7 @@ def _grams(b: np.ndarray, q: int) -> np.ndarray:
 class Table:
     """Segments of a benchmark and their q-grams."""
 
-    item: np.ndarray  # by segment
+    item: list[int | None]  # by segment
     start: np.ndarray  # of the segment, in its item
     q: int
     texts: list[bytes]
@@ -89,10 +89,10 @@ def _bound(size: int, q: int, rate: float) -> int:
     return size - q + 1 - q * int(size * rate)
 
 
-def make_tables(items: list[tuple[int, str]], q: int = Q, segment: int = SEGMENT, stride: int = STRIDE, rate: float = RATE) -> list[Table]:
+def make_tables(items: list[tuple[int | None, str]], q: int = Q, segment: int = SEGMENT, stride: int = STRIDE, rate: float = RATE) -> list[Table]:
     """A table for each length of q-grams. An item of under `segment` characters is one segment, with q-grams as long as the
-    bound allows, at most q; items of under LEAST_ITEM characters have none."""
-    found: dict[int, list[tuple[int, int, bytes]]] = {}
+    bound allows, at most q; items of under LEAST_ITEM characters have none, see make_phrases()."""
+    found: dict[int, list[tuple[int | None, int, bytes]]] = {}
     for item, text in items:
         b = normalised(pa.array([text or ""]))[0].tobytes().rstrip()
         if len(b) < LEAST_ITEM:
@@ -106,7 +106,7 @@ def make_tables(items: list[tuple[int, str]], q: int = Q, segment: int = SEGMENT
     return [_table(rows, length, rate) for length, rows in sorted(found.items())]
 
 
-def _table(rows: list[tuple[int, int, bytes]], q: int, rate: float) -> Table:
+def _table(rows: list[tuple[int | None, int, bytes]], q: int, rate: float) -> Table:
     owner, begins, texts = zip(*rows, strict=True)
     budget = np.array([int(len(t) * rate) for t in texts], dtype=np.int64)
     bound = np.array([_bound(len(t), q, rate) for t in texts], dtype=np.int64)
@@ -124,7 +124,44 @@ def _table(rows: list[tuple[int, int, bytes]], q: int, rate: float) -> Table:
     keys, first = np.unique(every[order], return_index=True)
     occurs = np.zeros(1 << 18, bool)
     occurs[_hash18(keys)] = True
-    return Table(np.array(owner, np.int64), np.array(begins, np.int64), q, list(texts), budget, bound, least, grams, keys, np.append(first, len(every)), own[order], place[order], occurs)
+    return Table(list(owner), np.array(begins, np.int64), q, list(texts), budget, bound, least, grams, keys, np.append(first, len(every)), own[order], place[order], occurs)
+
+
+@dataclass
+class Phrases:
+    """Items of one length under LEAST_ITEM."""
+
+    size: int
+    known: np.ndarray  # distinct ones as numbers, ascending
+    items: list[list[int | None]]
+
+
+def make_phrases(items: list[tuple[int | None, str]]) -> list[Phrases]:
+    """The short items, by length; an item without letters or digits has none."""
+    found: dict[int, dict[int, list[int | None]]] = {}
+    for item, text in items:
+        b = normalised(pa.array([text or ""]))[0].tobytes().rstrip()
+        if 0 < len(b) < LEAST_ITEM:
+            found.setdefault(len(b), {}).setdefault(int.from_bytes(b, "little"), []).append(item)
+    return [Phrases(size, np.array(sorted(own), _U64), [own[k] for k in sorted(own)]) for size, own in sorted(found.items())]
+
+
+def _phrase_matches(b: np.ndarray, at: np.ndarray, source: np.ndarray, phrases: Phrases) -> list[tuple[int | None, ...]]:
+    """Occurrences of short items that begin and end at white space or an end of the text."""
+    g, n = _grams(b, phrases.size), phrases.size
+    if not len(g):
+        return []
+    begins = np.ones(len(b), bool)
+    begins[1:] = b[:-1] == 32
+    begins[at[:-1][at[:-1] < len(b)]] = True
+    ends = np.zeros(len(b) + 1, bool)
+    ends[: len(b)] = b == 32
+    ends[at[1:]] = True
+    k = np.minimum(np.searchsorted(phrases.known, g), len(phrases.known) - 1)
+    hit = np.flatnonzero((phrases.known[k] == g) & begins[: len(g)] & ends[n : n + len(g)])
+    row = np.searchsorted(at, hit, side="right") - 1
+    inside = hit + n <= at[row + 1]
+    return [(int(r), item, 0, int(source[i]), int(source[i + n - 1]) + 1, 0) for i, r in zip(hit[inside], row[inside], strict=True) for item in phrases.items[int(k[i])]]
 
 
 def banded_edits(pattern: bytes, text: bytes, low: int, width: int, budget: int) -> tuple[int, int, int]:
@@ -166,9 +203,8 @@ def banded_edits(pattern: bytes, text: bytes, low: int, width: int, budget: int)
 MATCH = "doc_id long, item_id long, segment_start long, doc_start long, doc_end long, edits long"
 
 
-def _matches(block: pa.RecordBatch, table: Table) -> list[tuple[int, ...]]:
+def _matches(b: np.ndarray, at: np.ndarray, source: np.ndarray, table: Table) -> list[tuple[int | None, ...]]:
     q = table.q
-    b, at, source = normalised(block.column("text"))
     g = _grams(b, q)
     hit = np.flatnonzero(table.filter[_hash18(g)]) if len(g) else np.zeros(0, np.int64)
     if not len(hit):
@@ -215,36 +251,54 @@ def _matches(block: pa.RecordBatch, table: Table) -> list[tuple[int, ...]]:
             first, last = source[at[r] + begin + x], source[at[r] + begin + y - 1]
             key = (r, s, int(first), int(last) + 1)
             best[key] = min(edits, best.get(key, edits))
-    return [(r, int(table.item[s]), int(table.start[s]), first, last, edits) for (r, s, first, last), edits in best.items()]
+    return [(r, table.item[s], int(table.start[s]), first, last, edits) for (r, s, first, last), edits in best.items()]
 
 
-def _tables(benchmark: DataFrame) -> Iterator[list[Table]]:
-    """Tables of at most TABLE_BYTES of items, read one after the other: no more of them than that at once."""
+@dataclass
+class Searched:
+    """What one pass over the texts looks for."""
+
+    tables: list[Table]
+    phrases: list[Phrases]
+
+    def matches(self, texts: pa.Array) -> list[tuple[int | None, ...]]:
+        """Row, item, segment_start, doc_start, doc_end and edits of all that is found in the texts of a block."""
+        b, at, source = normalised(texts)
+        if not len(b):
+            return []
+        return [m for t in self.tables for m in _matches(b, at, source, t)] + [m for p in self.phrases for m in _phrase_matches(b, at, source, p)]
+
+
+def _passes(benchmark: DataFrame) -> Iterator[Searched]:
+    """At most TABLE_BYTES of items each, read one after the other: no more of them than that at once."""
     held, size = [], 0
+
+    def made() -> Searched:
+        return Searched(make_tables(held), make_phrases(held))
+
     for r in benchmark.filter("text is not null").select("item_id", "text").toLocalIterator():
         held.append((r["item_id"], r["text"]))
         size += len(r["text"])
         if size >= TABLE_BYTES:
-            yield make_tables(held)
+            yield made()
             held, size = [], 0
     if held:
-        yield make_tables(held)
+        yield made()
 
 
 def find_contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, item_id, segment_start (in the normalised item), doc_start, doc_end (UTF-8 bytes of the text) and edits of
-    every segment found, each place once. Needs doc_id and text, item_id and text; null texts have no segments, nor have items
-    of under LEAST_ITEM characters; an empty benchmark gives no rows; repeated rows repeat their matches; null ids are kept."""
+    every segment found, each place once. Needs doc_id and text, item_id and text; null texts, and items without a letter or
+    digit, have no segments; an empty benchmark gives no rows; repeated rows repeat their matches; null ids of documents and of
+    items are kept."""
     rows = id_text(docs)
     out = docs.sparkSession.createDataFrame([], MATCH)
-    for tables in _tables(benchmark):
-        if not tables:
-            continue
-        shared = docs.sparkSession.sparkContext.broadcast(tables)  # TABLE_BYTES of text at most
+    for searched in _passes(benchmark):
+        shared = docs.sparkSession.sparkContext.broadcast(searched)  # TABLE_BYTES of text at most
 
         def search(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for block in blocks(batches):
-                found = [f for table in shared.value for f in _matches(block, table)]
+                found = shared.value.matches(block.column("text"))
                 if found:
                     ids = block.column("doc_id").take(pa.array([f[0] for f in found]))
                     columns = [pa.array(c, pa.int64()) for c in list(zip(*found, strict=True))[1:]]
@@ -261,9 +315,20 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """docs without those that hold a benchmark segment; rows with a null doc_id stay unless a null one is found."""
-    bad = find_contamination(docs, benchmark).select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["_bad"]), "left_anti")
+    """docs without the rows whose own text holds a benchmark segment. Each row is judged by its text alone, where it stands:
+    rows that share a doc_id, or have none, stay or go by themselves. Null texts stay."""
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
+    for searched in _passes(benchmark):
+        shared = docs.sparkSession.sparkContext.broadcast(searched)  # TABLE_BYTES of text at most
+
+        def clean(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            for block in blocks(batches):
+                stay = np.ones(block.num_rows, bool)
+                stay[[m[0] for m in shared.value.matches(block.column("text"))]] = False
+                yield block if stay.all() else block.filter(pa.array(stay))
+
+        docs = docs.mapInArrow(clean, kinds)
+    return docs
 
 
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,10 +1,11 @@
 """Operator 7: information-theoretic sanitisation of personal data, with DataFrame functions only.
 
 Fixed rules find protected values; each distinct value is an entity. From the whole corpus it is estimated how much each term
-reveals an entity that it is met beside: their pointwise mutual information over documents, with the lower bound of the
+reveals an entity that it is met beside: their pointwise mutual information over distinct texts, with the lower bound of the
 confidence interval in the place of the observed share, against the information of the entity. What is left of that is the
-doubt of a reader who knows the term. Terms that leave too little doubt are spans as well, wherever they stand in such a
-document; they are generalised, or removed if they leave next to none.
+doubt of a reader who knows the term. Copies tell nothing new: a meeting counts once for the words around it. Terms that leave
+too little doubt are spans as well, wherever they stand in any text: a text that has the term without the value gives the entity
+away too. They are generalised, or removed if they leave next to none.
 """
 
 from __future__ import annotations
@@ -29,12 +30,15 @@ OCTETS = r"^0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]{1,2})(?:\.0*(?:25[0-5]|2[0-4][0-9]|
 #: Terms are runs of so many letters that don't run into an address; beside a value means within so many characters of it.
 TOKEN = EMAIL + r"|\p{L}{3,}+(?![A-Za-z0-9._%+-]*+@)"
 REACH = 48
-#: Bits of doubt up to which a term is generalised, and removed; and the share of an entity's information that it must give.
-GENERALISE = 1.6
+#: Bits of doubt up to which a term is generalised (three meetings of three at least, in unlike words), and removed; and the
+#: share of an entity's information that it must give.
+GENERALISE = 1.25
 REMOVE = 0.7
 SHARE = 0.5
 #: Half the width of the confidence interval, in standard deviations.
 Z = 1.96
+#: Terms are told by a broadcast if there are at most so many (some 60 bytes each), else through the shuffle.
+MOST_TERMS = 100_000
 #: Running sums go by chunks of so many values, as each step within one copies what the chunk has so far.
 CHUNK = 256
 
@@ -88,8 +92,8 @@ def base_spans(text: Column) -> list[Column]:
 
 
 def scan(docs: DataFrame) -> DataFrame:
-    """row (a number of its own), doc_id, same (a hash of the text), spans (kind as a number, start, end, value), and the text
-    of those that have any. Null text counts as empty."""
+    """doc_id, same (a hash of the text), spans (kind as a number, start, end, value), and the text of those that have any. Null
+    text counts as empty."""
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     rows = rows.withColumns({f"_{k}": found for k, found in zip(KINDS, base_spans(F.col("text")), strict=True)})
 
@@ -97,29 +101,32 @@ def scan(docs: DataFrame) -> DataFrame:
         return F.transform(F.col(f"_{KINDS[kind]}"), lambda s: F.struct(F.lit(kind).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value")))
 
     spans = F.concat(*[told(k) for k in range(len(KINDS))])
-    rows = rows.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.xxhash64("text").alias("same"), spans.alias("spans"), "text")
+    rows = rows.select("doc_id", F.xxhash64("text").alias("same"), spans.alias("spans"), "text")
     return rows.withColumn("text", F.when(F.size("spans") > 0, F.col("text")))
 
 
-def _words(scanned: DataFrame) -> DataFrame:
-    """row, term, start and end of the words of texts with protected values, but those inside addresses."""
-    found = scanned.filter("text is not null").select("row", F.explode(located(F.col("text"), TOKEN)).alias("w")).filter(~F.contains("w.value", F.lit("@")))
-    return found.select("row", F.lower("w.value").alias("term"), "w.start", "w.end")
+def _words(texts: DataFrame) -> DataFrame:
+    """same, term, start and end of the words of texts (same, text), but those inside addresses."""
+    found = texts.select("same", F.explode(located(F.col("text"), TOKEN)).alias("w")).filter(~F.contains("w.value", F.lit("@")))
+    return found.select("same", F.lower("w.value").alias("term"), "w.start", "w.end")
 
 
-def _mentions(scanned: DataFrame) -> DataFrame:
-    """row, entity (kind and value, lower case), start and end of protected values."""
-    one = scanned.select("row", F.explode("spans").alias("s"))
-    return one.select("row", F.concat(F.col("s.kind").cast("string"), F.lit(":"), F.lower("s.value")).alias("entity"), "s.start", "s.end")
+def _mentions(texts: DataFrame) -> DataFrame:
+    """same, entity (kind and value, lower case), start and end of protected values."""
+    one = texts.select("same", F.explode("spans").alias("s"))
+    return one.select("same", F.concat(F.col("s.kind").cast("string"), F.lit(":"), F.lower("s.value")).alias("entity"), "s.start", "s.end")
 
 
 def meetings(words: DataFrame, mentions: DataFrame) -> DataFrame:
-    """row, term and entity of all words within REACH of a value, once for each text. Only what lies in neighbouring stretches
-    of REACH characters is compared."""
+    """term, entity and context of all words within REACH of a value, once for each context: the set of the words there. So
+    copies of a text, and texts that are alike around the value, count once. Only what lies in neighbouring stretches of REACH
+    characters is compared."""
     stretches = F.sequence(F.floor(F.greatest(F.col("start") - REACH, F.lit(0)) / REACH), F.floor((F.col("end") + REACH) / REACH))
-    near = mentions.select("row", "entity", F.col("start").alias("m_start"), F.col("end").alias("m_end"), F.explode(stretches).alias("stretch"))
-    found = words.withColumn("stretch", F.floor(F.col("start") / REACH)).join(near, ["row", "stretch"])
-    return found.filter((F.col("end") >= F.col("m_start") - REACH) & (F.col("start") <= F.col("m_end") + REACH)).select("row", "term", "entity").distinct()
+    near = mentions.select("same", "entity", F.col("start").alias("m_start"), F.col("end").alias("m_end"), F.explode(stretches).alias("stretch"))
+    found = words.withColumn("stretch", F.floor(F.col("start") / REACH)).join(near, ["same", "stretch"])
+    found = found.filter((F.col("end") >= F.col("m_start") - REACH) & (F.col("start") <= F.col("m_end") + REACH))
+    around = found.groupBy("same", "entity", "m_start").agg(F.array_sort(F.collect_set("term")).alias("terms"))
+    return around.select("entity", F.xxhash64("terms").alias("context"), F.explode("terms").alias("term")).distinct()
 
 
 def lower_bound(hits: Column, of: Column) -> Column:
@@ -128,35 +135,58 @@ def lower_bound(hits: Column, of: Column) -> Column:
     return (p + z / (2 * of) - Z * F.sqrt((p * (1 - p) + z / (4 * of)) / of)) / (1 + z / of)
 
 
+def _only(rows: DataFrame, terms: DataFrame) -> DataFrame:
+    """Rows whose term is among the terms (term once each, a stored table), with what else that table has."""
+    return rows.join(F.broadcast(terms) if terms.count() <= MOST_TERMS else terms, "term")
+
+
+def _terms_of_texts(docs: DataFrame) -> DataFrame:
+    """same and term of the distinct words of every text."""
+    words = F.array_distinct(F.split(F.lower("text"), r"[^\p{L}]+"))
+    return docs.filter("text is not null").select(F.xxhash64("text").alias("same"), F.explode(words).alias("term")).filter(F.length("term") >= 3)
+
+
 def disclosure(docs: DataFrame, met: DataFrame, mentions: DataFrame) -> DataFrame:
-    """term, entity, _n (texts they meet in), doubt (bits that the term leaves of the entity) and share (of the entity's
-    information that it gives away) of those beyond the thresholds, from counts over all texts."""
+    """term, entity, doubt (bits that the term leaves of the entity) and share (of the entity's information that it gives away) of
+    those beyond the thresholds, from counts over all distinct texts."""
     both = met.groupBy("term", "entity").agg(F.count(F.lit(1)).alias("_n"))
     enough = -F.log2(lower_bound(F.col("_n"), F.col("_n"))) <= GENERALISE  # were the term met nowhere else
     both = stored(both.filter(enough), "meetings")
-    texts = docs.select(F.explode(F.array_distinct(F.split(F.lower("text"), r"[^\p{L}]+"))).alias("term")).filter(F.length("term") >= 3)
-    terms = texts.groupBy("term").agg(F.count(F.lit(1)).alias("n_term")).join(both.select("term").distinct(), "term")
-    entities = mentions.select("row", "entity").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity"))
-    n = float(docs.count())
+    terms = _only(_terms_of_texts(docs), stored(both.select("term").distinct(), "terms")).distinct().groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
+    entities = mentions.select("same", "entity").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity"))
+    n = float(docs.select(F.xxhash64(F.coalesce("text", F.lit(""))).alias("same")).distinct().count())
     found = both.join(terms, "term").join(entities, "entity")
     # a word beside an address may be counted as a part of it by one side and alone by the other
     doubt = -F.log2(lower_bound(F.col("_n"), F.greatest("n_term", "_n")))
-    rows = found.select("term", "entity", "_n", doubt.alias("doubt"), F.greatest(F.log2(F.lit(n) / F.col("n_entity")), F.lit(1e-9)).alias("information"))
+    rows = found.select("term", "entity", doubt.alias("doubt"), F.greatest(F.log2(F.lit(n) / F.col("n_entity")), F.lit(1e-9)).alias("information"))
     return rows.withColumn("share", 1 - F.col("doubt") / F.col("information")).filter((F.col("doubt") <= GENERALISE) & (F.col("share") >= SHARE)).drop("information")
 
 
+def _term_spans(docs: DataFrame, told: DataFrame) -> DataFrame:
+    """same and terms (start, end, doubt) of every distinct text that has a disclosed term, whether a value stands there or not.
+    told: term and doubt, a stored table."""
+    hits = stored(_only(_terms_of_texts(docs), told).select("same").distinct(), "hits")
+    having = docs.select(F.xxhash64("text").alias("same"), "text").join(hits, "same", "left_semi").dropDuplicates(["same"])
+    return _only(_words(having), told).groupBy("same").agg(F.array_sort(F.collect_list(F.struct("start", "end", "doubt"))).alias("terms"))
+
+
 def find_personal(docs: DataFrame) -> DataFrame:
-    """Needs doc_id and text. Returns row (a number of its own for each input row), doc_id, same (a hash of the text), `base`
-    spans (kind, start, end) and `terms` (start, end, doubt). Null and empty texts have none; repeated rows and null doc_ids
-    are kept, and count as texts of their own."""
+    """Needs doc_id and text. Returns doc_id, same (a hash of the text), `base` spans (kind, start, end) and `terms` (start, end,
+    doubt; null if none). Null and empty texts have none; repeated rows and null doc_ids are kept, and equal texts are one text
+    in all counts."""
     scanned = stored(scan(docs), "personal")
-    words, mentions = stored(_words(scanned), "words"), stored(_mentions(scanned), "mentions")
+    having = scanned.filter("text is not null").dropDuplicates(["same"])
+    words, mentions = stored(_words(having), "words"), stored(_mentions(having), "mentions")
     met = stored(meetings(words, mentions), "met")
-    told = stored(disclosure(docs, met, mentions).select("term", "entity", "_n", "doubt"), "disclosed")
-    at = hot_join(met, told, ["term", "entity"]).groupBy("row", "term").agg(F.min("doubt").alias("doubt"))
-    terms = words.join(at, ["row", "term"]).groupBy("row").agg(F.array_sort(F.collect_list(F.struct("start", "end", "doubt"))).alias("terms"))
+    told = stored(disclosure(docs, met, mentions).groupBy("term").agg(F.min("doubt").alias("doubt")), "disclosed")
     base = F.transform("spans", lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
-    return scanned.select("row", "doc_id", "same", base.alias("base")).join(terms, "row", "left")
+    rows = scanned.select("doc_id", "same", base.alias("base"))
+    if told.isEmpty():
+        return rows.withColumn("terms", F.lit(None).cast("array<struct<start:int,end:int,doubt:double>>"))
+    spans = stored(_term_spans(docs, told), "term-spans")
+    many = rows.join(spans.select("same"), "same", "left_semi").groupBy("same").agg(F.count(F.lit(1)).alias("_n"))
+    spans = stored(spans.join(many, "same"), "term-spans-of-rows")
+    return hot_join(rows, spans, ["same"]).unionByName(rows.join(spans.select("same"), "same", "left_anti"), allowMissingColumns=True)
 
 
 def sanitise(docs: DataFrame) -> DataFrame:
@@ -170,7 +200,7 @@ def sanitise(docs: DataFrame) -> DataFrame:
         F.transform("base", lambda s: cut(s, F.get(mark, s["kind"]))),
         F.transform(F.coalesce("terms", F.array().cast("array<struct<start:int,end:int,doubt:double>>")), lambda s: cut(s, F.when(s["doubt"] <= REMOVE, "").otherwise("[TERM]"))),
     )
-    marked = found.filter("size(base) > 0").select(F.col("doc_id").alias("_doc"), F.col("same").alias("_same"), F.array_sort(cuts).alias("cuts")).dropDuplicates(["_doc", "_same"])
+    marked = found.filter("size(base) > 0 or terms is not null").select(F.col("doc_id").alias("_doc"), F.col("same").alias("_same"), F.array_sort(cuts).alias("cuts")).dropDuplicates(["_doc", "_same"])
     rows = texts.join(marked, texts["doc_id"].eqNullSafe(F.col("_doc")) & (F.xxhash64("text") == F.col("_same")), "left")
     reached = running(F.transform("cuts", lambda c: c["end"]), lambda a, b: F.greatest(a, b))
     rows = rows.withColumns({"chars": F.when(F.col("cuts").isNotNull(), F.split("text", "")), "reached": F.when(F.col("cuts").isNotNull(), reached)})

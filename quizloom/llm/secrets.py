@@ -31,18 +31,18 @@ HEX = re.compile(r"[0-9a-f]{24,}")
 KINDS = ("assign", "access", "hex")
 WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 
-#: All other tokens of this form are candidates.
-CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{8,}(?![A-Za-z0-9+/_=-])")
-#: The labelled values that are learned from: at most so many distinct ones, in the order of a hash, of at most so many
-#: characters each.
+#: All other tokens of this form are candidates; no labelled value is shorter either.
+CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{6,}(?![A-Za-z0-9+/_=-])")
+#: The labelled values that are learned from: at most so many distinct ones, in the order of a hash. Of a longer value than
+#: LONGEST_VALUE the beginning is learned, and that it does not end there.
 SAMPLE = 4000
-LONGEST_VALUE = 1024
+LONGEST_VALUE = 128
 ALPHA = 0.01
 #: Bits by which a candidate must be likelier under the automaton than as plain text: what makes up for how rare secrets are.
 THRESHOLD = 12.0
-#: Probability of a character and of an end where the automaton knows none.
+#: Probability of a character and of an end where the automaton knows none. An end that no labelled value had in a state costs
+#: 20 bits at least, and more the more values have passed it.
 FLOOR = 1e-6
-FLOOR_END = 1e-3
 #: Decisions on tokens that a worker remembers.
 REMEMBERED = 200_000
 
@@ -117,7 +117,7 @@ class Automaton:
             state = self.states[at]
             state.passed = len(own)
             going = [(v, k) for v, k in own if len(v) > depth]
-            state.ended = len(own) - len(going)
+            state.ended = sum(len(v) == depth and depth < LONGEST_VALUE for v, _ in own)
             times, below = Counter(v[depth] for v, _ in going), {}
             for v, k in going:
                 c = v[depth]
@@ -205,8 +205,8 @@ class Automaton:
                 ahead, mass = {at: p * FLOOR for at, p in ways.items()}, FLOOR
             total += math.log2(mass)
             ways = {at: p / mass for at, p in ahead.items()}
-        end = sum(p * self.states[at].ended / self.states[at].passed for at, p in ways.items())
-        return total + math.log2(max(end, FLOOR_END))
+        end = sum(p * (self.states[at].ended / self.states[at].passed or FLOOR / self.states[at].passed) for at, p in ways.items())
+        return total + math.log2(end)
 
 
 def plain_bits(value: str, pairs: np.ndarray) -> float:
@@ -232,7 +232,7 @@ def _gather(docs: DataFrame) -> DataFrame:
             values = set()
             for text in block.column("text").to_pylist():
                 values.update(ASSIGN.match(text, a)[2] if k == 0 else text[a:b] for a, k, b in base_spans(text))
-            values = [v for v in values if len(v) <= LONGEST_VALUE]
+            values = list({v[:LONGEST_VALUE] for v in values})
             yield pa.RecordBatch.from_arrays([pa.array(values, pa.string()), pa.array(np.ones(len(values), np.int64))], names=["value", "n"])
         own = np.flatnonzero(held)
         yield pa.RecordBatch.from_arrays([pa.array([f" {k}" for k in own], pa.string()), pa.array(held[own])], names=["value", "n"])
@@ -259,8 +259,9 @@ class SecretModel:
 
 
 def learn(docs: DataFrame) -> SecretModel:
-    """The automaton from at most SAMPLE distinct labelled values of at most LONGEST_VALUE characters, in the order of a hash
-    (none if there are none), and the pairs of characters of all texts."""
+    """The automaton from at most SAMPLE distinct labelled values, in the order of a hash (none if there are none), and the pairs
+    of characters of all texts. A digit after a digit is never rarer than one of eleven things in plain text: numbers of any
+    length are written there, however few the corpus has."""
     gathered = stored(_gather(docs), "labelled")
     chosen = gathered.filter("value not like ' %'").orderBy(F.xxhash64("value"), "value").limit(SAMPLE).collect()
     sample = sorted(r["value"] for r in chosen)
@@ -268,7 +269,9 @@ def learn(docs: DataFrame) -> SecretModel:
     for r in gathered.filter("value like ' %'").collect():  # at most 2 ** 14
         counts[int(r["value"])] += r["n"]
     counts = counts.reshape(128, 128)
-    return SecretModel(Automaton(sample) if sample else None, np.log2(counts / counts.sum(axis=1, keepdims=True)))
+    pairs = np.log2(counts / counts.sum(axis=1, keepdims=True))
+    pairs[48:58, 48:58] = np.maximum(pairs[48:58, 48:58], -math.log2(11))
+    return SecretModel(Automaton(sample) if sample else None, pairs)
 
 
 FOUND = "doc_id long, starts array<int>, kinds array<int>, ends array<int>"

@@ -7,6 +7,7 @@ import re
 import zlib
 from collections import Counter
 
+import numpy as np
 import pyarrow as pa
 import pytest
 from texts_for_tests import prose
@@ -94,7 +95,7 @@ def test_every_occurrence_within_the_budget(size):
             changed[k] = rng.choice(["", "z", "zq"])
         texts.append("".join(rng.choice(letters) for _ in range(rng.randint(0, 40))) + "".join(changed) + "".join(rng.choice(letters) for _ in range(rng.randint(0, 40))))
     tables = decontaminate.make_tables([(1, item), (2, "abc")])
-    found = {f[0]: f for t in tables for f in decontaminate._matches(pa.record_batch({"text": texts}), t)}
+    found = {f[0]: f for t in tables for f in decontaminate._matches(*decontaminate.normalised(pa.array(texts)), t)}
     assert set(found) == {n for n, t in enumerate(texts) if edits(item, t) <= budget}
     assert all(f[5] >= edits(item, texts[n]) for n, f in found.items())
 
@@ -115,6 +116,30 @@ def test_contamination(spark, docs, empty):
     assert decontaminate.contaminated(docs, benchmark.limit(0)).collect() == [] and decontaminate.contaminated(empty, benchmark).collect() == []
 
 
+def test_short_items(spark):
+    """Items of one to six characters against a search in plain Python: whole tokens, whatever stands between them."""
+    rng = random.Random(8)
+    items = [(1, "a"), (2, "ab"), (3, "a b"), (None, "B-12"), (5, "é a"), (6, "..."), (7, " b "), (8, "ab ab"), (9, "")]
+    texts = [(n, "".join(rng.choice(["a", "b", "ab", " ", ", ", "é", "12", "A", "-"]) for _ in range(rng.randint(0, 25)))) for n in range(300)] + [(300, None), (None, "ab"), (None, "xaby")]
+    plain = lambda t: re.sub(r"[^a-z0-9\x80-\U0010ffff]+", " ", (t or "").lower()).strip()
+    want = {(i, k) for i, t in texts for k, item in items if plain(item) and f" {plain(item)} " in f" {plain(t)} "}
+    found = decontaminate.contaminated(spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in found} == want and (None, 2) in want
+    assert all(plain(dict(texts)[r["doc_id"]].encode()[r["doc_start"] : r["doc_end"]].decode()) for r in found if r["doc_id"] is not None)
+
+
+def test_rows_go_by_their_own_text(spark):
+    """Rows that share a doc_id or have none; items without an id; a repeated row; an empty benchmark."""
+    item = prose(900, 40)
+    rows = [(None, prose(1, 50)), (None, f"{prose(2, 20)} {item}"), (5, prose(3, 50)), (5, f"{item} {prose(4, 9)}"), (6, prose(3, 50)), (6, prose(3, 50)), (7, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'x' as item_id", "1 as edits")
+    benchmark = spark.createDataFrame([(None, item), (None, None), (3, prose(777, 30))], "item_id long, text string")
+    kept = decontaminate.decontaminated(docs, benchmark)
+    assert kept.columns == docs.columns and sorted(repr((r["doc_id"], r["text"])) for r in kept.collect()) == sorted(repr(rows[k]) for k in (0, 2, 4, 5, 6))
+    assert {(r["doc_id"], r["item_id"]) for r in decontaminate.contaminated(docs, benchmark).collect()} == {(None, None), (5, None)}
+    assert decontaminate.decontaminated(docs, benchmark.limit(0)).count() == 7
+
+
 def test_scores(docs, rows, empty):
     got = scoring.score_documents(docs).collect()
     lower = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
@@ -274,50 +299,56 @@ def test_personal_data(spark, tmp_path):
 
 
 def test_revealing_terms_go(spark):
-    """A name beside one address in five texts is found there, wherever it stands; words of all texts are not."""
+    """A name beside one address in five unlike texts is found wherever it stands, in a text without the address as well; words of
+    all texts are not, nor is a name that only copies of one text have beside a value, however many."""
     texts = [(i, prose(i, 60)) for i in range(120)]
     for i in range(5):
         texts[i] = (i, f"Zebulon {prose(i, 30)} by {prose(77, 2)} zebulon at zeb@host.org {prose(i + 500, 30)}")
     texts[5] = (5, f"{prose(5, 20)} once@host.org Quixote {prose(505, 20)}")
+    texts[6] = (6, f"{prose(6, 20)} ZEBULON alone")
+    copies = f"{prose(700, 30)} twin@host.org Pamphilon {prose(701, 30)}"
+    texts += [(200 + k, copies) for k in range(6)] + [(210 + k, f"{prose(800 + k, 9)} {copies}") for k in range(6)]
     docs = spark.createDataFrame([*texts, (None, None)], "doc_id long, text string")
     told = {r["doc_id"]: r["terms"] for r in pii.find_personal(docs).collect()}
     for i in range(5):
         terms = [texts[i][1][s["start"] : s["end"]] for s in told[i]]
         assert terms[:1] == ["Zebulon"] and "zebulon" in terms
-        # by hand: 5 of the 5 texts with the term hold the address
-        low = (1 + pii.Z**2 / 10 - pii.Z * math.sqrt(pii.Z**2 / 100)) / (1 + pii.Z**2 / 5)
+        # by hand: 5 of the 6 texts with the term hold the address
+        low = (5 / 6 + pii.Z**2 / 12 - pii.Z * math.sqrt((5 / 36 + pii.Z**2 / 24) / 6)) / (1 + pii.Z**2 / 6)
         assert math.isclose(told[i][0]["doubt"], -math.log2(low), rel_tol=1e-9)
-    assert all(told[i] is None for i in range(5, 120))
+    assert all(r is None for i, r in told.items() if i is None or i == 5 or i > 6)
+    assert [texts[6][1][s["start"] : s["end"]] for s in told[6]] == ["ZEBULON"]
     clean = {r["doc_id"]: r["text"] for r in pii.sanitise(docs).collect()}
     assert "[EMAIL]" in clean[0] and "host.org" not in clean[0] and "zebulon" not in clean[0].lower() and "[TERM]" in clean[0]
-    assert clean[6] == texts[6][1] and clean[5] == texts[5][1].replace("once@host.org", "[EMAIL]") and clean[None] == ""
+    assert clean[6] == texts[6][1].replace("ZEBULON", "[TERM]") and clean[7] == texts[7][1] and clean[5] == texts[5][1].replace("once@host.org", "[EMAIL]") and clean[None] == ""
 
 
 def test_terms_by_hand(spark):
     """Terms and their doubt against counts in plain Python, over few words and addresses."""
     rng = random.Random(4)
-    words, people = ["alpha", "beta", "gamma", "delta", "omega", "sigma"], ["a@x.org", "b@x.org", "c@x.org"]
+    words, people = "alpha beta gamma delta omega sigma kappa lambda theta zeta iota upsilon epsilon digamma".split(), ["a@x.org", "b@x.org", "c@x.org"]
     rows = []
     for i in range(150):
         who = rng.choice(people + [None] * 6)
         own = [rng.choice(words) for _ in range(3)] + (["omicron"] if who == "a@x.org" and rng.random() < 0.9 else [])
-        rows.append((i, " ".join([*own, who or "nobody", rng.choice(words)])))
-    sets = [set(re.findall("[a-z]{3,}", re.sub(r"\S+@\S+", " ", t))) for _, t in rows]
-    whose = [re.findall(r"\S+@\S+", t) for _, t in rows]
+        rows += [(i, " ".join([*own, who or "nobody", rng.choice(words)]))] * rng.choice([1, 1, 1, 3])
+    texts = sorted({t for _, t in rows})
+    sets = [frozenset(re.findall("[a-z]{3,}", re.sub(r"\S+@\S+", " ", t))) for t in texts]
+    whose = [re.findall(r"\S+@\S+", t) for t in texts]
     want = {}
     for p in people:
         n_p = sum(p in w for w in whose)
         for t in set().union(*sets):
-            both, n_t = sum(p in w and t in s for w, s in zip(whose, sets, strict=True)), sum(t in s for s in sets)
+            both, n_t = len({s for w, s in zip(whose, sets, strict=True) if p in w and t in s}), sum(t in s for s in sets)
             share = both / n_t
             z = pii.Z**2
             low = (share + z / (2 * n_t) - pii.Z * math.sqrt((share * (1 - share) + z / (4 * n_t)) / n_t)) / (1 + z / n_t)
-            if both and -math.log2(low) <= pii.GENERALISE and 1 + math.log2(low) / math.log2(len(rows) / n_p) >= pii.SHARE:
+            if both and -math.log2(low) <= pii.GENERALISE and 1 + math.log2(low) / math.log2(len(texts) / n_p) >= pii.SHARE:
                 want[t, f"0:{p}"] = -math.log2(low)
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    scanned = pii.stored(pii.scan(docs), "t")
-    mentions = pii._mentions(scanned)
-    got = {(r["term"], r["entity"]): r["doubt"] for r in pii.disclosure(docs, pii.meetings(pii._words(scanned), mentions), mentions).collect()}
+    having = pii.stored(pii.scan(docs), "t").filter("text is not null").dropDuplicates(["same"])
+    mentions = pii._mentions(having)
+    got = {(r["term"], r["entity"]): r["doubt"] for r in pii.disclosure(docs, pii.meetings(pii._words(having), mentions), mentions).collect()}
     assert set(got) == set(want) == {("omicron", "0:a@x.org")} and all(math.isclose(got[k], want[k]) for k in want)
 
 
@@ -364,7 +395,7 @@ def test_likelihoods_by_hand():
     """Of 40 values half are "a1" and half "b": both first letters are more frequent than chance."""
     machine = secrets.Automaton(["a1"] * 20 + ["b"] * 20)
     assert math.isclose(machine.bits("b"), math.log2(0.5)) and math.isclose(machine.bits("a1"), math.log2(0.5))
-    assert math.isclose(machine.bits("a"), math.log2(0.5 * secrets.FLOOR_END)) and math.isclose(machine.bits("ax"), math.log2(0.5 * secrets.FLOOR * secrets.FLOOR_END))
+    assert math.isclose(machine.bits("a"), math.log2(0.5 * secrets.FLOOR / 20)) and math.isclose(machine.bits("ax"), math.log2(0.5 * secrets.FLOOR * secrets.FLOOR / 20))
 
 
 def test_unlabelled_values_of_a_known_format(spark):
@@ -376,6 +407,45 @@ def test_unlabelled_values_of_a_known_format(spark):
     assert all(found[i] == [0] for i in range(80)) and all(found[100 + i] == [secrets.OTHER] for i in range(10))
 
 
+def test_numbers_and_words_are_no_secrets(spark):
+    """Card numbers, long numbers, dates and words, beside few labelled values of one length, and of many."""
+    rng = random.Random(15)
+    value = lambda n, chars: "".join(rng.choice(chars) for _ in range(n))
+    for n in (11, 400):
+        texts = [(i, f"{prose(i, 60)} token = {value(40, '0123456789abcdef')} {prose(i, 5)}") for i in range(n)]
+        texts += [(1000 + i, f"{prose(i, 20)} {value(k, '0123456789')} 2024-01-{10 + i} internationalisation {value(8, '0123456789')}x{value(4, '0123456789')}") for i, k in enumerate((6, 7, 8, 10, 12, 13, 16, 16, 16, 19, 20, 23))]
+        found = {r["doc_id"]: r["kinds"] for r in secrets.find_secrets(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
+        # twenty digits and more are hex of that length to the base rules from 24 on
+        assert all(secrets.OTHER not in k for k in found.values())
+
+
+def test_a_masked_third_is_found_again():
+    """Of values in four formats a third is hidden from the automaton: nine of ten of them at least are told, and of what is told
+    nine of ten at least are among them."""
+    rng = random.Random(16)
+    value = lambda n, chars: "".join(rng.choice(chars) for _ in range(n))
+    upper, mixed = "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    values = [value(40, "0123456789abcdef") for _ in range(90)] + ["pk_" + value(24, mixed) for _ in range(90)] + [value(20, upper) for _ in range(90)] + ["a1-" + value(12, mixed) + "-" + value(12, mixed) for _ in range(90)]
+    rng.shuffle(values)
+    plain = {w for k in range(40) for w in prose(k, 400).split()} | {value(rng.randint(6, 22), "0123456789") for _ in range(2000)} | {f"{a}-{b}" for a, b in zip(prose(90, 500).split(), prose(91, 500).split(), strict=True)}
+    counts = np.full((128, 128), 0.5)
+    codes = np.frombuffer(" ".join(sorted(plain)).encode(), np.uint8)
+    np.add.at(counts, (codes[:-1], codes[1:]), 1)
+    model = secrets.SecretModel(secrets.Automaton(values[120:]), np.log2(counts / counts.sum(axis=1, keepdims=True)))
+    hits, wrong = sum(model.keep(secrets.OTHER, v) for v in values[:120]), sum(model.keep(secrets.OTHER, v) for v in plain if len(v) >= 6)
+    assert hits >= 108 and hits / (hits + wrong) >= 0.9
+
+
+def test_long_labelled_values(spark):
+    """Of a very long value the beginning is learned, and that it goes on."""
+    rng = random.Random(17)
+    long = ["gx" + "".join(rng.choice("0123456789abcdef") for _ in range(2000)) for _ in range(12)]
+    machine = secrets.Automaton([v[: secrets.LONGEST_VALUE] for v in long])
+    assert machine.states[0].passed >= 12 and sum(s.ended for s in machine.states) == 0
+    rows = spark.createDataFrame([(k, f"secret={v} end") for k, v in enumerate(long)], "doc_id long, text string")
+    assert {tuple(r["kinds"]) for r in secrets.find_secrets(rows).collect()} == {(0, 2)}
+
+
 def test_languages(spark, empty):
     de = "der die das und nicht schön für über ich ein ist von zu mit sich auf eine im dem des".split()
     fr = "le la les des une été où et est dans pour que qui sur pas avec ce il elle au".split()
