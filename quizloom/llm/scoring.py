@@ -47,8 +47,6 @@ RATE = 0.15
 FEW = 50
 #: Odds are corrected in so many buckets, half a unit of log odds wide, for each sureness of the word so far.
 ODDS = 32
-#: From this sureness on a word so far that has met one bit only decides alone: 8 times (see SURE).
-CERTAIN = 8
 END = 255
 _LN10 = float(np.log(10))
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -169,7 +167,7 @@ def _visits(pairs: np.ndarray, counts: np.ndarray, code: Code) -> tuple[np.ndarr
 
 def _told(visits: np.ndarray) -> np.ndarray:
     """Counts in a byte each, an eighth of a doubling apart; small ones are exact but for rounding."""
-    return np.rint(8 * np.log2(visits + 1)).astype(np.uint8)
+    return np.rint(8 * np.log2(np.maximum(visits, 0) + 1)).astype(np.uint8)
 
 
 _COUNTS = np.exp2(np.arange(256) / 8) - 1
@@ -186,14 +184,11 @@ class Slots:
 
     @classmethod
     def read(cls, pairs: np.ndarray, told: np.ndarray, code: Code) -> Slots:
-        """told: for each pair in turn how often its context turned off at each node on the way of its byte, and reached the
-        byte."""
-        byte = (pairs & _U64(255)).astype(np.uint8)
-        size = code.size.take(byte)
-        at = np.arange(int(size.sum())) + np.repeat(np.arange(len(pairs)), size)
-        counts = _COUNTS[told]
-        sums, other = np.cumsum(counts), counts[at]
-        taken = np.repeat(sums[np.cumsum(size + 1) - 1], size) - sums[at]
+        """told: for each pair in turn, for each node on the way of its byte, how often its context turned off there and went on.
+        Both sides of a node are rounded alike wherever it is read, so the odds of its two bits are each other's opposite and
+        the probabilities of all bytes sum to one."""
+        size = code.size.take((pairs & _U64(255)).astype(np.uint8))
+        other, taken = _COUNTS[told].reshape(-1, 2).T
         known = []
         for own in (0, 1):
             k = np.maximum(taken - own, 0)
@@ -245,7 +240,7 @@ class Mixer:
         order = np.argsort(since, kind="stable").astype(np.int32)
         _, bounds = group_bounds(since[order])
         nodes = np.int32(len(slots.known) // 2)
-        total, first, warm = np.zeros(rows), 0, False
+        total, first = np.zeros(rows), 0
         while first < len(bounds) - 1:
             last = max(first + 1, int(np.searchsorted(bounds, bounds[first] + MIX_BYTES, side="right")) - 1)
             own = order[bounds[first] : bounds[last]]
@@ -255,23 +250,15 @@ class Mixer:
             base = used * nodes - code.first.take(bytes_of).astype(np.int32)  # `place` counts from the start of the code
             at_slot = lambda p, size, place: slots.known.take(np.repeat(slots.begin.take(p.take(own)) + base, size) + place)  # noqa: B023, E731
             word = at_slot(pairs[2], size, place)
-            z = _odds(word)
-            open_bits = np.flatnonzero(((word & 1) == 1) | ((word & 15) < CERTAIN))  # elsewhere the word so far decides alone
-            of, place, word = of.take(open_bits), place.take(open_bits), word.take(open_bits)
-            size = np.bincount(of, minlength=len(own))
             four = at_slot(pairs[1], size, place)
-            inputs = [_odds(at_slot(pairs[0], size, place)), _odds(four), z.take(open_bits)]
+            inputs = [_odds(at_slot(pairs[0], size, place)), _odds(four), _odds(word)]
             gate = (word & 15) + np.int32(SURENESS) * np.minimum((four & 15) >> 2, 3)
             sign = code.bit.take(place).astype(np.float32) * 2 - 1
             counts = np.repeat(used.astype(np.float32), size)
             cuts = np.searchsorted(of, bounds[first : last + 1] - bounds[first]).tolist()
-            mixed = np.empty(len(of), np.float32)
-            for again in range(1 if warm else 2):  # the first bytes are mixed by weights that have seen as many
-                for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
-                    mixed[lo:hi] = self.step([x[lo:hi] for x in inputs], gate[lo:hi], sign[lo:hi], counts[lo:hi])
-            warm = True
-            z[open_bits] = mixed
-            of = np.repeat(np.arange(len(own), dtype=np.int32), code.size.take(bytes_of))
+            z = np.empty(len(of), np.float32)
+            for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+                z[lo:hi] = self.step([x[lo:hi] for x in inputs], gate[lo:hi], sign[lo:hi], counts[lo:hi])
             total -= np.bincount(texts.take(of), np.log1p(np.exp(-z)), minlength=rows)
             first = last
         return total / _LN10
@@ -402,16 +389,13 @@ def _answer(table: pa.Table, code: Code) -> pa.Table:
     (pairs, size), (met, _) = _joined(table.column("pairs"), PAIR_BYTES), _joined(table.column("pair_counts"), 4)
     known, index = np.unique(pairs, return_inverse=True)
     visits, at = _visits(known, np.bincount(index, met, minlength=len(known)), code)
-    turned = visits.copy()
-    turned[:-1] -= visits[1:]
-    byte = at + code.size.take((known & _U64(255)).astype(np.uint8))
-    turned[byte] = visits[byte]
-    visits = _told(turned)
-    length = code.size.take((known & _U64(255)).astype(np.uint8))[index] + 1
+    both = np.zeros((len(visits), 2), np.uint8)  # turned off at a node, and went on
+    both[:-1] = np.stack([_told(visits[:-1] - visits[1:]), _told(visits[1:])], axis=1) if len(visits) else 0
+    length = code.size.take((known & _U64(255)).astype(np.uint8))[index]
     ends = np.cumsum(np.append(0, length))
     pick = np.repeat(at[index] - ends[:-1], length) + np.arange(ends[-1])
     rows = np.append(0, np.cumsum(size))
-    sent = packed(visits[pick], np.append(ends[rows], ends[-1]))
+    sent = packed(both[pick].reshape(-1), 2 * np.append(ends[rows], ends[-1]))
     key = np.full(len(of), table.column("key")[0].as_py(), np.int32)
     return pa.table({"of": pa.array(of), "key": pa.array(key), "counts": pa.array([*reply, totals.tobytes()], pa.binary()), "visits": sent})
 

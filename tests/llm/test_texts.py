@@ -197,6 +197,34 @@ def test_context_counts():
                     assert abs(scoring._odds(slots.known[own_slot]) - math.log((n - 1 + scoring.PRIOR) / (m + scoring.PRIOR))) <= 0.05 + (0.25 if n + m > 5 else 0)
 
 
+def test_the_bytes_after_a_context_sum_to_one():
+    """Over the 256 bytes that may follow each context, with odds as they are sent and rounded."""
+    code = scoring.prefix_code(np.arange(256))
+    rng = random.Random(9)
+    texts = ["".join(rng.choice("abcab \x7fé") for _ in range(rng.randint(1, 200))) for _ in range(60)]
+    (table,), asked = _asked(texts, [n % 3 == 0 for n in range(60)], 1, 3)
+    replies = pa.concat_tables([scoring._answer(asked.filter(pa.compute.equal(asked["key"], k)), code) for k in set(asked["key"].to_pylist())])
+    own = scoring.Asked(table, 3)
+    slots = scoring.Slots.read(own.pairs, scoring.unpacked(scoring._in_order(replies.filter(pa.compute.equal(replies["of"], 0)))["visits"], np.uint8), code)
+    odds = {}
+    for pair, begin in zip(own.pairs.tolist(), slots.begin.tolist(), strict=True):
+        c = pair & 255
+        for step in range(code.size[c]):
+            place = code.first[c] + step
+            odds.setdefault((pair >> 8, int(code.node[place])), {})[int(code.bit[place])] = float(scoring._odds(slots.known[begin + step]))
+    assert sum(len(x) == 2 for x in odds.values()) > 100
+    for context in {c for c, _ in odds}:
+        total = 0.0
+        for c in range(256):
+            p = 1.0
+            for place in range(code.first[c], code.first[c] + code.size[c]):
+                both = odds.get((context, int(code.node[place])), {0: 0.0})
+                x = both[int(code.bit[place])] if int(code.bit[place]) in both else -next(iter(both.values()))
+                p /= 1 + math.exp(-x)
+            total += p
+        assert abs(total - 1) < 1e-6
+
+
 def test_planes():
     import numpy as np
 
@@ -222,7 +250,7 @@ def test_mixing_against_a_scalar_mixer(monkeypatch):
     assert got.tolist() == again.tolist()
 
     nodes, weights, correction = len(slots.known) // 2, np.full((3, scoring.GATES), 0.4), np.zeros(scoring.ODDS * 16)
-    for sweep in range(2):
+    for _ in range(1):
         total = [0.0] * len(texts)
         for t in range(40):
             g_weights, g_correction, n_gate, n_bucket = np.zeros((3, scoring.GATES)), np.zeros(scoring.ODDS * 16), np.full(scoring.GATES, 50.0), np.full(scoring.ODDS * 16, 50.0)
@@ -233,10 +261,6 @@ def test_mixing_against_a_scalar_mixer(monkeypatch):
                         at_slot = [slots.begin[p[i]] + step + (0 if held[row] else nodes) for p in pairs]
                         x = [float(scoring._odds(slots.known[s])) for s in at_slot]
                         gate = int(slots.known[at_slot[2]] & 15) + 16 * min(int(slots.known[at_slot[1]] & 15) // 4, 3)
-                        word = int(slots.known[at_slot[2]]) & 15
-                        if word % 2 == 0 and word >= scoring.CERTAIN:
-                            total[row] += -math.log10(1 + math.exp(-x[2]))
-                            continue
                         z = min(14, max(-14, sum(weights[k][gate] * x[k] for k in range(3))))
                         bucket = int(min(31, max(0, z * sign * 2 + 16))) + 32 * (gate % 16)
                         final = z + correction[bucket] * sign
