@@ -135,15 +135,22 @@ def lower_bound(hits: Column, of: Column) -> Column:
     return (p + z / (2 * of) - Z * F.sqrt((p * (1 - p) + z / (4 * of)) / of)) / (1 + z / of)
 
 
-def _only(rows: DataFrame, terms: DataFrame) -> DataFrame:
-    """Rows whose term is among the terms (term once each, a stored table), with what else that table has."""
-    return rows.join(F.broadcast(terms) if terms.count() <= MOST_TERMS else terms, "term")
+def _only(rows: DataFrame, terms: DataFrame, how: str = "inner", key: str = "term") -> DataFrame:
+    """Rows joined with a stored table of one row for each key: by a broadcast if that is small, else through the shuffle."""
+    return rows.join(F.broadcast(terms) if terms.count() <= MOST_TERMS else terms, key, how)
 
 
-def _terms_of_texts(docs: DataFrame) -> DataFrame:
-    """same and term of the distinct words of every text."""
+def _texts(docs: DataFrame) -> DataFrame:
+    """same, text and weight of all rows: the copies of a text weigh one together."""
+    rows = docs.select(F.coalesce("text", F.lit("")).alias("text")).withColumn("same", F.xxhash64("text"))
+    copies = stored(rows.groupBy("same").agg(F.count(F.lit(1)).alias("copies")).filter("copies > 1"), "copies")
+    return _only(rows, copies, "left", "same").select("same", "text", F.coalesce(1 / F.col("copies"), F.lit(1.0)).alias("weight"))
+
+
+def _terms_of_texts(texts: DataFrame, *more: str) -> DataFrame:
+    """The distinct words of every text, with other columns of it."""
     words = F.array_distinct(F.split(F.lower("text"), r"[^\p{L}]+"))
-    return docs.filter("text is not null").select(F.xxhash64("text").alias("same"), F.explode(words).alias("term")).filter(F.length("term") >= 3)
+    return texts.select(*more, F.explode(words).alias("term")).filter(F.length("term") >= 3)
 
 
 def disclosure(docs: DataFrame, met: DataFrame, mentions: DataFrame) -> DataFrame:
@@ -152,9 +159,11 @@ def disclosure(docs: DataFrame, met: DataFrame, mentions: DataFrame) -> DataFram
     both = met.groupBy("term", "entity").agg(F.count(F.lit(1)).alias("_n"))
     enough = -F.log2(lower_bound(F.col("_n"), F.col("_n"))) <= GENERALISE  # were the term met nowhere else
     both = stored(both.filter(enough), "meetings")
-    terms = _only(_terms_of_texts(docs), stored(both.select("term").distinct(), "terms")).distinct().groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
+    texts = _texts(docs)
+    counts = _terms_of_texts(texts, "weight").groupBy("term").agg(F.round(F.sum("weight")).alias("n_term"))
+    terms = counts.join(both.select("term").distinct(), "term")
     entities = mentions.select("same", "entity").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity"))
-    n = float(docs.select(F.xxhash64(F.coalesce("text", F.lit(""))).alias("same")).distinct().count())
+    n = float(round(texts.agg(F.sum("weight")).first()[0] or 0))
     found = both.join(terms, "term").join(entities, "entity")
     # a word beside an address may be counted as a part of it by one side and alone by the other
     doubt = -F.log2(lower_bound(F.col("_n"), F.greatest("n_term", "_n")))
@@ -165,8 +174,9 @@ def disclosure(docs: DataFrame, met: DataFrame, mentions: DataFrame) -> DataFram
 def _term_spans(docs: DataFrame, told: DataFrame) -> DataFrame:
     """same and terms (start, end, doubt) of every distinct text that has a disclosed term, whether a value stands there or not.
     told: term and doubt, a stored table."""
-    hits = stored(_only(_terms_of_texts(docs), told).select("same").distinct(), "hits")
-    having = docs.select(F.xxhash64("text").alias("same"), "text").join(hits, "same", "left_semi").dropDuplicates(["same"])
+    texts = docs.filter("text is not null").select(F.xxhash64("text").alias("same"), "text")
+    hits = stored(_only(_terms_of_texts(texts, "same"), told).select("same").distinct(), "hits")
+    having = texts.join(hits, "same", "left_semi").dropDuplicates(["same"])
     return _only(_words(having), told).groupBy("same").agg(F.array_sort(F.collect_list(F.struct("start", "end", "doubt"))).alias("terms"))
 
 
