@@ -9,43 +9,49 @@ from quizloom.functions import patterns as P
 from quizloom.functions.text import let, strip
 
 #: Alphabets that are told apart, in the order in which ties are settled. A letter of any other is of none.
-_NAMES = """Latin Cyrillic Greek Armenian Hebrew Arabic Syriac Thaana Devanagari Bengali Gurmukhi Gujarati Oriya Tamil Telugu Kannada
-Malayalam Sinhala Thai Lao Tibetan Myanmar Georgian Hangul Ethiopic Cherokee Khmer Mongolian Hiragana Katakana Bopomofo Han"""
-SCRIPTS = tuple((name.upper(), rf"\p{{Is{name}}}") for name in _NAMES.split())
+_NAMES = """LATIN CYRILLIC GREEK ARMENIAN HEBREW ARABIC SYRIAC THAANA DEVANAGARI BENGALI GURMUKHI GUJARATI ORIYA TAMIL TELUGU KANNADA
+MALAYALAM SINHALA THAI LAO TIBETAN MYANMAR GEORGIAN HANGUL ETHIOPIC CHEROKEE KHMER MONGOLIAN HIRAGANA KATAKANA BOPOMOFO HAN"""
+SCRIPTS = tuple(_NAMES.split())
+#: Without such a character a text is in one alphabet or in none, and no pattern of an alphabet is tried on it.
+_FOREIGN = r"[^\x00-\x7f]"
+
+
+def _scripts() -> Column:
+    """SCRIPTS as one array: what goes over the alphabets is a loop over it, not an expression for each, as plans that name every
+    alphabet wherever a text is judged take longer to make than to run."""
+    return F.split(F.lit(" ".join(SCRIPTS)), " ")
 
 
 def words(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(r"(?U)[^\W\d_]+"), F.lit(0))
 
 
-def _letters(text: Column, script: str) -> Column:
-    return F.length(F.regexp_replace(text, rf"[^{script}]", ""))
+def _letters(text: Column) -> Column:
+    """How many characters of each alphabet a text has."""
+    return F.transform(_scripts(), lambda n: F.length(F.regexp_replace(text, F.concat(F.lit(r"[^\p{Is"), n, F.lit("}]")), F.lit(""))))
 
 
 def mixed_script_words(text: Column) -> Column:
     """Words written in two alphabets at once."""
-    return F.filter(words(text), lambda w: sum((w.rlike(p).cast("int") for _, p in SCRIPTS), F.lit(0)) > 1)
+    return F.filter(words(text), lambda w: w.rlike(_FOREIGN) & (F.size(F.filter(_letters(w), lambda n: n > 0)) > 1))
 
 
 def _first_most(counts: Column) -> Column:
     """The name in SCRIPTS with the largest count; the first of equals; empty if all are 0."""
-    return let(counts, lambda c: F.when(F.array_max(c) == 0, "").otherwise(F.get(F.array(*[F.lit(n) for n, _ in SCRIPTS]), (F.array_position(c, F.array_max(c)) - 1).cast("int"))))
+    return let(counts, lambda c: F.when(F.array_max(c) == 0, "").otherwise(F.get(_scripts(), (F.array_position(c, F.array_max(c)) - 1).cast("int"))))
 
 
 def dominant_script(text: Column) -> Column:
     """The alphabet of most letters; equal counts go to the first of SCRIPTS; empty without letters."""
-    return _first_most(F.array(*[_letters(text, p) for _, p in SCRIPTS]))
+    return F.when(text.rlike(_FOREIGN), _first_most(_letters(text))).when(text.rlike("[A-Za-z]"), "LATIN").when(text.isNotNull(), "")
 
 
 def stray_script_words(text: Column) -> Column:
     """Words of other alphabets than most of the line, where they are few enough to be a misreading."""
 
-    def size(told: Column, name: str) -> Column:
-        return F.size(F.filter(told, lambda t: t["script"] == name))
-
     def strays(told: Column) -> Column:
         known = F.filter(told, lambda t: t["script"] != "")
-        main = _first_most(F.array(*[size(told, name) for name, _ in SCRIPTS]))
+        main = _first_most(F.transform(_scripts(), lambda n: F.size(F.filter(told, lambda t: t["script"] == n))))
         return let(main, lambda m: F.transform(F.filter(known, lambda t: t["script"] != m), lambda t: t["word"]))
 
     def few(told: Column) -> Column:
@@ -77,7 +83,7 @@ def reasons(text: Column) -> Column:
         def some(found: Column, say: str, most: int | None, between: str) -> Column:
             return let(found, lambda w: F.when(F.size(w) > 0, F.concat(F.lit(say), F.array_join(w if most is None else F.slice(w, 1, most), between))))
 
-        foreign = t.rlike(r"[^\x00-\x7f]")  # all else is in one alphabet
+        foreign = t.rlike(_FOREIGN)
         found = F.array(
             F.when(foreign, some(mixed_script_words(t), "written in two alphabets at once: ", 3, ", ")),
             F.when(foreign, some(stray_script_words(t), "a few words in another alphabet than the rest: ", 3, ", ")),
@@ -98,10 +104,8 @@ def fold_homoglyphs(text: Column) -> Column:
 
     def fold(w: Column, main: Column) -> Column:
         folded = F.when(main == "LATIN", F.translate(w, P.WORD_CYRILLIC, P.WORD_LATIN)).otherwise(F.translate(w, P.WORD_LATIN, P.WORD_CYRILLIC))
-        alone = F.lit(False)
-        for name, p in SCRIPTS:
-            alone = alone | ((main == name) & ~w.rlike(rf"[\p{{L}}&&[^{p}]]"))
-        return F.when(w.rlike(r"^\p{L}") & ~alone & (main != ""), folded).otherwise(w)
+        others = F.rlike(w, F.concat(F.lit(r"[\p{L}&&[^\p{Is"), main, F.lit("}]]")))
+        return F.when(main == "", w).when(w.rlike(r"^\p{L}") & others, folded).otherwise(w)
 
     parts = F.regexp_extract_all(text, F.lit(r"(?U)\w+|\W+"), F.lit(0))
     folded = let(dominant_script(text), lambda main: F.array_join(F.transform(parts, lambda w: fold(w, main)), ""))

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quizloom.functions import quality
+from quizloom.functions.tables import materialized
 from quizloom.functions.text import collapse, strip
 
 # Thresholds of the drawn-page reading.
@@ -28,7 +29,7 @@ def text_lines(words: DataFrame, min_confidence: float = LEAST_CONFIDENCE) -> Da
     right, bottom, size (median height), confidence (mean), widget (does it open with a mark that was not read as a word) and
     rest (the text after its first word)."""
     kept = words.filter((F.col("level") == 5) & (F.trim("text") != "") & (F.col("conf") >= min_confidence))
-    rows = kept.groupBy("doc_id", "page_num", "block_num", "par_num", "line_num").agg(
+    rows = kept.repartition("doc_id").groupBy("doc_id", "page_num", "block_num", "par_num", "line_num").agg(
         F.array_sort(F.collect_list(F.struct("left", "word_num", "text", "conf"))).alias("words"),
         F.min("left").alias("left"), F.min("top").alias("top"), F.max(F.col("left") + F.col("width")).alias("right"), F.max(F.col("top") + F.col("height")).alias("bottom"),
         F.expr("percentile(height, 0.5)").alias("size"), F.avg("conf").alias("confidence"),
@@ -46,41 +47,40 @@ def is_content(confidence: Column, text: Column, least: float = LEAST_LINE) -> C
 
 
 def size_clusters(lines: DataFrame) -> DataFrame:
-    """doc_id and cluster (median size) of the type sizes of each page, largest first. A size opens a cluster when the
-    median of the current one is more than CLUSTER times larger, so sizes are taken in turn."""
-    sizes = lines.filter("size > 0").groupBy("doc_id").agg(F.sort_array(F.collect_list("size"), asc=False).alias("sizes"))
+    """doc_id, sizes (of type, largest first) and clusters (medians of runs of them, largest first) of each page. A size opens a
+    cluster when the median of the current one is more than CLUSTER times larger, so sizes are taken in turn."""
+    sizes = lines.filter("size > 0").groupBy("doc_id").agg(F.sort_array(F.collect_list(F.col("size").cast("double")), asc=False).alias("sizes"))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            docs, clusters = [], []
-            for doc, values in zip(batch.column("doc_id").to_pylist(), batch.column("sizes").to_pylist(), strict=True):
+            pages = []
+            for values in batch.column("sizes").to_pylist():
+                clusters: list[float] = []
                 run: list[float] = []
                 median = 0.0
                 for v in [*values, None]:
                     if run and (v is None or median > v * CLUSTER):
-                        docs.append(doc)
                         clusters.append(median)
                         run = []
                     if v is not None:
                         run.append(v)  # descending, so the median is in the middle
                         n = len(run)
                         median = (run[(n - 1) // 2] + run[n // 2]) / 2
-            yield pa.RecordBatch.from_arrays([pa.array(docs, batch.schema.field("doc_id").type), pa.array(clusters, pa.float64())], names=["doc_id", "cluster"])
+                pages.append(clusters)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("sizes"), pa.array(pages, pa.list_(pa.float64()))], names=["doc_id", "sizes", "clusters"])
 
     kind = lines.schema["doc_id"].dataType.simpleString()
-    return sizes.mapInArrow(read, f"doc_id {kind}, cluster double")
+    return sizes.mapInArrow(read, f"doc_id {kind}, sizes array<double>, clusters array<double>")
 
 
 def role_sizes(lines: DataFrame) -> DataFrame:
     """doc_id, question_size and choice_size: of the two clusters that most lines are nearest to, the larger and the smaller;
     a page with one cluster has it twice."""
-    clusters = size_clusters(lines)
-    of_page = clusters.groupBy("doc_id").agg(F.array_sort(F.collect_list("cluster")).alias("clusters"))
-    gap = lambda c: F.abs(c - F.col("size"))
-    near = lines.filter("size > 0").join(of_page, "doc_id").withColumn("cluster", F.element_at(F.array_sort(F.transform("clusters", lambda c: F.struct(gap(c).alias("gap"), (-c).alias("back"), c.alias("c")))), 1)["c"])
-    counts = near.groupBy("doc_id", "cluster").agg(F.count(F.lit(1)).alias("n"))
-    ranked = counts.withColumn("rank", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("n"), F.desc("cluster")))).filter("rank <= 2")
-    return ranked.groupBy("doc_id").agg(F.max("cluster").alias("question_size"), F.min("cluster").alias("choice_size"))
+    nearest = lambda s: F.array_min(F.transform("clusters", lambda c: F.struct(F.abs(c - s).alias("gap"), (-c).alias("back"))))["back"]
+    rows = size_clusters(lines).withColumn("near", F.transform("sizes", nearest))
+    counts = F.transform("clusters", lambda c: F.struct(F.size(F.filter("near", lambda b: b == -c)).alias("n"), c.alias("c")))
+    most = F.transform(F.slice(F.sort_array(F.filter(counts, lambda x: x["n"] > 0), asc=False), 1, 2), lambda x: x["c"])
+    return rows.select("doc_id", most.alias("most")).select("doc_id", F.array_max("most").alias("question_size"), F.array_min("most").alias("choice_size"))
 
 
 def column_edges(lines: DataFrame) -> DataFrame:
@@ -130,23 +130,25 @@ def marking_bands(bands: DataFrame, options: DataFrame) -> DataFrame:
     """Bands that lie on an option and have the colour of most such bands; a tie of colours marks nothing."""
     lines = options.select("doc_id", F.col("top").alias("_top"), F.col("bottom").alias("_bottom"))
     on = bands.alias("b").join(lines.alias("l"), (F.col("b.doc_id") == F.col("l.doc_id")) & _on("b.top", "b.bottom", "_top", "_bottom"), "left_semi")
-    counts = on.groupBy("doc_id", "channel").agg(F.count(F.lit(1)).alias("n"))
-    ranked = counts.withColumn("rank", F.rank().over(Window.partitionBy("doc_id").orderBy(F.desc("n")))).filter("rank = 1")
-    alone = ranked.withColumn("ties", F.count(F.lit(1)).over(Window.partitionBy("doc_id"))).filter("ties = 1").select("doc_id", "channel")
-    return on.join(alone, ["doc_id", "channel"], "left_semi")
+    page = Window.partitionBy("doc_id")
+    told = on.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("doc_id", "channel"))).withColumn("most", F.max("n").over(page))
+    alone = F.size(F.collect_set(F.when(F.col("n") == F.col("most"), F.col("channel"))).over(page)) == 1
+    return told.withColumn("alone", alone).filter("alone and n = most").drop("n", "most", "alone")
 
 
 def marked_lines(lines: DataFrame, marks: DataFrame) -> DataFrame:
-    """lines with marked: is the centre of the line in a mark."""
-    m = marks.select(F.col("doc_id").alias("_doc"), F.col("top").alias("_top"), F.col("bottom").alias("_bottom"))
-    hit = lines.join(m, (F.col("doc_id") == F.col("_doc")) & _on("_top", "_bottom", "top", "bottom"), "left_semi").select("doc_id", "line_no", F.lit(True).alias("marked"))
-    return lines.join(hit, ["doc_id", "line_no"], "left").withColumn("marked", F.coalesce("marked", F.lit(False)))
+    """lines with marked: is the centre of the line in a mark (of which a page has few)."""
+    held = marks.groupBy("doc_id").agg(F.collect_list(F.struct("top", "bottom")).alias("_marks"))
+    centre = F.col("top") + (F.col("bottom") - F.col("top")) / 2
+    hit = F.exists("_marks", lambda m: (m["top"] <= centre) & (centre <= m["bottom"]))
+    return lines.join(held, "doc_id", "left").withColumn("marked", F.coalesce(hit, F.lit(False))).drop("_marks")
 
 
 def settled(options: DataFrame, keys: list[str]) -> DataFrame:
-    """options with marked cleared in groups (by keys) that have more than half of their options marked."""
+    """options with marked cleared in groups (by keys) that have more than half of their options marked; rows with a null there
+    are no options."""
     group = Window.partitionBy(*keys)
-    share = 2 * F.sum(F.col("marked").cast("int")).over(group) > F.count(F.lit(1)).over(group)
+    share = 2 * F.sum(F.col("marked").cast("int")).over(group) > F.count("marked").over(group)
     return options.withColumn("marked", F.col("marked") & ~share)
 
 
@@ -179,8 +181,8 @@ def drawn_blocks(words: DataFrame, rows: DataFrame | None = None, readings: Data
     content, and pages without two sizes, give nothing. Marks that more than half of the options of a block have mean nothing.
     """
     lines = text_lines(words, 0.0)
-    lines = lines.filter(is_content(F.col("confidence"), F.col("text")))
-    placed = drawn_roles(lines, role_sizes(lines))
+    lines = materialized(lines.filter(is_content(F.col("confidence"), F.col("text"))), "drawn_lines")
+    placed = materialized(drawn_roles(lines, role_sizes(lines)), "placed_lines")
     if rows is None:
         placed = placed.withColumn("marked", F.lit(False))
     else:
@@ -192,20 +194,22 @@ def drawn_blocks(words: DataFrame, rows: DataFrame | None = None, readings: Data
     text = F.when(F.col("role") == "wrap", text).otherwise(strip(F.ltrim(text, F.lit("|:. "))))
     block = Window.partitionBy("doc_id", "block_no").orderBy("top", "left", "line_no")
     numbered = placed.withColumn("text", text).withColumn("option_no", F.sum(option.cast("int")).over(block))
-    stems = numbered.filter("role = 'stem'").groupBy("doc_id", "block_no").agg(F.array_sort(F.collect_list(F.struct("top", "left", "line_no", "text"))).alias("stems"))
-    parts = numbered.filter("role != 'stem'").groupBy("doc_id", "block_no", "option_no").agg(
-        F.array_sort(F.collect_list(F.struct("top", "left", "line_no", "text"))).alias("parts"), F.max(F.when(option, F.col("marked"))).alias("marked")
+    # the lines before the first option of a block are its stem
+    parts = numbered.groupBy("doc_id", "block_no", "option_no").agg(
+        F.array_sort(F.collect_list(F.struct("top", "left", "line_no", "text"))).alias("parts"), F.max(F.when(option, F.col("marked"))).alias("marked"),
+        F.min("top").alias("line_start"), F.max("top").alias("line_end"),
+    )
+    joined = F.array_join(F.transform("parts", lambda p: p["text"]), " ")
+    parts = settled(parts.withColumn("text", joined), ["doc_id", "block_no"])
+    one = F.struct((F.col("option_no") - 1).cast("int").alias("pos"), strip(F.col("text")).alias("text"), F.lit(None).cast("string").alias("marker"), "marked")
+    found = parts.groupBy("doc_id", "block_no").agg(
+        F.max(F.when(F.col("option_no") == 0, F.col("text"))).alias("question"), F.array_sort(F.collect_list(F.when(F.col("option_no") > 0, one))).alias("options"),
+        F.min("line_start").alias("line_start"), F.max("line_end").alias("line_end"),
     )
-    joined = lambda c: F.array_join(F.transform(c, lambda p: p["text"]), " ")
-    parts = settled(parts.withColumn("text", strip(joined("parts"))), ["doc_id", "block_no"])
-    none = F.lit(None).cast("string").alias("marker")
-    options = parts.groupBy("doc_id", "block_no").agg(F.array_sort(F.collect_list(F.struct((F.col("option_no") - 1).cast("int").alias("pos"), "text", none, "marked"))).alias("options"))
-    span = numbered.groupBy("doc_id", "block_no").agg(F.min("top").alias("line_start"), F.max("top").alias("line_end"))
-    rows_of = span.join(stems, ["doc_id", "block_no"], "left").join(options, ["doc_id", "block_no"], "left")
-    question = collapse(F.coalesce(joined("stems"), F.lit("")))
     kind = "array<struct<pos:int,text:string,marker:string,marked:boolean>>"
     number = F.col("block_no").cast("int")
-    return rows_of.select("doc_id", number.alias("block_no"), number.alias("q_index"), question.alias("question"), F.coalesce("options", F.array().cast(kind)).cast(kind).alias("options"), F.lit(None).cast("array<string>").alias("inline_letters"), "line_start", "line_end")
+    question = collapse(F.coalesce("question", F.lit("")))
+    return found.select("doc_id", number.alias("block_no"), number.alias("q_index"), question.alias("question"), F.col("options").cast(kind).alias("options"), F.lit(None).cast("array<string>").alias("inline_letters"), "line_start", "line_end")
 
 
 def usable_blocks(blocks: DataFrame) -> DataFrame:
