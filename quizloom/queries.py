@@ -317,7 +317,7 @@ def normalize_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(rf"""SELECT doc_id, CASE WHEN contains(text, '&') OR regexp_matches(text, '[\x{{300}}-\x{{3ff}}\x{{460}}-\x{{200f}}\x{{2028}}-\x{{10ffff}}]') THEN 'entities or accents'
 ELSE sha256(trim(regexp_replace(regexp_replace(text, '<[^>]*>', '', 'g'), '{_SPACE}+', ' ', 'g'))) END AS clean FROM documents""")
-def normalize_all_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+def normalize_in_jvm(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which way each document goes, and what the way in the JVM makes of it: the part of normalize_text that SQL can follow."""
     told = F.coalesce(text.needs_python(F.col("text")), F.lit(False))
     return table(spark, sf_dir, "documents").select("doc_id", F.when(told, "entities or accents").otherwise(F.sha2(text.normalized(F.col("text")), 256)).alias("clean"))

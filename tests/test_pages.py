@@ -110,3 +110,14 @@ def test_edited_decks(spark, deck, errors):
 def test_alphabets_beyond_three(spark):
     rows = spark.createDataFrame([("אבx ok",), ("привет мир",), ("ไทย ok fine more",)], "t string")
     assert [r[0] for r in rows.select(quality.mixed_script_words(rows["t"])).collect()] == [["אבx"], [], []]
+
+
+def test_every_alphabet_is_told(spark):
+    """A letter of each, the first of equals, texts without letters, and words in two alphabets."""
+    one_of_each = "aбαաאبܐހअঅਅઅଅஅఅಅഅඅกກཀက\u10d0가አᎠកᠠあアㄅ中"
+    assert len(one_of_each) == len(quality.SCRIPTS)
+    cases = [(c, name, []) for c, name in zip(one_of_each, quality.SCRIPTS, strict=True)]
+    cases += [("אбa", "LATIN", ["אбa"]), ("аб a אבג", "HEBREW", []), ("12 !?", "", []), ("— «»", "", []), ("", "", []), (None, None, None), ("été б", "LATIN", []), ("naïve жизнъx", "LATIN", ["жизнъx"])]
+    rows = spark.createDataFrame([(k, c[0]) for k, c in enumerate(cases)], "k int, t string")
+    got = rows.select("k", quality.dominant_script(rows["t"]).alias("main"), quality.mixed_script_words(rows["t"]).alias("mixed")).orderBy("k").collect()
+    assert [(r["main"], r["mixed"]) for r in got] == [c[1:] for c in cases]

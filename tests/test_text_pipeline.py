@@ -143,5 +143,5 @@ def test_all_documents_are_normalized(spark, tmp_path):
             yield str((r["doc_id"], text))
 
     for sf_dir in (str(tmp_path), "/root/testdata/sf0.001"):
-        got = QUERIES["normalize_all_texts"](spark, sf_dir).collect()
+        got = QUERIES["normalize_text"](spark, sf_dir).collect()
         assert sorted(str((r["doc_id"], r["clean"])) for r in got) == sorted(brute(sf_dir))
