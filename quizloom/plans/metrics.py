@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -48,7 +50,8 @@ def matched(expected: DataFrame, found: DataFrame, least: float = 0.5) -> DataFr
 
     Cards whose normalised questions are equal go together first, in turn if there are several; of the others, those whose words
     overlap the most (shared over all, `least` at least), the earlier of equals. So cards that are shifted, or split in two, are
-    still told. Pairs are made from shared words within a document; what is left to choose is at most a document's cards.
+    still told. Pairs are made from shared words within a document, and chosen in one pass over them in order: a task holds the numbers of one
+    document's cards.
     """
     numbered = lambda rows, side: rows.select("doc_id", F.col("block_no").alias(f"{side}_block"), collapse(F.col("question")).alias("question")).withColumn("k", F.row_number().over(Window.partitionBy("doc_id", "question").orderBy(f"{side}_block")))
     e, f = numbered(expected, "e"), numbered(found, "f")
@@ -60,17 +63,23 @@ def matched(expected: DataFrame, found: DataFrame, least: float = 0.5) -> DataFr
     score = F.col("n") / (F.col("e_size") + F.col("f_size") - F.col("n"))
     kind = f"doc_id {expected.schema['doc_id'].dataType.simpleString()}, e_block {expected.schema['block_no'].dataType.simpleString()}, f_block {found.schema['block_no'].dataType.simpleString()}"
 
-    def chosen(pairs: pd.DataFrame) -> pd.DataFrame:
-        taken_e, taken_f, keep = set(), set(), []
-        for r in pairs.sort_values(["score", "e_block", "f_block"], ascending=[False, True, True]).itertuples():
-            free = r.e_block not in taken_e and r.f_block not in taken_f
-            keep.append(free)
-            if free:
-                taken_e.add(r.e_block)
-                taken_f.add(r.f_block)
-        return pairs.sort_values(["score", "e_block", "f_block"], ascending=[False, True, True])[keep][["doc_id", "e_block", "f_block"]]
-
-    near = shared.select("doc_id", "e_block", "f_block", score.alias("score")).filter(F.col("score") >= least).groupBy("doc_id").applyInPandas(chosen, kind)
+    def chosen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Pairs in turn, whose cards are both free still; those of a document come together, the best first."""
+        doc, taken_e, taken_f = None, set(), set()
+        for batch in batches:
+            keep = []
+            for d, e_block, f_block in zip(*[batch.column(c).to_pylist() for c in ("doc_id", "e_block", "f_block")], strict=True):
+                if d != doc:
+                    doc, taken_e, taken_f = d, set(), set()
+                free = e_block not in taken_e and f_block not in taken_f
+                keep.append(free)
+                if free:
+                    taken_e.add(e_block)
+                    taken_f.add(f_block)
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    pairs = shared.withColumn("score", score).filter(F.col("score") >= least).repartition("doc_id").sortWithinPartitions("doc_id", F.desc("score"), "e_block", "f_block")
+    near = pairs.select("doc_id", "e_block", "f_block").mapInArrow(chosen, kind)
     return equal.unionByName(near)
 
 

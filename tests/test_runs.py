@@ -64,6 +64,16 @@ def test_cards_are_matched_by_what_they_say(spark):
     assert {r["metric"]: r["value"] for r in metrics.detection(expected, none).collect()} == {"detection_precision": None, "detection_recall": 0.0}
 
 
+def test_cards_are_matched_without_a_call_for_each_document(spark):
+    """Equal scores go to the earlier cards, in many documents of one task; documents are not handed to Python one by one."""
+    docs = range(500)
+    expected = cards(spark, [(d, n, f"red green {n}") for d in docs for n in (1, 2)])
+    found = cards(spark, [(d, n, f"red green {n + 5}") for d in docs for n in (3, 4, 5)])
+    pairs = metrics.matched(expected, found)
+    assert "InPandas" not in pairs._jdf.queryExecution().executedPlan().toString()
+    assert sorted(tuple(r) for r in pairs.collect()) == [(d, n, n + 2) for d in docs for n in (1, 2)]
+
+
 def test_issues_go_card_by_card(spark):
     """Evidence and equal ids of the document first, then each card's rules, then what only binds an export."""
     issue = lambda card, code, rule: (1, card, code, rule, "m")
