@@ -91,11 +91,12 @@ def column_edges(lines: DataFrame) -> DataFrame:
 
 def row_means(pixels: DataFrame, edges: DataFrame, step: int = ROW_STEP) -> DataFrame:
     """Mean colour of every `step`th row inside the column: doc_id, y, red, green, blue, height. pixels: doc_id, x, y, red,
-    green, blue; the column is moved into the page, and is a pixel wide at least."""
+    green, blue; the column is moved into the page, and is a pixel wide at least. Pixels that are dealt by doc_id stay where they
+    are. No side is broadcast: how large pages are is not told by the size of what they are made from."""
     size = pixels.groupBy("doc_id").agg((F.max("x") + 1).alias("width"), (F.max("y") + 1).alias("height"))
-    inside = edges.join(size, "doc_id").withColumn("left", F.greatest(F.lit(0), F.least("left", F.col("width") - 1)))
+    inside = edges.join(size.hint("shuffle_hash"), "doc_id").withColumn("left", F.greatest(F.lit(0), F.least("left", F.col("width") - 1)))
     inside = inside.withColumn("right", F.least(F.greatest(F.col("left") + 1, "right"), "width"))
-    rows = pixels.filter(F.col("y") % step == 0).join(inside, "doc_id").filter("x >= left and x < right")
+    rows = pixels.filter(F.col("y") % step == 0).join(inside.hint("shuffle_hash"), "doc_id").filter("x >= left and x < right")
     return rows.groupBy("doc_id", "y").agg(*[F.avg(c).alias(c) for c in ("red", "green", "blue")], F.max("height").alias("height"))
 
 

@@ -607,7 +607,7 @@ def page_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(PAGE_MEANS)
 def page_row_means(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages of 60 x 10 pixels, a row for each pixel."""
-    rows = page_edges(spark, sf_dir)
+    rows = page_edges(spark, sf_dir).repartition("doc_id")
     pixels = rows.select("doc_id", F.explode(F.sequence(F.lit(0), F.lit(59))).alias("x")).withColumn("y", F.explode(F.sequence(F.lit(0), F.lit(9))))
     shade = F.least(F.lit(255), F.col("x") * 3 + F.col("y"))
     found = geometry.row_means(pixels.withColumns({"red": shade, "green": shade, "blue": shade}), rows)

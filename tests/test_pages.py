@@ -121,3 +121,12 @@ def test_every_alphabet_is_told(spark):
     rows = spark.createDataFrame([(k, c[0]) for k, c in enumerate(cases)], "k int, t string")
     got = rows.select("k", quality.dominant_script(rows["t"]).alias("main"), quality.mixed_script_words(rows["t"]).alias("mixed")).orderBy("k").collect()
     assert [(r["main"], r["mixed"]) for r in got] == [c[1:] for c in cases]
+
+
+def test_pixels_are_not_broadcast(spark):
+    """Pixels made from a small table look as small as it is, and are many times larger."""
+    edges = spark.range(3).selectExpr("id AS doc_id", "1 AS left", "CAST(3 + id AS int) AS right")
+    pixels = edges.selectExpr("doc_id", "explode(sequence(0, 5)) AS x").selectExpr("*", "explode(sequence(0, 4)) AS y").selectExpr("*", "x AS red", "y AS green", "x + y AS blue")
+    means = geometry.row_means(pixels, edges)
+    assert "Broadcast" not in means._jdf.queryExecution().executedPlan().toString()
+    assert {(r["doc_id"], r["y"]): r["red"] for r in means.collect()} == {(d, y): (1 + 2 + d) / 2 for d in range(3) for y in (0, 4)}
