@@ -32,15 +32,21 @@ _NAMES = ["doc_id", "level", "page_num", "block_num", "par_num", "line_num", "wo
 _KINDS = [pa.int64(), *[pa.int32()] * 10, pa.float64(), pa.string()]
 
 
-def _called(call: Callable[[], object], seconds: float) -> tuple[object, str | None]:
-    """What a call gives, or how it failed. One that takes too long is given up (its thread ends with it)."""
+def _called(calls: Iterable[Callable[[], object]], seconds: float) -> Iterator[tuple[object, str | None]]:
+    """What each call gives, or how it failed. One that takes too long is given up (its thread ends with it) and the next has a
+    thread of its own; otherwise the calls share one."""
     pool = ThreadPoolExecutor(1)
     try:
-        return pool.submit(call).result(timeout=seconds), None
-    except Late:
-        return None, f"took over {seconds:g} seconds"
-    except Exception as e:  # noqa: BLE001 - the recogniser is foreign code
-        return None, f"{type(e).__name__}: {e}"[:MOST_ERROR]
+        for call in calls:
+            try:
+                done = pool.submit(call).result(timeout=seconds), None
+            except Late:
+                done = None, f"took over {seconds:g} seconds"
+                pool.shutdown(wait=False, cancel_futures=True)
+                pool = ThreadPoolExecutor(1)
+            except Exception as e:  # noqa: BLE001 - the recogniser is foreign code
+                done = None, f"{type(e).__name__}: {e}"[:MOST_ERROR]
+            yield done
     finally:
         pool.shutdown(wait=False, cancel_futures=True)
 
@@ -50,8 +56,8 @@ def recognised(images: DataFrame, recogniser: Callable[[bytes], Iterable[Word]],
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for doc, content in zip(batch.column("doc_id").to_pylist(), batch.column("content").to_pylist(), strict=True):
-                words, error = _called(lambda content=content: [*recogniser(content or b"")], seconds)
+            calls = (lambda c=c: [*recogniser(c or b"")] for c in batch.column("content").to_pylist())
+            for doc, (words, error) in zip(batch.column("doc_id").to_pylist(), _called(calls, seconds), strict=True):
                 rows = [(doc, *[None] * 12, error)] if error else [(doc, 5, *w, None) for w in words]
                 columns = zip(*rows, strict=True) if rows else [[]] * 14
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, [*_KINDS, pa.string()], strict=True)], names=[*_NAMES, "error"])
@@ -64,7 +70,7 @@ def attempt(images: DataFrame, recogniser: Callable[[bytes, int], str], mode: in
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            done = [_called(lambda c=c: recogniser(c or b"", mode), seconds) for c in batch.column("content").to_pylist()]
+            done = [*_called((lambda c=c: recogniser(c or b"", mode) for c in batch.column("content").to_pylist()), seconds)]
             texts = [t if isinstance(t, str) else "" for t, _ in done]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(texts, pa.string()), pa.array([e for _, e in done], pa.string())], names=["doc_id", "text", "error"])
 
