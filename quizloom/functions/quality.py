@@ -12,6 +12,8 @@ from quizloom.functions.text import let, strip
 _NAMES = """LATIN CYRILLIC GREEK ARMENIAN HEBREW ARABIC SYRIAC THAANA DEVANAGARI BENGALI GURMUKHI GUJARATI ORIYA TAMIL TELUGU KANNADA
 MALAYALAM SINHALA THAI LAO TIBETAN MYANMAR GEORGIAN HANGUL ETHIOPIC CHEROKEE KHMER MONGOLIAN HIRAGANA KATAKANA BOPOMOFO HAN"""
 SCRIPTS = tuple(_NAMES.split())
+_COMMON = SCRIPTS[:3]
+_OTHERS = "[" + "".join(rf"\p{{Is{n}}}" for n in SCRIPTS[3:]) + "]"
 #: Without such a character a text is in one alphabet or in none, and no pattern of an alphabet is tried on it.
 _FOREIGN = r"[^\x00-\x7f]"
 
@@ -27,8 +29,11 @@ def words(text: Column) -> Column:
 
 
 def _letters(text: Column) -> Column:
-    """How many characters of each alphabet a text has."""
-    return F.transform(_scripts(), lambda n: F.length(F.regexp_replace(text, F.concat(F.lit(r"[^\p{Is"), n, F.lit("}]")), F.lit(""))))
+    """How many characters of each alphabet a text has. Patterns put together from the names are compiled anew for each text, so
+    a text in the first alphabets alone, as most are, takes fixed ones."""
+    common = F.array(*[F.length(F.regexp_replace(text, rf"[^\p{{Is{n}}}]", "")) for n in _COMMON])
+    every = F.transform(_scripts(), lambda n: F.length(F.regexp_replace(text, F.concat(F.lit(r"[^\p{Is"), n, F.lit("}]")), F.lit(""))))
+    return F.when(text.rlike(_OTHERS), every).otherwise(F.concat(common, F.array_repeat(F.lit(0), len(SCRIPTS) - len(_COMMON))))
 
 
 def mixed_script_words(text: Column) -> Column:
@@ -105,6 +110,8 @@ def fold_homoglyphs(text: Column) -> Column:
     def fold(w: Column, main: Column) -> Column:
         folded = F.when(main == "LATIN", F.translate(w, P.WORD_CYRILLIC, P.WORD_LATIN)).otherwise(F.translate(w, P.WORD_LATIN, P.WORD_CYRILLIC))
         others = F.rlike(w, F.concat(F.lit(r"[\p{L}&&[^\p{Is"), main, F.lit("}]]")))
+        for n in _COMMON:  # fixed patterns are compiled once
+            others = F.when(main == n, w.rlike(rf"[\p{{L}}&&[^\p{{Is{n}}}]]")).otherwise(others)
         return F.when(main == "", w).when(w.rlike(r"^\p{L}") & others, folded).otherwise(w)
 
     parts = F.regexp_extract_all(text, F.lit(r"(?U)\w+|\W+"), F.lit(0))

@@ -47,6 +47,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def dealt(spark: SparkSession, sf_dir: str, name: str, key: str, *others: str) -> DataFrame:
+    """Columns of a table dealt out by its key, where much is made of small rows: one file of them would be one task."""
+    return table(spark, sf_dir, name).select(key, *others).repartition(key)
+
+
 def _long(df: DataFrame, *names: str) -> DataFrame:
     return df.withColumns({n: F.col(n).cast("long") for n in names})
 
@@ -75,7 +80,8 @@ def answer_key_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT p_partkey AS doc_id, q AS q_index, CASE q WHEN 1 THEN 'B' ELSE 'A,C' END AS letters, 3::BIGINT AS cut FROM part, (SELECT unnest([1::BIGINT, 2]) AS q)")
 def answer_key_inline(spark: SparkSession, sf_dir: str) -> DataFrame:
     body = F.concat(F.lit("1. "), "p_name", F.lit("\nA) x\nB) y\nAnswers: 1-B, 2-A C"))
-    key = segments.answer_key(segments.lines(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("doc_id"), body.alias("body"))))
+    docs = dealt(spark, sf_dir, "part", "p_partkey", "p_name").select(F.col("p_partkey").alias("doc_id"), body.alias("body"))
+    key = segments.answer_key(materialized(segments.lines(docs), "lines"))
     return key.select("doc_id", F.col("q_index").cast("long").alias("q_index"), F.array_join("letters", ",").alias("letters"), F.col("cut").cast("long").alias("cut"))
 
 
@@ -351,7 +357,7 @@ def script_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
 def fold_homoglyphs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One word of each line has lookalike letters of the other alphabet; folding gives the line back."""
     line = F.concat(F.lit("the whоle tехt of part "), "p_name")
-    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("doc_id"), quality.fold_homoglyphs(line).alias("folded"))
+    return dealt(spark, sf_dir, "part", "p_partkey", "p_name").select(F.col("p_partkey").alias("doc_id"), quality.fold_homoglyphs(line).alias("folded"))
 
 
 @query("SELECT p_partkey AS doc_id, CASE WHEN p_partkey % 2 = 0 THEN 'А,В,С' ELSE 'A,B,C' END AS letters FROM part")
@@ -508,7 +514,7 @@ def _quiz_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit('">✓ x</span><li class="option-item">Other</ul></div></i><div data-question-id="b" data-family="true-false"><p class="question-stem">Even size</p><span class="option-item" data-correct="'), even.cast("string"), F.lit('">True</span><span class="option-item" data-correct="'), (~even).cast("string"),
         F.lit('">False</span></div><div data-question-id="c" data-family="flashcard"><i class="flashcard-front">'), "p_name", F.lit('</i><i class="flashcard-back">'), "p_brand", F.lit('</i></div><div data-question-id="d" data-family="image-occlusion"></div></main>'),
     )
-    return quiz_html.cards(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("doc_id"), html.alias("html")))
+    return quiz_html.cards(dealt(spark, sf_dir, "part", "p_partkey", "p_name", "p_brand", "p_size").select(F.col("p_partkey").alias("doc_id"), html.alias("html")))
 
 
 @query("""SELECT p_partkey AS doc_id, k AS block_no, CASE k WHEN 0 THEN 'single-choice' WHEN 1 THEN 'true-false' WHEN 2 THEN 'flashcard' ELSE 'image-occlusion' END AS family, CASE k WHEN 0 THEN concat('Brand & type of ', p_name) WHEN 1 THEN 'Even size' WHEN 2 THEN p_name END AS question,

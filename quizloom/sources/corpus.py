@@ -14,6 +14,7 @@ CASE WHEN p_partkey % 4 = 0 THEN '' ELSE concat('Answers:', chr(10), '1. A', chr
 
 
 def quizzes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, title and body of a quiz for each part."""
-    part = spark.read.parquet(f"{sf_dir}/part.parquet")
+    """doc_id, title and body of a quiz for each part. A part takes a few bytes and its quiz much work, so parts are dealt out
+    before anything is made of them: one file of them would be one task."""
+    part = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", "p_name", "p_brand", "p_size", "p_type").repartition("p_partkey")
     return part.select(F.col("p_partkey").alias("doc_id"), F.col("p_name").alias("title"), F.expr(BODY).alias("body"), "p_brand", "p_size", "p_type")

@@ -6,9 +6,13 @@ import re
 import unicodedata
 
 import pytest
+from pyspark.sql import functions as F
 
+from quizloom import queries
+from quizloom.functions import quality, text
 from quizloom.plans import export
 from quizloom.plans.text_pipeline import ALL_CAPABILITIES, process_text
+from quizloom.sources.corpus import quizzes
 
 BASE = """1. Which hormone lowers blood sugar?
 A) Glucagon
@@ -145,3 +149,18 @@ def test_all_documents_are_normalized(spark, tmp_path):
     for sf_dir in (str(tmp_path), "/root/testdata/sf0.001"):
         got = QUERIES["normalize_text"](spark, sf_dir).collect()
         assert sorted(str((r["doc_id"], r["clean"])) for r in got) == sorted(brute(sf_dir))
+
+
+def test_parts_are_dealt_out_before_their_quizzes_are_made(spark):
+    """A small file would otherwise be one task, however much is made of it."""
+    for rows in (quizzes(spark, "/root/testdata/sf0.001"), queries.QUERIES["fold_homoglyphs"](spark, "/root/testdata/sf0.001")):
+        assert "REPARTITION_BY_COL" in rows._jdf.queryExecution().executedPlan().toString()
+
+
+def test_letters_of_common_and_other_alphabets_count_alike(spark):
+    """Fixed patterns for the first alphabets, others for texts with more: the same counts for every alphabet, in order."""
+    rows = spark.createDataFrame([("abc где",), ("abгα שלום",), ("漢 aа",), ("123",), ("",)], "t string")
+    got = [{quality.SCRIPTS[k]: n for k, n in enumerate(r[0]) if n} for r in rows.select(quality._letters(F.col("t"))).collect()]
+    assert got == [{"LATIN": 3, "CYRILLIC": 3}, {"LATIN": 2, "CYRILLIC": 1, "GREEK": 1, "HEBREW": 4}, {"LATIN": 1, "CYRILLIC": 1, "HAN": 1}, {}, {}]
+    folded = rows.select(F.size(quality._letters(F.col("t"))).alias("n"), text.collapse(F.lit(" a b\x0b\n c\x1f")).alias("c")).distinct().collect()
+    assert [tuple(r) for r in folded] == [(len(quality.SCRIPTS), "a b c")]
