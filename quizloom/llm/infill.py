@@ -21,6 +21,8 @@ from quizloom.llm.common import documents, raw_bytes
 
 #: Bytes of a chunk. Longer texts go by chunks through the shuffle.
 CHUNK = 1 << 16
+#: Bytes of the texts of a batch that are scanned at a time: what numbers their positions takes many times as much.
+PIECE = 1 << 20
 SPM, PSM, PLAIN = "spm", "psm", "plain"
 #: The marks of the output.
 PREFIX, SUFFIX, MIDDLE = "<P>", "<S>", "<M>"
@@ -81,15 +83,26 @@ def cuts_of_texts(texts: Iterator[tuple[pa.Array, pa.Array, pa.Array]]) -> Itera
     """Units of whole texts of one chunk, and the code points before the ends of the chosen units."""
     for text, h1, h2 in texts:
         data, at = raw_bytes(text)
-        found, first = _scan(data, at, np.zeros(len(text), np.int64))
-        leads = _leads(data)
-        n = np.diff(first) + (at[:-1] < at[1:])
-        places = []
-        for k in np.sort(np.stack([h.to_numpy(zero_copy_only=False) % (n + 1) for h in (h1, h2)]), axis=0):
-            pick = np.clip(first[:-1] + k - 1, 0, max(0, len(found) - 1))
-            end = np.where(k == n, at[1:], found[pick] if len(found) else 0)
-            places.append(np.where(k == 0, 0, leads[end] - leads[at[:-1]]))
-        yield pa.StructArray.from_arrays([pa.array(n), *map(pa.array, places)], ["n", "cut1", "cut2"])
+        hashes = np.stack([h.to_numpy(zero_copy_only=False) for h in (h1, h2)])
+        done, low = [np.zeros((3, 0), np.int64)], 0
+        while low < len(text):
+            high = max(low + 1, int(np.searchsorted(at, at[low] + PIECE, "right")) - 1)
+            done.append(_cuts(data[at[low] : at[high]], at[low : high + 1] - at[low], hashes[:, low:high]))
+            low = high
+        yield pa.StructArray.from_arrays([pa.array(x) for x in np.concatenate(done, axis=1)], ["n", "cut1", "cut2"])
+
+
+def _cuts(data: np.ndarray, at: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Units of each row, and the code points before its two cuts."""
+    found, first = _scan(data, at, np.zeros(len(at) - 1, np.int64))
+    leads = _leads(data)
+    n = np.diff(first) + (at[:-1] < at[1:])
+    out = [n]
+    for k in np.sort(hashes % (n + 1), axis=0):
+        pick = np.clip(first[:-1] + k - 1, 0, max(0, len(found) - 1))
+        end = np.where(k == n, at[1:], found[pick] if len(found) else 0)
+        out.append(np.where(k == 0, 0, leads[end] - leads[at[:-1]]))
+    return np.stack(out).astype(np.int64)
 
 
 def composed(functions: pa.Array) -> pa.Array:

@@ -3,6 +3,7 @@
 import hashlib
 import re
 
+import pyarrow as pa
 import pytest
 
 from quizloom.llm import infill
@@ -58,3 +59,17 @@ def test_functions_compose(spark):
 
 def test_no_rows(empty):
     assert infill.fill_in_middle(empty).collect() == []
+
+
+def test_batches_are_scanned_in_pieces(monkeypatch):
+    """What numbers the positions of a batch is held for a piece of it at a time; the cuts are those of the whole."""
+    seen, leads = [], infill._leads
+    monkeypatch.setattr(infill, "_leads", lambda data: (seen.append(len(data)), leads(data))[1])
+    texts = pa.array([" ".join(["é", "ab"] * (k % 7)) for k in range(400)] + ["", "x" * 900])
+    hashes = [pa.array([(k * p) % 1009 for k in range(len(texts))], pa.int64()) for p in (37, 101)]
+    cuts = []
+    for piece in (1 << 30, 500):
+        monkeypatch.setattr(infill, "PIECE", piece)
+        cuts.append([x.to_pylist() for x in infill.cuts_of_texts(iter([(texts, *hashes), (texts[:0], *(h[:0] for h in hashes))]))])
+    assert cuts[0] == cuts[1] and cuts[0][1] == [] and len(seen) > 10
+    assert seen[0] > 5000 and sorted(seen[1:])[-2] <= 500 and max(seen[1:]) == 900
