@@ -96,15 +96,17 @@ _BY_CARD = {3: 2, 4: 2, 5: 2, 6: 2, 7: 3, 8: 3}
 
 
 def in_order(issues: DataFrame, cards: DataFrame) -> DataFrame:
-    """issues with issue_no, from 1 in each document: evidence, then equal ids, then the rules of each card in turn, then what
+    """issues with block_no and issue_no, from 1 in each document: evidence, then equal ids, then the rules of each card in turn, then what
     only binds an export, again card by card. Issues of one rule and card are in the order of code and message. cards: doc_id,
-    card_id, block_no; of cards with one id the first counts."""
-    places = cards.groupBy("doc_id", "card_id").agg(F.min("block_no").alias("_block"))
+    card_id, block_no; of cards with one id the first counts, and block_no is its own."""
     phase = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for pair in _BY_CARD.items() for x in pair]), F.col("rule_order")), F.lit(0))
-    rows = issues.join(places, ["doc_id", "card_id"], "left").withColumn("_phase", phase)
+    # cards come among the issues, so that both are dealt out once, by document
+    places = cards.filter("doc_id is not null and card_id is not null").select("doc_id", "card_id", "block_no")
+    both = issues.withColumn("_issue", F.lit(True)).unionByName(places, allowMissingColumns=True).repartition("doc_id")
+    rows = both.withColumn("block_no", F.min("block_no").over(Window.partitionBy("doc_id", "card_id"))).filter("_issue").withColumn("_phase", phase)
     rule_first = F.when(F.col("_phase") == 0, F.col("rule_order"))
-    order = Window.partitionBy("doc_id").orderBy("_phase", rule_first, F.col("_block").asc_nulls_first(), "rule_order", F.col("card_id").asc_nulls_first(), "code", "message")
-    return rows.withColumn("issue_no", F.row_number().over(order)).drop("_phase", "_block")
+    order = Window.partitionBy("doc_id").orderBy("_phase", rule_first, F.col("block_no").asc_nulls_first(), "rule_order", F.col("card_id").asc_nulls_first(), "code", "message")
+    return rows.withColumn("issue_no", F.row_number().over(order)).drop("_phase", "_issue")
 
 
 #: Codes that only warn; all others stop an export. None does so yet.

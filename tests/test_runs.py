@@ -82,3 +82,13 @@ def test_issues_go_card_by_card(spark):
     places = spark.createDataFrame([(1, "z", 1), (1, "a", 2), (1, "a", 3)], "doc_id long, card_id string, block_no int")
     got = [(r["card_id"], r["rule_order"]) for r in rules.in_order(issues, places).orderBy("issue_no").collect()]
     assert got == [(None, 1), ("a", 2), ("z", 3), ("z", 6), ("a", 3), ("z", 7), ("z", 8), ("a", 7)]
+
+
+def test_issues_and_cards_are_dealt_out_once(spark):
+    """Cards come among the issues: no join, one exchange; what has no card has no place."""
+    issues = spark.createDataFrame([(1, None, "dangling-evidence", 1, "m"), (1, "a", "option-set-mismatch", 3, "m"), (None, "a", "option-set-mismatch", 3, "m")], "doc_id long, card_id string, code string, rule_order int, message string")
+    places = spark.createDataFrame([(1, "a", 4), (1, "a", 2), (1, None, 1), (None, "a", 1), (2, "b", 1)], "doc_id long, card_id string, block_no int")
+    found = rules.in_order(issues, places)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and plan.count("Exchange") == 1
+    assert {(r["doc_id"], r["card_id"], r["block_no"], r["issue_no"]) for r in found.collect()} == {(1, None, None, 1), (1, "a", 2, 2), (None, "a", None, 1)}
