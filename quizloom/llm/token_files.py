@@ -44,7 +44,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str = TOKENIZER) -> None
             start += int(ends[-1])
 
     ordered = id_text(docs).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    writer = ordered.mapInArrow(encode, SCHEMA).write.option("compression", "zstd")
+    writer = ordered.mapInArrow(encode, SCHEMA).write.option("compression", "snappy")
     settings = {
         "parquet.writer.version": "v2", "parquet.block.size": ROW_GROUP_BYTES, "parquet.page.size": PAGE_BYTES, "parquet.page.row.count.limit": PAGE_ROWS,
         "parquet.enable.dictionary": "true", "parquet.enable.dictionary#doc_id": "false", "parquet.enable.dictionary#start_in_part": "false", "parquet.enable.dictionary#n_tokens": "false",
@@ -84,7 +84,7 @@ def digests(spark: SparkSession, path: str) -> DataFrame:
         for batch in batches:
             ids = batch.column("ids")
             at = ids.offsets.to_numpy().astype(np.int64)
-            raw = memoryview(ids.values.to_numpy().astype("<u4")[at[0] : at[-1]].tobytes()) if len(ids) else memoryview(b"")
+            raw = memoryview(ids.values.to_numpy().astype("<i4", copy=False)[at[0] : at[-1]].view(np.uint8)) if len(ids) else memoryview(b"")
             ends = (4 * (at - at[0])).tolist()
             found = [crc(raw[a:b]) for a, b in zip(ends[:-1], ends[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("part"), batch.column("start_in_part"), pa.array(np.diff(at)), pa.array(found, pa.int64())], names=["doc_id", "part", "start_in_part", "n_tokens", "ids_crc32"])
