@@ -14,6 +14,8 @@ MALAYALAM SINHALA THAI LAO TIBETAN MYANMAR GEORGIAN HANGUL ETHIOPIC CHEROKEE KHM
 SCRIPTS = tuple(_NAMES.split())
 _COMMON = SCRIPTS[:3]
 _OTHERS = "[" + "".join(rf"\p{{Is{n}}}" for n in SCRIPTS[3:]) + "]"
+#: No letter of the others has another code point than these: a range is told faster than 29 alphabets.
+_FAR = r"[\u02ea\u02eb\u0530-\x{10ffff}]"
 #: Without such a character a text is in one alphabet or in none, and no pattern of an alphabet is tried on it.
 _FOREIGN = r"[^\x00-\x7f]"
 
@@ -31,9 +33,9 @@ def words(text: Column) -> Column:
 def _letters(text: Column) -> Column:
     """How many characters of each alphabet a text has. Patterns put together from the names are compiled anew for each text, so
     a text in the first alphabets alone, as most are, takes fixed ones."""
-    common = F.array(*[F.length(F.regexp_replace(text, rf"[^\p{{Is{n}}}]", "")) for n in _COMMON])
-    every = F.transform(_scripts(), lambda n: F.length(F.regexp_replace(text, F.concat(F.lit(r"[^\p{Is"), n, F.lit("}]")), F.lit(""))))
-    return F.when(text.rlike(_OTHERS), every).otherwise(F.concat(common, F.array_repeat(F.lit(0), len(SCRIPTS) - len(_COMMON))))
+    common = F.array(*[F.length(F.regexp_replace(text, rf"[^\p{{Is{n}}}]+", "")) for n in _COMMON])
+    every = F.transform(_scripts(), lambda n: F.length(F.regexp_replace(text, F.concat(F.lit(r"[^\p{Is"), n, F.lit("}]+")), F.lit(""))))
+    return F.when(text.rlike(_FAR) & text.rlike(_OTHERS), every).otherwise(F.concat(common, F.array_repeat(F.lit(0), len(SCRIPTS) - len(_COMMON))))
 
 
 def mixed_script_words(text: Column) -> Column:
@@ -73,7 +75,7 @@ def _nothing() -> Column:
 def letter_ratio(text: Column) -> Column:
     """Letters among the characters that are not white space; 0 without any."""
     dense = F.length(F.regexp_replace(text, P.SPACE, ""))
-    return F.when(dense == 0, F.lit(0.0)).otherwise(F.length(F.regexp_replace(text, r"[^\p{L}]", "")) / dense)
+    return F.when(dense == 0, F.lit(0.0)).otherwise(F.length(F.regexp_replace(text, r"[^\p{L}]+", "")) / dense)
 
 
 def furniture(text: Column) -> Column:
@@ -116,13 +118,13 @@ def fold_homoglyphs(text: Column) -> Column:
 
     parts = F.regexp_extract_all(text, F.lit(r"(?U)\w+|\W+"), F.lit(0))
     folded = let(dominant_script(text), lambda main: F.array_join(F.transform(parts, lambda w: fold(w, main)), ""))
-    touched = text.rlike(r"\p{IsCyrillic}|\p{IsGreek}") & ((F.size(mixed_script_words(text)) > 0) | (F.size(stray_script_words(text)) > 0))
+    touched = text.rlike(_FOREIGN) & text.rlike(r"\p{IsCyrillic}|\p{IsGreek}") & ((F.size(mixed_script_words(text)) > 0) | (F.size(stray_script_words(text)) > 0))
     return F.when(touched, folded).otherwise(text)
 
 
 def latin_ratio(text: Column) -> Column:
     """ASCII letters among all letters."""
-    letters = F.length(F.regexp_replace(text, r"[^\p{L}]", ""))
+    letters = F.length(F.regexp_replace(text, r"[^\p{L}]+", ""))
     return F.when(letters == 0, F.lit(0.0)).otherwise(F.length(F.regexp_replace(text, "[^A-Za-z]", "")) / letters)
 
 

@@ -9,9 +9,8 @@ from __future__ import annotations
 import html
 import re
 import unicodedata
-from collections.abc import Callable, Iterable
+from collections.abc import Callable
 from functools import reduce
-from operator import or_
 
 import pandas as pd
 from pyspark.sql import Column
@@ -26,6 +25,10 @@ _RUN = re.compile(f"[{re.escape(P.SPACE_CHARACTERS)}]+")
 #: White space but the blank, tabs and ends of lines: one pattern, as collapse() runs inside of loops over arrays, where a search
 #: for each character costs more.
 _RARE = P.SPACE.replace(r"\t-\r\x1c-\x20", r"\x0b\x0c\x1c-\x1f")
+#: What collapse() changes: white space but single blanks between other characters.
+_LOOSE = rf"{_RARE[:-1]}\t\n\r]|  |^ | \z"
+#: Without any of these a text is clean: tags, what collapse() changes, and what feedback begins or ends with.
+_UNCLEAN = rf"^[ ✓✔✗✘●○→cirwCIRW]|{_RARE[:-1]}\t\n\r<]|  |[ )]\z"
 _TAGS = re.compile(P.TAG)
 _FEEDBACK = [re.compile(p.replace("(?iu)", ""), re.IGNORECASE) for p in (P.LEADING_MARK, P.LEADING_WORD, P.TRAILING_NOTE)]
 
@@ -74,25 +77,23 @@ def let(value: Column, use: Callable[[Column], Column]) -> Column:
 
 
 def strip(text: Column) -> Column:
-    return F.btrim(text, F.lit(P.SPACE_CHARACTERS))
-
-
-def _any(text: Column, parts: Iterable[str]) -> Column:
-    return reduce(or_, [F.contains(text, F.lit(x)) for x in parts])
+    """Without white space at the ends. To trim a set of characters costs more than to see that a text begins and ends with visible
+    ASCII, as most do; in loops over arrays `text` should be a value that is there already, as it is named more than once."""
+    done = text.between("!", "~") & F.substring(text, -1, 1).between("!", "~")
+    return F.when(done, text).otherwise(F.btrim(text, F.lit(P.SPACE_CHARACTERS)))
 
 
 def squeezed(text: Column) -> Column:
-    """Runs of two white-space characters and more as one space. Few texts have any, and to look for them costs far less than
-    the pattern."""
-    may = _any(text, ("  ", *P.SPACE_CHARACTERS.replace(" ", "")))
-    return F.when(may, F.regexp_replace(text, rf"{P.SPACE}{{2,}}", " ")).otherwise(text)
+    """Runs of two white-space characters and more as one space. Few texts have any."""
+    return F.when(text.rlike(rf"{P.SPACE}{{2}}"), F.regexp_replace(text, rf"{P.SPACE}{{2,}}", " ")).otherwise(text)
 
 
 def collapse(text: Column) -> Column:
-    """White-space runs as one space, none at the ends."""
+    """White-space runs as one space, none at the ends. Most short texts have but single spaces inside and stay as they are."""
     common = reduce(lambda t, c: F.replace(t, F.lit(c), F.lit(" ")), "\n\t\r", text)
     plain = F.when(text.rlike(_RARE), F.regexp_replace(common, P.SPACE, " ")).otherwise(common)
-    return F.trim(F.when(F.contains(plain, F.lit("  ")), F.regexp_replace(plain, " {2,}", " ")).otherwise(plain))
+    full = F.trim(F.when(F.contains(plain, F.lit("  ")), F.regexp_replace(plain, " {2,}", " ")).otherwise(plain))
+    return F.when(text.rlike(_LOOSE), full).otherwise(text)
 
 
 def strip_markup(text: Column) -> Column:
@@ -115,7 +116,8 @@ def strip_feedback(text: Column) -> Column:
 
 
 def cleaned(text: Column) -> Column:
-    return collapse(strip_feedback(strip_markup(text)))
+    full = let(strip_markup(text), lambda t: let(strip_feedback(t), collapse))
+    return F.when(text.rlike(_UNCLEAN), full).otherwise(text)
 
 
 def cleaned_all(texts: Column, python: bool = False) -> Column:
@@ -137,7 +139,7 @@ def fold_letters(letters: Column, markers: Column) -> Column:
 
 
 def answer_norm(text: Column) -> Column:
-    return strip(F.regexp_replace(F.lower(text), r"[.!?]+$", ""))
+    return let(F.regexp_replace(F.lower(text), r"[.!?]+$", ""), strip)
 
 
 def is_true_false(options: Column) -> Column:

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from quizloom.functions import patterns as P
-from quizloom.functions.text import answer_letters, squeezed, strip
+from quizloom.functions.text import answer_letters, let, squeezed, strip
 
 
 def _doc() -> WindowSpec:
@@ -23,6 +23,10 @@ def _so_far() -> WindowSpec:
     return _doc().rowsBetween(Window.unboundedPreceding, 0)
 
 
+def _before() -> WindowSpec:
+    return _doc().rowsBetween(Window.unboundedPreceding, -1)
+
+
 def lines(docs: DataFrame, body: str = "body") -> DataFrame:
     """doc_id, n, raw (ends stripped), text, kind (option, numbered, text, blank), marker and marked of every line.
 
@@ -32,25 +36,20 @@ def lines(docs: DataFrame, body: str = "body") -> DataFrame:
     may = reduce(or_, [F.contains("raw", F.lit(c)) for c in P.MARK_CHARACTERS])
     one = one.withColumn("marked", may & F.col("raw").rlike(P.CORRECT_MARK)).withColumn("blank", F.col("raw") == "")
     markless = F.when(F.col("marked"), F.regexp_replace("raw", P.CORRECT_MARK, " ")).otherwise(F.col("raw"))
-    one = one.withColumn("clean", strip(squeezed(markless)))
-    # each pattern is tried once: its parts, or null where the line does not have it
-    one = one.withColumn("option", _parts("clean", P.OPTION, 2))
-    one = one.withColumn("bullet", F.when(F.col("option").isNull(), _parts("clean", P.BULLET, 1)))
-    one = one.withColumn("numbered", F.when(F.coalesce("option", "bullet").isNull(), _parts("clean", P.NUMBERED, 2)))
-    is_option, is_bullet, is_number = (F.col(c).isNotNull() for c in ("option", "bullet", "numbered"))
+    one = one.withColumn("clean", squeezed(markless)).withColumn("clean", strip(F.col("clean")))
+    # each pattern is tried once: the first of its parts is never empty where a line has it
+    one = one.withColumn("option", F.regexp_extract("clean", P.OPTION, 1))
+    one = one.withColumn("bullet", F.when(F.col("option") == "", F.regexp_extract("clean", P.BULLET, 1)).otherwise(""))
+    one = one.withColumn("numbered", F.when((F.col("option") == "") & (F.col("bullet") == ""), F.regexp_extract("clean", P.NUMBERED, 1)).otherwise(""))
+    is_option, is_bullet, is_number = (F.col(c) != "" for c in ("option", "bullet", "numbered"))
     kind = F.when(F.col("blank"), "blank").when(is_option | is_bullet, "option").when(is_number, "numbered").otherwise("text")
-    marker = F.when(is_option, F.upper(F.get("option", F.lit(0)))).when(is_number, F.get("numbered", F.lit(0)))
-    text = F.coalesce(F.get("option", F.lit(1)), F.get("bullet", F.lit(0)), F.get("numbered", F.lit(1)))
-    text = F.when(F.col("blank"), "").when(text.isNotNull(), strip(text)).otherwise(F.col("clean"))
+    marker = F.when(is_option, F.upper("option")).when(is_number, F.col("numbered"))
+    said = F.when(is_option, F.regexp_extract("clean", P.OPTION, 2)).when(is_bullet, F.col("bullet")).when(is_number, F.regexp_extract("clean", P.NUMBERED, 2))
+    one = one.withColumn("said", said)
+    text = F.when(F.col("blank"), "").when(F.col("said").isNotNull(), strip(F.col("said"))).otherwise(F.col("clean"))
     return one.select("doc_id", "n", "raw", text.alias("text"), kind.alias("kind"), marker.alias("marker"), "marked")
 
 
-def _parts(column: str, pattern: str, groups: int) -> Column:
-    """The groups of a pattern in a line, or null."""
-    found = F.array(*[F.regexp_extract(column, pattern, k + 1) for k in range(groups)])
-    return F.when(F.col(column).rlike(pattern), found)
-
-
 def answer_key(parsed: DataFrame) -> DataFrame:
     """doc_id, q_index, letters and cut (the line the key begins at) of the first section that yields a key.
 
@@ -95,22 +94,30 @@ def placed_lines(parsed: DataFrame, key: DataFrame) -> DataFrame:
     cut = key.groupBy("doc_id").agg(F.min("cut").alias("cut"))
     rows = parsed.filter("kind != 'blank'").join(cut, "doc_id", "left").filter("cut is null or n < cut").drop("cut")
     may = reduce(or_, [F.contains(F.lower("raw"), F.lit(w)) for w in P.INLINE_WORDS])
-    rows = rows.withColumn("says", may & F.col("raw").rlike(P.INLINE_ANSWER)).withColumn("pos", F.row_number().over(_doc()))
-    rows = rows.withColumn("stretch", F.sum(((F.col("kind") == "numbered") & ~(F.col("says") & (F.col("pos") > 1))).cast("int")).over(_so_far()))
-    own = Window.partitionBy("doc_id", "stretch").orderBy("n")
-    shown = F.when((F.col("kind") == "option") & ~F.col("says"), F.col("marker"))
-    rows = rows.withColumn("held", F.last(shown, ignorenulls=True).over(own.rowsBetween(Window.unboundedPreceding, -1)))
-    rows = rows.withColumn("had_option", F.max(((F.col("kind") == "option") & ~F.col("says")).cast("int")).over(own.rowsBetween(Window.unboundedPreceding, -1)) == 1)
-    restarts = (F.col("kind") == "option") & F.col("marker").isNotNull() & F.col("held").isNotNull() & (F.col("marker") <= F.col("held"))
+    rows = rows.withColumn("says", may & F.col("raw").rlike(P.INLINE_ANSWER))
+    # a line of a stretch or block is one from its first line on, so windows over the document, in one order, tell all of them
+    at = lambda told: F.when(told, F.col("n"))
+    option = (F.col("kind") == "option") & ~F.col("says")
+    marked = F.when(option & F.col("marker").isNotNull(), F.struct("n", "marker"))
+    rows = rows.withColumns({
+        "first": F.row_number().over(_doc()) == 1,
+        "opened": F.max(at((F.col("kind") == "numbered") & ~F.col("says"))).over(_so_far()),
+        "held": F.last(marked, ignorenulls=True).over(_before()), "option_at": F.max(at(option)).over(_before()),
+    })
+    since = lambda n, begun: F.coalesce(n >= F.coalesce(begun, F.lit(0)), F.lit(False))
+    restarts = (F.col("kind") == "option") & F.col("marker").isNotNull() & since(F.col("held.n"), F.col("opened")) & (F.col("marker") <= F.col("held.marker"))
     rows = rows.withColumn("restarts", F.coalesce(restarts, F.lit(False)))
-    rows = rows.withColumn("inline", F.col("says") & (F.col("pos") > 1) & ~F.col("restarts"))
-    rows = rows.withColumn("text_starts", (F.col("kind") == "text") & ~F.col("inline") & F.coalesce("had_option", F.lit(False)) & F.coalesce(F.lead("restarts").over(_doc()), F.lit(False)))
+    rows = rows.withColumn("inline", F.col("says") & ~F.col("first") & ~F.col("restarts"))
+    rows = rows.withColumn("follows", (F.col("kind") == "text") & ~F.col("inline") & since(F.col("option_at"), F.col("opened")))
+    rows = rows.withColumns({"restarts_below": F.lead("restarts", 1, False).over(_doc()), "follows_above": F.lag("follows", 1, False).over(_doc())})
     numbered = (F.col("kind") == "numbered") & ~F.col("inline")
-    opened_above = F.coalesce(F.lag("text_starts").over(_doc()), F.lit(False))
-    rows = rows.withColumn("starts", (F.col("pos") == 1) | numbered | (F.col("restarts") & ~opened_above) | F.col("text_starts"))
-    rows = rows.withColumn("block_no", F.sum(F.col("starts").cast("int")).over(_so_far()))
-    block = Window.partitionBy("doc_id", "block_no").orderBy("n")
-    optioned = F.coalesce(F.max(((F.col("kind") == "option") & ~F.col("inline")).cast("int")).over(block.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) == 1
+    # the text before an option that starts over has opened its block
+    rows = rows.withColumn("starts", F.col("first") | numbered | (F.col("restarts") & ~F.col("follows_above")) | (F.col("follows") & F.col("restarts_below")))
+    rows = rows.withColumns({
+        "block_no": F.sum(F.col("starts").cast("int")).over(_so_far()), "begun": F.max(at(F.col("starts"))).over(_so_far()),
+        "option_at": F.max(at((F.col("kind") == "option") & ~F.col("inline"))).over(_before()),
+    })
+    optioned = since(F.col("option_at"), F.col("begun"))
     role = F.when(F.col("inline"), "inline").when(F.col("kind") == "option", "option").when(numbered, F.when(F.col("text") != "", "stem").otherwise("none"))
     return rows.withColumn("role", role.when(optioned & ~F.col("starts"), "wrap").otherwise("stem")).select("doc_id", "n", "raw", "text", "kind", "marker", "marked", "block_no", "starts", "role")
 
@@ -120,8 +127,8 @@ def blocks(placed: DataFrame) -> DataFrame:
 
     Blocks with neither stem nor options are left out; they have still taken a number.
     """
-    block = Window.partitionBy("doc_id", "block_no").orderBy("n")
-    rows = placed.withColumn("option_no", F.when(F.col("role").isin("option", "wrap"), F.sum((F.col("role") == "option").cast("int")).over(block.rowsBetween(Window.unboundedPreceding, 0))))
+    # options are numbered through the document: those of a block follow each other
+    rows = placed.withColumn("option_no", F.when(F.col("role").isin("option", "wrap"), F.sum((F.col("role") == "option").cast("int")).over(_so_far())))
     option = F.struct("n", "option_no", "text", "marker", "marked")
     printed = F.when(F.col("starts") & (F.col("kind") == "numbered"), F.col("marker").cast("int"))
     found = rows.groupBy("doc_id", "block_no").agg(
@@ -133,13 +140,15 @@ def blocks(placed: DataFrame) -> DataFrame:
         F.max("n").alias("line_end"),
     ).filter((F.size("stems") > 0) | (F.size("parts") > 0))
     question = strip(squeezed(F.array_join(F.transform("stems", lambda s: s["text"]), " ")))
+    found = found.withColumns({"first": F.get("parts", F.lit(0))["option_no"], "last": F.element_at("parts", -1)["option_no"]})
 
     def merged(i: F.Column) -> F.Column:
-        own = F.filter("parts", lambda p: p["option_no"] == i)
-        text = strip(F.array_join(F.transform(own, lambda p: p["text"]), " "))
-        return F.struct((i - 1).cast("int").alias("pos"), text.alias("text"), own[0]["marker"].alias("marker"), F.exists(own, lambda p: p["marked"]).alias("marked"))
+        def one(own: F.Column) -> F.Column:
+            text = let(F.array_join(F.transform(own, lambda p: p["text"]), " "), strip)
+            return F.struct((i - F.col("first")).cast("int").alias("pos"), text.alias("text"), own[0]["marker"].alias("marker"), F.exists(own, lambda p: p["marked"]).alias("marked"))
+
+        return let(F.filter("parts", lambda p: p["option_no"] == i), one)
 
-    count = F.coalesce(F.array_max(F.transform("parts", lambda p: p["option_no"])), F.lit(0))
-    options = F.when(count > 0, F.transform(F.sequence(F.lit(1).cast("bigint"), count), merged)).otherwise(F.array().cast("array<struct<pos:int,text:string,marker:string,marked:boolean>>"))
+    options = F.when(F.size("parts") > 0, F.transform(F.sequence("first", "last"), merged)).otherwise(F.array().cast("array<struct<pos:int,text:string,marker:string,marked:boolean>>"))
     index = F.coalesce(F.when(F.col("printed") != 0, F.col("printed")), F.col("block_no").cast("int"))
     return found.select("doc_id", F.col("block_no").cast("int").alias("block_no"), index.alias("q_index"), question.alias("question"), options.alias("options"), "inline_letters", "line_start", "line_end")

@@ -108,7 +108,7 @@ def segment_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 def segment_restarts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Blocks without numbers: options that start over open one, text after an option continues it."""
     body = F.concat(F.lit("Stem of "), "p_name", F.lit("\nA) one\nwraps on\nB) two\n\nSecond of "), "p_name", F.lit(" goes on\nA) three\nB) four"))
-    parsed = materialized(segments.lines(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("doc_id"), body.alias("body"))), "lines")
+    parsed = materialized(segments.lines(dealt(spark, sf_dir, "part", "p_partkey", "p_name").select(F.col("p_partkey").alias("doc_id"), body.alias("body"))), "lines")
     rows = segments.blocks(segments.placed_lines(parsed, segments.answer_key(parsed)))
     return _long(rows.select("doc_id", "block_no", "question", F.array_join(F.transform("options", lambda o: o["text"]), "|").alias("options")), "block_no")
 
@@ -211,7 +211,7 @@ def evidence_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT p_partkey AS doc_id, 'block-1' AS key, CASE WHEN p_partkey % 2 = 0 THEN 'too-few-options' ELSE 'no-question-text' END AS reject FROM part")
 def unsupported_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     body = F.when(F.col("p_partkey") % 2 == 0, F.concat(F.lit("About "), "p_name")).otherwise(F.lit("A) One\nB) Two"))
-    docs = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("doc_id"), body.alias("body"))
+    docs = dealt(spark, sf_dir, "part", "p_partkey", "p_name").select(F.col("p_partkey").alias("doc_id"), body.alias("body"))
     return C.unsupported(text_cards(docs)[1])
 
 
