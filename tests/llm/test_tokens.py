@@ -8,7 +8,7 @@ import pyarrow as pa
 import public_tokenizers
 from tokenizers import Tokenizer
 
-from quizloom.llm import packing, token_files
+from quizloom.llm import packing, token_files, tokens
 from quizloom.llm.tokens import TOKENIZER, encoder
 
 
@@ -89,3 +89,16 @@ def test_token_files(spark, docs, rows, empty, tmp_path):
     assert {r["doc_id"] for r in token_files.read_tokens(spark, path, 3, 6).collect()} == {3, 4, 5, 6}
     token_files.write_tokens(empty, f"{tmp_path}/none")
     assert token_files.digests(spark, f"{tmp_path}/none").collect() == []
+
+
+def test_frequent_pieces_outlive_a_full_cache(monkeypatch):
+    """op8_token_files: the cache was emptied when it was full, and the pieces of every text were coded anew."""
+    monkeypatch.setattr(tokens, "CACHE_PIECES", 8)
+    one = tokens.PieceEncoder(tokens.tokenizer_path(TOKENIZER))
+    coded, word = [], one._word
+    monkeypatch.setattr(one, "_word", lambda w: coded.append(w) or word(w))
+    texts = [f"a frequent {chr(97 + k)}one {chr(97 + k)}two {chr(97 + k)}three." for k in range(20)]
+    got = [one.encode(pa.array([t]))[0] for t in texts]
+    assert coded.count(" frequent") == 1
+    assert got == [plain(t)[:-1].tobytes() for t in texts]
+    assert len(one) + len(one.older) < 20
