@@ -57,8 +57,6 @@ class PieceEncoder(dict):
         self.letters = _byte_letters()
         self.newline = self.ids(["\n"])[0]
         self.marks: dict[str, bytes] = {}
-        #: The pieces before the last time that the cache was full: frequent ones come back from here instead of being coded again.
-        self.older: dict[str, bytes | None] = {}
 
     def ids(self, texts: list[str]) -> list[bytes]:
         return [np.array(x.ids, dtype="<u4").tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -68,9 +66,7 @@ class PieceEncoder(dict):
         return array("I", [t.id for t in self.word(coded)]).tobytes()
 
     def __missing__(self, piece: str) -> bytes | None:
-        if piece in self.older:
-            found = self.older[piece]
-        elif piece.isalpha():
+        if piece.isalpha():
             found = self._word(" " + piece)
         elif not piece or piece[-1].isspace():
             found = None
@@ -92,8 +88,7 @@ class PieceEncoder(dict):
 
     def encode(self, texts: pa.Array) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers; null counts as empty."""
-        if len(self) > CACHE_PIECES // 2:
-            self.older = dict(self)
+        if len(self) > CACHE_PIECES:
             self.clear()
         get, out = self.__getitem__, []
         for text in texts.to_pylist():
