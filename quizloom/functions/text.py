@@ -85,7 +85,7 @@ def strip(text: Column) -> Column:
 
 def squeezed(text: Column) -> Column:
     """Runs of two white-space characters and more as one space. Few texts have any."""
-    return F.when(text.rlike(rf"{P.SPACE}{{2}}"), F.regexp_replace(text, rf"{P.SPACE}{{2,}}", " ")).otherwise(text)
+    return F.when(text.rlike(r"[^!-~]{2}") & text.rlike(rf"{P.SPACE}{{2}}"), F.regexp_replace(text, rf"{P.SPACE}{{2,}}", " ")).otherwise(text)
 
 
 def collapse(text: Column) -> Column:

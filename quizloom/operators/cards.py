@@ -24,7 +24,10 @@ def _letter(pos: Column) -> Column:
 
 def resolved(blocks: DataFrame, key: DataFrame) -> DataFrame:
     """blocks with letters and answer_source: a line that states the answer, else the key, else marks, else none."""
-    rows = blocks.join(key.select("doc_id", "q_index", F.col("letters").alias("key_letters")), ["doc_id", "q_index"], "left")
+    # joined by document, as blocks and keys are grouped, so that blocks stay where they are
+    keys = key.groupBy("doc_id").agg(F.collect_list(F.struct("q_index", "letters")).alias("_keys")).hint("shuffle_hash")
+    own = F.filter("_keys", lambda k: k["q_index"] == F.col("q_index"))
+    rows = blocks.join(keys, "doc_id", "left").withColumn("key_letters", F.get(own, F.lit(0))["letters"]).drop("_keys")
     marks = F.transform(F.filter("options", lambda o: o["marked"] & (o["pos"] < 26)), lambda o: F.coalesce(o["marker"], _letter(o["pos"])))
     has = lambda c: F.coalesce(F.size(c), F.lit(0)) > 0
     inline, keyed, marked = has(F.col("inline_letters")), has(F.col("key_letters")), F.size(marks) > 0
@@ -36,10 +39,11 @@ def resolved(blocks: DataFrame, key: DataFrame) -> DataFrame:
 def cards(resolved_blocks: DataFrame, docs: DataFrame, python: bool = False, by_position: bool = True) -> DataFrame:
     """A row for each block: card columns, or `reject` where the block cannot be a card.
 
-    by_position: a key letter also picks the option at that place, whatever its own letter; otherwise only options
+    The intake columns are taken from docs, unless the blocks have them already. by_position: a key letter also picks the option at that place, whatever its own letter; otherwise only options
     without a letter are picked by place.
     """
-    rows = resolved_blocks.join(with_defaults(docs).select("doc_id", *DEFAULTS), "doc_id")
+    known = all(c in resolved_blocks.columns for c in DEFAULTS)
+    rows = resolved_blocks if known else resolved_blocks.join(with_defaults(docs).select("doc_id", *DEFAULTS), "doc_id")
     markers = F.transform("options", lambda o: F.upper(F.coalesce(o["marker"], F.lit(""))))
     rows = rows.withColumn("wanted", F.transform(fold_letters(F.col("letters"), markers), F.upper))
     rows = rows.withColumn("_texts", cleaned_all(F.transform("options", lambda o: o["text"]), python))

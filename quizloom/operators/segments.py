@@ -56,16 +56,16 @@ def answer_key(parsed: DataFrame) -> DataFrame:
     A section is a heading with pairs on it, or a bare heading and the unbroken run of rows below. The last row wins for a
     number that comes twice.
     """
-    rows = parsed.filter("kind != 'blank'").select("doc_id", "n", "raw")
+    rows = parsed.filter("raw != ''").select("doc_id", "n", "raw")
     heading = F.col("raw").rlike(P.KEY_HEADING)
     rest = strip(F.regexp_extract("raw", P.KEY_HEADING, 1))
     numbers, cells = F.regexp_extract_all(rest, F.lit(P.KEY_PAIR), F.lit(1)), F.regexp_extract_all(rest, F.lit(P.KEY_PAIR), F.lit(2))
     pairs = F.filter(F.transform(F.arrays_zip(numbers.alias("q"), cells.alias("c")), lambda p: F.struct(p["q"].cast("int").alias("q"), answer_letters(p["c"]).alias("letters"))), lambda p: F.size(p["letters"]) > 0)
     rows = rows.withColumn("heading", heading).withColumn("pairs", F.when(heading, pairs))
-    inline = rows.filter(F.size("pairs") > 0).select("doc_id", F.col("n").alias("cut"), F.posexplode("pairs").alias("i", "p")).select("doc_id", "cut", F.col("i").alias("n"), "p.q", "p.letters")
-
     bare = F.col("heading") & (rest == "")
-    rows = rows.withColumn("cut", F.last(F.when(bare, F.col("n")), ignorenulls=True).over(_so_far())).filter("cut is not null and n > cut")
+    rows = rows.withColumn("cut", F.last(F.when(bare, F.col("n")), ignorenulls=True).over(_so_far()))
+    # one pass over the lines serves both kinds: a heading with pairs outside of a section is in a run of its own, and not below
+    rows = rows.withColumn("below", F.coalesce(F.col("n") > F.col("cut"), F.lit(False))).filter(F.col("below") | (F.size("pairs") > 0))
     is_row, is_number = F.col("raw").rlike(P.KEY_ROW), F.col("raw").rlike(P.KEY_NUMBER)
     section = Window.partitionBy("doc_id", "cut").orderBy("n")
     before = section.rowsBetween(Window.unboundedPreceding, -1)
@@ -75,12 +75,14 @@ def answer_key(parsed: DataFrame) -> DataFrame:
     told = told.withColumn("carried", F.when((F.col("what") == "letters") & (F.lag("what").over(section) == "number"), F.regexp_extract(F.lag("raw").over(section), P.KEY_NUMBER, 1).cast("int")))
     told = told.withColumn("ends", (F.col("what") == "other") | ((F.col("what") == "letters") & F.col("carried").isNull()))
     told = told.withColumn("ended", F.coalesce(F.max(F.col("ends").cast("int")).over(before), F.lit(0)))
-    kept = told.filter("ended = 0 and not ends and what != 'number'")
+    kept = F.expr("below and ended = 0 and not ends and what != 'number'")
     q = F.when(F.col("what") == "row", F.regexp_extract("raw", P.KEY_ROW, 1).cast("int")).otherwise(F.col("carried"))
     letters = F.when(F.col("what") == "row", answer_letters(F.regexp_extract("raw", P.KEY_ROW, 2))).otherwise(loose)
-    below = kept.select("doc_id", "cut", "n", q.alias("q"), letters.alias("letters")).filter(F.size("letters") > 0)
-
-    every = inline.unionByName(below)
+    entry = lambda cut, n, q, letters: F.struct(cut.alias("cut"), n.alias("n"), q.alias("q"), letters.alias("letters"))
+    inline = F.transform("pairs", lambda p, i: entry(F.col("n"), i, p["q"], p["letters"]))
+    below = F.when(kept, F.array(entry(F.col("cut"), F.col("n"), q, letters)))
+    none = F.array().cast("array<struct<cut:int,n:int,q:int,letters:array<string>>>")
+    every = told.select("doc_id", F.explode(F.concat(F.coalesce(inline, none), F.coalesce(below, none))).alias("e")).select("doc_id", "e.*").filter(F.size("letters") > 0)
     first = every.withColumn("first", F.min("cut").over(Window.partitionBy("doc_id"))).filter("cut = first")
     return first.groupBy("doc_id", F.col("q").alias("q_index")).agg(F.max_by("letters", "n").alias("letters"), F.min("cut").alias("cut"))
 
@@ -92,7 +94,8 @@ def placed_lines(parsed: DataFrame, key: DataFrame) -> DataFrame:
     such an option. Lines that state the answer open nothing and belong to nothing.
     """
     cut = key.groupBy("doc_id").agg(F.min("cut").alias("cut"))
-    rows = parsed.filter("kind != 'blank'").join(cut, "doc_id", "left").filter("cut is null or n < cut").drop("cut")
+    # keys are few beside lines, but grow with the documents: each task meets those of its own documents, none is broadcast
+    rows = parsed.filter("kind != 'blank'").join(cut.hint("shuffle_hash"), "doc_id", "left").filter("cut is null or n < cut").drop("cut")
     may = reduce(or_, [F.contains(F.lower("raw"), F.lit(w)) for w in P.INLINE_WORDS])
     rows = rows.withColumn("says", may & F.col("raw").rlike(P.INLINE_ANSWER))
     # a line of a stretch or block is one from its first line on, so windows over the document, in one order, tell all of them
@@ -139,8 +142,10 @@ def blocks(placed: DataFrame) -> DataFrame:
         F.min("n").alias("line_start"),
         F.max("n").alias("line_end"),
     ).filter((F.size("stems") > 0) | (F.size("parts") > 0))
-    question = strip(squeezed(F.array_join(F.transform("stems", lambda s: s["text"]), " ")))
-    found = found.withColumns({"first": F.get("parts", F.lit(0))["option_no"], "last": F.element_at("parts", -1)["option_no"]})
+    # each step names its value more than once, so each is a column
+    found = found.withColumn("question", F.array_join(F.transform("stems", lambda s: s["text"]), " ")).withColumn("question", squeezed(F.col("question")))
+    question = strip(F.col("question"))
+    found = found.withColumns({"first": F.get("parts", F.lit(0))["option_no"], "last": F.try_element_at("parts", F.lit(-1))["option_no"]})
 
     def merged(i: F.Column) -> F.Column:
         def one(own: F.Column) -> F.Column:

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quizloom.functions import patterns as P
+from quizloom.functions.tables import materialized
 from quizloom.functions.text import deck_key
 
 MIN_OPTIONS = 2
@@ -260,7 +261,8 @@ def _card_errors(card: Column, where: Column, capabilities: list[str]) -> Column
 def check_decks(decks: DataFrame, capabilities: list[str], target: str = P.TARGET) -> DataFrame:
     """doc_id and errors (in order) of decks given as JSON in `deck`: a person's edit, so nothing is taken for granted of the
     kinds of its values. Text that is no JSON object is one error."""
-    rows = decks.select("doc_id", F.try_parse_json("deck").alias("deck"))
+    # a deck is read for its head and for its cards: it is written once, not made twice
+    rows = materialized(decks.select("doc_id", "deck"), "edited_decks").select("doc_id", F.try_parse_json("deck").alias("deck"))
     rows = rows.withColumns({"ok": _is_object(F.col("deck")), "schema": _get(F.col("deck"), "schemaId", "variant")})
     cards = rows.filter("ok").select("doc_id", F.posexplode(_get(F.col("deck"), "cards", _LIST)).alias("at", "card")).withColumn("object", _is_object(F.col("card")))
     key = _get(F.col("card"), "cardId", "variant")

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quizloom.functions.tables import materialized
+from quizloom.functions.tables import dealt, materialized
 from quizloom.functions.text import needs_python
 from quizloom.operators import cards as C
 from quizloom.operators import rules, segments
@@ -28,18 +28,26 @@ class TextResult:
     drafts: DataFrame
 
 
-def text_cards(docs: DataFrame, body: str = "body", by_position: bool = True) -> tuple[DataFrame, DataFrame]:
+def text_cards(docs: DataFrame, body: str = "body", by_position: bool = True, once: bool = False) -> tuple[DataFrame, DataFrame]:
     """blocks and cards of documents (doc_id, body). Texts that need entities decoded or accents composed take a path with
-    an Arrow UDF; the rest, the bulk of a corpus, stays in the JVM."""
-    parsed = materialized(segments.lines(docs, body), "lines")
-    key = materialized(segments.answer_key(parsed), "keys")
-    blocks = materialized(segments.blocks(segments.placed_lines(parsed, key)), "blocks")
-    resolved = C.resolved(blocks, key)
-    told = docs.select("doc_id", F.coalesce(needs_python(F.col(body)), F.lit(False)).alias("_python"))
-    marked = resolved.join(told, "doc_id")
+    an Arrow UDF; the rest, the bulk of a corpus, stays in the JVM.
+
+    Documents, lines and blocks are dealt out by document, in as many tasks at every size, and each step groups them where they are. once: the cards are read a single time, so
+    they are not written, and what that reader does not ask for is not computed.
+    """
+    docs = dealt(docs.select("doc_id", body, *[c for c in C.DEFAULTS if c in docs.columns]), "doc_id")
+    parsed = dealt(materialized(segments.lines(docs, body), "lines"), "doc_id")
+    key = dealt(materialized(segments.answer_key(parsed), "keys"), "doc_id")
+    blocks = segments.blocks(segments.placed_lines(parsed, key))
+    told = C.with_defaults(docs).select("doc_id", F.coalesce(needs_python(F.col(body)), F.lit(False)).alias("_python"), *C.DEFAULTS)
+    resolved = C.resolved(blocks.withColumn("_inline", F.col("inline_letters")), key)
+    # the blocks are read twice, by each way of cleaning texts, and few bytes of them are much work
+    held = materialized(resolved.join(told.hint("shuffle_hash"), "doc_id", "left"), "blocks")
+    marked = dealt(held.drop("_inline"), "doc_id")
     plain = C.cards(marked.filter("not _python").drop("_python"), docs, False, by_position)
     other = C.cards(marked.filter("_python").drop("_python"), docs, True, by_position)
-    return blocks, materialized(plain.unionByName(other), "cards")
+    cards = plain.unionByName(other)
+    return held.withColumnRenamed("_inline", "inline_letters").select(*blocks.columns), cards if once else materialized(cards, "cards")
 
 
 def process_text(docs: DataFrame, capabilities: list[str] | None = None, body: str = "body") -> TextResult:

@@ -116,8 +116,9 @@ def segment_restarts(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---- cards, export, drafts --------------------------------------------------------------------------------------------
 
 
-def _cards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return text_cards(quizzes(spark, sf_dir))[1]
+def _cards(spark: SparkSession, sf_dir: str, once: bool = True) -> DataFrame:
+    """Cards of the quizzes; once: for what reads them a single time."""
+    return text_cards(quizzes(spark, sf_dir, spread=False), once=once)[1]
 
 
 _KNOWN = "doc_id % 4 <> 0"
@@ -199,7 +200,7 @@ def draft_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""SELECT code, count(*) AS n FROM (SELECT unnest(['unresolved-review', 'unresolved-review', 'unresolved-review', 'unqualified-evidence', 'unqualified-evidence', 'unqualified-evidence', 'single-choice-cardinality', 'multiple-select-empty']) AS code FROM part WHERE p_partkey % 4 = 0
 UNION ALL SELECT 'capability-missing' FROM part) GROUP BY code""")
 def validate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cards = _cards(spark, sf_dir)
+    cards = _cards(spark, sf_dir, once=False)
     return rules.validate(cards, C.evidence(cards), ["mcq.single"]).groupBy("code").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -212,7 +213,7 @@ def evidence_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
 def unsupported_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     body = F.when(F.col("p_partkey") % 2 == 0, F.concat(F.lit("About "), "p_name")).otherwise(F.lit("A) One\nB) Two"))
     docs = dealt(spark, sf_dir, "part", "p_partkey", "p_name").select(F.col("p_partkey").alias("doc_id"), body.alias("body"))
-    return C.unsupported(text_cards(docs)[1])
+    return C.unsupported(text_cards(docs, once=True)[1])
 
 
 # ---- rules over other tables ------------------------------------------------------------------------------------------
@@ -622,7 +623,7 @@ def page_row_means(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"SELECT doc_id, family, concat('q-000', q_index) AS draft_card_id FROM ({_QUESTIONS}) WHERE NOT {_KNOWN} OR family <> 'single-choice'")
 def blocked_with_drafts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return export.blocked_with_drafts(_cards(spark, sf_dir), ["mcq.single"]).select("doc_id", "family", "draft_card_id")
+    return export.blocked_with_drafts(_cards(spark, sf_dir, once=False), ["mcq.single"]).select("doc_id", "family", "draft_card_id")
 
 
 @query(f"SELECT p_partkey AS doc_id, {_KEY} AS deck_key, 3::BIGINT AS card_count, 'draft' AS status, CASE WHEN p_partkey % 4 = 0 THEN '3' ELSE '0' END AS needs_answer, p_brand AS level, CASE WHEN p_size % 2 = 0 THEN 'licensed' ELSE 'unconfirmed' END AS rights FROM part")
@@ -638,7 +639,7 @@ def draft_decks(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""SELECT p_partkey AS doc_id, 'capture-ir.v1' AS version, {_KEY} AS deck_key, 3::BIGINT AS n_cards, 11::BIGINT AS n_evidence, 'multiple-select' AS second_family, CASE WHEN p_partkey % 4 <> 0 THEN 2 ELSE 0 END::BIGINT AS second_correct,
 CASE WHEN p_partkey % 4 = 0 OR p_size % 2 <> 0 THEN 'false' ELSE 'true' END AS third_answer FROM part""")
 def capture_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cards = _cards(spark, sf_dir)
+    cards = _cards(spark, sf_dir, once=False)
     found = capture_ir.capture_documents(cards, C.evidence(cards), quizzes(spark, sf_dir), ALL_CAPABILITIES)
     get = lambda path: F.get_json_object("document", f"$.{path}")
     size = lambda path: F.json_array_length(get(path)).cast("long")
@@ -666,7 +667,7 @@ def deck_check_untyped(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH v AS (SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN 9 ELSE 1 END AS n FROM ({_QUESTIONS}) GROUP BY doc_id) SELECT doc_id, n::BIGINT AS blocking, 0::BIGINT AS warnings, n::BIGINT AS last_issue FROM v")
 def issue_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cards = _cards(spark, sf_dir)
+    cards = _cards(spark, sf_dir, once=False)
     issues = materialized(rules.in_order(rules.validate(cards, C.evidence(cards), ["mcq.single"]), cards), "issues")
     return rules.issue_totals(issues).join(issues.groupBy("doc_id").agg(F.max("issue_no").cast("long").alias("last_issue")), "doc_id")
 

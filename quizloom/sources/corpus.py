@@ -13,8 +13,9 @@ BODY = """concat('1. Which brand is part ', p_name, '?', chr(10), 'A) ', p_brand
 CASE WHEN p_partkey % 4 = 0 THEN '' ELSE concat('Answers:', chr(10), '1. A', chr(10), '2. A, C', chr(10), '3. ', CASE WHEN p_size % 2 = 0 THEN 'A' ELSE 'B' END) END)"""
 
 
-def quizzes(spark: SparkSession, sf_dir: str) -> DataFrame:
+def quizzes(spark: SparkSession, sf_dir: str, spread: bool = True) -> DataFrame:
     """doc_id, title and body of a quiz for each part. A part takes a few bytes and its quiz much work, so parts are dealt out
-    before anything is made of them: one file of them would be one task."""
-    part = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", "p_name", "p_brand", "p_size", "p_type").repartition("p_partkey")
+    before anything is made of them: one file of them would be one task. spread: not where the reader deals the quizzes out."""
+    part = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", "p_name", "p_brand", "p_size", "p_type")
+    part = part.repartition("p_partkey") if spread else part
     return part.select(F.col("p_partkey").alias("doc_id"), F.col("p_name").alias("title"), F.expr(BODY).alias("body"), "p_brand", "p_size", "p_type")
