@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quizloom.functions import identity, quality, text
+from quizloom.functions import identity, quality, tables, text
 from quizloom.functions import patterns as P
 from quizloom.functions.tables import materialized
 from quizloom.operators import captures, geometry, jobs, rules, segments
@@ -515,7 +515,8 @@ def _quiz_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit('">✓ x</span><li class="option-item">Other</ul></div></i><div data-question-id="b" data-family="true-false"><p class="question-stem">Even size</p><span class="option-item" data-correct="'), even.cast("string"), F.lit('">True</span><span class="option-item" data-correct="'), (~even).cast("string"),
         F.lit('">False</span></div><div data-question-id="c" data-family="flashcard"><i class="flashcard-front">'), "p_name", F.lit('</i><i class="flashcard-back">'), "p_brand", F.lit('</i></div><div data-question-id="d" data-family="image-occlusion"></div></main>'),
     )
-    return quiz_html.cards(dealt(spark, sf_dir, "part", "p_partkey", "p_name", "p_brand", "p_size").select(F.col("p_partkey").alias("doc_id"), html.alias("html")))
+    parts = tables.dealt(table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand", "p_size"), "p_partkey")
+    return quiz_html.cards(parts.select(F.col("p_partkey").alias("doc_id"), html.alias("html")))
 
 
 @query("""SELECT p_partkey AS doc_id, k AS block_no, CASE k WHEN 0 THEN 'single-choice' WHEN 1 THEN 'true-false' WHEN 2 THEN 'flashcard' ELSE 'image-occlusion' END AS family, CASE k WHEN 0 THEN concat('Brand & type of ', p_name) WHEN 1 THEN 'Even size' WHEN 2 THEN p_name END AS question,
