@@ -2,9 +2,11 @@
 
 Documents with one shingle set are one class from the start. Classes that share a band of their signatures are
 candidates. A pair is compared in batches of hashes; after each batch it is dropped if the posterior probability of a
-similarity at the threshold or above is under MISS. What is left is verified on the full sets. Buckets are never spread
-into pairs: a few rounds link every member of a bucket to one of its members. After that only members outside the largest
-component of a bucket are compared with the others, in blocks of bounded bytes that return a forest of links. No key is joined on without a way for those that many rows have (hot_join).
+similarity at the threshold or above is under MISS. What is left is verified on the full sets. Buckets of up to SMALL members
+are spread into pairs at once and are then done. Larger ones never are: a few rounds link every member of a bucket to one of
+its members. After that only members outside the largest component of a bucket are compared with the others, in blocks of
+bounded bytes that return a forest of links. No key is joined on without a way for those that many rows have (hot_join).
+Signatures and texts of classes that share no bucket are left where they are (_screened).
 """
 
 from __future__ import annotations
@@ -28,6 +30,11 @@ STEP = 16
 #: Probability of a miss that the pruning of one pair may add.
 MISS = 1e-7
 STAR_ROUNDS = 2
+#: All pairs of a bucket with so many members at most are compared.
+SMALL = 8
+#: A screen has so many bits for each of its keys, and at most SCREEN_MOST (8 MB) in all.
+SCREEN_BITS = 16
+SCREEN_MOST = 1 << 26
 #: Bytes of signatures and sets on either side of one block.
 BLOCK_BYTES = 4 << 20
 MEMBER_BYTES = 4 * HASHES + 100
@@ -102,6 +109,25 @@ def _banded(signed: DataFrame) -> DataFrame:
     return signed.select("node", "n_shingles", F.posexplode(bands).alias("band", "bucket"))
 
 
+def _kept(df: DataFrame, name: str) -> DataFrame:
+    """As stored, for narrow tables of nodes: in three tasks for each core at most, as a file there costs more than its rows."""
+    return stored(df.coalesce(3 * df.sparkSession.sparkContext.defaultParallelism), name)
+
+
+def _screened(df: DataFrame, column: str, keys: DataFrame) -> DataFrame:
+    """Rows of df whose `column` may be one of the keys (one column, stored): all that are, and few others, told by a broadcast
+    bitmap of hashes. Without nulls. For the rows before an inner join on the keys goes through the shuffle (Spark would move
+    a semi join to before the screen)."""
+    bits = min(SCREEN_MOST, -(-SCREEN_BITS * max(1, keys.count()) // 32768) * 32768)
+    place = lambda c: F.pmod(F.xxhash64(F.col(c)), F.lit(bits)) + 1
+    held = keys.select(place(keys.columns[0]).alias("_at")).groupBy(F.bitmap_bucket_number("_at").alias("_word"))
+    screen = held.agg(F.bitmap_construct_agg(F.bitmap_bit_position("_at")).alias("_bits"))
+    rows = df.withColumn("_at", place(column)).withColumns({"_word": F.bitmap_bucket_number("_at"), "_bit": F.bitmap_bit_position("_at")})
+    octet = F.conv(F.hex(F.substring("_bits", (F.col("_bit") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    there = F.getbit(octet, (F.col("_bit") % 8).cast("int")) == 1
+    return rows.join(F.broadcast(screen), "_word").filter(there).select(*df.columns)
+
+
 def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """node and the hashes of its shingles, ascending, for the classes wanted: node, same and low (the doc_id of a text that
     has the set, which may be null)."""
@@ -112,7 +138,8 @@ def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(_digests(values, at), pa.binary()), list_array(at, pa.array(values.view(np.int64)))], names=["same", "shingles"])
 
     rows = id_text(docs)
-    texts = rows.join(wanted.filter("low is not null").select(F.col("low").alias("doc_id")).distinct().hint("merge"), "doc_id", "left_semi")
+    ids = wanted.filter("low is not null").select(F.col("low").alias("doc_id"))
+    texts = _screened(rows, "doc_id", ids).join(ids.distinct().hint("merge"), "doc_id")
     if not wanted.filter("low is null").isEmpty():
         texts = texts.unionByName(rows.filter("doc_id is null"))
     once = texts.mapInArrow(read, "same binary, shingles array<long>").groupBy("same").agg(F.first("shingles").alias("shingles"))
@@ -184,19 +211,19 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> Data
 def components(edges: DataFrame) -> DataFrame:
     """node and root (the smallest node it reaches) of every end of edges (a, b) but the roots themselves, by alternating
     large and small stars."""
-    e = stored(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a != b").distinct(), "edges")
+    e = _kept(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a != b").distinct(), "edges")
     while True:
-        ends = e.select("a", F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(e.select(F.col("b").alias("a"), F.lit(0).alias("up"), F.lit(1).alias("down")))
-        unsettled = ends.groupBy("a").agg(F.sum("up").alias("up"), F.max("down").alias("down")).filter("up > 1 or (up = 1 and down = 1)")
-        if unsettled.isEmpty():  # a forest of stars around the smallest nodes
-            return e.select(F.col("a").alias("node"), F.col("b").alias("root"))
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = stored(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("low"), F.count(F.lit(1)).alias("_n")), "stars")
-        large = hot_join(both, low, ["a"]).filter("b > a").select(F.col("b").alias("a"), F.col("low").alias("b")).filter("a != b")
-        large = stored(large.distinct(), "edges")
-        least = stored(large.groupBy("a").agg(F.min("b").alias("low"), F.count(F.lit(1)).alias("_n")), "stars")
+        up, down = F.sum((F.col("b") < F.col("a")).cast("int")), F.max(F.col("b") > F.col("a"))
+        low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("low"), F.count(F.lit(1)).alias("_n"), ((up > 1) | ((up == 1) & down)).alias("open"))
+        low = _kept(low, "stars")
+        if low.filter("open").isEmpty():  # a forest of stars around the smallest nodes
+            return e.select(F.col("a").alias("node"), F.col("b").alias("root"))
+        large = hot_join(both, low.drop("open"), ["a"]).filter("b > a").select(F.col("b").alias("a"), F.col("low").alias("b"))
+        large = _kept(large, "edges")
+        least = _kept(large.groupBy("a").agg(F.min("b").alias("low"), F.count(F.lit(1)).alias("_n")), "stars")
         others = hot_join(large, least, ["a"]).filter("b != low").select(F.col("b").alias("a"), F.col("low").alias("b"))
-        e = stored(others.unionByName(least.select("a", F.col("low").alias("b"))).filter("a != b").distinct(), "edges")
+        e = _kept(others.unionByName(least.select("a", F.col("low").alias("b"))).filter("a != b").distinct(), "edges")
 
 
 BUCKET = ["band", "bucket"]
@@ -209,11 +236,29 @@ def _labelled(buckets: DataFrame, roots: DataFrame) -> DataFrame:
 def _star_pairs(buckets: DataFrame, roots: DataFrame, seed: int) -> DataFrame:
     """One member (a) of each bucket that holds several components, with all its members of other components (b); `seed`
     decides which."""
-    rows = stored(_labelled(buckets, roots), "labelled")
-    hub = F.min_by(F.struct(F.col("node").alias("a"), F.col("root").alias("a_root")), F.xxhash64("node", F.lit(seed)))
+    rows = _kept(_labelled(buckets, roots), "labelled")
+    hub = F.min_by(F.struct(F.col("node").alias("a"), F.col("root").alias("a_root"), F.col("n_shingles").alias("a_size")), F.xxhash64("node", F.lit(seed)))
     found = rows.groupBy(BUCKET).agg(hub.alias("h"), F.count(F.lit(1)).alias("_n"), F.min("root").alias("_low"), F.max("root").alias("_high"))
-    hubs = stored(found.filter("_low < _high").select(*BUCKET, "h.*", "_n"), "hubs")
-    return hot_join(rows, hubs, BUCKET).filter("root != a_root").select("a", F.col("node").alias("b")).distinct()
+    hubs = _kept(found.filter("_low < _high").select(*BUCKET, "h.*", "_n"), "hubs")
+    return hot_join(rows, hubs, BUCKET).filter("root != a_root").filter(_alike("a_size", "n_shingles")).select("a", F.col("node").alias("b")).distinct()
+
+
+def _alike(a: str | Column, b: str | Column, percent: int = PERCENT) -> Column:
+    """Whether sets of two sizes can be similar enough."""
+    return 100 * F.least(a, b) >= percent * F.greatest(a, b)
+
+
+def _small_pairs(buckets: DataFrame) -> DataFrame:
+    """All pairs (a, b) in buckets of few members that their sizes do not rule out."""
+    held = buckets.groupBy(BUCKET).agg(F.sort_array(F.collect_list(F.struct("node", "n_shingles"))).alias("m"))
+    both = F.transform("m", lambda x, i: F.transform(F.slice("m", i + 2, SMALL), lambda y: F.struct(x.alias("x"), y.alias("y"))))
+    found = held.select(F.explode(F.flatten(both)).alias("p")).filter(_alike("p.x.n_shingles", "p.y.n_shingles"))
+    return found.select(F.col("p.x.node").alias("a"), F.col("p.y.node").alias("b")).distinct()
+
+
+def _led(links: DataFrame) -> DataFrame:
+    """node and root for ends of links (a, b): one that it is linked with. Equal roots are in one component, others may be."""
+    return links.groupBy(F.col("b").alias("node")).agg(F.min_by("a", F.xxhash64("a", F.lit(0))).alias("root"))
 
 
 def _block_links(buckets: DataFrame, roots: DataFrame, signed: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -221,13 +266,13 @@ def _block_links(buckets: DataFrame, roots: DataFrame, signed: DataFrame, sets:
     left side) meet all members (the right side) in blocks of about BLOCK_BYTES each. There the most alike pairs are verified
     first, on the full sets, and a link makes two components one, so a block returns fewer links than it has members. A pair
     that shares several bands is compared in the first of them."""
-    rows = stored(_labelled(buckets, roots).withColumn("size", F.col("n_shingles") * 8 + MEMBER_BYTES), "labelled")
+    rows = _kept(_labelled(buckets, roots).withColumn("size", F.col("n_shingles") * 8 + MEMBER_BYTES), "labelled")
     sizes = rows.groupBy(*BUCKET, "root").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("size"))
     sizes = sizes.groupBy(BUCKET).agg(F.sum("n").alias("_n"), F.sum("size").alias("size"), F.max(F.struct("n", "root", "size")).alias("main")).filter("main.n < _n")
     count = lambda size: F.ceil(size / BLOCK_BYTES).cast("int")
     split = sizes.select(*BUCKET, "_n", F.col("main.root").alias("main"), count(F.col("size") - F.col("main.size")).alias("n_left"), count(F.col("size")).alias("n_right"))
-    mixed = hot_join(rows, stored(split, "mixed"), BUCKET).withColumn("minor", F.col("root") != F.col("main"))
-    mixed = mixed.join(signed.select("node", "signature"), "node").join(sets, "node")
+    mixed = stored(hot_join(rows, _kept(split, "mixed"), BUCKET).withColumn("minor", F.col("root") != F.col("main")), "members")
+    mixed = mixed.join(signed.select("node", "signature"), "node").join(_screened(sets, "node", mixed.select("node")), "node")
     part = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
     sides = F.array(
         F.when(F.col("minor"), F.struct(F.lit(True).alias("left"), F.sequence(F.lit(0), F.col("n_right") - 1).alias("others"))),
@@ -287,22 +332,32 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     heads = stored(told, "classes")
     signed = stored(every.join(heads.select(F.col("node").alias("row")), "row", "left_semi").select(F.col("row").alias("node"), "n_shingles", "signature"), "signatures")
     banded = _banded(signed)
-    shared = stored(banded.groupBy(BUCKET).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1"), "shared")
-    buckets = stored(hot_join(banded, shared, BUCKET), "buckets")
-    sets = stored(_sets(docs, heads.join(buckets.select("node").distinct(), "node", "left_semi")), "sets")
-
-    edges = docs.sparkSession.createDataFrame([], "a long, b long")
-    roots = docs.sparkSession.createDataFrame([], "node long, root long")
-    for seed in range(STAR_ROUNDS):
-        likely = stored(_likely(stored(_star_pairs(buckets, roots, seed), "pairs"), signed), "likely")
-        edges = edges.unionByName(stored(_verified(likely, sets), "links"))
+    shared = banded.groupBy(BUCKET).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").withColumn("members", F.col("_n"))
+    buckets = stored(hot_join(banded, stored(shared, "shared"), BUCKET), "buckets")
+    small, large = buckets.filter(F.col("members") <= SMALL), buckets.filter(F.col("members") > SMALL).drop("members")
+    near = _kept(buckets.select("node").distinct(), "near")
+    signed = stored(_screened(signed, "node", near).join(near, "node"), "signatures")
+    sets = stored(_sets(docs, stored(_screened(heads, "node", near).join(near, "node"), "wanted")), "sets")
+
+    def linked(pairs: DataFrame) -> DataFrame:
+        likely = stored(_likely(_kept(pairs, "pairs"), signed), "likely")
+        return stored(_verified(likely, _screened(sets, "node", likely.select(F.explode(F.array("a", "b")).alias("node")))), "links")
+
+    none = docs.sparkSession.createDataFrame([], "node long, root long")
+    if large.isEmpty():
+        roots = components(linked(_small_pairs(small)))
+    else:
+        edges = linked(_small_pairs(small).unionByName(_star_pairs(large, none, 0)))
+        for seed in range(1, STAR_ROUNDS):
+            edges = edges.unionByName(linked(_star_pairs(large, _led(edges), seed)))
         roots = components(edges)
-    edges = edges.unionByName(stored(_block_links(buckets, roots, signed, sets), "links"))
-    roots = components(edges)
+        more = stored(_block_links(large, roots, signed, sets), "links")
+        if not more.isEmpty():
+            roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
 
     members = roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
     groups = members.join(heads.select("node", "low", "rep"), "node").groupBy("root")
-    lowest = stored(groups.agg(F.min("low").alias("c_low"), F.coalesce(F.min_by("rep", "low"), F.min("rep")).alias("c_rep"), F.count(F.lit(1)).alias("_n")), "components")
+    lowest = _kept(groups.agg(F.min("low").alias("c_low"), F.coalesce(F.min_by("rep", "low"), F.min("rep")).alias("c_rep"), F.count(F.lit(1)).alias("_n")), "components")
     linked = hot_join(members, lowest, ["root"]).select("node", "c_low", "c_rep")
     named = heads.join(linked, "node", "left").select("same", "_n", F.when(F.col("c_rep").isNull(), F.col("low")).otherwise(F.col("c_low")).alias("component_id"), F.coalesce("c_rep", "rep").alias("rep"))
     rows = every.select("row", "doc_id", "text_hash", "n_shingles", "same")

@@ -7,6 +7,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import functions as F
 
 from quizloom.llm import common, near_dedup, substring_dedup
 from quizloom.llm.common import Words
@@ -140,6 +141,40 @@ def test_a_bucket_of_unlike_members(spark, monkeypatch):
     check_near(spark.createDataFrame(rows, "doc_id long, text string"), rows)
 
 
+def test_texts_of_classes_alone_stay_where_they_are(spark, monkeypatch):
+    """Of many unlike texts only those that may share a bucket, and few others, are joined with their classes."""
+    rng = random.Random(13)
+    rows = [(i, " ".join(f"w{rng.randint(0, 10**6)}" for _ in range(30))) for i in range(3000)] + [(5000 + 2 * i + e, " ".join(f"k{i}x{j}" for j in range(40 + e))) for i in range(5) for e in (0, 1)]
+    found = {}
+    plain = near_dedup._screened
+
+    def screened(df, column, keys):
+        out = plain(df, column, keys)
+        found.setdefault(column, (out.count(), {r[0] for r in out.select(column).collect()}, {r[0] for r in keys.collect()}))
+        return out
+
+    monkeypatch.setattr(near_dedup, "_screened", screened)
+    got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {(r["doc_id"], r["component_id"]) for r in got if not r["kept"]} == {(5001 + 2 * i, 5000 + 2 * i) for i in range(5)}
+    assert {"doc_id", "node"} <= set(found)
+    for n, there, keys in found.values():
+        assert keys <= there and n < 600
+
+
+def test_a_screen_loses_nothing(spark):
+    keys = spark.range(-500, 4000, 9).select(F.col("id").alias("node"))
+    got = [r["id"] for r in near_dedup._screened(spark.range(-5000, 40000), "id", keys).collect()]
+    assert set(range(-500, 4000, 9)) <= set(got) and len(got) == len(set(got)) < 4000
+    assert near_dedup._screened(spark.range(50), "id", keys.limit(0)).collect() == []
+
+
+def test_all_pairs_of_small_buckets(spark):
+    """Small buckets give all pairs that their sizes allow; components of pairs and of stars are as before."""
+    rows = [(n, 100 + n, 1, b) for b, size in ((1, 2), (2, 8), (3, 5)) for n in range(size)] + [(99, 1000, 1, 1)]
+    got = near_dedup._small_pairs(spark.createDataFrame(rows, "node long, n_shingles long, band int, bucket long")).collect()
+    assert sorted(map(tuple, got)) == list(combinations(range(8), 2))
+
+
 def test_one_of_each(spark):
     a, b, c = (" ".join(f"{k}{j}" for j in range(40)) for k in "abc")
     rows = [(5, a, "x"), (3, a + " more", "y"), (3, b, "z"), (3, b, "z"), (None, c, "n"), (9, c, "m"), (7, None, "e"), (7, None, "e"), (8, "", "f")]
