@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quizloom.functions import patterns as P
-from quizloom.functions.tables import materialized
+from quizloom.functions.tables import dealt, materialized
 from quizloom.functions.text import deck_key
 
 MIN_OPTIONS = 2
@@ -112,14 +112,16 @@ class Envelope:
 
 def decks(cards: DataFrame, docs: DataFrame, capabilities: list[str], target: str = P.TARGET, envelope: Envelope | None = None) -> DataFrame:
     """doc_id, deck_key, card_count, deck (JSON) of every document that exports a card."""
-    rows = gated(cards, capabilities).filter("reason is null")
+    # dealt by document once, cards are numbered, grouped and joined where they are
+    rows = gated(dealt(cards, "doc_id"), capabilities).filter("reason is null")
     held = rows.groupBy("doc_id", "locale").agg(F.array_sort(F.collect_list(F.struct("sequence", card_json().alias("card")))).alias("cards"))
     return _decks(held, docs, target, envelope or Envelope(), None)
 
 
 def _decks(held: DataFrame, docs: DataFrame, target: str, envelope: Envelope, review: Column | None) -> DataFrame:
     told = docs.select("doc_id", "title", *[envelope.column(f.name, docs) for f in fields(Envelope)])
-    rows = held.join(told, "doc_id").withColumn("deck_key", deck_key(F.col("title")))
+    # titles are few bytes on disk, but one for each document: each task meets those of its own documents, none is broadcast
+    rows = held.join(told.hint("shuffle_hash"), "doc_id").withColumn("deck_key", deck_key(F.col("title")))
     count = F.size("cards")
     meta = [
         F.create_map("locale", "title").alias("title"), "level", "tags", "difficulty", F.coalesce("estimated_minutes", count).alias("estimatedMinutes"), count.alias("cardCount"),
@@ -162,7 +164,8 @@ def draft_decks(cards: DataFrame, docs: DataFrame, target: str = P.TARGET, envel
     that it is a draft, and how many cards still need what."""
     rows = drafts(cards)
     held = rows.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("sequence", F.col("draft").alias("card")))).alias("cards"))
-    held = held.join(draft_summary(rows).withColumnRenamed("cards", "n"), "doc_id").join(cards.groupBy("doc_id").agg(F.min("locale").alias("locale")), "doc_id")
+    counts, locales = draft_summary(rows).withColumnRenamed("cards", "n"), cards.groupBy("doc_id").agg(F.min("locale").alias("locale"))
+    held = held.join(counts.hint("shuffle_hash"), "doc_id").join(locales.hint("shuffle_hash"), "doc_id")
     review = F.struct(F.col("n").alias("cards"), F.col("needs_answer").alias("needsAnswer"), F.col("needs_review").alias("needsReview"), F.col("ready").alias("ready"))
     return _decks(held, docs, target, envelope or Envelope(), review)
 

@@ -167,13 +167,13 @@ def deck_key(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"SELECT p_partkey AS doc_id, {_KEY} AS deck_key, 3::BIGINT AS card_count, 'learncard.v1' AS schema_id, p_brand AS first_answer FROM part WHERE p_partkey % 4 <> 0")
 def decks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = export.decks(_cards(spark, sf_dir), quizzes(spark, sf_dir), ALL_CAPABILITIES)
+    found = export.decks(_cards(spark, sf_dir), quizzes(spark, sf_dir, spread=False), ALL_CAPABILITIES)
     return found.select("doc_id", "deck_key", "card_count", F.get_json_object("deck", "$.schemaId").alias("schema_id"), F.get_json_object("deck", "$.cards[0].correctAnswer").alias("first_answer"))
 
 
 @query("SELECT p_partkey AS doc_id, 0::BIGINT AS n_errors FROM part WHERE p_partkey % 4 <> 0")
 def deck_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = export.decks(_cards(spark, sf_dir), quizzes(spark, sf_dir), ALL_CAPABILITIES)
+    found = export.decks(_cards(spark, sf_dir), quizzes(spark, sf_dir, spread=False), ALL_CAPABILITIES)
     return export.check_decks(export.finalize_decks(found), ALL_CAPABILITIES).select("doc_id", F.size("errors").cast("long").alias("n_errors"))
 
 
